@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with only the document that names its component; of rows repeated under that doc_id, one."""
-    keep = near_duplicates(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs with only the document that names its component; of rows that share that doc_id one stays, and so of rows without a doc_id."""
+    name = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__name")
+    keep = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(name("doc_id")).distinct()
+    return docs.select("*", name("doc_id")).join(keep, "__name", "left_semi").dropDuplicates(["__name"]).select(*docs.columns)
