@@ -20,6 +20,8 @@ WINDOW = 12
 _POSITION_BITS = 30
 _LAST = (1 << _POSITION_BITS) - 1
 _HASH = (1 << 31) - 1
+#: Stands for a null doc_id.
+_NO_ID = -(1 << 63)
 
 
 def _rotate(x: Column, by: int) -> Column:
@@ -103,8 +105,9 @@ def _neighbours(keyed: DataFrame) -> DataFrame:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text (its last third replaced by the start of the next document's), with their likeness."""
     keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("a"), F.xxhash64("text").alias("b"), "doc_id", "text"
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID).cast("long")).alias("a"), F.xxhash64("text").alias("b"), "text"
     )
+    # both roles of a text (edited, and next of another) read the same columns of this join, so its exchange is made once and reused
     placed = keyed.join(_neighbours(keyed), ["a", "b"])
     heads = with_fingerprint(placed, "text", "packed").select(
         F.col("prior_a").alias("a"), F.col("prior_b").alias("b"), F.expr("substring(text, 1, prior_need)").alias("head"), fingerprint_hashes("packed").alias("next_hashes")
@@ -112,12 +115,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     heads = heads.dropDuplicates(["a", "b"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    df = placed.select("a", "b", "doc_id", "text").join(heads, ["a", "b"]).withColumn("n_chars", n.cast("long"))
+    df = placed.join(heads, ["a", "b"]).withColumn("n_chars", n.cast("long"))
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("head", F.lit(1), third)))
     df = with_fingerprint(with_fingerprint(df, "text", "own"), "edited", "other")
     df = df.withColumn("own_hashes", fingerprint_hashes("own")).withColumn("other_hashes", fingerprint_hashes("other"))
     return df.select(
-        "doc_id",
+        F.nullif(F.col("a"), F.lit(_NO_ID)).alias("doc_id"),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint_string("own").alias("fingerprint"),
