@@ -7,7 +7,7 @@ Chunks hold 16-bit little-endian ids where the vocabulary fits, else 32-bit.
 Reading back: each stored chunk is checked against its digest where it is read and gives its number of ids and CRC-32; the CRC of a document is combined from its chunks' (CRCs are linear), so chunk bytes
 are never shuffled to documents. Every recipe's root and number of ids are verified too. `documents` rebuilds the ids themselves.
 
-Text is split at ASCII white space, which this tokenizer drops and never joins tokens over, and each distinct word of a block is encoded once by the tokenizers library. Null texts count as empty: the end id alone. Rows that share a
+Text is split at ASCII white space, which this tokenizer drops and never joins tokens over, and where it always splits words; each distinct piece of a block is encoded once by the tokenizers library. Null texts count as empty: the end id alone. Rows that share a
 doc_id are ordered by their roots; equal rows are interchangeable. A null doc_id comes first. Other columns are ignored.
 """
 
@@ -20,16 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import GEAR, blocks, materialise, mix64, scratch_dir, shuffle_partitions, text_buffer, word_array, word_spans
+from tracewell.llm.common import BLOCK_BYTES, GEAR, SPACES, blocks, mix64, scratch_dir, shuffle_partitions, text_buffer, word_spans
 
 #: A cut where this many top bits are zero (256 ids a chunk on average); chunks of more than MAX_IDS are cut by length.
 CUT_BITS, MAX_IDS = 8, 4096
 END_ID = 1
-#: Recipes that a page of the manifest covers, and words that a task remembers.
-PAGE, REMEMBERED = 1024, 1_000_000
+#: Recipes that a page of the manifest covers, and pieces that a task remembers.
+PAGE, REMEMBERED = 1024, 600_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -38,45 +39,99 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Kinds of bytes between which the tokenizer's pre-tokenizer always splits: ASCII letters, digits, other ASCII. No cut next to the rest (0): bytes of other characters, and ' and | (contractions, special tokens).
+_KIND = np.full(256, 3, np.uint8)
+_KIND[97:123], _KIND[48:58], _KIND[128:], _KIND[[39, 124]] = 1, 2, 0, 0
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words in lower case, cut where the tokenizer splits them anyway, and len(offsets) offsets into them."""
+    data = _LOWER[data]
+    starts, ends, firsts = word_spans(data, offsets)
+    kind = _KIND[data]
+    inner = np.zeros(len(data), bool)
+    inner[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    inner[ends[ends < len(data)]] = False
+    inner[starts] = False
+    solid = ~SPACES[data]
+    inner &= solid
+    cuts = np.flatnonzero(inner)
+    inner[starts] = True
+    firsts = firsts + np.searchsorted(cuts, offsets)
+    begin = np.flatnonzero(inner[solid])  # places among the bytes of words
+    at = np.append(begin, int(solid.sum())).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(data[solid])])
+    return words, firsts
+
+
 class Encoder:
-    """Encodes blocks of texts, remembering words met before."""
+    """Encodes blocks of texts, remembering pieces met before."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, self.dtype)) for w, e in zip(new, coded))
-        return [self.known[w] for w in words]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Pieces of ASCII letters are encoded many at a time and told apart by their last tokens; others one by one."""
+        out: list[bytes | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        groups = [plain[s : s + 500] for s in range(0, len(plain), 500)]
+        coded = self.tokenizer.encode_batch_fast([b" ".join([words[i] for i in g]).decode() for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, coded):
+            ids = np.array(e.ids, self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                for i, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist()):
+                    out[i] = ids[a:b].tobytes()
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, self.dtype).tobytes()
+        return out
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        out = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        fresh = self._encode([words[i] for i in new])
+        for i, ids in zip(new, fresh):
+            out[i] = ids
+        if len(self.known) < REMEMBERED:
+            self.known.update((words[i], ids) for i, ids in zip(new, fresh))
+        return out
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END_ID at its end, and len(offsets) offsets into them."""
-        starts, ends, firsts = word_spans(data, offsets)
-        coded = word_array(data, starts, ends).dictionary_encode()
-        pieces = [*self.words(coded.dictionary.to_pylist()), np.array([END_ID], self.dtype)]
-        size = np.array([len(p) for p in pieces])
-        flat, at = np.concatenate(pieces), np.cumsum(size) - size
-        sequence = np.insert(coded.indices.to_numpy(), firsts[1:], len(pieces) - 1)
+        words, firsts = pieces(data, offsets)
+        coded = words.dictionary_encode()
+        codes = [*self.words(coded.dictionary.to_pylist()), np.array([END_ID], self.dtype).tobytes()]
+        size = np.fromiter(map(len, codes), np.int32, len(codes)) // self.dtype.itemsize
+        flat, at = np.frombuffer(b"".join(codes), self.dtype), np.cumsum(size, dtype=np.int32) - size
+        sequence = np.insert(coded.indices.to_numpy(), firsts[1:], len(codes) - 1)
         length = size[sequence]
-        ids = flat[np.repeat(at[sequence] - np.cumsum(length) + length, length) + np.arange(length.sum())]
-        bounds = np.concatenate([[0], np.cumsum(length)])
+        until = np.cumsum(length, dtype=np.int64)
+        ids = flat[np.repeat(at[sequence] - until + length, length) + np.arange(length.sum())]
+        bounds = np.concatenate([[0], until])
         return ids, bounds[np.concatenate([[0], firsts[1:] + np.arange(1, len(firsts))])]
 
 
+#: The gear hash's word for each id (ids beyond share them).
+_GEAR = mix64(np.arange(1 << 16, dtype=np.uint64) + GEAR[0]).astype(np.uint32)
+
+
 def cut(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Ends of the chunks: where the gear hash over the last eight ids says so, at the end of a document, and after MAX_IDS."""
-    gear = mix64(ids.astype(np.uint64) + GEAR[0])
-    rolling = gear.copy()
-    for j in range(1, min(8, len(ids))):
-        rolling[j:] += gear[:-j] << np.uint64(8 * j)
-    at = np.union1d(np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + 1, offsets[1:])
+    """Ends of the chunks: where the gear hash over the last eight ids (a shift of four bits each) says so, at the end of a document, and after MAX_IDS."""
+    rolling = _GEAR[ids & 0xFFFF]
+    for j in (1, 2, 4):  # windows of 2, 4, 8 ids
+        before = rolling[:-j].copy()
+        rolling[j:] += before << np.uint32(4 * j)
+    at = np.union1d(np.flatnonzero(rolling >> np.uint32(32 - CUT_BITS) == 0) + 1, offsets[1:])
     length = np.diff(at, prepend=0)
     if len(length) and length.max() > MAX_IDS:
         more = [np.arange(e - n + MAX_IDS, e, MAX_IDS) for e, n in zip(at[length > MAX_IDS], length[length > MAX_IDS])]
@@ -88,11 +143,16 @@ def _digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=20).digest()
 
 
-def _encoded(path: str, keep: str):
+_ROWS = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary()))])
+
+
+def _encoded(path: str):
+    """Rows of two kinds: chunks (key: digest) and recipes (key: the place of the document in the scan)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder, task, done = Encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", 2 * BLOCK_BYTES):
                 ids, offsets = encoder(*text_buffer(block.column("text")))
                 ends = cut(ids, offsets)
                 raw, width = ids.tobytes(), encoder.dtype.itemsize
@@ -100,30 +160,39 @@ def _encoded(path: str, keep: str):
                 digests = [_digest(c) for c in chunks]
                 first = np.concatenate([[0], np.searchsorted(ends, offsets[1:]) + 1])
                 roots = [_digest(b"".join(digests[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                listed = lambda values: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, pa.binary()))  # noqa: B023, E731
-                yield pa.record_batch([block.column(keep), pa.array(np.diff(offsets)), pa.array(roots, pa.binary()), listed(digests), listed(chunks)], [keep, "n_tokens", "root", "digests", "chunks"])
+                n, once = block.num_rows, dict(zip(digests, chunks))
+                none = lambda t, k: pa.nulls(k, t)
+                m = len(once)
+                names = pa.array([b"%d/%d" % (task, done + i) for i in range(n)], pa.binary())
+                listed = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(digests, pa.binary()))
+                done += n
+                yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * n), names, none(pa.binary(), n), block.column("doc_id"), pa.array(np.diff(offsets)), pa.array(roots, pa.binary()), listed], schema=_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * m, pa.string()), pa.array(list(once), pa.binary()), pa.array(list(once.values()), pa.binary()), none(pa.int64(), m), none(pa.int64(), m), none(pa.binary(), m), none(pa.list_(pa.binary()), m)], schema=_ROWS)
 
     return run
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None) -> dict[str, DataFrame]:
-    """Encode docs and write `chunks`, `recipes` and `manifest` below path. Returns the three, as read back."""
+    """Encode docs and write `objects` (chunks, and recipes as they come), `recipes` in order, and `manifest` below path. Returns chunks, recipes and manifest, as read back.
+
+    Chunks and recipes leave the encoder together, so that nothing is encoded twice or kept in between."""
     spark, tokenizer = docs.sparkSession, tokenizer or vocabulary()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = materialise(slim.mapInArrow(_encoded(tokenizer, "doc_id"), "doc_id long, n_tokens long, root binary, digests array<binary>, chunks array<binary>"), "op9-encoded")
-    width = 2 if _width(tokenizer) == 2 else 4
-    pairs = encoded.select(F.explode(F.arrays_zip("digests", "chunks")).alias("c")).select("c.digests", "c.chunks")
-    pairs.groupBy(F.col("digests").alias("digest")).agg(F.first("chunks").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    ordered = encoded.select("doc_id", "n_tokens", "root", "digests").repartitionByRange(shuffle_partitions(docs), F.col("doc_id").asc_nulls_first(), "root").withColumn("file", F.spark_partition_id())
-    place = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "root")
-    numbered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
+    types = "kind string, key binary, ids binary, doc_id long, n_tokens long, root binary, digests array<binary>"
+    rows = slim.mapInArrow(_encoded(tokenizer), types)
+    rows.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("ids", "doc_id", "n_tokens", "root", "digests"))).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    objects = spark.read.schema(types).parquet(f"{path}/objects")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root")]
+    ordered = objects.where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "digests").repartitionByRange(shuffle_partitions(docs), *order).withColumn("file", F.spark_partition_id())
+    numbered = ordered.sortWithinPartitions(*order)
     numbered.write.parquet(f"{path}/recipes")
     recipes = spark.read.schema(numbered.schema).parquet(f"{path}/recipes")
-    rooted = recipes.withColumn("place", F.row_number().over(place)).withColumn("page", F.floor((F.col("place") - 1) / PAGE))
+    rooted = recipes.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy(*order))).withColumn("page", F.floor((F.col("place") - 1) / PAGE))
     concat = lambda list_: F.sha2(F.array_join(F.transform(F.sort_array(list_), lambda s: F.hex(s["root"])), ""), 256)
     pages = rooted.groupBy("file", "page").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_documents"), concat(F.collect_list(F.struct("place", "root"))).alias("page_root"))
-    pages.withColumn("id_bytes", F.lit(width)).write.parquet(f"{path}/manifest")
-    return {"recipes": recipes, "chunks": spark.read.schema("digest binary, ids binary").parquet(f"{path}/chunks"), "manifest": spark.read.schema("file int, page long, n_tokens long, n_documents long, page_root string, id_bytes int").parquet(f"{path}/manifest")}
+    pages.withColumn("id_bytes", F.lit(_width(tokenizer))).write.parquet(f"{path}/manifest")
+    manifest = spark.read.schema("file int, page long, n_tokens long, n_documents long, page_root string, id_bytes int").parquet(f"{path}/manifest")
+    return {"recipes": recipes, "chunks": objects.where("kind = 'chunk'").select(F.col("key").alias("digest"), "ids"), "manifest": manifest}
 
 
 def _width(tokenizer: str) -> int:
