@@ -13,13 +13,16 @@ doc_id are ordered by their roots; equal rows are interchangeable. A null doc_id
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,7 +80,9 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        # pieces met before, with the places and numbers of their ids in `flat`; the first is the end of a document
+        self.known = pa.array([b""], pa.large_binary())
+        self.flat, self.size = np.array([END_ID], self.dtype), np.ones(1, np.int32)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         """Pieces of ASCII letters are encoded many at a time and told apart by their last tokens; others one by one."""
@@ -96,24 +101,22 @@ class Encoder:
             out[i] = np.array(e.ids, self.dtype).tobytes()
         return out
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        out = list(map(self.known.get, words))
-        new = [i for i, ids in enumerate(out) if ids is None]
-        fresh = self._encode([words[i] for i in new])
-        for i, ids in zip(new, fresh):
-            out[i] = ids
-        if len(self.known) < REMEMBERED:
-            self.known.update((words[i], ids) for i, ids in zip(new, fresh))
-        return out
-
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END_ID at its end, and len(offsets) offsets into them."""
         words, firsts = pieces(data, offsets)
-        coded = words.dictionary_encode()
-        codes = [*self.words(coded.dictionary.to_pylist()), np.array([END_ID], self.dtype).tobytes()]
-        size = np.fromiter(map(len, codes), np.int32, len(codes)) // self.dtype.itemsize
-        flat, at = np.frombuffer(b"".join(codes), self.dtype), np.cumsum(size, dtype=np.int32) - size
-        sequence = np.insert(coded.indices.to_numpy(), firsts[1:], len(codes) - 1)
+        place = pc.index_in(words, value_set=self.known)
+        missing = place.is_null()
+        place = place.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        others = words.filter(missing)
+        new = others.unique()
+        coded = self._encode(new.to_pylist())
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), self.dtype)])
+        size = np.concatenate([self.size, np.fromiter(map(len, coded), np.int32, len(coded)) // self.dtype.itemsize])
+        place[missing.to_numpy(zero_copy_only=False)] = len(self.known) + pc.index_in(others, value_set=new).to_numpy(zero_copy_only=False)
+        if len(self.known) < REMEMBERED:
+            self.known, self.flat, self.size = pa.concat_arrays([self.known, new]), flat, size
+        at = np.cumsum(size, dtype=np.int32) - size
+        sequence = np.insert(place, firsts[1:], 0)
         length = size[sequence]
         until = np.cumsum(length, dtype=np.int64)
         ids = flat[np.repeat(at[sequence] - until + length, length) + np.arange(length.sum())]
@@ -121,6 +124,13 @@ class Encoder:
         return ids, bounds[np.concatenate([[0], firsts[1:] + np.arange(1, len(firsts))])]
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each Python worker, which its tasks share: threads of the tokenizers library are off, as Spark fills the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
+
+
 #: The gear hash's word for each id (ids beyond share them).
 _GEAR = mix64(np.arange(1 << 16, dtype=np.uint64) + GEAR[0]).astype(np.uint32)
 
@@ -150,7 +160,7 @@ def _encoded(path: str):
     """Rows of two kinds: chunks (key: digest) and recipes (key: the place of the document in the scan)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, done = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, task, done = encoder_of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for block in blocks(batch, "text", 2 * BLOCK_BYTES):
                 ids, offsets = encoder(*text_buffer(block.column("text")))
@@ -196,7 +206,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None) -> dic
 
 
 def _width(tokenizer: str) -> int:
-    return Encoder(tokenizer).dtype.itemsize
+    return encoder_of(tokenizer).dtype.itemsize
 
 
 _POLY = np.uint64(0xEDB88320)
