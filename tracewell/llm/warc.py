@@ -128,13 +128,15 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 _FIELDS = pa.schema([("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("kind", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("block", pa.binary())])
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], segmented: bool) -> Iterator[pa.RecordBatch]:
     bare = lambda x: x.strip("<>") if x is not None else None
     for batch in batches:
         for content in batch.column("content"):
             held, size = [], 0
             for f, block in parsed(content.as_py()):
                 segment, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+                if segmented != (segment is not None):
+                    continue
                 held.append((bare(f.get("warc-segment-origin-id", f["warc-record-id"])), int(segment) if segment else None, int(total) if total else None, f["warc-type"], f.get("warc-target-uri"), f.get("warc-payload-digest"), bare(f.get("warc-refers-to")), block))
                 size += len(block)
                 if size > 4 << 20:
@@ -181,10 +183,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to) of each page; html is null for revisits."""
-    parts = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_segments, "origin string, segment long, total long, kind string, url string, digest string, refers_to string, block binary")
-    first = F.max(F.when(F.col("kind") != "continuation", F.struct("kind", "url", "digest", "refers_to")))
-    whole = parts.groupBy("origin").agg(first.alias("first"), F.collect_list(F.struct("segment", "total", "block")).alias("segments"))
-    return whole.mapInArrow(_read, "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = spark.read.format("binaryFile").load(path).select("content")
+    types = "origin string, segment long, total long, kind string, url string, digest string, refers_to string, block binary"
+    out = "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    first, part = F.struct("kind", "url", "digest", "refers_to"), F.struct("segment", "total", "block")
+    # only the segments of split records are shuffled; whole records are decoded where they are read
+    whole = files.mapInArrow(lambda b: _segments(b, False), types).select("origin", first.alias("first"), F.array(part).alias("segments"))
+    split = files.mapInArrow(lambda b: _segments(b, True), types).groupBy("origin").agg(F.max(F.when(F.col("kind") != "continuation", first)).alias("first"), F.collect_list(part).alias("segments"))
+    return whole.mapInArrow(_read, out).union(split.mapInArrow(_read, out))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
