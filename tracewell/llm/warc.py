@@ -1,6 +1,6 @@
 """Operator 7. WARC archives: write pages as records, read archives back with segment reassembly.
 
-Records are UTF-8 and written by Spark's text writer with the blank lines that end a record as its separator, so archives land wherever Spark writes. Payloads travel as HTTP
+Records are UTF-8 and written by Spark's text writer with the blank lines that end a record as its separator, gzipped by file, so archives land wherever Spark writes. Payloads travel as HTTP
 responses in chunked transfer framing; a block of more than SEGMENT_BYTES is written as a record and continuations (WARC-Segment-Number, -Origin-ID, and -Total-Length on the last). The
 reader walks each file by Content-Length, groups segments by origin, orders them by number, verifies that none is missing and that their lengths add up to the total, decodes the
 framing, and verifies the payload's digest. Of pages with equal payloads the one with the largest page_id is a response, the others revisit it; a hot payload is counted with map-side aggregation, and
@@ -13,6 +13,7 @@ other. Other columns are ignored. A broken archive (short block, missing segment
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from tracewell.llm.common import scratch_dir
 SEGMENT_BYTES, CHUNK_BYTES = 16_384, 4_096
 #: Least payload that a revisit stands for; smaller ones are all responses.
 REVISIT_BYTES = 0
-RECORDS_A_FILE = 50_000
+RECORDS_A_FILE = 10_000
 #: Fixed texts of the format.
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -106,11 +107,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
     name = lambda n, r: F.concat(F.lit("urn:page:"), n.cast("string"), F.lit(":"), r.cast("string"))
     own, first = name(F.col("number"), F.col("row")), name(F.col("first.number"), F.col("first.row"))
     ready = joined.select(own.alias("name"), "url", "html", F.when(own != first, first).alias("refers_to"))
-    ready.mapInArrow(_written, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    ready.mapInArrow(_written, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of each record of an archive."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
