@@ -4,12 +4,181 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tracewell.functions import text as T
+from tracewell.operators import fleet, sessions, traces
+from tracewell.operators.sessions import WEEKLY
+from tracewell.plans.views import run_events, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _events(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(run_events(table(spark, sf_dir, "events")))
+
+
+def _scores(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return _events(lambda e: f(fleet.check_scores(e, WEEKLY)))
+
+
+def _docs(f: Callable[[DataFrame], DataFrame], name: str = "documents") -> Query:
+    return lambda spark, sf_dir: f(table(spark, sf_dir, name))
+
+
+# ---- SQL shared by the oracles -------------------------------------------------
+
+_RE = """WITH re0 AS (
+  SELECT user_id || '-' || strftime(date_trunc('week', ts), '%Y-%m-%d') AS session_id, 'w' || (user_id % 10) AS worker, 'm' || (user_id % 4) AS model, event_id,
+    epoch_us(ts) // 1000 AS ts_ms, CASE event_type WHEN 'view' THEN 'output' WHEN 'click' THEN 'tool_call' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'heartbeat' WHEN 'purchase' THEN 'end' ELSE 'output' END AS type,
+    CAST(floor(value * 1000) AS BIGINT) AS tokens, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS tool, event_type || '(' || props || ')' AS tool_sig FROM events),
+re AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, event_id) AS pos FROM re0),
+g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY pos) AS gap FROM re),
+hb AS (SELECT session_id, max(len) AS longest FROM (SELECT session_id, count(*) AS len FROM (SELECT *, pos - row_number() OVER (PARTITION BY session_id, type ORDER BY pos) AS grp FROM re) WHERE type = 'heartbeat' GROUP BY session_id, grp) GROUP BY session_id),
+s0 AS (SELECT session_id, min(worker) AS worker, min(model) AS model, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(*) AS n_events, count(*) FILTER (type = 'error') AS n_errors,
+    count(*) FILTER (type IN ('output', 'tool_call', 'tool_result')) AS n_outputs, CAST(sum(tokens) AS BIGINT) AS tokens, arg_max(type, pos) AS last_type, max(CASE WHEN type = 'end' THEN 1 ELSE 0 END) AS has_end FROM re GROUP BY session_id),
+s AS (SELECT *, last_ms - first_ms AS runtime_ms, CASE WHEN last_type = 'end' AND n_errors = 0 THEN 1 ELSE 0 END AS clean FROM s0),
+issues AS (SELECT session_id, 'stale_gap' AS kind, 'warning' AS severity, count(*) AS n FROM g WHERE gap > 172800000 GROUP BY session_id
+  UNION ALL SELECT session_id, 'no_output', 'error', 1 FROM s WHERE n_events < 2
+  UNION ALL SELECT session_id, 'no_end', 'warning', 1 FROM s WHERE has_end = 0
+  UNION ALL SELECT session_id, 'no_progress', 'error', 1 FROM s WHERE n_outputs = 0
+  UNION ALL SELECT session_id, 'no_progress', 'warning', 1 FROM hb WHERE longest > 5
+  UNION ALL SELECT session_id, 'timeout', 'error', 1 FROM s WHERE runtime_ms > 518400000),
+per AS (SELECT session_id, CAST(sum(n) AS BIGINT) AS n_issues, CAST(sum(CASE WHEN severity = 'error' THEN n ELSE 0 END) AS BIGINT) AS e, CAST(sum(CASE WHEN severity = 'warning' THEN n ELSE 0 END) AS BIGINT) AS w,
+    max(CASE WHEN kind = 'timeout' THEN 1 ELSE 0 END) AS timed_out, max(CASE WHEN kind IN ('stale_gap', 'no_progress') THEN 1 ELSE 0 END) AS stalled FROM issues GROUP BY session_id),
+calls AS (SELECT session_id, tool_sig, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS pos FROM re WHERE type = 'tool_call'),
+sigs AS (SELECT session_id, tool_sig, count(*) AS n, min(pos) AS first FROM calls GROUP BY ALL),
+tops AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, first) AS rn, sum(n) OVER (PARTITION BY session_id) AS n_calls FROM sigs),
+streaks AS (SELECT session_id, max(len) AS streak FROM (SELECT session_id, count(*) AS len FROM (SELECT *, pos - row_number() OVER (PARTITION BY session_id, tool_sig ORDER BY pos) AS grp FROM calls) GROUP BY session_id, tool_sig, grp) GROUP BY session_id),
+loops AS (SELECT session_id, CAST(n_calls AS BIGINT) AS n_calls, tool_sig AS top_sig, n AS top_count, round(n / CAST(n_calls AS DOUBLE), 6) AS share, streak FROM tops JOIN streaks USING (session_id) WHERE rn = 1),
+tri0 AS (SELECT s.*, coalesce(n_issues, 0) AS n_issues, coalesce(e, 0) AS e, coalesce(timed_out, 0) AS timed_out, coalesce(stalled, 0) AS stalled,
+    CASE WHEN n_calls >= 4 THEN greatest(share, round(streak / CAST(n_calls AS DOUBLE), 6)) ELSE 0 END AS loop FROM s LEFT JOIN per USING (session_id) LEFT JOIN loops USING (session_id)),
+tri AS (SELECT session_id, CASE WHEN clean = 1 THEN CASE WHEN tokens >= 1000000 THEN 'over-cost' WHEN runtime_ms >= 518400000 THEN 'over-latency' WHEN n_events >= 400 THEN 'excessive-steps' WHEN loop >= 0.5 THEN 'loop-without-progress' END
+    WHEN e > 0 OR n_issues >= 3 THEN CASE WHEN timed_out = 1 THEN 'timeout' WHEN has_end = 0 AND n_errors = 0 THEN 'abandoned' WHEN tokens >= 1000000 THEN 'runaway' WHEN stalled = 1 THEN 'stalled' ELSE 'errored' END END AS kind,
+    tokens, runtime_ms, CASE WHEN tokens >= 200000 OR runtime_ms >= 432000000 THEN 1 ELSE 0 END AS costly, round(tokens / 1000000.0 * 9, 6) AS projected_usd FROM tri0),
+triage AS (SELECT * FROM tri WHERE kind IS NOT NULL),
+oc AS (SELECT session_id, model, tool, CASE WHEN type = 'error' THEN 1 ELSE 0 END AS is_error, tokens, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS pos FROM re WHERE type IN ('tool_call', 'error')),
+runs AS (SELECT session_id, count(*) AS len, arg_min(is_error, pos) AS head FROM (SELECT *, pos - row_number() OVER (PARTITION BY session_id, tool ORDER BY pos) AS grp FROM oc) GROUP BY session_id, tool, grp),
+retry AS (SELECT session_id, max(CASE WHEN len >= 2 AND head = 1 THEN len ELSE 0 END) AS longest_streak, CAST(sum(CASE WHEN len >= 2 AND head = 1 THEN len - 1 ELSE 0 END) AS BIGINT) AS retry_count FROM runs GROUP BY session_id),
+later AS (SELECT *, max(1 - is_error) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later_success FROM oc),
+rec0 AS (SELECT session_id, count(*) FILTER (is_error = 1 AND later_success = 1) AS recovered, count(*) FILTER (is_error = 1 AND later_success = 0) AS unrecovered FROM later GROUP BY session_id),
+rec AS (SELECT *, CASE WHEN recovered + unrecovered = 0 THEN 1.0 ELSE round(recovered / CAST(recovered + unrecovered AS DOUBLE), 6) END AS recovery_rate FROM rec0),
+fp AS (SELECT session_id, min(model) AS model, count(*) AS tool_calls, CAST(sum(is_error) AS BIGINT) AS tool_errors, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(is_error) / CAST(count(*) AS DOUBLE), 6) AS error_rate FROM oc GROUP BY session_id),
+foot AS (SELECT * FROM fp JOIN retry USING (session_id) JOIN rec USING (session_id)),
+cand0 AS (SELECT model, count(*) AS runs, avg(tool_calls) AS steps, avg(error_rate) AS er, avg(recovery_rate) AS rr, avg(longest_streak) AS th, avg(tokens) AS cost, min(CASE WHEN error_rate <= 0.5 AND longest_streak <= 2 THEN 1 ELSE 0 END) AS clean_run FROM foot GROUP BY model),
+cand AS (SELECT model, runs, floor((2.0 + greatest(0, least(1, 1 - er)) + greatest(0, least(1, rr)) + greatest(0, least(1, 1 - th / 5)) + CASE WHEN max(steps) OVER () <= 0 THEN 1 ELSE 1 - steps / max(steps) OVER () END
+    + 0.5 * CASE WHEN max(cost) OVER () <= 0 THEN 1 ELSE 1 - cost / max(cost) OVER () END) / 6.5 * 1000 + 0.5) / 1000 AS score, clean_run FROM cand0),
+ranked AS (SELECT *, rank() OVER (ORDER BY score DESC, clean_run DESC) AS rank FROM cand),
+sc0 AS (SELECT s.*, coalesce(e, 0) AS e, coalesce(w, 0) AS w FROM s LEFT JOIN per USING (session_id)),
+sc AS (SELECT worker, session_id AS run_id, first_ms AS started_ms, 'staleness' AS "check", round(greatest(0.0, least(1.0, 1 - 0.5 * e - 0.15 * w)), 6) AS score, CASE WHEN e > 0 OR e + w >= 3 THEN 'fail' WHEN w > 0 THEN 'warn' ELSE 'pass' END AS status FROM sc0
+  UNION ALL SELECT worker, session_id, first_ms, 'verification', round(1 - 0.6 * least(n_errors, 1), 6), CASE WHEN n_errors > 0 THEN 'fail' ELSE 'pass' END FROM sc0
+  UNION ALL SELECT worker, session_id, first_ms, 'completeness', round(1 - 0.4 * CAST(n_outputs = 0 AS INT) - 0.1 * CAST(has_end = 0 AS INT), 6), CASE WHEN n_outputs = 0 THEN 'fail' WHEN has_end = 0 THEN 'warn' ELSE 'pass' END FROM sc0),
+rs AS (SELECT worker, run_id, avg(score) AS overall, min(score) AS worst, count(*) FILTER (status = 'fail') AS fails, count(*) FILTER (status = 'warn') AS warns, count(*) AS scored FROM sc GROUP BY worker, run_id),
+tr0 AS (SELECT *, row_number() OVER (PARTITION BY worker, "check" ORDER BY started_ms, run_id) AS rn, count(*) OVER (PARTITION BY worker, "check") AS n FROM sc),
+tr1 AS (SELECT *, rn > n - greatest(1, least(n - 1, n // 2)) AS recent FROM tr0),
+tr2 AS (SELECT worker, "check", count(*) FILTER (NOT recent) AS n_base, count(*) FILTER (recent) AS n_recent, round(avg(score) FILTER (NOT recent), 6) AS mean_base, round(avg(score) FILTER (recent), 6) AS mean_recent, round(stddev_pop(score) FILTER (NOT recent), 6) AS sd_base FROM tr1 GROUP BY worker, "check"),
+tr3 AS (SELECT *, round(mean_recent - mean_base, 6) AS delta FROM tr2),
+tr4 AS (SELECT *, round(CASE WHEN sd_base = 0 THEN CASE WHEN delta = 0 THEN 0.0 ELSE sign(delta) * 99.0 END ELSE greatest(-99.0, least(99.0, delta / sd_base)) END, 4) AS z FROM tr3),
+tr5 AS (SELECT *, CASE WHEN n_base < 2 OR n_recent < 2 THEN 'insufficient-data' WHEN abs(z) < 1 OR abs(delta) < 0.05 THEN 'stable' WHEN delta < 0 THEN 'degrading' ELSE 'improving' END AS direction FROM tr4),
+tr AS (SELECT *, CASE WHEN direction <> 'degrading' THEN 'none' WHEN abs(z) >= 2.5 THEN 'critical' ELSE 'warning' END AS severity FROM tr5),
+wt0 AS (SELECT worker, count(*) FILTER (direction = 'degrading') AS degrading, count(*) FILTER (direction = 'improving') AS improving, max(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS critical FROM tr GROUP BY worker),
+wt AS (SELECT *, CASE WHEN degrading > improving THEN 'degrading' WHEN degrading < improving THEN 'improving' ELSE 'stable' END AS net FROM wt0),
+card0 AS (SELECT worker, count(*) AS runs, round(avg(CASE WHEN fails = 0 THEN 1 ELSE 0 END), 6) AS pass_rate, round(avg(overall), 6) AS mean_score FROM rs GROUP BY worker),
+card1 AS (SELECT card0.*, coalesce(net, 'stable') AS trend, critical, CASE WHEN pass_rate >= 0.9 THEN 'healthy' WHEN pass_rate >= 0.6 THEN 'watch' ELSE 'at-risk' END AS base FROM card0 LEFT JOIN wt USING (worker)),
+card AS (SELECT worker, runs, pass_rate, mean_score, trend, CASE WHEN trend = 'degrading' AND critical = 1 THEN CASE WHEN base = 'at-risk' THEN 'critical' ELSE 'at-risk' END WHEN trend = 'degrading' AND base = 'healthy' THEN 'watch' ELSE base END AS grade FROM card1)
+"""
+
+_W = r"regexp_extract_all({x}, '[^ \t\n\r\f\x0B]+')"
+
+
+def _words(x: str) -> str:
+    return _W.replace("{x}", x)
+
+
+_LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> '')"
+_FIRST = "SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS task, arg_max(text, turn) FILTER (role = 'assistant') AS answer FROM conversations GROUP BY conv_id"
+
+
+def _pairs(c: DataFrame) -> DataFrame:
+    """(conv_id, task, answer): the first user turn and the last assistant turn."""
+    return c.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("task"), F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"))
+
+
+def _ngram_saturation(d: DataFrame) -> DataFrame:
+    """Share of the five most frequent word trigrams. Grouped by document, so a document's trigrams meet only as counts."""
+    counts = d.select("doc_id", F.explode(T.word_ngrams(F.col("text"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "gram")))
+    return ranked.groupBy("doc_id").agg(F.round(F.sum(F.when(F.col("rn") <= 5, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("score"), F.count("*").alias("unique_grams"), F.sum("n").alias("total_grams"))
+
+
+def _upserted(o: DataFrame) -> DataFrame:
+    return fleet.upsert_latest(o.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"), ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"])
+
+
+def _cost_ceiling(e: DataFrame, cap: float = 5.0) -> DataFrame:
+    """Sessions of each worker, oldest first, as long as their running cost stays within the cap."""
+    running = F.sum("tokens").over(Window.partitionBy("worker").orderBy("first_ms", "session_id").rowsBetween(Window.unboundedPreceding, 0))
+    df = sessions.sessions(e).withColumn("running_tokens", running)
+    return df.where(F.col("running_tokens") * 0.59 / 1_000_000 <= cap).select("worker", "session_id", "running_tokens")
+
+
+_SEL = ["session_id", "worker", "model", "first_ms", "last_ms", "n_events", "n_errors", "n_outputs", "tokens", "last_type", "has_end", "runtime_ms", "clean"]
+
+#: Name -> (query, SQL for DuckDB).
+REGISTRY: dict[str, tuple[Query, str | None]] = {
+    "triage_rows": (_events(lambda e: sessions.triage(e, WEEKLY)), _RE + "SELECT * FROM triage"),
+    "triage_by_kind": (_events(lambda e: sessions.triage_by_kind(sessions.triage(e, WEEKLY))), _RE + "SELECT kind, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM triage GROUP BY kind"),
+    "triage_totals": (_events(lambda e: sessions.triage_totals(sessions.triage(e, WEEKLY))), _RE + "SELECT count(*) AS flagged, count(*) FILTER (costly = 1) AS costly, coalesce(round(sum(projected_usd) FILTER (costly = 1), 4), 0.0) AS projected_usd FROM triage"),
+    "triage_topk": (_events(lambda e: sessions.triage_top(sessions.triage(e, WEEKLY))), _RE + "SELECT * FROM triage ORDER BY costly DESC, tokens DESC, runtime_ms DESC, session_id LIMIT 15"),
+    "sessions": (_events(lambda e: sessions.sessions(e).select(*_SEL)), _RE + f"SELECT {', '.join(_SEL)} FROM s"),
+    "staleness_issues": (_events(lambda e: sessions.issues(e, WEEKLY)), _RE + "SELECT * FROM issues"),
+    "stale_sessions": (_events(lambda e: sessions.stale_sessions(e, WEEKLY)), _RE + "SELECT session_id, n_issues, e AS n_errors, CASE WHEN e > 0 OR n_issues >= 3 THEN 1 ELSE 0 END AS stale FROM per"),
+    "staleness_gap_lag": (_events(sessions.gaps), _RE + "SELECT session_id, max(gap) AS max_gap_ms, count(gap) AS n_gaps FROM g GROUP BY session_id"),
+    "heartbeat_islands": (_events(sessions.heartbeat_runs), _RE + "SELECT * FROM hb"),
+    "tool_loops": (_events(sessions.tool_loops), _RE + "SELECT * FROM loops"),
+    "footprint": (_events(traces.footprint), _RE + "SELECT * FROM foot"),
+    "retry_streak": (_events(lambda e: traces.retries(traces.tool_outcomes(e))), _RE + "SELECT * FROM retry"),
+    "recovery_suffix": (_events(lambda e: traces.recovery(traces.tool_outcomes(e))), _RE + "SELECT * FROM rec"),
+    "selection_rank": (_events(lambda e: traces.select_candidates(traces.footprint(e))), _RE + "SELECT * FROM ranked"),
+    "selection_winner": (_events(lambda e: traces.winner(traces.select_candidates(traces.footprint(e)))), _RE + "SELECT model, score FROM ranked WHERE rank = 1 AND (SELECT count(*) FROM ranked WHERE rank = 1) = 1"),
+    "cost_ceiling_cumsum": (_events(_cost_ceiling), _RE + "SELECT worker, session_id, running_tokens FROM (SELECT worker, session_id, CAST(sum(tokens) OVER (PARTITION BY worker ORDER BY first_ms, session_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_tokens FROM s) WHERE running_tokens * 0.59 / 1000000 <= 5"),
+    "check_scores": (_scores(lambda c: c), _RE + "SELECT * FROM sc"),
+    "run_scores": (_scores(fleet.run_scores), _RE + "SELECT * REPLACE (round(overall, 6) AS overall) FROM rs"),
+    "trend_classify": (_scores(fleet.trends), _RE + "SELECT * FROM tr"),
+    "trend_worker_rollup": (_scores(lambda c: fleet.worker_trends(fleet.trends(c))), _RE + "SELECT * FROM wt"),
+    "scorecard_workers": (_scores(fleet.scorecard), _RE + "SELECT * FROM card"),
+    "scorecard_checks": (_scores(fleet.check_breakdown), _RE + "SELECT worker, \"check\", round(avg(score), 6) AS mean_score, count(*) AS runs, count(*) FILTER (status = 'fail') AS fails, count(*) FILTER (status = 'warn') AS warns, count(*) FILTER (status = 'pass') AS passes FROM sc GROUP BY worker, \"check\""),
+    "failure_categories": (_scores(fleet.failure_categories), _RE + "SELECT \"check\", count(*) AS fails FROM sc WHERE status = 'fail' GROUP BY \"check\""),
+    "fleet_rollup": (_scores(fleet.fleet_rollup), _RE + "SELECT worker, count(*) AS runs, round(avg(overall), 6) AS mean_score FROM rs GROUP BY ROLLUP (worker)"),
+    "grade_histogram": (_scores(lambda c: fleet.grade_histogram(fleet.scorecard(c))), _RE + "SELECT grade, count(*) AS workers FROM card GROUP BY grade"),
+    "score_upsert": (_docs(_upserted, "lineitem"), "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1"),
+    "unjudged_anti_join": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "source"), "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
+    "judged_semi_join": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_semi").select("doc_id", "source"), "SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
+    "content_metrics": (
+        _docs(lambda d: d.select("doc_id", F.length("text").cast("long").alias("n_chars"), T.count_words(F.col("text")).alias("n_words"), T.count_lines(F.col("text")).alias("n_lines"), T.count_paragraphs(F.col("text")).alias("n_paragraphs"), T.unique_word_ratio(F.col("text")).alias("unique_ratio"), T.tokens_estimate(F.col("text")).alias("tokens"))),
+        f"SELECT doc_id, length(text) AS n_chars, len({_words('text')}) AS n_words, len({_LINES}) AS n_lines, len(list_filter(regexp_split_to_array(text, '\\n[ \\t\\n\\r]*\\n'), lambda p: regexp_matches(p, '[^ \\t\\n\\r]'))) AS n_paragraphs, CASE WHEN len({_words('text')}) > 0 THEN round(len(list_distinct({_words('lower(text)')})) / CAST(len({_words('text')}) AS DOUBLE), 6) END AS unique_ratio, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents",
+    ),
+    "duplicate_line_runs": (
+        _docs(lambda d: d.select("doc_id", T.longest_duplicate_run(F.col("text")).alias("longest"))),
+        f"WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS i FROM documents), r AS (SELECT doc_id, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS grp FROM l) GROUP BY doc_id, line, grp) SELECT d.doc_id, coalesce(max(n), 0) AS longest FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id",
+    ),
+    "ngram_saturation": (
+        _docs(_ngram_saturation),
+        r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 \t\n\r]', '', 'g'), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM w WHERE len(w) >= 3), c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS rn FROM c) SELECT doc_id, round(sum(CASE WHEN rn <= 5 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS score, count(*) AS unique_grams, CAST(sum(n) AS BIGINT) AS total_grams FROM r GROUP BY doc_id",
+    ),
+    "task_answer_jaccard": (
+        _docs(lambda c: _pairs(c).where("task is not null and answer is not null").select("conv_id", T.jaccard(F.col("task"), F.col("answer")).alias("jaccard")), "conversations"),
+        f"WITH p AS ({_FIRST}), q AS (SELECT conv_id, list_distinct({_words('lower(task)')}) AS x, list_distinct({_words('lower(answer)')}) AS y FROM p WHERE task IS NOT NULL AND answer IS NOT NULL) SELECT conv_id, CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 1.0 ELSE round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) END AS jaccard FROM q",
+    ),
+    "conversation_tokens": (_docs(lambda c: c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(T.tokens_estimate(F.col("text"))).alias("tokens")), "conversations"), "SELECT conv_id, count(*) AS turns, CAST(sum(CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id"),
+    "url_well_formed": (_docs(lambda p: p.select("page_id", T.url_well_formed(F.col("url")).alias("well_formed"), T.slug(F.col("url")).alias("slug")), "pages"), r"SELECT page_id, CAST(coalesce(regexp_matches(url, '^https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(:[0-9]+)?([/?#][^ ]*)?$'), false) AS INT) AS well_formed, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages"),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql is not None}
