@@ -30,6 +30,11 @@ def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _key(seed: int) -> Column:
+    """A document's place in its source's random order."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size, target) from (source, source_size): water-filling in closed form. With sources by cap over weight, the
     level is that of the first prefix of capped sources that leaves the rest below their caps."""
@@ -50,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row of docs."""
-    slim = materialise(docs.select("doc_id", "source", n_words("text").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("key")), "op5-sizes")
+    slim = materialise(docs.select("doc_id", "source", n_words("text").alias("size"), _key(seed).alias("key")), "op5-sizes")
     return _taken(slim, ["doc_id"], weights, cap)
 
 
@@ -76,8 +81,7 @@ def _taken(slim: DataFrame, keep: list[str], weights: tuple[float, ...], cap: in
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
     """The mix as documents, in docs' columns: each repeated once for every epoch, the one on a source's cut with its first words only. A document of which
     nothing is taken goes. Rows are told apart by doc_id, source and text."""
-    key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit("")))
-    grouped = docs.select("doc_id", "source", n_words("text").alias("size"), key.alias("key"), F.xxhash64("text").alias("text_hash"))
+    grouped = docs.select("doc_id", "source", n_words("text").alias("size"), _key(seed).alias("key"), F.xxhash64("text").alias("text_hash"))
     taken = _taken(materialise(grouped, "op5-sizes"), ["doc_id", "text_hash"], weights, cap)
     copies = taken.groupBy("doc_id", "source", "text_hash").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
     a = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("\x00"))).alias("j"), F.xxhash64("text").alias("t")).dropDuplicates(["j", "t"])
