@@ -84,3 +84,14 @@ def test_text_metrics(spark):
 def test_result_does_not_depend_on_partitions(spark):
     e = events(spark, *[("abc"[i % 3], ("output", "error", "tool_call", "heartbeat")[i % 4], i, i, i % 2) for i in range(60)])
     assert sorted(map(tuple, sessions.triage(e).collect())) == sorted(map(tuple, sessions.triage(e.repartition(7)).collect()))
+
+
+def test_claims(spark):
+    from tracewell.operators import claims
+
+    said = spark.createDataFrame([("a", 1, "I pushed it, all tests pass"), ("b", 1, "Build passed"), ("c", 1, "hello"), ("d", 1, "it compiles")], "session_id string, pos int, text string")
+    did = spark.createDataFrame([("a", "git_push", 0), ("a", "run_tests", 1), ("a", "run_tests", 0), ("b", "run_build", 1)], "session_id string, tool string, is_error int")
+    got = rows(claims.cross_check(said, did), "session_id", "predicate")
+    assert {k: v["verdict"] for k, v in got.items()} == {("a", "push"): "verified", ("a", "tests:pass"): "verified", ("b", "build:pass"): "contradicted", ("d", "build:pass"): "unverifiable"}
+    integrity = rows(claims.claim_integrity(claims.cross_check(said, did)), "session_id")
+    assert (integrity["a",]["integrity"], integrity["b",]["integrity"], integrity["d",]["integrity"]) == (1.0, 0.0, None)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import assertions as A
 from tracewell.functions import text as T
-from tracewell.operators import fleet, sessions, traces
+from tracewell.operators import claims, fleet, judge, sessions, traces
 from tracewell.operators.sessions import WEEKLY
 from tracewell.plans.views import run_events, table
 
@@ -123,6 +124,27 @@ def _cost_ceiling(e: DataFrame, cap: float = 5.0) -> DataFrame:
     return df.where(F.col("running_tokens") * 0.59 / 1_000_000 <= cap).select("worker", "session_id", "running_tokens")
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(criterion, expected, actual): labels against a rule-based judge of five levels."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality is not null"), "doc_id")
+    actual = F.when(d["text"].contains("$$$") | d["text"].contains("!!"), 1).when(F.length(d["text"]) < 400, 3).when(F.length(d["text"]) < 800, 4).otherwise(5)
+    return d.select(F.col("lang").alias("criterion"), F.when(F.col("quality") == 1, 5).otherwise(1).alias("expected"), actual.alias("actual"))
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _judged(spark, sf_dir)
+    return judge.verdicts(d.select(F.col("criterion").alias("item"), ((F.col("actual") - 1) / 4).alias("score"), F.col("expected").alias("weight"), F.when(F.col("actual") == 3, 0.5).otherwise(0.9).alias("confidence")))
+
+
+def _asserted(d: DataFrame) -> DataFrame:
+    t = F.col("text")
+    return A.assert_all(d, "doc_id", {"contains": A.contains(t, "the"), "contains_any_case": A.contains(t, "LICENSED UNDER", True), "prefix": t.startswith("The"), "suffix": t.endswith("."), "match": A.matches(t, "[0-9]{16}"), "length": A.length_between(t, 100, 2000)})
+
+
+_JUDGED = "WITH j AS (SELECT lang AS criterion, CASE WHEN quality = 1 THEN 5 ELSE 1 END AS expected, CASE WHEN contains(text, '$$$') OR contains(text, '!!') THEN 1 WHEN length(text) < 400 THEN 3 WHEN length(text) < 800 THEN 4 ELSE 5 END AS actual FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)\n"
+_RATES = "count(*) AS n, round(avg(CAST(actual = expected AS INT)), 6) AS exact, round(avg(CAST(abs(actual - expected) <= 1 AS INT)), 6) AS within_one, round(avg(actual - expected), 6) AS bias"
+_KEYWORDS = ["licensed", "reserved", "version", "the"]
+_ASSERTED = "SELECT doc_id, unnest(['contains', 'contains_any_case', 'prefix', 'suffix', 'match', 'length']) AS assertion, unnest(list_transform([contains(text, 'the'), contains(lower(text), 'licensed under'), starts_with(text, 'The'), ends_with(text, '.'), regexp_matches(text, '[0-9]{16}'), length(text) BETWEEN 100 AND 2000], lambda b: CASE WHEN b THEN 'pass' ELSE 'fail' END)) AS status FROM documents"
 _SEL = ["session_id", "worker", "model", "first_ms", "last_ms", "n_events", "n_errors", "n_outputs", "tokens", "last_type", "has_end", "runtime_ms", "clean"]
 
 #: Name -> (query, SQL for DuckDB).
@@ -152,6 +174,14 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "failure_categories": (_scores(fleet.failure_categories), _RE + "SELECT \"check\", count(*) AS fails FROM sc WHERE status = 'fail' GROUP BY \"check\""),
     "fleet_rollup": (_scores(fleet.fleet_rollup), _RE + "SELECT worker, count(*) AS runs, round(avg(overall), 6) AS mean_score FROM rs GROUP BY ROLLUP (worker)"),
     "grade_histogram": (_scores(lambda c: fleet.grade_histogram(fleet.scorecard(c))), _RE + "SELECT grade, count(*) AS workers FROM card GROUP BY grade"),
+    "provenance_unpivot": (_events(claims.run_event_fields), _RE + "SELECT session_id, pos, type, path, value, CASE WHEN path IN ('event_type', 'timestamp', 'tokens_in') THEN 'proof' WHEN path LIKE 'tool_call.%' THEN 'claim' WHEN path = 'output_data' THEN CASE WHEN type = 'tool_call' THEN 'proof' ELSE 'claim' END ELSE 'neutral' END AS provenance FROM (SELECT session_id, pos, type, unnest(['event_type', 'timestamp', 'tokens_in', 'session_id', 'model', 'tool_call.tool_name', 'tool_call.tool_input', 'output_data']) AS path, unnest([type, CAST(ts_ms AS VARCHAR), CAST(tokens AS VARCHAR), session_id, model, CASE WHEN type = 'tool_call' THEN CAST(tool AS VARCHAR) END, CASE WHEN type = 'tool_call' THEN tool_sig END, tool_sig]) AS value FROM re) WHERE value IS NOT NULL"),
+    "provenance_counts": (_events(lambda e: claims.provenance_counts(claims.run_event_fields(e))), _RE + "SELECT session_id, CAST(sum(CASE WHEN type = 'tool_call' THEN 4 ELSE 3 END) AS BIGINT) AS proof, CAST(sum(CASE WHEN type = 'tool_call' THEN CASE WHEN tool IS NULL THEN 1 ELSE 2 END ELSE 1 END) AS BIGINT) AS claim, CAST(sum(2) AS BIGINT) AS neutral FROM re GROUP BY session_id"),
+    "calibration_rollup": (lambda s, d: judge.calibration(_judged(s, d)), _JUDGED + f"SELECT criterion, {_RATES}, CASE WHEN avg(CAST(abs(actual - expected) <= 1 AS INT)) >= 0.8 THEN 1 ELSE 0 END AS reliable FROM j GROUP BY criterion"),
+    "calibrated": (lambda s, d: judge.calibrated(_judged(s, d)), _JUDGED + f"SELECT *, CASE WHEN within_one >= 0.85 AND exact >= 0.5 AND abs(bias) <= 0.5 THEN 1 ELSE 0 END AS calibrated FROM (SELECT {_RATES} FROM j)"),
+    "consensus_upper_median": (lambda s, d: judge.consensus(_judged(s, d)), _JUDGED + "SELECT criterion, count(*) AS n, list_sort(list(actual))[count(*) // 2 + 1] AS median, min(actual) AS lowest, max(actual) AS highest, CASE WHEN max(actual) - min(actual) > 1 THEN 1 ELSE 0 END AS disagreed FROM j GROUP BY criterion"),
+    "verdict_weighted": (_verdicts, _JUDGED + "SELECT criterion AS item, round(s, 6) AS score, round(c, 6) AS confidence, CASE WHEN c < 0.7 THEN 'needs-human-review' WHEN s >= 0.6 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT criterion, sum((actual - 1) / 4.0 * expected) / sum(expected) AS s, avg(CASE WHEN actual = 3 THEN 0.5 ELSE 0.9 END) AS c FROM j GROUP BY criterion)"),
+    "assertions": (_docs(_asserted), _ASSERTED),
+    "keyword_coverage": (_docs(lambda d: d.select("doc_id", A.keyword_coverage(F.col("text"), _KEYWORDS).alias("coverage"))), "SELECT doc_id, round((" + " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in _KEYWORDS) + f") / {len(_KEYWORDS)}.0, 6) AS coverage FROM documents"),
     "score_upsert": (_docs(_upserted, "lineitem"), "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1"),
     "unjudged_anti_join": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "source"), "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
     "judged_semi_join": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_semi").select("doc_id", "source"), "SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),

@@ -30,4 +30,4 @@ def run_events(events: DataFrame) -> DataFrame:
         (F.get_json_object("props", "$.k").cast("long") % 5).alias("tool"),
         F.concat("event_type", F.lit("("), "props", F.lit(")")).alias("tool_sig"),
     )
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy("ts_ms", "event_id"))).drop("event_id")
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy("ts_ms", "event_id")).cast("long")).drop("event_id")
