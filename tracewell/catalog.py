@@ -12,6 +12,8 @@ from tracewell.functions import text as T
 from tracewell.operators import claims, fleet, judge, sessions, traces
 from tracewell.operators.sessions import WEEKLY
 from tracewell.plans.views import run_events, table
+from tracewell.text_queries import REGISTRY as TEXT_QUERIES
+from tracewell.text_queries import pairs as _pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,11 +103,6 @@ _LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: reg
 _FIRST = "SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS task, arg_max(text, turn) FILTER (role = 'assistant') AS answer FROM conversations GROUP BY conv_id"
 
 
-def _pairs(c: DataFrame) -> DataFrame:
-    """(conv_id, task, answer): the first user turn and the last assistant turn."""
-    return c.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("task"), F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"))
-
-
 def _ngram_saturation(d: DataFrame) -> DataFrame:
     """Share of the five most frequent word trigrams. Grouped by document, so a document's trigrams meet only as counts."""
     counts = d.select("doc_id", F.explode(T.word_ngrams(F.col("text"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
@@ -204,6 +201,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "conversation_tokens": (_docs(lambda c: c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(T.tokens_estimate(F.col("text"))).alias("tokens")), "conversations"), "SELECT conv_id, count(*) AS turns, CAST(sum(CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id"),
     "url_well_formed": (_docs(lambda p: p.select("page_id", T.url_well_formed(F.col("url")).alias("well_formed"), T.slug(F.col("url")).alias("slug")), "pages"), r"SELECT page_id, CAST(coalesce(regexp_matches(url, '^https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(:[0-9]+)?([/?#][^ ]*)?$'), false) AS INT) AS well_formed, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages"),
 }
+REGISTRY |= TEXT_QUERIES
 
 
 def queries() -> dict[str, Query]:
