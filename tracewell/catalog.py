@@ -12,6 +12,7 @@ from tracewell.functions import text as T
 from tracewell.operators import claims, fleet, judge, sessions, traces
 from tracewell.operators.sessions import WEEKLY
 from tracewell.plans.views import run_events, table
+from tracewell.rule_queries import REGISTRY as RULE_QUERIES
 from tracewell.text_queries import REGISTRY as TEXT_QUERIES
 from tracewell.text_queries import pairs as _pairs
 
@@ -201,7 +202,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "conversation_tokens": (_docs(lambda c: c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(T.tokens_estimate(F.col("text"))).alias("tokens")), "conversations"), "SELECT conv_id, count(*) AS turns, CAST(sum(CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id"),
     "url_well_formed": (_docs(lambda p: p.select("page_id", T.url_well_formed(F.col("url")).alias("well_formed"), T.slug(F.col("url")).alias("slug")), "pages"), r"SELECT page_id, CAST(coalesce(regexp_matches(url, '^https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(:[0-9]+)?([/?#][^ ]*)?$'), false) AS INT) AS well_formed, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages"),
 }
-REGISTRY |= TEXT_QUERIES
+REGISTRY |= TEXT_QUERIES | RULE_QUERIES
 
 
 def queries() -> dict[str, Query]:
