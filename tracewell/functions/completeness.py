@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from tracewell.functions import patterns as P
 from tracewell.functions import text as T
 
+SPACE = " \t\n\x0b\f\r"
+
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(right_trimmed(text), "^\\s+", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
 
 
 def right_trimmed(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+\\z", "")
+    return F.rtrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
@@ -64,15 +66,16 @@ def brackets_balanced(text: Column) -> Column:
     return F.aggregate(marks, start, step, lambda acc: acc["ok"] & (acc["open"] == ""))
 
 
-def incomplete_ending(text: Column) -> Column:
+def incomplete_ending(text: Column, words: Column | None = None) -> Column:
     """More than 50 words, and the last line is neither a finished sentence nor a list item, heading or fence."""
     last = last_line(text)
-    return (T.count_words(text) > 50) & ~last.rlike("[.!?:;)\\]}`\"']\\z") & ~last.rlike("^(?:[-*•]\\s|\\d+[.)]\\s|#{1,6}\\s|```)")
+    return ((T.count_words(text) if words is None else words) > 50) & ~last.rlike("[.!?:;)\\]}`\"']\\z") & ~last.rlike("^(?:[-*•]\\s|\\d+[.)]\\s|#{1,6}\\s|```)")
 
 
-def violations(text: Column) -> Column:
-    """Array of (category, rule, severity). An empty text has only the violation of being empty."""
-    words, sentences = T.count_words(text), count_sentences(text)
+def violations(text: Column, words: Column | None = None, sentences: Column | None = None) -> Column:
+    """Array of (category, rule, severity). An empty text has only the violation of being empty. Counts that are columns already need not be made again."""
+    words = T.count_words(text) if words is None else words
+    sentences = count_sentences(text) if sentences is None else sentences
     fillers = sum((F.lower(text).contains(p).cast("int") for p in P.FILLER), F.lit(0))
     rules = [
         ("substance", "stub", "error", is_stub(text)),
@@ -82,7 +85,7 @@ def violations(text: Column) -> Column:
         ("substance", "filler", "warning", fillers >= 3),
         ("structure", "brackets", "warning", ~brackets_balanced(text)),
         ("truncation", "marker", "error", is_truncated(text)),
-        ("truncation", "ending", "warning", incomplete_ending(text)),
+        ("truncation", "ending", "warning", incomplete_ending(text, words)),
     ]
     found = F.array(*(F.when(F.coalesce(rule, F.lit(False)), _violation(c, n, s)) for c, n, s, rule in rules))
     return F.when(trimmed(text) == "", F.array(_violation("empty", "empty", "error"))).otherwise(F.filter(found, lambda v: v.isNotNull()))
@@ -98,7 +101,9 @@ def _of_severity(severity: str) -> Column:
 
 def completeness(df: DataFrame, item: str, text: str = "text") -> DataFrame:
     """(item, sentences, n_errors, n_warnings, complete, score): complete without errors; score as in check scores, 0.4 an error and 0.1 a warning."""
-    v = df.select(item, count_sentences(F.col(text)).alias("sentences"), violations(F.col(text)).alias("v"))
+    t = F.col("_text")
+    counted = df.select(item, F.col(text).alias("_text")).select(item, "_text", count_sentences(t).alias("sentences"), T.count_words(t).alias("_words"))
+    v = counted.select(item, "sentences", violations(t, F.col("_words"), F.col("sentences")).alias("v"))
     n = {s: _of_severity(s) for s in ("error", "warning")}
     score = F.greatest(F.lit(0.0), 1 - 0.4 * n["error"] - 0.1 * n["warning"])
     return v.select(item, "sentences", n["error"].alias("n_errors"), n["warning"].alias("n_warnings"), (n["error"] == 0).cast("int").alias("complete"), F.round(score, 6).alias("score"))
@@ -124,7 +129,8 @@ def mid_sentence(text: Column) -> Column:
 
 def abandonment(df: DataFrame, item: str, text: str = "text") -> DataFrame:
     """(item, kind, signal, severity): one row for each sign of an abandoned or stalled text. Texts of fewer than ten characters show none. Blocks written three times in a row are in repetition.tripled_block."""
-    t = right_trimmed(F.col(text))
+    df = df.where(F.length(text) >= 10).select(item, right_trimmed(F.col(text)).alias("_text"))
+    t = F.col("_text")
     rules = [("abandoned", label, "warning", t.rlike(p)) for label, p in P.ABANDONED.items()]
     rules += [
         ("abandoned", "mid sentence", "warning", mid_sentence(t)),
@@ -133,7 +139,7 @@ def abandonment(df: DataFrame, item: str, text: str = "text") -> DataFrame:
         ("no_progress", "repeated errors", "warning", F.size(F.regexp_extract_all(t, F.lit(P.FAILURE), F.lit(0))) >= 3),
     ]
     found = F.array(*(F.when(rule, F.struct(F.lit(k).alias("kind"), F.lit(label).alias("signal"), F.lit(s).alias("severity"))) for k, label, s, rule in rules))
-    return df.where(F.length(text) >= 10).select(item, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("r")).select(item, "r.*")
+    return df.select(item, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("r")).select(item, "r.*")
 
 
 def formats(text: Column) -> dict[str, Column]:
