@@ -31,8 +31,8 @@ def lines(text: Column) -> Column:
 
 def unique_word_ratio(text: Column) -> Column:
     """Distinct over all words in lower case; null without words."""
-    w = words(F.lower(text))
-    return F.when(F.size(w) > 0, F.round(F.size(F.array_distinct(w)) / F.size(w), 6))
+    # the words are bound once by the lambda; written three times they would be split three times
+    return F.element_at(F.transform(F.array(words(F.lower(text))), lambda w: F.when(F.size(w) > 0, F.round(F.size(F.array_distinct(w)) / F.size(w), 6))), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
