@@ -64,6 +64,37 @@ def test_repeated_spans(docs, rows, empty):
     assert substring_dedup.repeated_spans(empty).count() == 0
 
 
+def naive_owners(texts, n=51):
+    owner = {}
+    for d in sorted(texts):
+        for i in range(len(texts[d]) - n + 1):
+            owner.setdefault(tuple(texts[d][i : i + n]), []).append(d)
+    return {w: min(ds) for w, ds in owner.items() if len(set(ds)) > 1}
+
+
+def check_spans(spark, texts):
+    """Spans against all shared windows of 51 words; after removal every shared window is whole in its owner, and only shared words are gone."""
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(3)
+    owner = naive_owners(texts)
+    want = {(d, i, owner[w]) for d, t in texts.items() for i in range(len(t) - 50) if (w := tuple(t[i : i + 51])) in owner}
+    spans = substring_dedup.repeated_spans(df).collect()
+    assert {(r.doc_id, i, r.first_doc_id) for r in spans for i in range(r.start_word, r.start_word + r.n_words - 50)} == want
+    assert all(r.kept == (r.first_doc_id == r.doc_id) and r.n_words > 50 for r in spans)
+    left = {r.doc_id: r.text.split() for r in substring_dedup.remove_repeats(df).collect()}
+    for w, d in owner.items():
+        assert f" {' '.join(w)} " in f" {' '.join(left[d])} "
+    return spans, left
+
+
+def test_first_copies_stay(spark):
+    rng = np.random.default_rng(11)
+    prose = lambda n: [f"q{i}" for i in rng.integers(0, 10**9, n)]
+    y, w, line = prose(90), prose(150), prose(4)
+    texts = {2: prose(20) + y[30:34] + line, 5: prose(60) + y + prose(60), 9: prose(10) + y + prose(5), 11: w[:100], 15: prose(9) + w + prose(9), 19: w[50:]}
+    _, left = check_spans(spark, texts)
+    assert left[5] == texts[5] and len(left[9]) == 15 and left[11] == texts[11] and len(left[15]) == 9 + 100 + 9 and not left[19]
+
+
 def test_chunks_do_not_shift(spark):
     base = " ".join(f"v{i * i % 977}" for i in range(2000))
     df = spark.createDataFrame([(1, base), (2, "new words first " + base)], "doc_id long, text string")

@@ -1,17 +1,18 @@
-"""Operator 1. Passages that documents share, found by content-defined chunking with a gear rolling hash.
+"""Operator 1. Passages of over 50 words that documents share, found by winnowed word windows and confirmed window by window.
 
-The text is a sequence of words (runs of bytes other than ASCII white space). A gear hash rolls over the
-words (each step shifts by 16 bits and adds the next word's hash, so it sees the last four words) and cuts a
-chunk where its top bits are zero. Cuts depend on content only: an insertion moves no cut but those next to
-it. Chunks are deduplicated by a 64-bit digest over all documents; neighbouring repeated chunks merge into
-spans. A span counts from `min_words` words on. Chance digest collisions can't make a span: all its chunks
-would have to collide.
+The text is a sequence of words (runs of bytes other than ASCII white space). A window is `min_words` consecutive words (51). Of the word runs of half that length in a window
+the least hash is the window's seed; neighbouring windows with one seed make a chunk. All this depends on the window's words only, so equal windows have equal seeds wherever they stand:
+no shared window is missed, however periodic its words or whatever is around it, and an insertion moves no chunk but those next to it.
 
-Rows of a hot chunk (one line in a third of all documents) are pre-aggregated per task; the join back is a plain equi-join against
-unique digests, which adaptive execution splits. Nothing is broadcast or collected.
+A seed in one document only settles all its windows: nobody shares them. If all chunks of a repeated seed are equal (64-bit digests of their windows), so are their windows. Only the windows of other repeated seeds are
+compared one by one, by 64-bit digests. A window is shared if another document has it, word for word (but for digest collisions); its owner is the smallest doc_id that has it. A span is a
+run of neighbouring shared windows of one owner, so it has `min_words` words at least; spans of different owners overlap where their windows do. It is kept where the owner is the document itself.
 
-Null and empty texts have no chunks. Rows that share a doc_id count as one document; rows without one are left out. Repeats
-inside one document only do not count. Ties: the smallest doc_id that has the chunk keeps it.
+Rows of a hot seed or window (one line in a third of all documents) are pre-aggregated per task; the join back is a plain equi-join against
+unique keys, which adaptive execution splits. Nothing is broadcast or collected.
+
+Null and empty texts, and those of fewer words than a window, have no spans. Rows that share a doc_id count as one document, with spans for each text; rows without one are left out. Repeats
+inside one document only do not count.
 """
 
 from __future__ import annotations
@@ -21,73 +22,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_text, segment_hash, text_buffer, word_hashes, word_spans
-
-#: A cut is made where this many top bits of the rolling hash are zero: four words a chunk on average.
-CUT_BITS = 2
-#: Longest chunk in words; longer ones are cut by length.
-MAX_WORDS = 64
-#: Least words of a run of repeated chunks. A shared passage of over 50 words holds such a run but for under 1 % of passages.
-MIN_WORDS = 25
+from tracewell.llm.common import map_text, materialise, mix64, segment_hash, text_buffer, word_hashes, word_spans
 
+#: Most windows of a chunk; longer ones (periodic texts) are cut, and their windows compared one by one.
+MAX_WINDOWS = 256
+#: Least words of a shared passage.
+MIN_WORDS = 51
 
-def _cut(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chunk starts and ends (word positions), never across texts."""
-    n = len(words)
-    rolling = words.copy()
-    for j in (1, 2, 3):
-        rolling[j:] += words[:-j] << np.uint64(16 * j)
-    ends = (rolling >> np.uint64(64 - CUT_BITS)) == 0
-    ends[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
-    at = np.flatnonzero(ends) + 1
-    starts = np.concatenate([[0], at[:-1]])
-    if n and (at - starts).max() > MAX_WORDS:
-        parts = -(-(at - starts) // MAX_WORDS)
-        first = np.repeat(starts, parts) + MAX_WORDS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        return first, np.minimum(first + MAX_WORDS, np.repeat(at, parts))
-    return starts, at
-
-
-def _chunk_kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-    data, offsets = text_buffer(batch.column("text"))
-    starts, ends, firsts = word_spans(data, offsets)
-    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-    if not len(starts):
-        return pa.record_batch([pa.array([], pa.int64())] * 4, ["doc_id", "digest", "start_word", "n_words"])
-    words = word_hashes(data, starts, ends)
-    a, b = _cut(words, firsts)
-    doc = np.searchsorted(firsts, a, "right") - 1
-    digest = segment_hash(words, a, b)
-    return pa.record_batch([pa.array(ids[doc]), pa.array(digest.view(np.int64)), pa.array(a - firsts[doc]), pa.array(b - a)], ["doc_id", "digest", "start_word", "n_words"])
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, start_word, n_words): every chunk of every text."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return map_text(slim, _chunk_kernel, "doc_id long, digest long, start_word long, n_words long")
+_STEP = 0xD1342543DE82EF95
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start_word, n_words, first_doc_id, kept): spans that other documents have too; kept: no earlier document has any part of it."""
-    every = chunks(docs).select("doc_id", "digest", F.shiftleft("start_word", 8).bitwiseOR(F.col("n_words")).alias("place"))
-    repeated = every.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("digest", "first_doc_id")
-    found = every.join(repeated, "digest").groupBy("doc_id", "place").agg(F.min("first_doc_id").alias("first_doc_id"))
-    found = found.select("doc_id", F.shiftright("place", 8).alias("start_word"), F.col("place").bitwiseAND(F.lit(255)).alias("n_words"), "first_doc_id")
-    in_doc = Window.partitionBy("doc_id").orderBy("start_word")
-    end = F.col("start_word") + F.col("n_words")
-    found = found.withColumn("opens", F.coalesce((F.lag(end).over(in_doc) < F.col("start_word")).cast("int"), F.lit(1)))
-    spans = found.withColumn("span", F.sum("opens").over(in_doc)).groupBy("doc_id", "span").agg(
+def _rolling(words: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hash of every run of `length` words."""
+    n = len(words)
+    if n < length:
+        return np.zeros(0, np.uint64)
+    powers, back = np.full(n, _STEP, np.uint64), np.full(n - length + 1, _BACK, np.uint64)
+    powers[0] = back[0] = 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * np.cumprod(powers), out=sums[1:])
+    back = np.cumprod(back)
+    return mix64((sums[length:] - sums[:-length]) * back)
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every `width` neighbours."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def _chunk_kernel(min_words: int):
+    part = (min_words + 1) // 2
+    names = ["doc_id", "text_key", "seed", "digest", "start_word", "windows"]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_buffer(batch.column("text"))
+        starts, ends, firsts = word_spans(data, offsets)
+        n = np.maximum(np.diff(firsts) - min_words + 1, 0)
+        if not n.sum():
+            return pa.record_batch([*(pa.array([], pa.int64()) for _ in names[:-1]), pa.array([], pa.list_(pa.int64()))], names)
+        words = word_hashes(data, starts, ends)
+        seeds, digests = _least(_rolling(words, part), min_words - part + 1), _rolling(words, min_words)
+        doc = np.repeat(np.arange(len(n)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        seeds, digests = seeds[firsts[doc] + place], digests[firsts[doc] + place]
+        new = np.ones(len(doc), bool)
+        new[1:] = (seeds[1:] != seeds[:-1]) | (doc[1:] != doc[:-1])
+        run = np.flatnonzero(new)
+        new |= (np.arange(len(doc)) - np.repeat(run, np.diff(run, append=len(doc)))) % MAX_WINDOWS == 0
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(doc))
+        windows = pa.ListArray.from_arrays(pa.array(np.append(a, len(doc)), pa.int32()), pa.array(digests.view(np.int64)))
+        keys = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[doc[a]]) for c in ("doc_id", "text_key")]
+        return pa.record_batch([*keys, pa.array(seeds[a].view(np.int64)), pa.array(segment_hash(digests, a, b).view(np.int64)), pa.array(place[a]), windows], names)
+
+    return kernel
+
+
+def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, seed, digest, start_word, windows): every chunk of every text, with the digests of its windows; text_key tells texts of one doc_id apart."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
+    return map_text(slim, _chunk_kernel(min_words), "doc_id long, text_key long, seed long, digest long, start_word long, windows array<long>")
+
+
+def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+    every = chunks(docs, min_words)
+    seeds = every.groupBy("seed").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    seeds = seeds.where("first_doc_id < last_doc_id").select("seed", "first_doc_id", (F.col("low") < F.col("high")).alias("mixed"))
+    found = every.drop("digest").join(seeds, "seed").select("doc_id", "text_key", "start_word", F.size("windows").alias("n"), "first_doc_id", F.when(F.col("mixed"), F.col("windows")).alias("windows"))
+    found = materialise(found, "op1-found")
+    equal = found.where("windows is null").select("doc_id", "text_key", "start_word", "n", "first_doc_id")
+    each = found.where("windows is not null").select("doc_id", "text_key", "start_word", F.posexplode("windows").alias("i", "digest"))
+    each = each.select("doc_id", "text_key", "digest", (F.col("start_word") + F.col("i")).alias("start_word"))
+    shared = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("digest", "first_doc_id")
+    places = equal.union(each.join(shared, "digest").select("doc_id", "text_key", "start_word", F.lit(1).alias("n"), "first_doc_id"))
+    in_text = Window.partitionBy("doc_id", "text_key").orderBy("start_word")
+    end = F.col("start_word") + F.col("n")
+    opens = (F.lag(end).over(in_text) < F.col("start_word")) | (F.lag("first_doc_id").over(in_text) != F.col("first_doc_id"))
+    spans = places.withColumn("opens", F.coalesce(opens.cast("int"), F.lit(1))).withColumn("span", F.sum("opens").over(in_text)).groupBy("doc_id", "text_key", "span").agg(
         F.min("start_word").alias("start_word"),
-        F.sum("n_words").alias("n_words"),
+        (F.max(end) - F.min("start_word") + F.lit(min_words - 1)).alias("n_words"),
         F.min("first_doc_id").alias("first_doc_id"),
     )
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", "start_word", "n_words", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept"))
+    return spans.select("doc_id", "text_key", "start_word", "n_words", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept"))
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, start_word, n_words, first_doc_id, kept): spans that other documents have too; kept: no earlier document has any window of it."""
+    return _spans(docs, min_words).drop("text_key")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the spans cut out that an earlier document keeps; the rest of each text stays as it is, words rejoined by one space where cut."""
-    cuts = repeated_spans(docs, min_words).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("cut_spans"))
+    """docs with the words cut out that lie in spans of earlier documents and in none that is kept, so that every shared window stays whole in its owner; the rest of each text stays as it is, words rejoined by one space where cut."""
+    spans = _spans(docs, min_words).groupBy(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key")).agg(F.collect_list(F.struct("start_word", "n_words", "kept")).alias("__spans")).where(F.exists("__spans", lambda s: ~s.kept))
     words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    left = F.filter(F.transform(words, lambda w, i: F.when(~F.exists("cut_spans", lambda s: (i >= s.start_word) & (i < s.start_word + s.n_words)), w)), lambda w: w.isNotNull())
-    joined = docs.join(cuts, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).select(docs.columns)
+    holds = lambda i, kept: F.exists("__spans", lambda s: (s.kept == F.lit(kept)) & (i >= s.start_word) & (i < s.start_word + s.n_words))
+    left = F.filter(F.transform(words, lambda w, i: F.when(~holds(i, False) | holds(i, True), w)), lambda w: w.isNotNull())
+    joined = docs.join(spans, (docs["doc_id"].cast("long") == F.col("__doc_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__text_key")), "left")
+    return joined.withColumn("text", F.when(F.col("__spans").isNull() | (F.size(left) == F.size(words)), F.col("text")).otherwise(F.array_join(left, " "))).select(docs.columns)
