@@ -95,6 +95,15 @@ def test_first_copies_stay(spark):
     assert left[5] == texts[5] and len(left[9]) == 15 and left[11] == texts[11] and len(left[15]) == 9 + 100 + 9 and not left[19]
 
 
+def test_runs_of_unrelated_pieces_are_no_spans(spark):
+    rng = np.random.default_rng(12)
+    pool = [[f"p{i}x{j}" for j in range(5)] for i in range(60)]
+    texts = {d: [w for i in rng.permutation(60) for w in pool[i]] for d in range(6)}  # every chunk of words is in all documents, no 51 words in order are
+    texts[6] = texts[2][100:150] + ["end"]
+    spans, left = check_spans(spark, texts)
+    assert not spans and left == texts
+
+
 def test_chunks_do_not_shift(spark):
     base = " ".join(f"v{i * i % 977}" for i in range(2000))
     df = spark.createDataFrame([(1, base), (2, "new words first " + base)], "doc_id long, text string")
