@@ -104,6 +104,20 @@ def test_runs_of_unrelated_pieces_are_no_spans(spark):
     assert not spans and left == texts
 
 
+def test_periodic_passages_are_found(spark):
+    rng = np.random.default_rng(13)
+    prose = lambda n: [f"z{i}" for i in rng.integers(0, 10**9, n)]
+    texts, pairs = {}, []
+    for k in range(24):
+        passage = (prose((1, 2, 4, 8)[k % 4]) * 60)[: (51, 60, 127)[k % 3]]
+        pairs.append((2 * k, 2 * k + 1))
+        for d in pairs[-1]:
+            texts[d] = prose(int(rng.integers(0, 130))) + passage + prose(int(rng.integers(0, 130)))
+    texts[100], texts[101] = ["the"] * 700, ["the"] * 51
+    spans, _ = check_spans(spark, texts)
+    assert {r.doc_id for r in spans} == set(texts)
+
+
 def test_chunks_do_not_shift(spark):
     base = " ".join(f"v{i * i % 977}" for i in range(2000))
     df = spark.createDataFrame([(1, base), (2, "new words first " + base)], "doc_id long, text string")
