@@ -296,6 +296,19 @@ def test_token_store(spark, docs, rows, empty):
     assert token_store.token_store(empty).count() == 0
 
 
+def test_special_tokens_in_other_case_are_text(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["A <|ENDOFTEXT|> b", "<|StartOfText|>Go", "X|<|endoftext|>|Y Z", "AB12|Cd <|startoftext|>", "A|", "|B", "C D"]
+    tokenizer, start = Tokenizer.from_file(token_store.vocabulary()), 0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in token_store.token_store(df).collect()}
+    for d, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, token_store.END_ID], "<u4")
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_token_store_rebuilds_and_verifies(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 

@@ -50,10 +50,16 @@ _KIND[97:123], _KIND[48:58], _KIND[128:], _KIND[[39, 124]] = 1, 2, 0, 0
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Words in lower case, cut where the tokenizer splits them anyway, and len(offsets) offsets into them."""
-    data = _LOWER[data]
+    """Words in lower case (those that hold | as they stand: special tokens match in their own case only), cut where the tokenizer splits them anyway, and len(offsets) offsets into them."""
+    raw, data = data, _LOWER[data]
     starts, ends, firsts = word_spans(data, offsets)
     kind = _KIND[data]
+    barred = np.unique(np.searchsorted(starts, np.flatnonzero(data == 124), "right") - 1)
+    if len(barred):
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts[barred]] += 1
+        step[ends[barred]] -= 1
+        data = np.where(np.cumsum(step[:-1]) > 0, raw, data)
     inner = np.zeros(len(data), bool)
     inner[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
     inner[ends[ends < len(data)]] = False
