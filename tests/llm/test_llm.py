@@ -253,6 +253,27 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymised_documents(empty).count() == 0 and pii.pseudonymised_documents(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize(
+    "gone, around",
+    [
+        *(("4539 1488 0343 6467", x) for x in ("{} 123", "{} 12/27", "77 {}", "{}-123", "{} 99x", "12-34 {} 5 6 7 8", "{} {}")),
+        ("4539148803436467", "id 20260101 {} 4711"),
+        *(("BE68 5390 0754 7034", x) for x in ("{} IS", "{} 2026", "{} OK.", "{} DE89 3704 0044 0532 0130 00", "{} is")),
+        ("DE89 3704 0044 0532 0130 00", "BE68 5390 0754 7034 {} A"),
+        *((x, "call {} now") for x in ("+44 20 7946 0958", "+33 1 42 68 53 00", "+49 (0)30 901820", "+352 26 43 21", "+1 (632) 555-4827")),
+    ],
+)
+def test_numbers_beside_others_are_replaced(gone, around):
+    text = around.replace("{}", gone)
+    out, n = pii.pseudonymise(text, True, b"k", {})
+    assert n and gone not in out and re.sub(r"[\dA-Z]", "0", out) == re.sub(r"[\dA-Z]", "0", text)
+
+
+def test_numbers_that_fail_stay():
+    for text in ("4539 1488 0343 6468", "BE68 5390 0754 7035 IS", "453914880343646700000000", "+12 345", "+1234567890123456"):
+        assert pii.pseudonymise(text, True, b"k", {}) == (text, 0)
+
+
 def test_warc_round_trip(spark, monkeypatch):
     pages = [(1, "http://a", "x" * 50_000 + "é" * 9_000), (2, "http://b", "WARC/1.1\r\n\r\n0\r\n\r\n"), (3, None, "WARC/1.1\r\n\r\n0\r\n\r\n"), (4, "http://d", None), (5, "http://e", ""), (6, "u\r\nv", "z"), (6, "u\r\nv", "z"), (None, "http://f", "q")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(3)

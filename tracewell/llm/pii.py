@@ -3,7 +3,7 @@
 Numbers and dates that pass their validation are permuted, under a key, among the values of their own format: cards keep their length and Luhn check, dates stay calendar
 dates, addresses keep their separators. The permutation is a bijection, so equal values get equal pseudonyms in all documents and different ones stay different. No shuffle, no state: documents are rewritten where they are read.
 
-Kinds: e-mail addresses (the local part: letters among letters, digits among digits), payment cards (13 to 19 digits, Luhn), IBANs (mod 97), US social security numbers, phone numbers with a country code or area code, IPv4 addresses,
+Kinds: e-mail addresses (the local part: letters among letters, digits among digits), payment cards (whole groups of 13 to 19 digits, Luhn, whatever digit groups stand next to them), IBANs (registered length, mod 97), US social security numbers, phone numbers with a country code (+ and 7 to 15 digits in any grouping) or area code, IPv4 addresses,
 dates (year-month-day, day.month.year, month/day/year, years 1900 to 2099), and access keys (AKIA and 16 characters). A number that fails its validation stays as it is.
 
 Null texts stay null; a text with nothing found is returned byte for byte. Repeated rows get equal results. Other columns pass through `pseudonymised_documents`.
@@ -31,6 +31,9 @@ _DIGITS = "0123456789"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _UPPER = _DIGITS + _LETTERS.upper()
 
+#: Start, end and replacement of what is found inside a match.
+Parts = list[tuple[int, int, str]]
+
 
 def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size): a Feistel network over the next even number of bits, walked until it comes back into the range."""
@@ -83,17 +86,55 @@ def _card(m: str, key: bytes) -> str | None:
     return _refill(m, new + luhn_digit(new))
 
 
+def _cards(m: str, key: bytes) -> Parts:
+    """The cards in a run of digit groups: whole groups of 13 to 19 digits in all that are right, longer ones first."""
+    groups = [g.span() for g in re.finditer(r"\d+", m, re.ASCII)]
+    some = []
+    for i, (a, _) in enumerate(groups):
+        n = 0
+        for c, b in groups[i:]:
+            n += b - c
+            if n > 19:
+                break
+            if n >= 13 and (new := _card(m[a:b], key)) is not None:
+                some.append((-n, a, b, new))
+    out: Parts = []
+    taken = np.zeros(len(m), bool)
+    for _, a, b, new in sorted(some):
+        if not taken[a:b].any():
+            taken[a:b] = True
+            out.append((a, b, new))
+    return out
+
+
 def _iban_check(country: str, account: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in account + country) + '00') % 97:02d}"
 
 
-def _iban(m: str, key: bytes) -> str | None:
-    flat = m.replace(" ", "")
-    if not 15 <= len(flat) <= 34 or _iban_check(flat[:2], flat[4:]) != flat[2:4]:
-        return None
-    new = _string(flat[4:], [_DIGITS if c in _DIGITS else _UPPER[10:] for c in flat[4:]], key, f"iban{flat[:2]}")
-    left = iter(flat[:2] + _iban_check(flat[:2], new) + new)
-    return "".join(c if c == " " else next(left) for c in m)
+#: Registered lengths of IBANs by country.
+_IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
+def _iban(m: str, key: bytes) -> Parts:
+    """The IBAN that m begins with: of its country's length, or for other countries the longest that is right."""
+    at = [i for i, c in enumerate(m) if c != " "]
+    for n in [_IBAN_LENGTHS[m[:2]]] if m[:2] in _IBAN_LENGTHS else range(34, 14, -1):
+        if n > len(at) or m[at[n - 1] + 1 : at[n - 1] + 2].isalnum():
+            continue
+        shape = m[: at[n - 1] + 1]
+        flat = shape.replace(" ", "")
+        if flat.isupper() and _iban_check(flat[:2], flat[4:]) == flat[2:4]:
+            new = _string(flat[4:], [_DIGITS if c in _DIGITS else _UPPER[10:] for c in flat[4:]], key, f"iban{flat[:2]}")
+            left = iter(flat[:2] + _iban_check(flat[:2], new) + new)
+            return [(0, len(shape), "".join(c if c == " " else next(left) for c in shape))]
+    return []
 
 
 def _ssn_valid(d: str) -> bool:
@@ -110,10 +151,14 @@ def _ssn(m: str, key: bytes) -> str | None:
     return _refill(m, new)
 
 
+#: Country codes of two digits; 1 and 7 have one, the rest three.
+_TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(m: str, key: bytes) -> str | None:
     d = re.sub(r"\D", "", m)
-    keep = len(d) - 10
-    return _refill(m, d[:keep] + _digits(d[keep:], key, "phone")) if 0 <= keep <= 3 else None
+    keep = 0 if m[0] != "+" else 1 if d[0] in "17" else 2 if d[:2] in _TWO_DIGITS else 3
+    return _refill(m, d[:keep] + _digits(d[keep:], key, "phone"))
 
 
 def _ip(m: str, key: bytes) -> str | None:
@@ -155,13 +200,13 @@ def _access_key(m: str, key: bytes) -> str | None:
     return m[:4] + _string(m[4:], [_UPPER] * (len(m) - 4), key, "access key")
 
 
-#: Kind, what a text must contain for it, pattern, pseudonym. Earlier kinds win where matches overlap. Patterns are anchored at their left and bounded, so that a scan takes linear time.
-KINDS: list[tuple[str, str, str, Callable[[str, bytes], str | None]]] = [
+#: Kind, what a text must contain for it, pattern, pseudonym (or the parts to replace of the match, or of its group `run`, which later matches may overlap). Earlier kinds win where matches overlap. Patterns are anchored at their left and bounded, so that a scan takes linear time.
+KINDS: list[tuple[str, str, str, Callable[[str, bytes], str | Parts | None]]] = [
     ("email", "@", r"(?<![\w.+%-])[A-Za-z0-9._+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}", _email),
     ("access_key", "AKIA", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", _access_key),
-    ("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("card", "", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
-    ("phone", "", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])", _phone),
+    ("iban", "", r"(?<![A-Za-z0-9])(?=(?P<run>[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30}[A-Za-z0-9]?))", _iban),
+    ("card", "", r"(?<![\w.+-])\d(?:[ -]?\d){12,}+(?!\w)|(?<![\w.+-])\d(?:[ -]?\d){12,}(?!\w)", _cards),
+    ("phone", "", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d(?:[ ./-]?\(?\d\)?){6,14}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])", _phone),
     ("ssn", "", r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])", _ssn),
     ("ip", "", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)", _ip),
     ("date", "", r"(?<![\w./-])(?:\d{4}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{4})(?![\w/-]|\.\d)", _date),
@@ -169,19 +214,21 @@ KINDS: list[tuple[str, str, str, Callable[[str, bytes], str | None]]] = [
 _COMPILED = [(name, need, re.compile(pattern, re.ASCII), f) for name, need, pattern, f in KINDS]
 
 
-def pseudonymise(text: str, has_digit: bool, key: bytes, known: dict[tuple[str, str], str | None]) -> tuple[str, int]:
+def pseudonymise(text: str, has_digit: bool, key: bytes, known: dict[tuple[str, str], str | Parts | None]) -> tuple[str, int]:
     """The text with what was found replaced, and the number of replacements."""
     found: list[tuple[int, int, str]] = []
     for name, need, pattern, f in _COMPILED:
         if need not in text if need else not has_digit:
             continue
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in found):
-                continue
-            if (at := (name, m[0])) not in known:
-                known[at] = f(m[0], key)
-            if known[at] is not None:
-                found.append((*m.span(), known[at]))
+            what = m["run"] if "run" in pattern.groupindex else m[0]
+            if (at := (name, what)) not in known:
+                known[at] = f(what, key)
+            parts = [(0, len(what), known[at])] if isinstance(known[at], str) else known[at] or []
+            for a, b, new in parts:
+                a, b = m.start() + a, m.start() + b
+                if not any(x < b and a < y for x, y, _ in found):
+                    found.append((a, b, new))
     if not found:
         return text, 0
     out, last = [], 0
@@ -193,7 +240,7 @@ def pseudonymise(text: str, has_digit: bool, key: bytes, known: dict[tuple[str,
 
 def _kernel(columns: list[str], key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], str | None] = {}
+        known: dict[tuple[str, str], str | Parts | None] = {}
         for batch in batches:
             for block in blocks(batch, "text"):
                 if len(known) > 200_000:
