@@ -167,6 +167,14 @@ def test_simhash(docs, rows, empty):
     assert len(kept) == len(set(kept)) and 18 in kept and 42 not in kept
 
 
+def test_one_of_each_group_stays(spark):
+    rng = np.random.default_rng(21)
+    a, b, c, d, e = (" ".join(f"k{i}" for i in rng.integers(0, 10**9, 60)) for _ in range(5))
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, d), (None, d), (None, e), (9, e), (-(1 << 63), "lone one"), (3, a)]
+    kept = [tuple(r) for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert len(kept) == 6 and set(kept) == {(3, a), (7, b), (None, c), (None, d), (9, e), (-(1 << 63), "lone one")}
+
+
 def test_components_of_close_fingerprints(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 1 << 63, 40, dtype=np.uint64)

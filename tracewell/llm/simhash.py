@@ -66,12 +66,17 @@ def shingle_fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
     prints = shingle_fingerprints(*text_buffer(batch.column("text")))
-    return pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+    return pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(prints.view(np.int64))], ["doc_id", "text_key", "print"])
+
+
+def _text_key() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def simhash(docs: DataFrame) -> DataFrame:
-    """(doc_id, print): the fingerprint as a signed 64-bit number."""
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _kernel, "doc_id long, print long")
+    """(doc_id, text_key, print): a digest of the text and the fingerprint, as signed 64-bit numbers."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_key().alias("text_key"))
+    return map_text(slim, _kernel, "doc_id long, text_key long, print long")
 
 
 def _search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,19 +133,27 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_search, "a long, b long").distinct()
 
 
+def _classes(prints: DataFrame, least: F.Column) -> DataFrame:
+    """(print, least, component) of every distinct fingerprint; least: an aggregate over its rows."""
+    classes = prints.groupBy("print").agg(least.alias("least"))
+    component = connected_components(links(classes.select("print")).select("a", "b"))
+    return classes.join(component, classes["print"] == component["node"], "left").select(classes["print"].alias("print"), "least", F.coalesce("component", classes["print"]).alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs."""
-    prints = materialise(simhash(docs), "op3-prints")
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    component = connected_components(links(classes.select("print")).select("a", "b"))
-    joined_classes = classes.join(component, classes["print"] == component["node"], "left").select(classes["print"].alias("print"), "least", F.coalesce("component", classes["print"]).alias("component"))
-    named = joined_classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = materialise(joined_classes.join(named, "component").select("print", "component_id"), "op3-classes")
+    prints = materialise(simhash(docs).select("doc_id", "print"), "op3-prints")
+    classes = _classes(prints, F.min("doc_id"))
+    named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_print = materialise(classes.join(named, "component").select("print", "component_id"), "op3-classes")
     return prints.join(by_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with only the document that names its component; of rows that share that doc_id one stays, and so of rows without a doc_id."""
-    name = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__name")
-    keep = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(name("doc_id")).distinct()
-    return docs.select("*", name("doc_id")).join(keep, "__name", "left_semi").dropDuplicates(["__name"]).select(*docs.columns)
+    """docs with one row of each component, that with the least (doc_id, text digest), null doc_ids last; rows equal in both are interchangeable."""
+    prints = materialise(simhash(docs), "op3-prints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    keep = _classes(prints, least).groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__keep_id"), F.col("least.text_key").alias("__keep_key"))
+    named = docs.select("*", F.col("doc_id").cast("long").alias("__id"), _text_key().alias("__key"))
+    kept = named.join(keep, (F.col("__key") == F.col("__keep_key")) & F.col("__id").eqNullSafe(F.col("__keep_id")), "left_semi")
+    return kept.dropDuplicates(["__id", "__key"]).select(*docs.columns)
