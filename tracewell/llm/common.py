@@ -8,21 +8,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a kernel holds at once; longer texts make a block of their own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), in a local one."""
+    """A new path in the folder that the cluster names in spark.checkpoint.dir. Where that is unset, local mode (tests) gets a temporary one, and a cluster an error: its machines share no such folder."""
     key = "spark.checkpoint.dir"
     base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {key} to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
         spark.conf.set(key, base)
     return f"{base}/tracewell/{name}-{uuid.uuid4().hex}"
@@ -39,6 +42,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(*names: str) -> list[Column]:
+    """Columns by their names, whatever characters those hold."""
+    return [F.col(f"`{name.replace('`', '``')}`") for name in names]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def fields(df: DataFrame, names: list[str], more: str = "") -> StructType:
+    """The schema of some of df's columns, and of more columns (as DDL)."""
+    return StructType([df.schema[c] for c in names] + (StructType.fromDDL(more).fields if more else []))
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,8 +2,9 @@
 
 Equal fingerprints are one node. Two fingerprints at most 3 bits apart agree in one of four 16-bit blocks, so a shard holds the distinct fingerprints with one value of
 one block, and a link is found in the shard of a block that both share. In its task a shard becomes a BK-tree, and its members search it. The trees are not
-broadcast: all fingerprints of the corpus have no size bound; trees and searches meet by the shuffle on the shard's key instead. A hot shard (near copies,
-or a block value of many texts) is dealt into parts of about PART fingerprints; every part searches the tree of every part of its shard once. A task gives a forest of links
+broadcast: all fingerprints of the corpus have no size bound; trees and searches meet by the shuffle on the shard's key instead. A shard of more than PART fingerprints (a block value of many
+texts, or any shard of a corpus of billions) is cut once more, by four 12-bit blocks of its members' other 48 bits, of which two linked fingerprints agree in one again: four rows a member. What is larger still (near copies of one
+text) is dealt into parts of about PART fingerprints; every part searches the tree of every part of its shard once. A task gives a forest of links
 (at most one per member), never all pairs: with the forest's transitive closure no link between different fingerprints is lost.
 
 Words: runs other than ASCII white space of the text with A-Z lower-cased. Shingles: 3 words, repeats included; fewer words make one shingle; none give
@@ -27,10 +28,11 @@ from tracewell.llm.common import SPACES, map_text, materialise, shuffle_partitio
 from tracewell.llm.graph import connected_components
 
 WORDS, SEED, RADIUS, BLOCKS = 3, 42, 3, 4
-#: Members of a shard's part.
+#: Members of a shard, or of a shard's part.
 PART = 4096
-#: What makes a task's unit of search: a shard and the two of its parts that meet.
-KEYS = ["block", "value", "part", "other"]
+#: What makes a task's unit of search: a shard (its block, that block's value, a block of the other bits and its value; -1: not cut again) and the two of its parts that meet.
+SHARD = ["block", "value", "inner", "inner_value"]
+KEYS = [*SHARD, "part", "other"]
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -118,17 +120,28 @@ def _search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links(pd.concat(held))
 
 
+def _bits(x: F.Column, at: int, width: int) -> F.Column:
+    return F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (column print) that connect all that are within RADIUS bits of each other."""
-    width = 64 // BLOCKS
-    block = F.posexplode(F.array(*(F.shiftrightunsigned("print", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS))))
-    shards = prints.select("print", block.alias("block", "value"))
-    size = shards.groupBy("block", "value").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
-    rows = shards.join(size, ["block", "value"]).withColumn("own", own)
+    width, inner_width = 64 // BLOCKS, (64 - 64 // BLOCKS) // BLOCKS
+    own, low = F.col("print"), lambda n: F.lit((1 << n) - 1)
+    # each block, and the bits beside it
+    blocks = F.array(*(F.struct(_bits(own, width * i, width).alias("value"), (F.shiftleft(_bits(own, width * (i + 1), 64 - width * (i + 1)) if i + 1 < BLOCKS else F.lit(0).cast("long"), width * i)).bitwiseOR(own.bitwiseAND(low(width * i))).alias("rest")) for i in range(BLOCKS)))
+    shards = prints.select("print", F.posexplode(blocks).alias("block", "b")).select("print", "block", "b.value", "b.rest")
+    sized = shards.join(shards.groupBy("block", "value").agg(F.count("*").alias("n")), ["block", "value"])
+    inner = F.array(*(_bits(F.col("rest"), inner_width * i, inner_width) for i in range(BLOCKS)))
+    whole = F.col("n") <= PART
+    cells = F.when(whole, F.array(F.struct(F.lit(-1).alias("inner"), F.lit(0).cast("long").alias("inner_value")))).otherwise(F.transform(inner, lambda v, i: F.struct(i.alias("inner"), v.alias("inner_value"))))
+    rows = sized.select("print", "block", "value", F.explode(cells).alias("c")).select("print", "block", "value", "c.inner", "c.inner_value")
+    hot = rows.where("inner >= 0").groupBy(*SHARD).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    rows = rows.join(hot, SHARD, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
     # every unordered pair of parts once: the tree is made of the lower one's members
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("block", "value", F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"), (F.col("own") <= F.col("with")).alias("tree"), "print")
+    rows = rows.select(*SHARD, F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"), (F.col("own") <= F.col("with")).alias("tree"), "print")
     dealt = rows.repartition(shuffle_partitions(prints), *KEYS).sortWithinPartitions(*KEYS, "print")
     return dealt.mapInPandas(_search, "a long, b long").distinct()
 
