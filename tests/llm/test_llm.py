@@ -376,10 +376,10 @@ def naive_contamination(docs, items):
 def test_contamination(spark, docs, rows, empty, most_words):
     items = [(1, " ".join((rows[7][1]).split()[45:75])), (2, "ONE"), (3, None), (4, "a, b-c"), (5, "a b c"), (6, " ".join(rows[11][1].split()[:13])), (7, "not there at all")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(docs, benchmark, most_words).collect()}
+    got = {r.doc_id: tuple(r)[1:6] for r in decontaminate.contamination(docs, benchmark, most_words).collect()}
     assert got == naive_contamination([r[:2] for r in rows], items)
     assert decontaminate.contamination(empty, benchmark, most_words).count() == 0
-    assert {r[-1] for r in decontaminate.contamination(docs, benchmark.limit(0)).collect()} == {False}
+    assert {r.contaminated for r in decontaminate.contamination(docs, benchmark.limit(0)).collect()} == {False}
     best = {(r.doc_id, r.item_id): r for r in decontaminate.longest_matches(docs, benchmark, most_words).collect()}
     assert best[21, "1"].n_words == 30 and best[21, "1"].start_word == 45 and best[21, "1"].item_word == 0
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 #: Bytes of text that a kernel holds at once; longer texts make a block of their own.
 BLOCK_BYTES = 2 << 20
@@ -47,12 +47,17 @@ def quoted(*names: str) -> list[Column]:
     return [F.col(f"`{name.replace('`', '``')}`") for name in names]
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def numbered(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """docs with the columns in `keep` as k0, k1 ..., and text as a string under the name of `text`, so that no name clashes with a kernel's; the names to carry through the kernel; and the columns that bring the old names back."""
+    twice = "text" in keep and docs.schema["text"].dataType != StringType()
+    places = {c: "text" if c == "text" and not twice else f"k{i}" for i, c in enumerate(keep)}
+    slim = docs.select(*(quoted(c)[0].alias(k) for c, k in places.items() if k != "text"), F.col("text").cast("string").alias("text"))
+    return slim, list(places.values()), [F.col(k).alias(c) for c, k in places.items()]
+
+
+def unpacked(row: str, docs: DataFrame) -> list[Column]:
+    """docs' columns out of a struct of them."""
+    return [F.col(row).getField(c).alias(c) for c in docs.columns]
 
 
 def fields(df: DataFrame, names: list[str], more: str = "") -> StructType:
