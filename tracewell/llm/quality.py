@@ -4,8 +4,8 @@ Features are statistics of the whole text. Each is cut into bins; cyclic boostin
 of the log loss, adding it, shrunk, to the feature's lookup table; then the pairs whose grids explain most of what is left get tables of their own in the same way. A score is the logistic of the sum of
 looked-up bin values, vectorised over a block of documents.
 
-The model is fitted on a bounded sample of labelled documents: the SAMPLE labels whose doc_ids hash lowest, at every size of corpus. Their features are computed on Spark; only numbers come to the driver. Scoring is one
-pass without a shuffle.
+The model is fitted on a bounded sample of labelled documents: the SAMPLE labels whose doc_ids hash lowest, at every size of corpus; where rows repeat a doc_id, at most SAMPLE of its labels' rows, chosen by hash. Their features are computed on Spark; only
+numbers come to the driver. Scoring is one pass without a shuffle.
 
 Null and empty texts have all features zero and are scored like any other. A doc_id labelled more than once counts with each label; null labels are not used. Repeated rows get equal scores. Without labels of both
 classes every score is the share of good labels (0.5 if there are none). Other columns are ignored, or kept by `kept_documents`.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import blocks, crc32_of, map_text, segment_hash, text_buffer, word_hashes, word_spans
+from tracewell.llm.common import blocks, crc32_of, fields, map_text, numbered, segment_hash, text_buffer, word_hashes, word_spans
 
 #: Labelled documents that the model is fitted on at most.
 SAMPLE = 20_000
@@ -194,43 +194,41 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     return Additive(base, edges, tables, pair_edges, pairs, grids)
 
 
-def _text(docs: DataFrame, *keep: str) -> DataFrame:
-    return docs.select(*keep, F.col("text").cast("string").alias("text"))
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
-    """Fit on at most `sample` labels whose doc_id's CRC-32 is not 0 modulo 5."""
+    """Fit on at most `sample` labels whose doc_id's CRC-32 is not 0 modulo 5, and on at most `sample` of the rows that have them (more only where doc_ids repeat), those whose features hash lowest."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(crc32_of("doc_id") % 5 != 0)
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = _text(docs, F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = features(*text_buffer(batch.column("text")))
         return pa.record_batch([batch.column("quality"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["quality", "x"])
 
-    found = map_text(rows, kernel, "quality int, x array<double>").orderBy("x", "quality").limit(4 * sample).toPandas()
+    found = map_text(rows, kernel, "quality int, x array<double>").orderBy(F.xxhash64("x", "quality"), "x", "quality").limit(sample).toPandas()
     return fit(np.array(found["x"].tolist()).reshape(-1, len(FEATURES)), found["quality"].to_numpy(np.float64))
 
 
-def scored(docs: DataFrame, model: Additive, keep: tuple[str, ...]) -> DataFrame:
-    """The columns in `keep` and score of every document."""
+def scored(docs: DataFrame, model: Additive, keep: list[str]) -> tuple[DataFrame, list[F.Column]]:
+    """The score of every document beside its columns in `keep`, which the columns returned bring back under their names."""
+    slim, carried, back = numbered(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text"):
                 score = model.score(features(*text_buffer(block.column("text"))))
-                yield pa.record_batch([*(block.column(c) for c in keep), pa.array(score)], [*keep, "quality_score"])
+                yield pa.record_batch([*(block.column(c) for c in carried), pa.array(score)], [*carried, "score"])
 
-    slim = docs.select(*keep) if "text" in keep else _text(docs, *keep)
-    return slim.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", quality_score double")
+    return slim.mapInArrow(run, fields(slim, carried, "score double")), back
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    out = scored(docs, train(docs, labels, sample), ("doc_id",))
-    return out.select("doc_id", (crc32_of("doc_id") % 5 == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    out, back = scored(docs, train(docs, labels, sample), ["doc_id"])
+    out = out.select(*back, "score")
+    return out.select("doc_id", (crc32_of("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without those that are predicted bad."""
-    return scored(docs, train(docs, labels, sample), tuple(docs.columns)).where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    """docs without those that are predicted bad. No column of docs is read but doc_id and text, and none is changed, whatever their names."""
+    out, back = scored(docs, train(docs, labels, sample), docs.columns)
+    return out.where(F.col("score") >= THRESHOLD).select(*back)
