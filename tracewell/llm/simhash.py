@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.bktree import Forest, find, joined
-from tracewell.llm.common import SPACES, map_text, materialise, shuffle_partitions, text_buffer, word_spans
+from tracewell.llm.common import SPACES, map_text, materialise, shuffle_partitions, text_buffer, unpacked, word_spans
 from tracewell.llm.graph import connected_components
 
 WORDS, SEED, RADIUS, BLOCKS = 3, 42, 3, 4
@@ -166,7 +166,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that with the least (doc_id, text digest), null doc_ids last; rows equal in both are interchangeable."""
     prints = materialise(simhash(docs), "op3-prints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
-    keep = _classes(prints, least).groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__keep_id"), F.col("least.text_key").alias("__keep_key"))
-    named = docs.select("*", F.col("doc_id").cast("long").alias("__id"), _text_key().alias("__key"))
-    kept = named.join(keep, (F.col("__key") == F.col("__keep_key")) & F.col("__id").eqNullSafe(F.col("__keep_id")), "left_semi")
-    return kept.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    keep = _classes(prints, least).groupBy("component").agg(F.min("least").alias("least")).select("least.doc_id", "least.text_key")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _text_key().alias("key"))
+    kept = rows.join(keep, (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return kept.dropDuplicates(["id", "key"]).select(*unpacked("row", docs))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_text, materialise, mix64, segment_hash, text_buffer, word_hashes, word_spans
+from tracewell.llm.common import map_text, materialise, mix64, segment_hash, text_buffer, unpacked, word_hashes, word_spans
 
 #: Most windows of a chunk; longer ones (periodic texts) are cut, and their windows compared one by one.
 MAX_WINDOWS = 256
@@ -119,9 +119,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the words cut out that lie in spans of earlier documents and in none that is kept, so that every shared window stays whole in its owner; the rest of each text stays as it is, words rejoined by one space where cut."""
-    spans = _spans(docs, min_words).groupBy(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key")).agg(F.collect_list(F.struct("start_word", "n_words", "kept")).alias("__spans")).where(F.exists("__spans", lambda s: ~s.kept))
+    spans = _spans(docs, min_words).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "n_words", "kept")).alias("spans")).where(F.exists("spans", lambda s: ~s.kept))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
     words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    holds = lambda i, kept: F.exists("__spans", lambda s: (s.kept == F.lit(kept)) & (i >= s.start_word) & (i < s.start_word + s.n_words))
+    holds = lambda i, kept: F.exists("spans", lambda s: (s.kept == F.lit(kept)) & (i >= s.start_word) & (i < s.start_word + s.n_words))
     left = F.filter(F.transform(words, lambda w, i: F.when(~holds(i, False) | holds(i, True), w)), lambda w: w.isNotNull())
-    joined = docs.join(spans, (docs["doc_id"].cast("long") == F.col("__doc_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__text_key")), "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNull() | (F.size(left) == F.size(words)), F.col("text")).otherwise(F.array_join(left, " "))).select(docs.columns)
+    joined = rows.join(spans, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    cut = F.when(F.col("spans").isNull() | (F.size(left) == F.size(words)), F.col("text")).otherwise(F.array_join(left, " "))
+    return joined.select(*(cut.alias(c) if c == "text" else x for c, x in zip(docs.columns, unpacked("row", docs))))
