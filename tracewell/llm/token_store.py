@@ -1,13 +1,13 @@
 """Operator 9. Token ids in a content-addressed store of chunks, with document recipes and Merkle manifests.
 
 A rolling (gear) hash over the ids cuts each document's stream into chunks. A store keeps each distinct chunk once, by its BLAKE2b digest; a recipe lists a document's chunks in order,
-its number of ids and its root (the digest of its chunks' digests); recipes are written in ascending doc_id order; the manifest has the roots of pages of recipes and of the files that the pages make up.
-Chunks hold 16-bit little-endian ids where the vocabulary fits, else 32-bit.
+its number of ids and its root (the digest of its chunks' digests); recipes are written in ascending doc_id order. The manifest is a Merkle tree over them: the root of a page of PAGE recipes (over each one's doc_id, number of ids and root, in order), of a file
+(over its pages' roots) and of the store (over its files' roots), each with its numbers of documents and ids. Chunks hold 16-bit little-endian ids where the vocabulary fits, else 32-bit.
 
 Reading back: each stored chunk is checked against its digest where it is read and gives its number of ids and CRC-32; the CRC of a document is combined from its chunks' (CRCs are linear), so chunk bytes
-are never shuffled to documents. Every recipe's root and number of ids are verified too. `documents` rebuilds the ids themselves.
+are never shuffled to documents. All roots of the manifest are computed again from the recipes before anything is returned, and each recipe's root and number of ids from its chunks; whatever is lost, doubled or changed raises ValueError. `documents` rebuilds the ids themselves.
 
-Text is split at ASCII white space, which this tokenizer drops and never joins tokens over, and where it always splits words; each distinct piece of a block is encoded once by the tokenizers library. Null texts count as empty: the end id alone. Rows that share a
+Where the tokenizer allows it (a probe text tells), text is split at ASCII white space, which it drops and never joins tokens over, and where it always splits words, and each distinct piece of a block is encoded once by the tokenizers library; else whole texts are encoded. Null texts count as empty: the end id alone. Rows that share a
 doc_id are ordered by their roots; equal rows are interchangeable. A null doc_id comes first. Other columns are ignored.
 """
 
@@ -24,16 +24,18 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import BLOCK_BYTES, GEAR, SPACES, blocks, mix64, scratch_dir, shuffle_partitions, text_buffer, word_spans
+from tracewell.llm.common import BLOCK_BYTES, GEAR, SPACES, blocks, materialise, mix64, scratch_dir, shuffle_partitions, text_buffer, word_spans
 
 #: A cut where this many top bits are zero (256 ids a chunk on average); chunks of more than MAX_IDS are cut by length.
 CUT_BITS, MAX_IDS = 8, 4096
 END_ID = 1
 #: Recipes that a page of the manifest covers, and pieces that a task remembers.
-PAGE, REMEMBERED = 1024, 600_000
+PAGE, REMEMBERED = 1024, 300_000
+#: Encoded in whole and in pieces when an encoder is made: pieces are used if both agree.
+PROBE = "It's  WORDS, Words\twords 12ab3 don't!! a-b_c (x)\n\nÉté “quoted” naïve ß 日本語 テキスト <|EndOfText|> e\u0301 ... ?! 'tis rock'n'roll | x|y a.b,c;d:e 3.14 $5 C++ #1"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -89,6 +91,9 @@ class Encoder:
         # pieces met before, with the places and numbers of their ids in `flat`; the first is the end of a document
         self.known = pa.array([b""], pa.large_binary())
         self.flat, self.size = np.array([END_ID], self.dtype), np.ones(1, np.int32)
+        self.in_pieces = True
+        ids, _ = self(*text_buffer(pa.array([PROBE])))
+        self.in_pieces = ids[:-1].tolist() == self.tokenizer.encode(PROBE, add_special_tokens=False).ids
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         """Pieces of ASCII letters are encoded many at a time and told apart by their last tokens; others one by one."""
@@ -109,6 +114,11 @@ class Encoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END_ID at its end, and len(offsets) offsets into them."""
+        if not self.in_pieces:
+            raw, at = data.tobytes(), offsets.tolist()
+            coded = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])], add_special_tokens=False)
+            ids = np.array([i for e in coded for i in (*e.ids, END_ID)], self.dtype)
+            return ids, np.cumsum([0, *(len(e.ids) + 1 for e in coded)])
         words, firsts = pieces(data, offsets)
         place = pc.index_in(words, value_set=self.known)
         missing = place.is_null()
@@ -203,18 +213,53 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None) -> dic
     numbered = ordered.sortWithinPartitions(*order)
     numbered.write.parquet(f"{path}/recipes")
     recipes = spark.read.schema(numbered.schema).parquet(f"{path}/recipes")
-    rooted = recipes.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy(*order))).withColumn("page", F.floor((F.col("place") - 1) / PAGE))
-    concat = lambda list_: F.sha2(F.array_join(F.transform(F.sort_array(list_), lambda s: F.hex(s["root"])), ""), 256)
-    pages = rooted.groupBy("file", "page").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_documents"), concat(F.collect_list(F.struct("place", "root"))).alias("page_root"))
-    pages.withColumn("id_bytes", F.lit(_width(tokenizer))).write.parquet(f"{path}/manifest")
-    manifest = spark.read.schema("file int, page long, n_tokens long, n_documents long, page_root string, id_bytes int").parquet(f"{path}/manifest")
+    merkle(recipes).withColumn("id_bytes", F.lit(_width(tokenizer))).write.parquet(f"{path}/manifest")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
     return {"recipes": recipes, "chunks": objects.where("kind = 'chunk'").select(F.col("key").alias("digest"), "ids"), "manifest": manifest}
 
 
+def open_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The chunks, recipes and manifest of a store written before."""
+    chunks = spark.read.schema("key binary, ids binary, kind string").parquet(f"{path}/objects").where("kind = 'chunk'").select(F.col("key").alias("digest"), "ids")
+    return {"recipes": spark.read.parquet(f"{path}/recipes"), "chunks": chunks, "manifest": spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")}
+
+
 def _width(tokenizer: str) -> int:
     return encoder_of(tokenizer).dtype.itemsize
 
 
+_MANIFEST = "level string, file int, page long, n_documents long, n_tokens long, root string, id_bytes int"
+
+
+def _placed(recipes: DataFrame) -> DataFrame:
+    return recipes.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "root")))
+
+
+def _above(nodes: DataFrame, level: str, by: list[str], order: str) -> DataFrame:
+    """The nodes over groups of nodes: each root is the digest of the roots below, in order."""
+    below = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "root"))), lambda x: x["root"]), "")
+    key = [F.col(c) if c in by else F.lit(None).cast(t).alias(c) for c, t in (("file", "int"), ("page", "long"))]
+    return nodes.groupBy(*by).agg(F.sum("n_documents").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), F.sha2(below, 256).alias("root")).select(F.lit(level).alias("level"), *key, "n_documents", "n_tokens", "root")
+
+
+def merkle(recipes: DataFrame) -> DataFrame:
+    """(level, file, page, n_documents, n_tokens, root) of every page of recipes, every file and the store. A group has at most PAGE recipes, a file's pages, or the files."""
+    leaf = F.sha2(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("n_tokens").cast("string"), F.hex("root")), 256)
+    leaves = _placed(recipes).select("file", F.floor((F.col("place") - 1) / PAGE).alias("page"), "place", F.lit(1).cast("long").alias("n_documents"), "n_tokens", leaf.alias("root"))
+    pages = materialise(_above(leaves, "page", ["file", "page"], "place"), "op9-pages")
+    files = _above(pages, "file", ["file"], "page")
+    return pages.union(files).union(_above(files, "store", [], "file").where("n_documents is not null"))
+
+
+def verify_manifest(store: dict[str, DataFrame]) -> None:
+    """Raise ValueError unless the manifest is that of the recipes: any recipe lost, doubled, moved or changed shows in the roots above it."""
+    key = ["level", F.coalesce("file", F.lit(-1)).alias("file"), F.coalesce("page", F.lit(-1)).alias("page"), "n_documents", "n_tokens", "root"]
+    said, found = store["manifest"].select(*key), merkle(store["recipes"]).select(*key)
+    wrong = said.exceptAll(found).union(found.exceptAll(said)).orderBy("level", "file", "page").take(3)
+    if wrong:
+        raise ValueError(f"the manifest does not match the recipes: {[tuple(r) for r in wrong]}")
+
+
 _POLY = np.uint64(0xEDB88320)
 
 
@@ -257,9 +302,9 @@ def _assembled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in frames:
         sizes = df["pieces"].map(len).to_numpy()
         firsts = np.cumsum(sizes) - sizes
-        parts = [sorted((p["at"], p["digest"], p["crc"], p["n"]) for p in row) for row in df["pieces"]]
+        parts = [sorted((p["at"], p["digest"], -1 if p["crc"] is None else p["crc"], p["n"] or 0) for p in row) for row in df["pieces"]]
         for root, wanted, part in zip(df["root"], df["n_chunks"], parts):
-            if len(part) != wanted or _digest(b"".join(bytes(p[1]) for p in part)) != bytes(root):
+            if len(part) != wanted or any(p[2] < 0 for p in part) or _digest(b"".join(bytes(p[1]) for p in part)) != bytes(root):
                 raise ValueError(f"recipe {bytes(root).hex()} cannot be rebuilt")
         n = np.array([p[3] for part in parts for p in part], np.int64)
         total = np.add.reduceat(n, firsts) if len(n) else n
@@ -271,17 +316,18 @@ def _assembled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_back(store: dict[str, DataFrame], width: int) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files, whose manifest is verified first."""
+    verify_manifest(store)
     place = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "root")
-    recipes = store["recipes"].withColumn("place", F.row_number().over(place))
+    recipes = _placed(store["recipes"])
     before = F.sum("n_tokens").over(place.rowsBetween(Window.unboundedPreceding, -1))
     starts = recipes.withColumn("inside", F.coalesce(before, F.lit(0)))
-    files = store["manifest"].groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    files = store["manifest"].where("level = 'file'").select("file", F.col("n_tokens").alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = files.select("file", offset.alias("offset"))  # one row a file
     listed = starts.join(F.broadcast(offsets), "file").select("doc_id", "n_tokens", "root", F.size("digests").alias("n_chunks"), F.struct("file", "place", (F.col("offset") + F.col("inside")).alias("start")).alias("id"), F.posexplode("digests").alias("at", "digest"))
     pieces = store["chunks"].mapInArrow(_checked_chunks(width), "digest binary, crc long, n long")
-    joined = listed.join(pieces, "digest")
+    joined = listed.join(pieces, "digest", "left")  # a chunk that is not in the store leaves nulls, which are refused
     grouped = joined.groupBy("id").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.first("n_chunks").alias("n_chunks"), F.collect_list(F.struct("at", "digest", "crc", "n")).alias("pieces"))
     flat = grouped.select(F.col("id.start").alias("file"), F.col("id.place").alias("place"), "doc_id", "n_tokens", "root", "n_chunks", "pieces")
     return flat.mapInPandas(_assembled, "file long, place int, doc_id long, n_tokens long, ids_crc32 long").select("doc_id", F.col("file").alias("start"), "n_tokens", "ids_crc32")
