@@ -31,7 +31,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised_documents(table(spark, sf_dir, "documents"), columns=["doc_id", "text"])
+    """The key comes from the session (spark.tracewell.pii.key); for the synthetic tables, which hold nobody's data, an example does where none is set."""
+    key = spark.conf.get("spark.tracewell.pii.key", "example key for synthetic tables")
+    return pii.pseudonymised_documents(table(spark, sf_dir, "documents"), key.encode(), ["doc_id", "text"])
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
