@@ -1,33 +1,34 @@
 """Operator 8. Language identification with string kernels.
 
 The kernel of two texts counts the character n-grams (lengths 1 to 4, letters lower-cased, everything else one space) that both have, divided by the root of the product of their numbers: a blended-spectrum
-presence kernel. n-grams are told apart by a hash into SPACE places. Landmarks (Nyström) map a text to its kernel values with them; one-versus-rest kernel ridge regression in that space gives a value for each language. A
-block of texts is scored by two matrix products.
+presence kernel. n-grams are told apart by a hash into SPACE places, of which a text fills as many as it has different n-grams, so that long texts stay apart as well. Landmarks (Nyström) map a text to its kernel values with them;
+one-versus-rest kernel ridge regression in that space gives a value for each language. The landmarks' places times their weights are one matrix, places by languages; a block of texts is scored by the product of its sparse presence rows with it.
 
-The model is fitted on a bounded sample, the SAMPLE documents with a language whose texts hash lowest; of their n-gram presences (2 KB each, found on Spark) the first of each
-language in turn are the landmarks. Scoring is one pass without a shuffle and reads whole texts.
+The model is fitted on a bounded sample, the SAMPLE documents with a language whose texts hash lowest; the first of each language in turn are the landmarks, each of MARK_GRAMS n-grams at most (those of lowest place, a fixed thinning of very long texts). Kernel values of the
+sample with them are computed on Spark; only the landmarks' places and these values come to the driver. Scoring is one pass without a shuffle and reads whole texts.
 
-Null texts and texts without letters are `und` with score 0. Without any labelled text all are `und`. Texts of any length are scored in one piece, n-gram by n-gram; repeated rows get equal results; other columns are
+Null texts and texts without letters are `und` with score 0. Without any labelled text all are `und`. Texts of any length are scored in one piece, n-gram by n-gram; ties go to the first language by name; repeated rows get equal results; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import crc32_of, map_text
+from tracewell.llm.common import blocks, crc32_of, fields, map_text, materialise, numbered
 
-#: Training documents and landmarks.
-SAMPLE, LANDMARKS = 3_000, 160
-NGRAMS, SPACE_BITS, RIDGE = 4, 14, 1.0
+#: Training documents and landmarks, and a landmark's n-grams at most.
+SAMPLE, LANDMARKS, MARK_GRAMS = 3_000, 160, 20_000
+NGRAMS, SPACE_BITS, RIDGE = 4, 22, 1.0
 SPACE = 1 << SPACE_BITS
-#: Texts in a matrix product.
-ROWS = 128
+#: Texts whose n-grams are told apart at once, and their bytes; a longer text is taken alone, in pieces of PIECE characters.
+ROWS, ROW_BYTES, PIECE = 1 << (32 - SPACE_BITS), 1 << 19, 1 << 20
 
 _letters: np.ndarray | None = None
 
@@ -39,92 +40,152 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
     return _letters[codes]
 
 
-def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """0/1 matrix of the n-grams of each text, and whether it has a letter."""
+def _places(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys (text, then place) of the n-grams of texts as characters, of which doc says the text."""
+    base, gram, keys = doc.astype(np.uint32) << np.uint32(SPACE_BITS), np.zeros(len(codes), np.uint32), []
+    for n in range(1, NGRAMS + 1):
+        if len(codes) < n:
+            break
+        gram = gram[: len(codes) - n + 1] * np.uint32(0x01000193) ^ codes[n - 1 :]
+        mixed = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)
+        mixed = (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        same = doc[: len(gram)] == doc[n - 1 :]
+        keys.append((base[: len(gram)] | (mixed >> np.uint32(32 - SPACE_BITS)))[same])
+    return _distinct(np.concatenate(keys)) if keys else np.zeros(0, np.uint32)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return keys[new]
+
+
+def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse presence rows: the places of the n-grams of all texts, len(texts) + 1 offsets into them, and whether a text has a letter. Takes at most ROWS texts."""
     lowered = [(t or "").lower() for t in texts]
-    codes = np.frombuffer(" ".join(["", *lowered, ""]).encode("utf-32-le", "replace"), np.uint32)
-    doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])
-    doc = np.append(doc, len(texts) - 1) if len(texts) else doc
+    has = np.zeros(len(texts), bool)
+    if not texts:
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64), has
+    codes = np.frombuffer("".join(f" {t} " for t in lowered).encode("utf-32-le", "replace"), np.uint32)
+    size = np.array([len(t) + 2 for t in lowered])
+    doc = np.repeat(np.arange(len(texts)), size)
     letter = _is_letter(codes)
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # one space after each word
-    keep[:1] = True
+    keep[1:] |= letter[:-1]  # one space before the text and after each word
+    keep[np.cumsum(size) - size] = True
     codes, doc = np.where(letter, codes, np.uint32(32))[keep], doc[keep]
-    has = np.zeros(len(texts), bool)
     has[doc[codes != 32]] = True
-    out = np.zeros((len(texts), SPACE), bool)
-    base = doc.astype(np.int64) << SPACE_BITS
-    flat, gram = out.reshape(-1), np.zeros(len(codes), np.uint32)
-    for n in range(1, NGRAMS + 1):
-        gram = gram[: len(codes) - n + 1] * np.uint32(0x01000193) ^ codes[n - 1 :]
-        mixed = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)
-        same = doc[: len(gram)] == doc[n - 1 :]
-        at = base[: len(gram)] | (mixed >> np.uint32(32 - SPACE_BITS)).astype(np.int64)
-        flat[at[same]] = True
-        if not len(gram):
-            break
-    return out, has
+    keys = np.zeros(0, np.uint32)
+    for start in range(0, len(codes), PIECE):  # pieces share NGRAMS - 1 characters, so that no n-gram is lost between them
+        piece = _places(codes[start : start + PIECE + NGRAMS - 1], doc[start : start + PIECE + NGRAMS - 1])
+        keys = piece if not len(keys) else _distinct(np.concatenate([keys, piece]))
+    return keys & np.uint32(SPACE - 1), np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(SPACE_BITS)), has
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.float32) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+def _rows(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
+    """The texts of a batch, as many at a time as `presence` takes."""
+    for block in blocks(batch, "text", ROW_BYTES):
+        for start in range(0, block.num_rows, ROWS):
+            yield block.column("text").slice(start, ROWS).to_pylist()
+
+
+@dataclass
+class Marks:
+    """Landmarks: their places and, for each, a row of weights. A landmark's own weight for a place of its is the root of its number of places, inverted."""
+
+    places: np.ndarray
+    weights: np.ndarray
+    _at: np.ndarray | None = field(default=None, repr=False)
+
+    @staticmethod
+    def of(marks: list[np.ndarray], weights: np.ndarray) -> Marks:
+        """Weights: a row for each landmark. Places that several landmarks have get the sum of their rows."""
+        each = np.concatenate(marks) if marks else np.zeros(0, np.uint32)
+        share = np.repeat(1 / np.sqrt(np.maximum([len(m) for m in marks], 1)), [len(m) for m in marks]) if marks else np.zeros(0)
+        places, at = np.unique(each, return_inverse=True)
+        table = np.zeros((len(places) + 1, weights.shape[1]), np.float32)
+        np.add.at(table, at + 1, (share[:, None] * np.repeat(weights, [len(m) for m in marks], axis=0)).astype(np.float32))
+        return Marks(places.astype(np.uint32), table)
+
+    def times(self, places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The product of sparse unit rows of presence with the landmarks' matrix."""
+        if self._at is None:
+            self._at = np.zeros(SPACE, np.int32)
+            self._at[self.places] = np.arange(1, len(self.places) + 1)
+        at = self._at[places]
+        on = at > 0
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[on]
+        out = np.zeros((len(offsets) - 1, self.weights.shape[1]))
+        picked = self.weights[at[on]]
+        for j in range(out.shape[1]):
+            out[:, j] = np.bincount(row, weights=picked[:, j], minlength=len(out))
+        return out / np.sqrt(np.maximum(np.diff(offsets), 1))[:, None]
+
+    def __getstate__(self):
+        return {"places": self.places, "weights": self.weights, "_at": None}
 
 
 @dataclass
 class StringKernel:
-    """Languages, landmarks (unit rows) and the weight of each landmark for each language."""
+    """Languages, and the landmarks' places with a weight for each language."""
 
     names: list[str]
-    landmarks: np.ndarray
-    weights: np.ndarray
+    marks: Marks
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [], []
-        for start in range(0, len(texts), ROWS):
-            grams, has = presence(texts[start : start + ROWS])
-            if not self.names:
-                has[:] = False
-            value = (_unit(grams) @ self.landmarks.T) @ self.weights if self.names else np.zeros((len(has), 1))
-            best = value.argmax(axis=1)
-            names += [self.names[b] if h else "und" for b, h in zip(best, has)]
-            scores.append(np.where(has, np.clip((value.max(axis=1) + 1) / 2, 0, 1), 0.0))
-        return names, np.concatenate(scores).astype(np.float64) if scores else np.zeros(0)
-
-
-def fit(grams: np.ndarray, langs: list[str], landmarks: int = LANDMARKS) -> StringKernel:
-    """Fit on rows of `presence` and their languages."""
+        """Language and score of at most ROWS texts."""
+        places, offsets, has = presence(texts)
+        if not self.names:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        value = self.marks.times(places, offsets)
+        best = value.argmax(axis=1)
+        return [self.names[b] if h else "und" for b, h in zip(best, has)], np.where(has, np.clip((value.max(axis=1, initial=-1) + 1) / 2, 0, 1), 0.0)
+
+
+def fit(marks: list[np.ndarray], kernel: np.ndarray, langs: list[str]) -> StringKernel:
+    """Fit on landmarks (sorted places), the kernel values of the sample with them (rows) and the sample's languages."""
     names = sorted(set(langs))
-    if not names:
-        return StringKernel([], np.zeros((0, SPACE), np.float32), np.zeros((0, 0), np.float32))
-    turns: dict[str, int] = {}
-    turn = [turns.update({x: turns.get(x, 0) + 1}) or turns[x] for x in langs]
-    # landmarks go round the languages, so that rare ones have some
-    marks = _unit(grams[np.argsort(turn, kind="stable")[:landmarks]])
-    kernel = np.concatenate([_unit(grams[s : s + ROWS]) @ marks.T for s in range(0, len(grams), ROWS)]).astype(np.float64)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    if not names or not marks:
+        return StringKernel([], Marks(np.zeros(0, np.uint32), np.zeros((1, 0), np.float32)))
+    own = Marks.of(marks, np.eye(len(marks)))
+    own = own.times(np.concatenate(marks), np.cumsum([0, *map(len, marks)]))
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
     on = values > 1e-6 * values.max()
     root = vectors[:, on] / np.sqrt(values[on])  # Nyström map: kernel values to features
     z = kernel @ root
     target = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
     weights = np.linalg.solve(z.T @ z + RIDGE * np.eye(z.shape[1]), z.T @ target)
-    return StringKernel(names, marks, (root @ weights).astype(np.float32))
+    return StringKernel(names, Marks.of(marks, root @ weights))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> StringKernel:
+def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> StringKernel:
     """Fit on at most `sample` documents with text and lang whose doc_id's CRC-32 is not 2 modulo 4."""
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null").where(crc32_of("doc_id") % 4 != 2)
-    keyed = usable.withColumn("key", F.xxhash64("text", "doc_id"))
+    keyed = usable.select("text", "lang", F.xxhash64("text", "doc_id").alias("key"))
+    # only keys are sorted; texts are read where they are
     edge = keyed.select("key").orderBy("key").limit(sample).agg(F.max("key").alias("k")).first()["k"]
     if edge is None:
-        return fit(np.zeros((0, SPACE), bool), [])
+        return fit([], np.zeros((0, 0)), [])
+    chosen = materialise(keyed.where(F.col("key") <= edge).orderBy("key", "lang", F.xxhash64("text")).limit(sample), "op8-sample")
+    # landmarks go round the languages, so that rare ones have some
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    first = chosen.withColumn("turn", turn).orderBy("turn", "lang").limit(landmarks)
+
+    def thinned(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [np.sort(presence([t])[0])[:MARK_GRAMS].astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
+        return pa.record_batch([batch.column("turn"), batch.column("lang"), pa.array(rows, pa.binary())], ["turn", "lang", "places"])
+
+    found = map_text(first, thinned, "turn int, lang string, places binary").orderBy("turn", "lang").collect()
+    marks = [np.frombuffer(bytes(r.places), "<u4") for r in found]
+    matrix = Marks.of(marks, np.eye(len(marks)))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [np.packbits(presence([t])[0]).tobytes() for t in batch.column("text").to_pylist()]
-        return pa.record_batch([batch.column("key"), batch.column("lang"), pa.array(packed, pa.binary())], ["key", "lang", "grams"])
+        values = [v for texts in _rows(batch) for v in matrix.times(*presence(texts)[:2]).astype(np.float32).tolist()]
+        return pa.record_batch([batch.column("key"), batch.column("lang"), pa.array(values, pa.list_(pa.float32()))], ["key", "lang", "kernel"])
 
-    found = map_text(keyed.where(F.col("key") <= edge).select("key", "lang", "text"), kernel, "key long, lang string, grams binary")
-    rows = found.orderBy("key", "lang", "grams").limit(sample).collect()
-    return fit(np.unpackbits(np.frombuffer(b"".join(bytes(r.grams) for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(bool), [r.lang for r in rows])
+    rows = map_text(chosen, kernel, "key long, lang string, kernel array<float>").orderBy("key", "lang", "kernel").toPandas()
+    return fit(marks, np.array(rows["kernel"].tolist(), np.float64).reshape(len(rows), -1), rows["lang"].tolist())
 
 
 def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -132,9 +193,13 @@ def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     model = train(docs, sample)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = model.predict(batch.column("text").to_pylist())
-        return pa.record_batch([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
-
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = map_text(slim, kernel, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select("doc_id", (crc32_of("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
+        names, scores = [], []
+        for texts in _rows(batch):
+            lang, score = model.predict(texts)
+            names += lang
+            scores.append(score)
+        return pa.record_batch([batch.column("k0"), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["k0", "lang_pred", "score"])
+
+    slim, carried, back = numbered(docs, ["doc_id"])
+    out = map_text(slim, kernel, fields(slim, carried, "lang_pred string, score double"))
+    return out.select(*back, "lang_pred", "score").select("doc_id", (crc32_of("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
