@@ -95,6 +95,23 @@ def test_first_copies_stay(spark):
     assert left[5] == texts[5] and len(left[9]) == 15 and left[11] == texts[11] and len(left[15]) == 9 + 100 + 9 and not left[19]
 
 
+def test_repeats_inside_a_document(spark):
+    rng = np.random.default_rng(14)
+    prose = lambda n: [f"y{i}" for i in rng.integers(0, 10**9, n)]
+    y, z = prose(70), prose(60)
+    texts = {1: prose(9) + y + prose(30) + y + prose(5), 2: y + z + ["the"] * 300 + z, 3: prose(120)}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(3)
+    places = collections.defaultdict(list)
+    for d, t in sorted(texts.items()):
+        for i in range(len(t) - 50):
+            places[tuple(t[i : i + 51])].append((d, i))
+    want = {p: (ps[0][0], p == ps[0]) for ps in places.values() if len(ps) > 1 for p in ps}
+    spans = substring_dedup.repeated_spans(df, within=True).collect()
+    assert {(r.doc_id, i): (r.first_doc_id, r.kept) for r in spans for i in range(r.start_word, r.start_word + r.n_words - 50)} == want
+    left = {r.doc_id: r.text.split() for r in substring_dedup.remove_repeats(df, within=True).collect()}
+    assert left[1] == texts[1][: 9 + 70 + 30] + texts[1][-5:] and left[2] == z + ["the"] * 51 and left[3] == texts[3]
+
+
 def test_runs_of_unrelated_pieces_are_no_spans(spark):
     rng = np.random.default_rng(12)
     pool = [[f"p{i}x{j}" for j in range(5)] for i in range(60)]

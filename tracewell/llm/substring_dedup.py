@@ -1,18 +1,18 @@
 """Operator 1. Passages of over 50 words that documents share, found by winnowed word windows and confirmed window by window.
 
-The text is a sequence of words (runs of bytes other than ASCII white space). A window is `min_words` consecutive words (51). Of the word runs of half that length in a window
-the least hash is the window's seed; neighbouring windows with one seed make a chunk. All this depends on the window's words only, so equal windows have equal seeds wherever they stand:
-no shared window is missed, however periodic its words or whatever is around it, and an insertion moves no chunk but those next to it.
+The text is a sequence of words (runs of bytes other than ASCII white space), over which a gear hash rolls: shifted by GEAR_SHIFT bits at each word and added a random number of that word, so that it forgets all but the last 22 words. A window is `min_words`
+consecutive words (51). The least gear hash inside a window is its seed, and content-defined chunks are cut where the seed changes: a chunk is a run of neighbouring windows with one seed. All this depends on the window's words only, so equal windows have equal seeds
+wherever they stand: no shared window is missed, however periodic its words or whatever is around it, and an insertion moves no chunk but those next to it. (Cuts at hashes with some zero bits, the usual rule, miss passages in which no hash has them.)
 
-A seed in one document only settles all its windows: nobody shares them. If all chunks of a repeated seed are equal (64-bit digests of their windows), so are their windows. Only the windows of other repeated seeds are
-compared one by one, by 64-bit digests. A window is shared if another document has it, word for word (but for digest collisions); its owner is the smallest doc_id that has it. A span is a
+A seed in one document only settles all its windows: nobody shares them. If all chunks of a repeated seed are equal (by digests of their windows), so are their windows. Only the windows of other repeated seeds are
+compared one by one, by their digests. Windows count as equal if seed and digest are, 128 bits. A window is shared if another document has it, word for word; its owner is the smallest doc_id that has it. A span is a
 run of neighbouring shared windows of one owner, so it has `min_words` words at least; spans of different owners overlap where their windows do. It is kept where the owner is the document itself.
 
 Rows of a hot seed or window (one line in a third of all documents) are pre-aggregated per task; the join back is a plain equi-join against
 unique keys, which adaptive execution splits. Nothing is broadcast or collected.
 
 Null and empty texts, and those of fewer words than a window, have no spans. Rows that share a doc_id count as one document, with spans for each text; rows without one are left out. Repeats
-inside one document only do not count.
+inside one document only count if asked for (within=True): then the owner of a window is its first place of all.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from tracewell.llm.common import map_text, materialise, mix64, segment_hash, tex
 MAX_WINDOWS = 256
 #: Least words of a shared passage.
 MIN_WORDS = 51
+#: Bits by which the gear hash moves at each word.
+GEAR_SHIFT = 3
 
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -46,6 +48,20 @@ def _rolling(words: np.ndarray, length: int) -> np.ndarray:
     return mix64((sums[length:] - sums[:-length]) * back)
 
 
+def _gear(words: np.ndarray, length: int) -> np.ndarray:
+    """The gear hash over each run of `length` words, 22 at most: sums over 2, 4, 8 ... words, put together."""
+    done, have, at = np.zeros(len(words), np.uint64), 0, words
+    step = 1
+    while step <= length:  # `at` covers `step` words up to each place
+        if length & step:
+            done[have:] += at[: len(at) - have] << np.uint64(GEAR_SHIFT * have)
+            have += step
+        longer = at.copy()
+        longer[step:] += at[:-step] << np.uint64(min(GEAR_SHIFT * step, 63))
+        at, step = longer, step * 2
+    return mix64(done[length - 1 :])
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every `width` neighbours."""
     have = 1
@@ -57,7 +73,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _chunk_kernel(min_words: int):
-    part = (min_words + 1) // 2
+    part = min((min_words + 1) // 2, -(-64 // GEAR_SHIFT))
     names = ["doc_id", "text_key", "seed", "digest", "start_word", "windows"]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -67,7 +83,7 @@ def _chunk_kernel(min_words: int):
         if not n.sum():
             return pa.record_batch([*(pa.array([], pa.int64()) for _ in names[:-1]), pa.array([], pa.list_(pa.int64()))], names)
         words = word_hashes(data, starts, ends)
-        seeds, digests = _least(_rolling(words, part), min_words - part + 1), _rolling(words, min_words)
+        seeds, digests = _least(_gear(words, part), min_words - part + 1), _rolling(words, min_words)
         doc = np.repeat(np.arange(len(n)), n)
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         seeds, digests = seeds[firsts[doc] + place], digests[firsts[doc] + place]
@@ -90,36 +106,59 @@ def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return map_text(slim, _chunk_kernel(min_words), "doc_id long, text_key long, seed long, digest long, start_word long, windows array<long>")
 
 
-def _spans(docs: DataFrame, min_words: int) -> DataFrame:
-    every = chunks(docs, min_words)
+def _shared_places(every: DataFrame) -> DataFrame:
+    """Runs of windows that other documents have: (doc_id, text_key, start_word, n, first_doc_id, kept)."""
     seeds = every.groupBy("seed").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     seeds = seeds.where("first_doc_id < last_doc_id").select("seed", "first_doc_id", (F.col("low") < F.col("high")).alias("mixed"))
-    found = every.drop("digest").join(seeds, "seed").select("doc_id", "text_key", "start_word", F.size("windows").alias("n"), "first_doc_id", F.when(F.col("mixed"), F.col("windows")).alias("windows"))
+    found = every.drop("digest").join(seeds, "seed").select("doc_id", "text_key", "start_word", F.size("windows").alias("n"), "first_doc_id", F.when(F.col("mixed"), F.col("seed")).alias("seed"), F.when(F.col("mixed"), F.col("windows")).alias("windows"))
     found = materialise(found, "op1-found")
     equal = found.where("windows is null").select("doc_id", "text_key", "start_word", "n", "first_doc_id")
-    each = found.where("windows is not null").select("doc_id", "text_key", "start_word", F.posexplode("windows").alias("i", "digest"))
-    each = each.select("doc_id", "text_key", "digest", (F.col("start_word") + F.col("i")).alias("start_word"))
-    shared = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("digest", "first_doc_id")
-    places = equal.union(each.join(shared, "digest").select("doc_id", "text_key", "start_word", F.lit(1).alias("n"), "first_doc_id"))
+    each = _each(found.where("windows is not null"))
+    shared = each.groupBy("seed", "digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("seed", "digest", "first_doc_id")
+    places = equal.union(each.join(shared, ["seed", "digest"]).select("doc_id", "text_key", "start_word", F.lit(1).alias("n"), "first_doc_id"))
+    return places.withColumn("kept", F.col("first_doc_id") == F.col("doc_id"))
+
+
+def _repeated_places(every: DataFrame) -> DataFrame:
+    """As _shared_places, for windows that stand anywhere else, in the same document too; kept: the first place of all."""
+    loops = F.size(F.array_distinct("windows")) < F.size("windows")
+    seeds = every.groupBy("seed").agg(F.count("*").alias("n"), F.max(loops).alias("loops")).where("n > 1 or loops").select("seed")
+    each = _each(materialise(every.drop("digest").join(seeds, "seed"), "op1-found"))
+    here = F.struct("doc_id", "text_key", "start_word")
+    first = each.groupBy("seed", "digest").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1").drop("n")
+    return each.join(first, ["seed", "digest"]).select("doc_id", "text_key", "start_word", F.lit(1).alias("n"), F.col("first.doc_id").alias("first_doc_id"), (F.col("first") == here).alias("kept"))
+
+
+def _each(found: DataFrame) -> DataFrame:
+    """A row for each window of chunks."""
+    each = found.select("doc_id", "text_key", "start_word", "seed", F.posexplode("windows").alias("i", "digest"))
+    return each.select("doc_id", "text_key", "seed", "digest", (F.col("start_word") + F.col("i")).alias("start_word"))
+
+
+def _spans(docs: DataFrame, min_words: int, within: bool) -> DataFrame:
+    every = chunks(docs, min_words)
+    places = _repeated_places(every) if within else _shared_places(every)
     in_text = Window.partitionBy("doc_id", "text_key").orderBy("start_word")
     end = F.col("start_word") + F.col("n")
-    opens = (F.lag(end).over(in_text) < F.col("start_word")) | (F.lag("first_doc_id").over(in_text) != F.col("first_doc_id"))
+    before = lambda c: F.lag(c).over(in_text)
+    opens = (before(end) < F.col("start_word")) | (before("first_doc_id") != F.col("first_doc_id")) | (before("kept") != F.col("kept"))
     spans = places.withColumn("opens", F.coalesce(opens.cast("int"), F.lit(1))).withColumn("span", F.sum("opens").over(in_text)).groupBy("doc_id", "text_key", "span").agg(
         F.min("start_word").alias("start_word"),
         (F.max(end) - F.min("start_word") + F.lit(min_words - 1)).alias("n_words"),
         F.min("first_doc_id").alias("first_doc_id"),
+        F.min("kept").alias("kept"),
     )
-    return spans.select("doc_id", "text_key", "start_word", "n_words", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept"))
+    return spans.drop("span")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start_word, n_words, first_doc_id, kept): spans that other documents have too; kept: no earlier document has any window of it."""
-    return _spans(docs, min_words).drop("text_key")
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
+    """(doc_id, start_word, n_words, first_doc_id, kept): spans that other documents have too (within: or that stand in the same one again); kept: no earlier document (within: no earlier place) has any window of it."""
+    return _spans(docs, min_words, within).drop("text_key")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the words cut out that lie in spans of earlier documents and in none that is kept, so that every shared window stays whole in its owner; the rest of each text stays as it is, words rejoined by one space where cut."""
-    spans = _spans(docs, min_words).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "n_words", "kept")).alias("spans")).where(F.exists("spans", lambda s: ~s.kept))
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
+    """docs with the words cut out that lie in spans of earlier documents (within: of earlier places) and in none that is kept, so that every shared window stays whole in its owner; the rest of each text stays as it is, words rejoined by one space where cut."""
+    spans = _spans(docs, min_words, within).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "n_words", "kept")).alias("spans")).where(F.exists("spans", lambda s: ~s.kept))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
     words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
     holds = lambda i, kept: F.exists("spans", lambda s: (s.kept == F.lit(kept)) & (i >= s.start_word) & (i < s.start_word + s.n_words))
