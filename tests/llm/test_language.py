@@ -25,7 +25,9 @@ def test_kernel_values_are_those_of_sets():
     for t, s, p in zip(texts, sets, own):
         if any(c.isalpha() for c in t or ""):
             assert len(p) == len(s), t  # no two of so few n-grams share a place
-    matrix = language.Marks.of([own[0], own[8]], np.eye(2)).times(places, offsets)
+    marks = language.Marks([own[0], own[8]])
+    matrix = marks.kernel(own)
+    assert marks.folded(np.eye(2)).times(places, offsets) == pytest.approx(matrix, abs=1e-6)
     for i in (0, 1, 2, 5, 6, 7, 8):
         for j, k in enumerate((0, 8)):
             assert matrix[i, j] == pytest.approx(len(sets[i] & sets[k]) / math.sqrt(len(sets[i]) * len(sets[k])), abs=1e-6)
@@ -46,8 +48,8 @@ def test_ridge_is_that_of_the_full_kernel():
     langs = ["en"] * 4 + ["de"] * 4 + ["es"] * 4
     places, offsets, _ = language.presence(texts)
     marks = [places[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-    kernel = language.Marks.of(marks, np.eye(12)).times(places, offsets)
-    model = language.fit(marks, kernel, langs)
+    marks = language.Marks(marks)
+    model = language.fit(marks, marks.kernel(marks.marks), langs)
     sets = [grams(t) for t in texts]
     k = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
     target = np.where(np.array(langs)[:, None] == np.array(["de", "en", "es"])[None], 1.0, -1.0)

@@ -14,7 +14,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -90,40 +90,63 @@ def _rows(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
             yield block.column("text").slice(start, ROWS).to_pylist()
 
 
-@dataclass
-class Marks:
-    """Landmarks: their places and, for each, a row of weights. A landmark's own weight for a place of its is the root of its number of places, inverted."""
+def _index(places: np.ndarray) -> np.ndarray:
+    """For each place of SPACE its number in a list of places, from 1 (0: not there)."""
+    at = np.zeros(SPACE, np.int32)
+    at[places] = np.arange(1, len(places) + 1)
+    return at
 
-    places: np.ndarray
-    weights: np.ndarray
-    _at: np.ndarray | None = field(default=None, repr=False)
 
-    @staticmethod
-    def of(marks: list[np.ndarray], weights: np.ndarray) -> Marks:
-        """Weights: a row for each landmark. Places that several landmarks have get the sum of their rows."""
+class Marks:
+    """Landmarks as the lists of the landmarks that have each of their places; for kernel values with them."""
+
+    def __init__(self, marks: list[np.ndarray]):
+        self.marks, self.size = marks, np.array([len(m) for m in marks], np.int64)
         each = np.concatenate(marks) if marks else np.zeros(0, np.uint32)
-        share = np.repeat(1 / np.sqrt(np.maximum([len(m) for m in marks], 1)), [len(m) for m in marks]) if marks else np.zeros(0)
-        places, at = np.unique(each, return_inverse=True)
-        table = np.zeros((len(places) + 1, weights.shape[1]), np.float32)
-        np.add.at(table, at + 1, (share[:, None] * np.repeat(weights, [len(m) for m in marks], axis=0)).astype(np.float32))
-        return Marks(places.astype(np.uint32), table)
+        self.places, self.at = np.unique(each, return_inverse=True)
+        self.owner = np.repeat(np.arange(len(marks)), self.size)
+        order = np.argsort(self.at, kind="stable")
+        self.sorted_owner, self.first = self.owner[order], np.searchsorted(self.at[order], np.arange(len(self.places) + 1))
+
+    def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Kernel values of texts (their places) with all landmarks."""
+        index, out = _index(self.places), np.zeros((len(texts), len(self.marks)))
+        for i, places in enumerate(texts):
+            at = index[places]
+            at = at[at > 0] - 1
+            many = self.first[at + 1] - self.first[at]
+            entries = np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            out[i] = np.bincount(self.sorted_owner[entries], minlength=len(self.marks)) / np.sqrt(max(len(places), 1) * np.maximum(self.size, 1))
+        return out
+
+    def folded(self, weights: np.ndarray) -> Table:
+        """The landmarks' unit rows times a row of weights for each."""
+        share = weights / np.sqrt(np.maximum(self.size, 1))[:, None]
+        table = np.zeros((len(self.places) + 1, weights.shape[1]), np.float32)
+        for j in range(weights.shape[1]):
+            table[1:, j] = np.bincount(self.at, weights=share[self.owner, j], minlength=len(self.places))
+        return Table(self.places.astype(np.uint32), table)
+
+
+class Table:
+    """A matrix of places by languages; its first row is for all other places."""
+
+    def __init__(self, places: np.ndarray, weights: np.ndarray):
+        self.places, self.weights, self.index = places, weights, None
 
     def times(self, places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The product of sparse unit rows of presence with the landmarks' matrix."""
-        if self._at is None:
-            self._at = np.zeros(SPACE, np.int32)
-            self._at[self.places] = np.arange(1, len(self.places) + 1)
-        at = self._at[places]
+        """The product of sparse unit rows of presence with the matrix."""
+        if self.index is None:
+            self.index = _index(self.places)
+        at = self.index[places]
         on = at > 0
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[on]
-        out = np.zeros((len(offsets) - 1, self.weights.shape[1]))
         picked = self.weights[at[on]]
-        for j in range(out.shape[1]):
-            out[:, j] = np.bincount(row, weights=picked[:, j], minlength=len(out))
+        out = np.stack([np.bincount(row, weights=picked[:, j], minlength=len(offsets) - 1) for j in range(picked.shape[1])], axis=1)
         return out / np.sqrt(np.maximum(np.diff(offsets), 1))[:, None]
 
     def __getstate__(self):
-        return {"places": self.places, "weights": self.weights, "_at": None}
+        return self.__dict__ | {"index": None}
 
 
 @dataclass
@@ -131,32 +154,31 @@ class StringKernel:
     """Languages, and the landmarks' places with a weight for each language."""
 
     names: list[str]
-    marks: Marks
+    table: Table
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of at most ROWS texts."""
         places, offsets, has = presence(texts)
         if not self.names:
             return ["und"] * len(texts), np.zeros(len(texts))
-        value = self.marks.times(places, offsets)
+        value = self.table.times(places, offsets)
         best = value.argmax(axis=1)
         return [self.names[b] if h else "und" for b, h in zip(best, has)], np.where(has, np.clip((value.max(axis=1, initial=-1) + 1) / 2, 0, 1), 0.0)
 
 
-def fit(marks: list[np.ndarray], kernel: np.ndarray, langs: list[str]) -> StringKernel:
-    """Fit on landmarks (sorted places), the kernel values of the sample with them (rows) and the sample's languages."""
+def fit(marks: Marks, kernel: np.ndarray, langs: list[str]) -> StringKernel:
+    """Fit on landmarks, the kernel values of the sample with them (rows) and the sample's languages."""
     names = sorted(set(langs))
-    if not names or not marks:
-        return StringKernel([], Marks(np.zeros(0, np.uint32), np.zeros((1, 0), np.float32)))
-    own = Marks.of(marks, np.eye(len(marks)))
-    own = own.times(np.concatenate(marks), np.cumsum([0, *map(len, marks)]))
+    if not names or not marks.marks:
+        return StringKernel([], Table(np.zeros(0, np.uint32), np.zeros((1, 0), np.float32)))
+    own = marks.kernel(marks.marks)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     on = values > 1e-6 * values.max()
     root = vectors[:, on] / np.sqrt(values[on])  # Nyström map: kernel values to features
     z = kernel @ root
     target = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
     weights = np.linalg.solve(z.T @ z + RIDGE * np.eye(z.shape[1]), z.T @ target)
-    return StringKernel(names, Marks.of(marks, root @ weights))
+    return StringKernel(names, marks.folded(root @ weights))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> StringKernel:
@@ -166,7 +188,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) ->
     # only keys are sorted; texts are read where they are
     edge = keyed.select("key").orderBy("key").limit(sample).agg(F.max("key").alias("k")).first()["k"]
     if edge is None:
-        return fit([], np.zeros((0, 0)), [])
+        return fit(Marks([]), np.zeros((0, 0)), [])
     chosen = materialise(keyed.where(F.col("key") <= edge).orderBy("key", "lang", F.xxhash64("text")).limit(sample), "op8-sample")
     # landmarks go round the languages, so that rare ones have some
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
@@ -178,14 +200,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) ->
 
     found = map_text(first, thinned, "turn int, lang string, places binary").orderBy("turn", "lang").collect()
     marks = [np.frombuffer(bytes(r.places), "<u4") for r in found]
-    matrix = Marks.of(marks, np.eye(len(marks)))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = [v for texts in _rows(batch) for v in matrix.times(*presence(texts)[:2]).astype(np.float32).tolist()]
-        return pa.record_batch([batch.column("key"), batch.column("lang"), pa.array(values, pa.list_(pa.float32()))], ["key", "lang", "kernel"])
+        own, values = Marks(marks), []
+        for texts in _rows(batch):
+            places, offsets, _ = presence(texts)
+            values += [v.tobytes() for v in own.kernel([places[a:b] for a, b in zip(offsets[:-1], offsets[1:])])]
+        return pa.record_batch([batch.column("key"), batch.column("lang"), pa.array(values, pa.binary())], ["key", "lang", "kernel"])
 
-    rows = map_text(chosen, kernel, "key long, lang string, kernel array<float>").orderBy("key", "lang", "kernel").toPandas()
-    return fit(marks, np.array(rows["kernel"].tolist(), np.float64).reshape(len(rows), -1), rows["lang"].tolist())
+    rows = sorted(map_text(chosen, kernel, "key long, lang string, kernel binary").collect())  # in an order that does not depend on tasks
+    return fit(Marks(marks), np.frombuffer(b"".join(bytes(r.kernel) for r in rows), "<f8").reshape(len(rows), -1), [r.lang for r in rows])
 
 
 def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
