@@ -33,7 +33,7 @@ from tracewell.llm.common import BLOCK_BYTES, GEAR, SPACES, blocks, materialise,
 CUT_BITS, MAX_IDS = 8, 4096
 END_ID = 1
 #: Recipes that a page of the manifest covers, and pieces that a task remembers.
-PAGE, REMEMBERED = 1024, 300_000
+PAGE, REMEMBERED = 1024, 400_000
 #: Encoded in whole and in pieces when an encoder is made: pieces are used if both agree.
 PROBE = "It's  WORDS, Words\twords 12ab3 don't!! a-b_c (x)\n\nÉté “quoted” naïve ß 日本語 テキスト <|EndOfText|> e\u0301 ... ?! 'tis rock'n'roll | x|y a.b,c;d:e 3.14 $5 C++ #1"
 
@@ -178,7 +178,7 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, done = encoder_of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for block in blocks(batch, "text", 2 * BLOCK_BYTES):
+            for block in blocks(batch, "text", 3 * BLOCK_BYTES):
                 ids, offsets = encoder(*text_buffer(block.column("text")))
                 ends = cut(ids, offsets)
                 raw, width = ids.tobytes(), encoder.dtype.itemsize
@@ -209,8 +209,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None) -> dic
     rows.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("ids", "doc_id", "n_tokens", "root", "digests"))).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     objects = spark.read.schema(types).parquet(f"{path}/objects")
     order = [F.col("doc_id").asc_nulls_first(), F.col("root")]
-    ordered = objects.where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "digests").repartitionByRange(shuffle_partitions(docs), *order).withColumn("file", F.spark_partition_id())
-    numbered = ordered.sortWithinPartitions(*order)
+    ordered = objects.where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "digests").repartitionByRange(shuffle_partitions(docs), *order).sortWithinPartitions(*order)
+    # places are those of the sorted rows, from 1: a retried task sorts the same rows in the same way
+    numbered = ordered.withColumns({"file": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1})
     numbered.write.parquet(f"{path}/recipes")
     recipes = spark.read.schema(numbered.schema).parquet(f"{path}/recipes")
     merkle(recipes).withColumn("id_bytes", F.lit(_width(tokenizer))).write.parquet(f"{path}/manifest")
@@ -231,10 +232,6 @@ def _width(tokenizer: str) -> int:
 _MANIFEST = "level string, file int, page long, n_documents long, n_tokens long, root string, id_bytes int"
 
 
-def _placed(recipes: DataFrame) -> DataFrame:
-    return recipes.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "root")))
-
-
 def _above(nodes: DataFrame, level: str, by: list[str], order: str) -> DataFrame:
     """The nodes over groups of nodes: each root is the digest of the roots below, in order."""
     below = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "root"))), lambda x: x["root"]), "")
@@ -245,7 +242,7 @@ def _above(nodes: DataFrame, level: str, by: list[str], order: str) -> DataFrame
 def merkle(recipes: DataFrame) -> DataFrame:
     """(level, file, page, n_documents, n_tokens, root) of every page of recipes, every file and the store. A group has at most PAGE recipes, a file's pages, or the files."""
     leaf = F.sha2(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("n_tokens").cast("string"), F.hex("root")), 256)
-    leaves = _placed(recipes).select("file", F.floor((F.col("place") - 1) / PAGE).alias("page"), "place", F.lit(1).cast("long").alias("n_documents"), "n_tokens", leaf.alias("root"))
+    leaves = recipes.select("file", F.floor((F.col("place") - 1) / PAGE).alias("page"), "place", F.lit(1).cast("long").alias("n_documents"), "n_tokens", leaf.alias("root"))
     pages = materialise(_above(leaves, "page", ["file", "page"], "place"), "op9-pages")
     files = _above(pages, "file", ["file"], "page")
     return pages.union(files).union(_above(files, "store", [], "file").where("n_documents is not null"))
@@ -318,8 +315,8 @@ def _assembled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_back(store: dict[str, DataFrame], width: int) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files, whose manifest is verified first."""
     verify_manifest(store)
-    place = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "root")
-    recipes = _placed(store["recipes"])
+    place = Window.partitionBy("file").orderBy("place")
+    recipes = store["recipes"]
     before = F.sum("n_tokens").over(place.rowsBetween(Window.unboundedPreceding, -1))
     starts = recipes.withColumn("inside", F.coalesce(before, F.lit(0)))
     files = store["manifest"].where("level = 'file'").select("file", F.col("n_tokens").alias("n"))
@@ -330,7 +327,7 @@ def read_back(store: dict[str, DataFrame], width: int) -> DataFrame:
     joined = listed.join(pieces, "digest", "left")  # a chunk that is not in the store leaves nulls, which are refused
     grouped = joined.groupBy("id").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.first("n_chunks").alias("n_chunks"), F.collect_list(F.struct("at", "digest", "crc", "n")).alias("pieces"))
     flat = grouped.select(F.col("id.start").alias("file"), F.col("id.place").alias("place"), "doc_id", "n_tokens", "root", "n_chunks", "pieces")
-    return flat.mapInPandas(_assembled, "file long, place int, doc_id long, n_tokens long, ids_crc32 long").select("doc_id", F.col("file").alias("start"), "n_tokens", "ids_crc32")
+    return flat.mapInPandas(_assembled, "file long, place long, doc_id long, n_tokens long, ids_crc32 long").select("doc_id", F.col("file").alias("start"), "n_tokens", "ids_crc32")
 
 
 def documents(store: dict[str, DataFrame], width: int) -> DataFrame:
