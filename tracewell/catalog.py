@@ -58,9 +58,12 @@ streaks AS (SELECT session_id, max(len) AS streak FROM (SELECT session_id, count
 loops AS (SELECT session_id, CAST(n_calls AS BIGINT) AS n_calls, tool_sig AS top_sig, n AS top_count, round(n / CAST(n_calls AS DOUBLE), 6) AS share, streak FROM tops JOIN streaks USING (session_id) WHERE rn = 1),
 tri0 AS (SELECT s.*, coalesce(n_issues, 0) AS n_issues, coalesce(e, 0) AS e, coalesce(timed_out, 0) AS timed_out, coalesce(stalled, 0) AS stalled,
     CASE WHEN n_calls >= 4 THEN greatest(share, round(streak / CAST(n_calls AS DOUBLE), 6)) ELSE 0 END AS loop FROM s LEFT JOIN per USING (session_id) LEFT JOIN loops USING (session_id)),
+kinds AS (SELECT session_id, string_agg(kind, ',' ORDER BY list_position(['timeout', 'no_output', 'stale_gap', 'no_end', 'no_progress'], kind)) AS kinds FROM (SELECT DISTINCT session_id, kind FROM issues) GROUP BY session_id),
 tri AS (SELECT session_id, CASE WHEN clean = 1 THEN CASE WHEN tokens >= 1000000 THEN 'over-cost' WHEN runtime_ms >= 518400000 THEN 'over-latency' WHEN n_events >= 400 THEN 'excessive-steps' WHEN loop >= 0.5 THEN 'loop-without-progress' END
     WHEN e > 0 OR n_issues >= 3 THEN CASE WHEN timed_out = 1 THEN 'timeout' WHEN has_end = 0 AND n_errors = 0 THEN 'abandoned' WHEN tokens >= 1000000 THEN 'runaway' WHEN stalled = 1 THEN 'stalled' ELSE 'errored' END END AS kind,
-    tokens, runtime_ms, CASE WHEN tokens >= 200000 OR runtime_ms >= 432000000 THEN 1 ELSE 0 END AS costly, round(tokens / 1000000.0 * 9, 6) AS projected_usd FROM tri0),
+    tokens, runtime_ms, CASE WHEN tokens >= 200000 OR runtime_ms >= 432000000 THEN 1 ELSE 0 END AS costly, round(tokens / 1000000.0 * 9, 6) AS projected_usd,
+    CASE WHEN clean = 1 THEN array_to_string(list_filter([CASE WHEN tokens >= 1000000 THEN 'over-cost' END, CASE WHEN runtime_ms >= 518400000 THEN 'over-latency' END, CASE WHEN n_events >= 400 THEN 'excessive-steps' END, CASE WHEN loop >= 0.5 THEN 'loop-without-progress' END], lambda x: x IS NOT NULL), ',') ELSE coalesce(kinds, '') END AS issue_kinds
+    FROM tri0 LEFT JOIN kinds USING (session_id)),
 triage AS (SELECT * FROM tri WHERE kind IS NOT NULL),
 oc AS (SELECT session_id, model, tool, CASE WHEN type = 'error' THEN 1 ELSE 0 END AS is_error, tokens, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS pos FROM re WHERE type IN ('tool_call', 'error')),
 runs AS (SELECT session_id, count(*) AS len, arg_min(is_error, pos) AS head FROM (SELECT *, pos - row_number() OVER (PARTITION BY session_id, tool ORDER BY pos) AS grp FROM oc) GROUP BY session_id, tool, grp),

@@ -17,31 +17,47 @@ def tool_outcomes(events: DataFrame) -> DataFrame:
     return calls.withColumn("pos", F.row_number().over(in_session()))
 
 
+def _runs(outcomes: DataFrame) -> DataFrame:
+    """Outcomes with their place in a run of one tool (streak), whether the run's first call failed (head_error), and whether a later call succeeds, all over one order of each session."""
+    now, after = in_session().rowsBetween(Window.unboundedPreceding, 0), in_session().rowsBetween(1, Window.unboundedFollowing)
+    before = F.lag("tool").over(in_session())
+    fresh = F.lag("pos").over(in_session()).isNull() | ~before.eqNullSafe(F.col("tool"))
+    df = outcomes.withColumns({"head": F.when(fresh, F.col("pos")), "later_success": F.max(1 - F.col("is_error")).over(after)})
+    df = df.withColumn("streak", F.col("pos") - F.max("head").over(now) + 1)
+    return df.withColumn("head_error", F.last(F.when(F.col("head").isNotNull(), F.col("is_error")), ignorenulls=True).over(now))
+
+
+def _measured(runs: DataFrame) -> DataFrame:
+    """Counts of each session in one aggregation. A run counts as a retry if its first call failed: streaks of two calls at least, each call after the first one retry."""
+    again = (F.col("streak") >= 2) & (F.col("head_error") == 1)
+    fails = F.col("is_error") == 1
+    df = runs.groupBy("session_id").agg(
+        F.min("model").alias("model"),
+        F.count("*").alias("tool_calls"),
+        F.sum("is_error").alias("tool_errors"),
+        F.sum("tokens").alias("tokens"),
+        F.max(F.when(again, F.col("streak")).otherwise(0)).cast("long").alias("longest_streak"),
+        F.count_if(again).alias("retry_count"),
+        F.count_if(fails & (F.col("later_success") == 1)).alias("recovered"),
+        F.count_if(fails & (F.col("later_success") == 0)).alias("unrecovered"),
+    )
+    total = F.col("recovered") + F.col("unrecovered")
+    return df.withColumns({"error_rate": round6(F.col("tool_errors") / F.col("tool_calls")), "recovery_rate": F.when(total == 0, 1.0).otherwise(round6(F.col("recovered") / total))})
+
+
 def retries(outcomes: DataFrame) -> DataFrame:
     """(session_id, longest_streak, retry_count): runs of one tool, two calls at least, whose first call failed."""
-    by = Window.partitionBy("session_id", "tool").orderBy("pos")
-    runs = outcomes.withColumn("run", F.col("pos") - F.row_number().over(by)).groupBy("session_id", "tool", "run").agg(F.count("*").alias("length"), F.min_by("is_error", "pos").alias("head_error"))
-    counted = F.when((F.col("length") >= 2) & (F.col("head_error") == 1), F.col("length")).otherwise(0)
-    return runs.groupBy("session_id").agg(F.max(counted).alias("longest_streak"), F.sum(F.when(counted > 0, counted - 1).otherwise(0)).alias("retry_count"))
+    return _measured(_runs(outcomes)).select("session_id", "longest_streak", "retry_count")
 
 
 def recovery(outcomes: DataFrame) -> DataFrame:
     """(session_id, recovered, unrecovered, recovery_rate): failed calls but the last, by whether a later call succeeds."""
-    later = in_session().rowsBetween(1, Window.unboundedFollowing)
-    df = outcomes.withColumn("later_success", F.max(1 - F.col("is_error")).over(later))
-    good = F.count_if((F.col("is_error") == 1) & (F.col("later_success") == 1))
-    bad = F.count_if((F.col("is_error") == 1) & (F.col("later_success") == 0))
-    df = df.groupBy("session_id").agg(good.alias("recovered"), bad.alias("unrecovered"))
-    total = F.col("recovered") + F.col("unrecovered")
-    return df.withColumn("recovery_rate", F.when(total == 0, 1.0).otherwise(round6(F.col("recovered") / total)))
+    return _measured(_runs(outcomes)).select("session_id", "recovered", "unrecovered", "recovery_rate")
 
 
 def footprint(events: DataFrame) -> DataFrame:
     """One row a session with tool calls: calls, errors, rate, retries, recovery, tokens."""
-    outcomes = tool_outcomes(events)
-    base = outcomes.groupBy("session_id").agg(F.min("model").alias("model"), F.count("*").alias("tool_calls"), F.sum("is_error").alias("tool_errors"), F.sum("tokens").alias("tokens"))
-    base = base.withColumn("error_rate", round6(F.col("tool_errors") / F.col("tool_calls")))
-    return base.join(retries(outcomes), "session_id").join(recovery(outcomes), "session_id")
+    return _measured(_runs(tool_outcomes(events))).select("session_id", "model", "tool_calls", "tool_errors", "tokens", "error_rate", "longest_streak", "retry_count", "recovered", "unrecovered", "recovery_rate")
 
 
 def _lower_better(x: Column, most: Column) -> Column:
