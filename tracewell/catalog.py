@@ -84,9 +84,9 @@ sc AS (SELECT worker, session_id AS run_id, first_ms AS started_ms, 'staleness'
 rs AS (SELECT worker, run_id, avg(score) AS overall, min(score) AS worst, count(*) FILTER (status = 'fail') AS fails, count(*) FILTER (status = 'warn') AS warns, count(*) AS scored FROM sc GROUP BY worker, run_id),
 tr0 AS (SELECT *, row_number() OVER (PARTITION BY worker, "check" ORDER BY started_ms, run_id) AS rn, count(*) OVER (PARTITION BY worker, "check") AS n FROM sc),
 tr1 AS (SELECT *, rn > n - greatest(1, least(n - 1, n // 2)) AS recent FROM tr0),
-tr2 AS (SELECT worker, "check", count(*) FILTER (NOT recent) AS n_base, count(*) FILTER (recent) AS n_recent, round(avg(score) FILTER (NOT recent), 6) AS mean_base, round(avg(score) FILTER (recent), 6) AS mean_recent, round(stddev_pop(score) FILTER (NOT recent), 6) AS sd_base FROM tr1 GROUP BY worker, "check"),
-tr3 AS (SELECT *, round(mean_recent - mean_base, 6) AS delta FROM tr2),
-tr4 AS (SELECT *, round(CASE WHEN sd_base = 0 THEN CASE WHEN delta = 0 THEN 0.0 ELSE sign(delta) * 99.0 END ELSE greatest(-99.0, least(99.0, delta / sd_base)) END, 4) AS z FROM tr3),
+tr2 AS (SELECT worker, "check", count(*) FILTER (NOT recent) AS n_base, count(*) FILTER (recent) AS n_recent, avg(score) FILTER (NOT recent) AS mean_base, avg(score) FILTER (recent) AS mean_recent, stddev_pop(score) FILTER (NOT recent) AS sd_base FROM tr1 GROUP BY worker, "check"),
+tr3 AS (SELECT *, mean_recent - mean_base AS delta FROM tr2),
+tr4 AS (SELECT *, CASE WHEN sd_base = 0 THEN CASE WHEN delta = 0 THEN 0.0 ELSE sign(delta) * 99.0 END ELSE greatest(-99.0, least(99.0, delta / sd_base)) END AS z FROM tr3),
 tr5 AS (SELECT *, CASE WHEN n_base < 2 OR n_recent < 2 THEN 'insufficient-data' WHEN abs(z) < 1 OR abs(delta) < 0.05 THEN 'stable' WHEN delta < 0 THEN 'degrading' ELSE 'improving' END AS direction FROM tr4),
 tr AS (SELECT *, CASE WHEN direction <> 'degrading' THEN 'none' WHEN abs(z) >= 2.5 THEN 'critical' ELSE 'warning' END AS severity FROM tr5),
 wt0 AS (SELECT worker, count(*) FILTER (direction = 'degrading') AS degrading, count(*) FILTER (direction = 'improving') AS improving, max(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS critical FROM tr GROUP BY worker),
@@ -120,9 +120,12 @@ def _upserted(o: DataFrame) -> DataFrame:
 
 
 def _cost_ceiling(e: DataFrame, cap: float = 5.0) -> DataFrame:
-    """Sessions of each worker, oldest first, as long as their running cost stays within the cap."""
-    running = F.sum("tokens").over(Window.partitionBy("worker").orderBy("first_ms", "session_id").rowsBetween(Window.unboundedPreceding, 0))
-    df = sessions.sessions(e).withColumn("running_tokens", running)
+    """Sessions of each worker, oldest first, as long as their running cost stays within the cap. Sums run inside a worker's day; the days before it add theirs, so that no task holds a worker."""
+    df = sessions.sessions(e).select("worker", "session_id", "first_ms", "tokens", F.floor(F.col("first_ms") / fleet.DAY_MS).alias("day"))
+    inside = F.sum("tokens").over(Window.partitionBy("worker", "day").orderBy("first_ms", "session_id").rowsBetween(Window.unboundedPreceding, 0))
+    days = df.groupBy("worker", "day").agg(F.sum("tokens").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy("worker").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumn("inside", inside).join(days.select("worker", "day", before.alias("before")), ["worker", "day"]).withColumn("running_tokens", F.col("before") + F.col("inside"))
     return df.where(F.col("running_tokens") * 0.59 / 1_000_000 <= cap).select("worker", "session_id", "running_tokens")
 
 
@@ -169,7 +172,14 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "cost_ceiling_cumsum": (_events(_cost_ceiling), _RE + "SELECT worker, session_id, running_tokens FROM (SELECT worker, session_id, CAST(sum(tokens) OVER (PARTITION BY worker ORDER BY first_ms, session_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_tokens FROM s) WHERE running_tokens * 0.59 / 1000000 <= 5"),
     "check_scores": (_scores(lambda c: c), _RE + "SELECT * FROM sc"),
     "run_scores": (_scores(fleet.run_scores), _RE + "SELECT * REPLACE (round(overall, 6) AS overall) FROM rs"),
-    "trend_classify": (_scores(fleet.trends), _RE + "SELECT * FROM tr"),
+    "trend_classify": (_scores(fleet.trends), _RE + "SELECT * REPLACE (round(mean_base, 6) AS mean_base, round(mean_recent, 6) AS mean_recent, round(sd_base, 6) AS sd_base, round(delta, 6) AS delta, round(z, 4) AS z) FROM tr"),
+    "trend_fail_rates": (
+        _scores(lambda c: fleet.trends(c, "failRate", 0.25).select("worker", "check", "n_base", "n_recent", "mean_base", "mean_recent", "delta")),
+        _RE + ", f AS (SELECT worker, \"check\", CASE WHEN status = 'fail' THEN 1.0 ELSE 0.0 END AS v, row_number() OVER (PARTITION BY worker, \"check\" ORDER BY started_ms, run_id) AS rn, count(*) OVER (PARTITION BY worker, \"check\") AS n FROM sc), fr AS (SELECT *, rn > n - greatest(1, least(n - 1, CAST(floor(n * 0.25 + 0.5) AS BIGINT))) AS late FROM f) SELECT worker, \"check\", count(*) FILTER (NOT late) AS n_base, count(*) FILTER (late) AS n_recent, round(avg(v) FILTER (NOT late), 6) AS mean_base, round(avg(v) FILTER (late), 6) AS mean_recent, round(avg(v) FILTER (late) - avg(v) FILTER (NOT late), 6) AS delta FROM fr GROUP BY worker, \"check\"",
+    ),
+    "trend_worst": (_scores(lambda c: fleet.worst_first(fleet.trends(c), 5).select("worker", "check", "severity", "z")), _RE + "SELECT worker, \"check\", severity, round(z, 4) AS z FROM tr ORDER BY list_position(['none', 'info', 'warning', 'critical'], severity) DESC, abs(round(z, 4)) DESC NULLS LAST, worker, \"check\" LIMIT 5"),
+    "rolling_scores": (_scores(fleet.rolling_days), _RE + ", dd AS (SELECT worker, \"check\", started_ms // 86400000 AS day, count(*) AS c, sum(score) AS s FROM sc GROUP BY ALL) SELECT worker, \"check\", day, CAST(sum(c) OVER w AS BIGINT) AS n, round(sum(s) OVER w / sum(c) OVER w, 6) AS mean_score FROM dd WINDOW w AS (PARTITION BY worker, \"check\" ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)"),
+    "scores_in_dates": (_scores(lambda c: fleet.in_dates(c, "2024-01-10", "2024-01-20").select("worker", "run_id", "check", "score")), _RE + "SELECT worker, run_id, \"check\", score FROM sc WHERE make_timestamp(started_ms * 1000)::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'"),
     "trend_worker_rollup": (_scores(lambda c: fleet.worker_trends(fleet.trends(c))), _RE + "SELECT * FROM wt"),
     "scorecard_workers": (_scores(fleet.scorecard), _RE + "SELECT * FROM card"),
     "scorecard_checks": (_scores(fleet.check_breakdown), _RE + "SELECT worker, \"check\", round(avg(score), 6) AS mean_score, count(*) AS runs, count(*) FILTER (status = 'fail') AS fails, count(*) FILTER (status = 'warn') AS warns, count(*) FILTER (status = 'pass') AS passes FROM sc GROUP BY worker, \"check\""),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.sessions import Limits, issues, round6, sessions
+from tracewell.operators.sessions import Limits, facts, issue_list, round6
 
 #: Fixed thresholds: pass rates of the grades, and those of trends.
 HEALTHY, WATCH = 0.9, 0.6
@@ -14,8 +14,9 @@ MIN_POINTS, Z_THRESHOLD, MIN_DELTA, CRITICAL_Z, Z_CAP = 2, 1.0, 0.05, 2.5, 99.0
 
 def check_scores(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Three checks a session: staleness (1 - .5 errors - .15 warnings), verification (1 - .6 errors), completeness (1 - .4 without output - .1 without end)."""
-    found = issues(events, limits).groupBy("session_id").agg(F.sum(F.when(F.col("severity") == "error", F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(F.col("severity") == "warning", F.col("n")).otherwise(0)).alias("w"))
-    df = sessions(events).join(found, "session_id", "left").fillna(0, ["e", "w"])
+    df = issue_list(facts(events, limits), limits)
+    of = lambda severity: F.aggregate("issues", F.lit(0).cast("long"), lambda acc, i: acc + F.when(i["severity"] == severity, i["n"]).otherwise(0))
+    df = df.withColumns({"e": of("error"), "w": of("warning")})
     score = lambda e, w, a, b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - a * e - b * w))
     no_output, no_end = (F.col("n_outputs") == 0).cast("int"), (F.col("has_end") == 0).cast("int")
     status = lambda e, w: F.when(e, "fail").when(w, "warn").otherwise("pass")
@@ -39,28 +40,85 @@ def _runs(scores: DataFrame) -> DataFrame:
 
 
 def upsert_latest(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
-    """The last version of each key."""
-    last = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in version))
-    return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-
-
-def trends(scores: DataFrame) -> DataFrame:
-    """Baseline against recent half of each worker's and check's scores: deltas, z, direction, severity."""
-    series = Window.partitionBy("worker", "check")
-    df = scores.where("status <> 'skip'").withColumn("rn", F.row_number().over(series.orderBy("started_ms", "run_id"))).withColumn("n", F.count("*").over(series))
-    recent = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") / 2)))
-    df = df.withColumn("recent", F.col("rn") > F.col("n") - recent)
-    base, late = F.when(~F.col("recent"), F.col("score")), F.when(F.col("recent"), F.col("score"))
-    df = df.groupBy("worker", "check").agg(F.count(base).alias("n_base"), F.count(late).alias("n_recent"), round6(F.avg(base)).alias("mean_base"), round6(F.avg(late)).alias("mean_recent"), round6(F.stddev_pop(base)).alias("sd_base"))
-    delta = F.round(F.col("mean_recent") - F.col("mean_base"), 6)
-    df = df.withColumn("delta", delta)
+    """The last version of each key, null versions first. Versions are compared before the shuffle, so a key with many of them sends one from each task."""
+    last = F.max(F.struct(*version, F.struct(*rows.columns).alias("row"))).alias("top")
+    return rows.groupBy(*keys).agg(last).select(*(F.col("top.row").getField(c).alias(c) for c in rows.columns))
+
+
+#: Fixed: metrics of trends and whether more is better.
+METRICS = {"score": True, "failRate": False, "durationMs": False}
+
+
+def metric_rows(scores: DataFrame, metric: str = "score") -> DataFrame:
+    """(worker, check, run_id, started_ms, value): a metric of each check that was not skipped; unknown values (null, or a negative duration) are left out."""
+    value = {"score": F.col("score"), "failRate": (F.col("status") == "fail").cast("double")}.get(metric)
+    if value is None:
+        value = F.when(F.col(metric) >= 0, F.col(metric).cast("double")) if metric == "durationMs" else F.col(metric).cast("double")
+    return scores.where("status <> 'skip'").select("worker", "check", "run_id", "started_ms", value.alias("value")).where("value is not null and not isnan(value)")
+
+
+def ranked_in_series(rows: DataFrame, series: list[str], by: list[str], bucket: Column) -> DataFrame:
+    """rows with `place` (from 1, in the order of `by`) within their series and its length `n`, for series of any length: places inside a bucket of the order are counted in that bucket's task, and the buckets before it add their sizes, so that no task
+    holds a series. `bucket` must not fall as `by` rises."""
+    df = rows.withColumn("__bucket", bucket)
+    inside = Window.partitionBy(*series, "__bucket").orderBy(*by)
+    df = df.withColumn("__place", F.row_number().over(inside))
+    sizes = df.groupBy(*series, "__bucket").agg(F.count("*").alias("__size"))
+    before = Window.partitionBy(*series).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"__before": F.coalesce(F.sum("__size").over(before), F.lit(0)), "n": F.sum("__size").over(Window.partitionBy(*series))})
+    return df.join(sizes.drop("__size"), [*series, "__bucket"]).withColumn("place", F.col("__before") + F.col("__place")).drop("__bucket", "__place", "__before")
+
+
+#: Buckets of time that series are dealt out by.
+DAY_MS = 86_400_000
+
+
+def trends(scores: DataFrame, metric: str = "score", split: float | str = "half", z_threshold: float = Z_THRESHOLD, min_delta: float = MIN_DELTA, critical_z: float = CRITICAL_Z, warning_z: float | None = None) -> DataFrame:
+    """Baseline against recent part of each worker's and check's values: deltas, z, direction, severity. Nothing is rounded before it is compared. The least delta holds for scores only; a fall below warning_z (z_threshold, if none is given) is info."""
+    up = METRICS.get(metric, True)
+    df = ranked_in_series(metric_rows(scores, metric), ["worker", "check"], ["started_ms", "run_id"], F.floor(F.col("started_ms") / DAY_MS))
+    share = F.floor(F.col("n") / 2) if split == "half" else F.floor(F.col("n") * min(max(float(split), 0.0), 1.0) + 0.5)
+    recent = F.when(F.col("n") >= 2, F.greatest(F.lit(1), F.least(F.col("n") - 1, share))).otherwise(share)
+    late = F.col("place") > F.col("n") - recent
+    base, after = F.when(~late, F.col("value")), F.when(late, F.col("value"))
+    df = df.groupBy("worker", "check").agg(F.count(base).alias("n_base"), F.count(after).alias("n_recent"), F.avg(base).alias("mean_base"), F.avg(after).alias("mean_recent"), F.stddev_pop(base).alias("sd_base"))
+    df = df.withColumn("delta", F.col("mean_recent") - F.col("mean_base"))
     z = F.when(F.col("sd_base") == 0, F.when(F.col("delta") == 0, 0.0).otherwise(F.signum("delta") * Z_CAP)).otherwise(F.greatest(F.lit(-Z_CAP), F.least(F.lit(Z_CAP), F.col("delta") / F.col("sd_base"))))
-    df = df.withColumn("z", F.round(z, 4))
+    df = df.withColumn("z", z)
     enough = (F.col("n_base") >= MIN_POINTS) & (F.col("n_recent") >= MIN_POINTS)
-    moved = (F.abs("z") >= Z_THRESHOLD) & (F.abs("delta") >= MIN_DELTA)
-    direction = F.when(~enough, "insufficient-data").when(~moved, "stable").when(F.col("delta") < 0, "degrading").otherwise("improving")
-    df = df.withColumn("direction", direction)
-    return df.withColumn("severity", F.when(F.col("direction") != "degrading", "none").when(F.abs("z") >= CRITICAL_Z, "critical").otherwise("warning"))
+    moved = F.abs("z") >= z_threshold
+    moved = moved & (F.abs("delta") >= min_delta) if metric == "score" else moved
+    better = F.col("delta") > 0 if up else F.col("delta") < 0
+    df = df.withColumn("direction", F.when(~enough, "insufficient-data").when(~moved, "stable").when(better, "improving").otherwise("degrading"))
+    severity = F.when(F.col("direction") != "degrading", "none").when(F.abs("z") >= critical_z, "critical").when(F.abs("z") >= (z_threshold if warning_z is None else warning_z), "warning").otherwise("info")
+    shown = {c: round6(F.col(c)) for c in ("mean_base", "mean_recent", "sd_base", "delta")} | {"z": F.round("z", 4)}
+    return df.withColumn("severity", severity).withColumns(shown)
+
+
+#: Fixed: order of severities, worst last.
+SEVERITIES = ["none", "info", "warning", "critical"]
+
+
+def worst_first(trend_rows: DataFrame, k: int) -> DataFrame:
+    """The k worst trends: by severity, then the size of z, then worker and check."""
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    return trend_rows.orderBy(rank.desc(), F.abs("z").desc_nulls_last(), "worker", "check").limit(k)
+
+
+def in_dates(rows: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows that started on the dates from first to last (UTC, ends included; None: open)."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("started_ms") / DAY_MS).cast("int"))
+    for bound, keep in ((first, lambda b: day >= b), (last, lambda b: day <= b)):
+        rows = rows.where(keep(F.lit(bound).cast("date"))) if bound is not None else rows
+    return rows
+
+
+def rolling_days(scores: DataFrame, days: int = 7) -> DataFrame:
+    """(worker, check, day, n, mean_score): mean over the days up to each day that has scores, from sums by day."""
+    day = F.floor(F.col("started_ms") / DAY_MS).cast("long")
+    daily = metric_rows(scores).groupBy("worker", "check", day.alias("day")).agg(F.count("*").alias("c"), F.sum("value").alias("s"))
+    window = Window.partitionBy("worker", "check").orderBy("day").rangeBetween(-(days - 1), 0)
+    return daily.select("worker", "check", "day", F.sum("c").over(window).alias("n"), round6(F.sum("s").over(window) / F.sum("c").over(window)).alias("mean_score"))
 
 
 def worker_trends(trend_rows: DataFrame) -> DataFrame:
