@@ -1,6 +1,7 @@
 """Readers and the live guard on small inputs of our own."""
 
 import json
+import os
 
 import pytest
 
@@ -49,13 +50,32 @@ def test_transcripts(spark, tmp_path):
     assert {r.slug for r in transcripts.missing_sections(docs).collect()} == {"key outputs", "duration"}
 
 
-def test_guard(spark, tmp_path):
+def run_guard(spark, tmp_path, parts, limits):
     schema = "session_id string, ts_ms long, type string, content string, tokens long"
-    rows = [("loop", i, "output", "same line", 1) for i in range(6)] + [("fine", i, "output", f"line {i}", i) for i in range(6)] + [("gap", 0, "output", "a", 1), ("gap", 400_000, "output", "b", 1), ("rich", 0, "output", "a", 10), ("rich", 1, "output", "b", 5000)]
-    for i, part in enumerate((rows[:3], rows[3:])):  # a session's state lives on from batch to batch
+    for i, part in enumerate(parts):  # a session's state lives on from batch to batch
+        part = [(s, 1_700_000_000_000 + ts, *x) for s, ts, *x in part]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(i)))
+        for f in (tmp_path / "in" / str(i)).iterdir():
+            os.utime(f, (1_700_000_000 + 10 * i,) * 2)  # files are read in order of their times
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    query = guard(stream, GuardLimits(max_tokens=1000)).writeStream.format("memory").queryName("stops").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query = guard(stream, limits).writeStream.format("memory").queryName("stops").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     query.processAllAvailable()
+    states = query.lastProgress["stateOperators"][0]["numRowsTotal"]
     query.stop()
-    assert {r.session_id: r.reason for r in spark.table("stops").collect()} == {"loop": "loop", "gap": "stall", "rich": "tokens"}
+    rows = spark.table("stops").collect()
+    assert len(rows) == len({r.session_id for r in rows})
+    return {r.session_id: r.reason for r in rows}, states
+
+
+def test_guard(spark, tmp_path):
+    rows = [("loop", i, "output", "same line", 1) for i in range(6)] + [("fine", i, "output", f"a line of number {i}", i) for i in range(6)] + [("turns", i, "output", ("first thing", "second thing")[i % 2], 1) for i in range(8)]
+    rows += [("gap", 0, "output", "a", 1), ("gap", 150_000, "output", "b", 1), ("rich", 0, "output", "a", 10), ("rich", 1, "output", "b", 1000), ("rich", 2, "output", "c", 9999), *(("long", 90_000 * i, "output", f"words {i}", 1) for i in range(4)), ("long", 350_000, "end", None, 1), ("two", 0, "output", "same text", 1), ("two", 1, "output", "same text", 1)]
+    got, _ = run_guard(spark, tmp_path, (rows[:3], rows[3:]), GuardLimits(max_tokens=1000, max_ms=300_000, max_gap_ms=100_000))
+    assert got == {"loop": "loop", "turns": "loop", "gap": "stall", "rich": "tokens", "long": "timeout"}
+
+
+def test_guard_lets_sessions_go(spark, tmp_path):
+    first = [("quiet", 0, "output", "a", 1), ("ended", 0, "output", "a", 1), ("ended", 5, "end", None, 1), ("stopped", 0, "output", "a", 5000)]
+    later = [("stopped", 10, "output", "b", 9000), ("new", 900_000, "output", "c", 1)]
+    got, states = run_guard(spark, tmp_path, (first, later, [("new", 990_000, "output", "d", 1)]), GuardLimits(max_tokens=1000, idle_ms=100_000, late_ms=1000))
+    assert got == {"stopped": "tokens", "quiet": "abandoned"} and states == 1

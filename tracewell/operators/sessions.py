@@ -142,19 +142,22 @@ def facts(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 #: Kinds of issues in the order in which they are listed, each with its severity.
-ISSUES = [("timeout", "error"), ("no_output", "error"), ("stale_gap", "warning"), ("no_end", "warning"), ("abandoned", "warning"), ("no_progress", "error"), ("no_progress", "warning")]
+ISSUES = [("timeout", "error"), ("no_output", "error"), ("stale_gap", "warning"), ("no_end", "warning"), ("abandoned", "warning"), ("abandoned", "error"), ("no_progress", "error"), ("no_progress", "warning")]
+#: What only a source can tell: a timeout that it recorded, and the signs in a session's last text, by kind and severity.
+TOLD = ["told_timeout", "told_abandoned", "told_unbalanced", "told_repeating"]
 
 
 def _counted(limits: Limits) -> list[Column]:
-    """How often each of ISSUES fires, from facts (and timed_out, told_abandoned where the source tells them)."""
+    """How often each of ISSUES fires, from facts and TOLD."""
     one = lambda x: F.coalesce(x, F.lit(False)).cast("long")
     late = F.lit(False) if limits.timeout_ms is None else F.col("runtime_ms") > limits.timeout_ms
-    return [one(late), one(F.col("n_events") < limits.min_events), F.coalesce("n_stale", F.lit(0)).cast("long"), one((F.col("has_end") == 0) & (F.col("n_events") > 0)), F.col("told_abandoned").cast("long"), one(F.col("n_outputs") == 0), one(F.col("longest_beats") > limits.max_heartbeats)]
+    start = [one(late | (F.col("told_timeout") > 0)), one(F.col("n_events") < limits.min_events), F.coalesce("n_stale", F.lit(0)).cast("long"), one((F.col("has_end") == 0) & (F.col("n_events") > 0))]
+    return [*start, F.col("told_abandoned"), F.col("told_unbalanced"), one(F.col("n_outputs") == 0), one(F.col("longest_beats") > limits.max_heartbeats) + F.col("told_repeating")]
 
 
 def issue_list(df: DataFrame, limits: Limits) -> DataFrame:
     """facts with `issues`, an array of those that fire: (kind, severity, n)."""
-    df = df if "told_abandoned" in df.columns else df.withColumn("told_abandoned", F.lit(0))
+    df = df.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) if c in df.columns else F.lit(0).cast("long") for c in TOLD})
     every = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), n.alias("n")) for (k, s), n in zip(ISSUES, _counted(limits))))
     return df.withColumn("issues", F.filter(every, lambda i: i["n"] > 0))
 
@@ -213,7 +216,7 @@ def triage(events: DataFrame, limits: Limits = Limits(), stale_only: bool = True
 
 
 def triage_built(built: DataFrame, events: DataFrame, limits: Limits = Limits(), stale_only: bool = True) -> DataFrame:
-    """`triage_facts` of sessions that a reader built: what the source says of each (tokens, runtime_ms, clean, aborted, timed_out, n_assistant, text_ratio, told_abandoned) goes before what its events (session_id, pos, ts_ms, type, tool_sig) tell. Sessions without events are kept."""
+    """`triage_facts` of sessions that a reader built: what the source says of each (tokens, runtime_ms, clean, aborted, timed_out, n_assistant, text_ratio, TOLD) goes before what its events (session_id, pos, ts_ms, type, tool_sig) tell. Sessions without events are kept."""
     # only what comes of events stays, but for what the source leaves open
     seen = facts(events.withColumns({"worker": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "tokens": F.lit(0).cast("long")}), limits).drop("worker", "model", "tokens", "clean", "first_ms", "last_ms")
     seen = seen.withColumnRenamed("runtime_ms", "seen_ms").withColumnsRenamed({c: f"seen_{c}" for c in ("n_events", "n_errors")})

@@ -9,7 +9,7 @@ _VALUE = "STRUCT<stringValue: STRING, intValue: STRING, doubleValue: DOUBLE, boo
 _ATTRIBUTES = f"ARRAY<STRUCT<key: STRING, value: {_VALUE}>>"
 _SPAN = f"STRUCT<traceId: STRING, spanId: STRING, name: STRING, startTimeUnixNano: STRING, endTimeUnixNano: STRING, attributes: {_ATTRIBUTES}, status: STRUCT<code: STRING, message: STRING>, events: ARRAY<STRUCT<name: STRING, attributes: {_ATTRIBUTES}>>>"
 OTLP = f"resourceSpans ARRAY<STRUCT<scopeSpans: ARRAY<STRUCT<spans: ARRAY<{_SPAN}>>>>>"
-LANGSMITH = "id STRING, trace_id STRING, parent_run_id STRING, name STRING, run_type STRING, start_time STRING, end_time STRING, status STRING, error STRING, total_tokens LONG, prompt_tokens LONG, completion_tokens LONG"
+LANGSMITH = "id STRING, trace_id STRING, parent_run_id STRING, name STRING, run_type STRING, start_time STRING, end_time STRING, status STRING, error STRING, total_tokens LONG, prompt_tokens LONG, completion_tokens LONG, inputs STRING, outputs STRING"
 #: Finish reasons that mean a cap was hit, and words of a timeout.
 CAPPED = ["length", "max_tokens", "model_length"]
 TIMEOUT = "(?i)time(d)?[ -]?out|deadline"
@@ -39,6 +39,10 @@ def otlp_spans(exports: DataFrame) -> DataFrame:
     return span.select(
         F.coalesce(_attribute("attributes", "gen_ai.conversation.id", "session.id"), F.col("traceId")).alias("session_id"),
         "name",
+        "spanId",
+        _attribute("attributes", "gen_ai.response.model", "gen_ai.request.model").alias("model"),
+        F.coalesce(_attribute("attributes", "gen_ai.tool.name", "code.function.name"), F.col("name")).alias("tool"),
+        _attribute("attributes", "gen_ai.tool.call.arguments", "gen_ai.tool.arguments", "gen_ai.tool.input").alias("arguments"),
         millis("startTimeUnixNano").alias("start_ms"),
         millis("endTimeUnixNano").alias("end_ms"),
         (number("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens") + number("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens")).alias("tokens"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CALL = "STRUCT<tool_name: STRING, tool_input: STRING>"
+_CALL = "STRUCT<tool_name: STRING, tool_input: STRING, reasoning: STRING>"
 _EVENT = f"STRUCT<event_type: STRING, timestamp: STRING, tokens_in: LONG, tokens_out: LONG, duration_ms: DOUBLE, model: STRING, output_data: STRING, tool_call: {_CALL}>"
 EXPORT = f"session STRUCT<session_id: STRING, agent_name: STRING, started_at: STRING, ended_at: STRING, status: STRING>, stats STRUCT<total_tokens: LONG, total_tokens_in: LONG, total_tokens_out: LONG, session_duration_ms: DOUBLE, error_count: LONG>, events ARRAY<{_EVENT}>"
 _BLOCK = "STRUCT<type: STRING, text: STRING, name: STRING, arguments: STRING>"
@@ -62,11 +62,14 @@ def export_sessions(exports: DataFrame) -> DataFrame:
 def export_calls(exports: DataFrame) -> DataFrame:
     """(session_id, pos, tool_sig): tool calls in order, as name(input) with white space collapsed and the input cut at 200 characters."""
     e = exports.select(F.col("session.session_id").alias("session_id"), F.posexplode("events").alias("pos", "e")).where("e.event_type = 'tool_call' and e.tool_call is not null")
-    name = F.coalesce(F.nullif(F.trim("e.tool_call.tool_name"), F.lit("")), F.lit("tool"))
-    given = F.col("e.tool_call.tool_input")
-    canonical = F.coalesce(F.to_json(F.try_parse_json(given)), given, F.lit(""))  # compact, with keys in order
-    digest = F.substring(F.regexp_replace(canonical, "\\s+", " "), 1, 200)
-    return e.select("session_id", "pos", F.concat(name, F.lit("("), digest, F.lit(")")).alias("tool_sig"))
+    return e.select("session_id", "pos", signature(F.col("e.tool_call.tool_name"), F.col("e.tool_call.tool_input")).alias("tool_sig"))
+
+
+def signature(tool: Column, given: Column) -> Column:
+    """name(input) of a call, with white space collapsed and the input, as compact JSON with keys in order, cut at 200 characters."""
+    name = F.coalesce(F.nullif(F.trim(tool), F.lit("")), F.lit("tool"))
+    canonical = F.coalesce(F.to_json(F.try_parse_json(given)), given, F.lit(""))
+    return F.concat(name, F.lit("("), F.substring(F.regexp_replace(canonical, "\\s+", " "), 1, 200), F.lit(")"))
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Live guard: watches a stream of run events and says, once a session, that it should stop, and why."""
+"""Live guard: watches a stream of run events and says, once a session, that it should stop, or that it was abandoned, and why."""
 
 from __future__ import annotations
 
@@ -8,53 +8,84 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewell.functions.repetition import MIN_LINE, cycles
 
 OUT = "session_id string, reason string, ts_ms long, tokens long"
-_STATE = "start_ms long, last_ms long, tokens long, text string, repeats int, stopped boolean"
+_STATE = "start_ms long, last_ms long, tokens long, texts array<string>, gap boolean, done boolean"
+_NAMES = ["start_ms", "last_ms", "tokens", "texts", "gap", "done"]
 
 
 @dataclass(frozen=True)
 class GuardLimits:
-    max_tokens: int = 1_000_000
-    max_ms: int = 1_800_000
+    """Budgets (None: no such limit), the longest silence, and the loop test: the share of repeated lines in the last `loop_window` texts."""
+
+    max_tokens: int | None = 1_000_000
+    max_ms: int | None = 1_800_000
     max_gap_ms: int = 300_000
-    #: Equal outputs in a row that count as a loop.
-    repeats: int = 5
+    loop_window: int = 12
+    loop_share: float = 0.6
+    #: Silence after which a session without an end counts as abandoned, and its state goes. How late events may come.
+    idle_ms: int = 3_600_000
+    late_ms: int = 60_000
+
 
+def looping(texts: list[str], limits: GuardLimits) -> bool:
+    """Three texts at least, and lines that repeat right after themselves in the last ones make up the share."""
+    if limits.loop_window <= 0 or len(texts) < 3:
+        return False
+    lines = [x for x in (line.strip() for t in texts[-limits.loop_window :] for line in t.split("\n")) if len(x) >= MIN_LINE]
+    found = cycles(lines)
+    return found["loops"] > 0 and found["ratio"] >= limits.loop_share
 
-def _verdict(x: dict, limits: GuardLimits, gap: int) -> str | None:
-    if x["tokens"] > limits.max_tokens:
+
+def observe(x: dict, ts: int, kind: str, content: str | None, tokens: float | None, limits: GuardLimits) -> str | None:
+    """Take an event into the state x of its session; the reason to stop, if there is one. Budgets of tokens come first, then of time, then loops, then silence. A session that ended while it was over its silence is abandoned."""
+    silent = x["last_ms"] is not None and ts - x["last_ms"] > limits.max_gap_ms
+    x["start_ms"] = ts if x["start_ms"] is None else x["start_ms"]
+    x["last_ms"], x["gap"] = ts, x["gap"] or silent
+    x["tokens"] = max(x["tokens"], int(tokens)) if pd.notna(tokens) else x["tokens"]
+    if kind in ("output", "tool_call") and content and content.strip():
+        x["texts"] = [*x["texts"], content][-max(limits.loop_window, 1) :]
+    if limits.max_tokens is not None and x["tokens"] >= limits.max_tokens:
         return "tokens"
-    if x["last_ms"] - x["start_ms"] > limits.max_ms:
+    if limits.max_ms is not None and x["last_ms"] - x["start_ms"] > limits.max_ms:
         return "timeout"
-    if x["repeats"] >= limits.repeats:
+    if looping(x["texts"], limits):
         return "loop"
-    return "stall" if gap > limits.max_gap_ms else None
+    return "stall" if silent else None
 
 
 def guard(events: DataFrame, limits: GuardLimits = GuardLimits()) -> DataFrame:
-    """Stream of (session_id, ts_ms, type, content, tokens), tokens cumulative, to one row for each session that should stop. The state of a session is a few numbers and its last output; within a
-    micro-batch events are put in order of time, and a stop is final."""
+    """Stream of (session_id, ts_ms, type, content, tokens), tokens cumulative, to one row for each session that should stop (tokens, timeout, loop, stall) or that went silent without an end (abandoned).
+
+    The state of a session is a few numbers and its last texts. Within a micro-batch events are put in order of time. After a stop or an end nothing more is said; the state goes once event time has passed the last event by idle_ms, so it does not
+    pile up. Events that come later than late_ms may be dropped.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        names = ["start_ms", "last_ms", "tokens", "text", "repeats", "stopped"]
-        x = dict(zip(names, state.get if state.exists else (None, None, 0, None, 0, False)))
+        x = dict(zip(_NAMES, state.get if state.exists else (None, None, 0, [], False, False)))
+        x["texts"] = list(x["texts"])
         out = []
-        batch = pd.concat(list(frames)).sort_values("ts_ms", kind="stable")
-        for ts, kind, content, tokens in zip(batch["ts_ms"], batch["type"], batch["content"], batch["tokens"]):
-            if x["stopped"]:
-                break
-            gap = max(0, int(ts) - x["last_ms"]) if x["last_ms"] is not None else 0
-            x["start_ms"] = int(ts) if x["start_ms"] is None else x["start_ms"]
-            x["last_ms"] = max(int(ts), x["last_ms"] or int(ts))
-            x["tokens"] = max(x["tokens"], int(tokens)) if pd.notna(tokens) else x["tokens"]
-            if kind in ("output", "tool_call") and content and content.strip():
-                x["repeats"] = x["repeats"] + 1 if content == x["text"] else 1
-                x["text"] = content
-            if (reason := _verdict(x, limits, gap)) is not None:
-                x["stopped"] = True
-                out.append((key[0], reason, int(ts), x["tokens"]))
-        state.update(tuple(x[n] for n in names))
+        if state.hasTimedOut:
+            if not x["done"]:
+                out.append((key[0], "abandoned", x["last_ms"], x["tokens"]))
+            state.remove()
+        else:
+            batch = pd.concat(list(frames)).sort_values("ts_ms", kind="stable")
+            for ts, kind, content, tokens in zip(batch["ts_ms"], batch["type"], batch["content"], batch["tokens"]):
+                if x["done"]:
+                    x["last_ms"] = max(x["last_ms"], int(ts))
+                    continue
+                reason = observe(x, int(ts), kind, content, tokens, limits)
+                if reason is not None:
+                    out.append((key[0], reason, int(ts), x["tokens"]))
+                x["done"] = reason is not None or kind == "end"
+                x["texts"] = [] if x["done"] else x["texts"]
+            state.update(tuple(x[n] for n in _NAMES))
+            state.setTimeoutTimestamp(max(x["last_ms"] + limits.idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_id", "reason", "ts_ms", "tokens"])
 
-    return events.groupBy("session_id").applyInPandasWithState(step, OUT, _STATE, "append", "NoTimeout")
+    timed = events.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", f"{limits.late_ms} milliseconds")
+    return timed.groupBy("session_id").applyInPandasWithState(step, OUT, _STATE, "append", "EventTimeTimeout")
