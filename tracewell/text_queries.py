@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import actionability as act
 from tracewell.functions import completeness as C
+from tracewell.functions import drift as D
 from tracewell.functions import grounding as G
 from tracewell.functions import patterns as P
 from tracewell.functions import repetition as R
@@ -154,6 +155,21 @@ c AS (SELECT conv_id, sum(a * b) AS dot, sum(pow(a * w, 2)) AS na, sum(pow(b * w
 SELECT p.conv_id, CASE WHEN na > 0 AND nb > 0 THEN round(dot / sqrt(na * nb), 6) ELSE 0.0 END AS relevance FROM p LEFT JOIN c USING (conv_id)"""
 
 
+def _requirements_sql() -> str:
+    verbs, fillers = (", ".join(map(q, x)) for x in (P.ACTION_VERBS, P.SUBJECT_FILLERS))
+    ends = r"\s+and\s+|\s+then\s+|\s+also\s+|;\s*|\.\s+([A-Z])"
+    trimmed = lambda x: f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    return rf"""WITH {_FIRST}, t AS (SELECT conv_id, {trimmed("coalesce(task, '')")} AS task FROM p), l AS (SELECT *, list_filter(list_transform(string_split(task, chr(10)), lambda x: {trimmed("x")}), lambda x: x <> '') AS lines FROM t),
+c AS (SELECT conv_id, CASE WHEN len(lines) > 1 AND len(list_filter(lines, lambda x: NOT regexp_matches(x, '^[-*•]\s+'))) = 0 THEN list_transform(lines, lambda x: regexp_replace(x, '^[-*•]\s+', ''))
+  WHEN len(lines) > 1 AND len(list_filter(lines, lambda x: NOT regexp_matches(x, '^\d+[.):]\s+'))) = 0 THEN list_transform(lines, lambda x: regexp_replace(x, '^\d+[.):]\s+', ''))
+  ELSE string_split(regexp_replace(task, '{ends}', chr(1) || '\1', 'g'), chr(1)) END AS clauses FROM l),
+d AS (SELECT conv_id, list_filter(list_transform(clauses, lambda x: {trimmed("x")}), lambda x: x <> '') AS clauses FROM c),
+e AS (SELECT conv_id, unnest(clauses) AS description, generate_subscripts(clauses, 1) - 1 AS req FROM d), w AS (SELECT *, regexp_split_to_array(lower(description), '\s+') AS words FROM e),
+v AS (SELECT *, coalesce(list_position(list_transform(words[1:5], lambda x: regexp_replace(x, '[^a-z]', '', 'g') IN ({verbs})), true), 0) AS verb FROM w),
+s AS (SELECT *, CASE WHEN verb > 0 THEN trim(regexp_replace(array_to_string(list_filter(words[verb + 1:], lambda x: x NOT IN ({fillers})), ' '), '[^a-z0-9\s#@./_-]', '', 'g')) ELSE '' END AS subj FROM v)
+SELECT conv_id, CAST(req AS INT) AS req, description, CASE WHEN verb > 0 THEN regexp_replace(words[verb], '[^a-z]', '', 'g') ELSE 'address' END AS action, CASE WHEN subj <> '' THEN subj ELSE lower(description) END AS subject, CASE WHEN subj <> '' THEN 0.8 ELSE 0.4 END AS confidence FROM s"""
+
+
 #: Name -> (query, SQL for DuckDB).
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "sentence_counts": (_docs(lambda d: d.select("doc_id", C.count_sentences(F.col("text")).alias("sentences"))), _DOCS + "SELECT doc_id, sentences FROM c"),
@@ -171,6 +187,8 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "response_type": (_pairs(lambda p: p.select("conv_id", act.response_type(F.coalesce("task", F.lit(""))).alias("response_type"))), f"WITH {_FIRST} SELECT conv_id, {_type_sql()} AS response_type FROM p"),
     "actionability": (_pairs(lambda p: act.actionability(p, "conv_id")), _actionability_sql()),
     "task_relevance": (_pairs(lambda p: G.relevance(p, "conv_id")), _relevance_sql()),
+    "task_requirements": (_pairs(lambda p: D.requirements(p, "conv_id")), _requirements_sql()),
+    "task_drift": (_pairs(lambda p: D.drift(p, "conv_id")), None),
     "claim_grounding": (lambda s, d: G.verified(_referenced(s, d), "conv_id"), None),
     "hallucination": (lambda s, d: G.hallucination(G.verified(_referenced(s, d), "conv_id"), "conv_id"), None),
 }
