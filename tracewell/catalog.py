@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import assertions as A
+from tracewell.functions import repetition
 from tracewell.functions import text as T
 from tracewell.operators import claims, fleet, judge, sessions, traces
 from tracewell.operators.sessions import WEEKLY
@@ -190,9 +191,18 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "provenance_counts": (_events(lambda e: claims.provenance_counts(claims.run_event_fields(e))), _RE + "SELECT session_id, CAST(sum(CASE WHEN type = 'tool_call' THEN 4 ELSE 3 END) AS BIGINT) AS proof, CAST(sum(CASE WHEN type = 'tool_call' THEN CASE WHEN tool IS NULL THEN 1 ELSE 2 END ELSE 1 END) AS BIGINT) AS claim, CAST(sum(2) AS BIGINT) AS neutral FROM re GROUP BY session_id"),
     "calibration_rollup": (lambda s, d: judge.calibration(_judged(s, d)), _JUDGED + f"SELECT criterion, {_RATES}, CASE WHEN avg(CAST(abs(actual - expected) <= 1 AS INT)) >= 0.8 THEN 1 ELSE 0 END AS reliable FROM j GROUP BY criterion"),
     "calibrated": (lambda s, d: judge.calibrated(_judged(s, d)), _JUDGED + f"SELECT *, CASE WHEN within_one >= 0.85 AND exact >= 0.5 AND abs(bias) <= 0.5 THEN 1 ELSE 0 END AS calibrated FROM (SELECT {_RATES} FROM j)"),
+    "calibration_drift": (
+        lambda s, d: judge.calibration_drift(_judged(s, d).where("expected = 5"), _judged(s, d)),
+        _JUDGED + ", m AS (SELECT criterion, actual - expected AS x, 1 AS now FROM j UNION ALL SELECT criterion, actual - expected, 0 FROM j WHERE expected = 5), g AS (SELECT criterion, now, avg(x) AS bias, avg(abs(x)) AS mae, avg(CAST(abs(x) <= 1 AS INT)) AS near FROM m GROUP BY GROUPING SETS ((criterion, now), (now))), k AS (SELECT b.criterion, b.bias - a.bias AS bd, CASE WHEN b.criterion IS NULL THEN b.near - a.near ELSE b.mae - a.mae END AS md FROM g b JOIN g a ON b.criterion IS NOT DISTINCT FROM a.criterion AND b.now = 1 AND a.now = 0) SELECT criterion, round(bd, 6) AS bias_delta, round(md, 6) AS mae_delta, CASE WHEN abs(bd) > 0.1 OR abs(md) > 0.1 THEN 1 ELSE 0 END AS drifted FROM k",
+    ),
     "consensus_upper_median": (lambda s, d: judge.consensus(_judged(s, d)), _JUDGED + "SELECT criterion, count(*) AS n, list_sort(list(actual))[count(*) // 2 + 1] AS median, min(actual) AS lowest, max(actual) AS highest, CASE WHEN max(actual) - min(actual) > 1 THEN 1 ELSE 0 END AS disagreed FROM j GROUP BY criterion"),
     "verdict_weighted": (_verdicts, _JUDGED + "SELECT criterion AS item, round(s, 6) AS score, round(c, 6) AS confidence, CASE WHEN c < 0.7 THEN 'needs-human-review' WHEN s >= 0.6 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT criterion, sum((actual - 1) / 4.0 * expected) / sum(expected) AS s, avg(CASE WHEN actual = 3 THEN 0.5 ELSE 0.9 END) AS c FROM j GROUP BY criterion)"),
     "assertions": (_docs(_asserted), _ASSERTED),
+    "assertions_negated": (
+        _docs(lambda d: A.assert_all(d, "doc_id", A.negated({"contains": A.contains(F.col("text"), "the"), "match": A.matches(F.col("text"), "[0-9]{16}")}) | {"equal": A.equals(F.col("text"), "the")})),
+        "SELECT doc_id, unnest(['not contains', 'not match', 'equal']) AS assertion, unnest(list_transform([NOT contains(text, 'the'), NOT regexp_matches(text, '[0-9]{16}'), text = 'the'], lambda b: CASE WHEN b THEN 'pass' ELSE 'fail' END)) AS status FROM documents",
+    ),
+    "full_repetition": (_docs(lambda d: repetition.full_repetition(d, _ngram_saturation(d), "doc_id")), None),
     "keyword_coverage": (_docs(lambda d: d.select("doc_id", A.keyword_coverage(F.col("text"), _KEYWORDS).alias("coverage"))), "SELECT doc_id, round((" + " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in _KEYWORDS) + f") / {len(_KEYWORDS)}.0, 6) AS coverage FROM documents"),
     "score_upsert": (_docs(_upserted, "lineitem"), "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1"),
     "unjudged_anti_join": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "source"), "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),

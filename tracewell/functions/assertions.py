@@ -31,3 +31,18 @@ def assert_all(df: DataFrame, item: str, rules: dict[str, Column]) -> DataFrame:
     """(item, assertion, status): one row for each rule."""
     results = F.array(*(F.struct(F.lit(name).alias("assertion"), F.when(F.coalesce(rule, F.lit(False)), "pass").otherwise("fail").alias("status")) for name, rule in rules.items()))
     return df.select(item, F.explode(results).alias("r")).select(item, "r.assertion", "r.status")
+
+
+def negated(rules: dict[str, Column]) -> dict[str, Column]:
+    """The opposite of each rule, under "not " and its name; a text that is null fails these too."""
+    return {f"not {name}": ~rule for name, rule in rules.items()}
+
+
+def equals(text: Column, other: str) -> Column:
+    return text == F.lit(other)
+
+
+def same_json(text: Column, other: str) -> Column:
+    """Both are JSON of one value, whatever their white space and order of keys."""
+    plain = lambda c: F.to_json(F.try_parse_json(c))
+    return plain(text) == plain(F.lit(other))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -53,3 +53,20 @@ def parrots(answer: Column, source: Column) -> Column:
     """An answer holds its whole source of over 20 characters, or equals it, white space apart. On texts without line breaks, as these are after that, likeness of lines is equality."""
     a, s = (F.regexp_replace(F.regexp_replace(F.coalesce(t, F.lit("")), "\\s+", " "), "^ | \\z", "") for t in (answer, source))
     return ((F.length(s) > MIN_SOURCE) & a.contains(s)) | (a == s)
+
+
+def unified_changes(df: DataFrame, item: str, diff: str = "diff") -> DataFrame:
+    """(item, file, hunks, added, removed) of the files of a unified diff. Lines before the first header of a file count for the file named ''; of a header pair the new name counts, or the old one where the file is gone."""
+    lines = df.select(item, F.posexplode(F.split(F.coalesce(F.col(diff), F.lit("")), "\r?\n")).alias("pos", "line"))
+    order = Window.partitionBy(item).orderBy("pos")
+    # a header is a pair of lines, so that a removed line that begins with two hyphens is none
+    old = F.col("line").startswith("--- ") & F.lead("line").over(order).startswith("+++ ")
+    head = F.coalesce(old, F.lit(False))
+    name = lambda c: F.regexp_replace(F.split(F.substring(c, 5, 10_000), "\t")[0], "^[ab]/", "")
+    new = name(F.lead("line").over(order))
+    named = F.when(head, F.when(new == "/dev/null", name(F.col("line"))).otherwise(new))
+    marked = lines.withColumns({"head": head, "second": F.coalesce(F.lag(head).over(order), F.lit(False)), "named": named})
+    marked = marked.withColumns({"part": F.count("named").over(order.rowsBetween(Window.unboundedPreceding, 0)), "file": F.coalesce(F.last("named", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(""))})
+    body = marked.where("not head and not second")
+    out = body.groupBy(item, "part", "file").agg(F.count_if(F.col("line").startswith("@@")).alias("hunks"), F.count_if(F.col("line").startswith("+")).alias("added"), F.count_if(F.col("line").startswith("-")).alias("removed"))
+    return out.where("hunks + added + removed > 0").drop("part")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
@@ -158,3 +158,15 @@ def loops(text: Column) -> Column:
 
 def tripled_block(text: Column) -> Column:
     return _tripled(F.coalesce(text, F.lit("")))
+
+
+#: Fixed: shares of segments, loops and trigrams in the whole score, and the score from which a text is repetitive.
+SHARES, REPETITIVE = (0.35, 0.4, 0.25), 0.3
+
+
+def full_repetition(df: DataFrame, saturation: DataFrame, item: str, text: str = "text") -> DataFrame:
+    """(item, score, repetitive): segments, loops and the saturation of trigrams (item, score) together."""
+    parts = df.select(item, repetition(F.col(text))["score"].alias("segments"), loops(F.col(text))["ratio"].alias("loops")).join(saturation.select(item, F.col("score").alias("grams")), item, "left")
+    whole = sum((F.coalesce(c, F.lit(0.0)) * w for c, w in zip(("segments", "loops", "grams"), SHARES)), F.lit(0.0))
+    score = F.least(F.lit(1.0), whole)
+    return parts.select(item, F.round(score, 6).alias("score"), (score >= REPETITIVE).cast("int").alias("repetitive"))

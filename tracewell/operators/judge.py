@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed thresholds.
 RELIABLE, CALIBRATED, EXACT, BIAS, PASS, SURE = 0.8, 0.85, 0.5, 0.5, 0.6, 0.7
@@ -42,3 +46,89 @@ def verdicts(scores: DataFrame) -> DataFrame:
     df = scores.groupBy("item").agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("s"), F.avg("confidence").alias("c"))
     verdict = F.when(F.col("c") < SURE, "needs-human-review").when(F.col("s") >= PASS, "pass").otherwise("fail")
     return df.select("item", F.round("s", 6).alias("score"), F.round("c", 6).alias("confidence"), verdict.alias("verdict"))
+
+
+def parse_responses(responses: DataFrame, item: str, text: str = "response") -> DataFrame:
+    """(item, criterion, score, confidence, n_evidence) of the scores in judges' JSON answers, wherever it stands in the text: bare, in a fenced block, or after prose.
+
+    A score that is no number counts as 0, a confidence that is none as 0.5, others are held between 0 and 1. Answers without a list of scores give no rows: see `unreadable`.
+    """
+    score = "STRUCT<criterionId: STRING, score: STRING, confidence: STRING, evidence: ARRAY<STRING>>"
+    found = F.from_json(_json_of(F.coalesce(F.col(text), F.lit(""))), f"scores ARRAY<{score}>")
+    each = responses.select(item, F.explode(found["scores"]).alias("s")).where("s.criterionId is not null")
+    number = lambda c, default: F.coalesce(F.col(c).try_cast("double"), F.lit(default))
+    return each.select(item, F.col("s.criterionId").alias("criterion"), number("s.score", 0.0).alias("score"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number("s.confidence", 0.5))).alias("confidence"), F.greatest(F.size("s.evidence"), F.lit(0)).alias("n_evidence"))
+
+
+def unreadable(responses: DataFrame, item: str, text: str = "response") -> DataFrame:
+    """(item, problem) of answers without JSON, or without a list of scores in it."""
+    found = _json_of(F.coalesce(F.col(text), F.lit("")))
+    parsed = F.try_parse_json(found)
+    listed = F.from_json(found, "scores ARRAY<STRING>")["scores"].isNotNull()
+    problem = F.when(found.isNull(), "no JSON").when(parsed.isNull(), "not valid JSON").when(~listed, "no list of scores")
+    return responses.select(item, problem.alias("problem")).where("problem is not null")
+
+
+def balanced(text: str) -> str | None:
+    """The first JSON object or array of a text that begins with one, up to its closing bracket; brackets inside strings do not count."""
+    pairs = {"{": "}", "[": "]"}
+    if text[:1] not in pairs:
+        return None
+    opened, closed, depth = text[0], pairs[text[0]], 0
+    for token in _TOKENS.finditer(text):
+        depth += (token[0] == opened) - (token[0] == closed)
+        if not depth:
+            return text[: token.end()]
+    return None
+
+
+#: Strings (which may hold brackets), or brackets.
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
+_FENCE = re.compile(r"```(?:json)?\s*\n?([\s\S]*?)\n?\s*```")
+
+
+def json_of(text: str) -> str | None:
+    """The JSON in a judge's answer: the text itself, the first fenced block, or the first object."""
+    if (whole := balanced(text.strip())) is not None:
+        return whole
+    if (fence := _FENCE.search(text)) and fence[1]:
+        return fence[1].strip()
+    at = text.find("{")
+    return balanced(text[at:]) if at >= 0 else None
+
+
+@F.pandas_udf(StringType())
+def _json_of(text: pd.Series) -> pd.Series:
+    return text.map(json_of)
+
+
+def rubric_scores(parsed: DataFrame, rubric: DataFrame, item: str) -> DataFrame:
+    """(item, criterion, score 0 to 1, weight, confidence) of every criterion of a rubric (criterion, weight, low, high) for each item: scores are held inside their levels; one that the judge left out counts as 0 without confidence. Of several the first by score counts.
+    Others are ignored."""
+    own = parsed.groupBy(item, "criterion").agg(F.min(F.struct("score", "confidence")).alias("s"))
+    every = parsed.select(item).distinct().crossJoin(F.broadcast(rubric))  # a rubric has a handful of criteria
+    held = F.greatest("low", F.least("high", "s.score"))
+    share = F.when(F.col("s").isNull() | (F.col("high") <= F.col("low")), 0.0).otherwise((held - F.col("low")) / (F.col("high") - F.col("low")))
+    return every.join(own, [item, "criterion"], "left").select(item, "criterion", share.alias("score"), "weight", F.coalesce("s.confidence", F.lit(0.0)).alias("confidence"))
+
+
+def weighted_verdicts(scores: DataFrame, item: str, passing: float = PASS, sure: float = SURE) -> DataFrame:
+    """(item, score, confidence, verdict) from `rubric_scores`, both means weighted."""
+    mean = lambda c: F.sum(F.col(c) * F.col("weight")) / F.sum("weight")
+    df = scores.groupBy(item).agg(mean("score").alias("s"), mean("confidence").alias("c"))
+    verdict = F.when(F.col("c") < sure, "needs-human-review").when(F.col("s") >= passing, "pass").otherwise("fail")
+    return df.select(item, F.round("s", 6).alias("score"), F.round("c", 6).alias("confidence"), verdict.alias("verdict"))
+
+
+def calibration_drift(baseline: DataFrame, current: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """(criterion, bias_delta, mae_delta, drifted) of criteria in both sets of pairs (criterion, expected, actual), and a row with criterion null for all pairs together (there mae_delta is that of the share within one)."""
+    d = F.col("actual") - F.col("expected")
+
+    def measured(pairs: DataFrame, name: str) -> DataFrame:
+        return pairs.rollup("criterion").agg(F.avg(d).alias(f"{name}_bias"), F.avg(F.abs(d)).alias(f"{name}_mae"), F.avg((F.abs(d) <= 1).cast("int")).alias(f"{name}_near"))
+
+    a, b = measured(baseline, "was"), measured(current, "now").withColumnRenamed("criterion", "c")
+    both = b.join(a, F.col("c").eqNullSafe(F.col("criterion")))
+    bias = F.col("now_bias") - F.col("was_bias")
+    other = F.when(F.col("c").isNull(), F.col("now_near") - F.col("was_near")).otherwise(F.col("now_mae") - F.col("was_mae"))
+    return both.select(F.col("c").alias("criterion"), F.round(bias, 6).alias("bias_delta"), F.round(other, 6).alias("mae_delta"), ((F.abs(bias) > threshold) | (F.abs(other) > threshold)).cast("int").alias("drifted"))

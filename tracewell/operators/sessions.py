@@ -206,7 +206,7 @@ def triage_facts(df: DataFrame, limits: Limits = Limits(), stale_only: bool = Tr
     df = df.withColumns({"tripped": F.when(clean, tripped).otherwise(kinds), "flagged": F.when(clean, F.size(tripped) > 0).otherwise(stale)}).where("flagged")
     costly = (F.col("tokens") >= limits.costly_tokens) | F.coalesce(F.col("runtime_ms") >= limits.costly_ms, F.lit(False))
     cost = F.col("tokens") / 1_000_000 * limits.dollars_per_million
-    kind = F.when(clean, F.element_at("tripped", 1)).otherwise(broken)
+    kind = F.when(clean, F.get("tripped", F.lit(0))).otherwise(broken)
     return df.select("session_id", kind.alias("kind"), "tokens", "runtime_ms", costly.cast("int").alias("costly"), round6(cost).alias("projected_usd"), F.array_join("tripped", ",").alias("issue_kinds"))
 
 

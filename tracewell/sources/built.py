@@ -125,7 +125,7 @@ def triage(built: Built, limits: sessions.Limits = sessions.Limits(), stale_only
     """Flagged sessions of any reader, with the text channel: the share of repeated text of clean sessions with enough texts, and signs of abandonment in the output of the others."""
     texts = built.events.where("text is not null").groupBy("session_id").agg(F.count("*").alias("n_assistant"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("texts"))
     joined = F.array_join(F.transform("texts", lambda t: t["text"]), "\n")
-    output = F.element_at("texts", -1)["text"] if built.last_text else F.substring(joined, 1, OUTPUT)
+    output = F.try_element_at("texts", F.lit(-1))["text"] if built.last_text else F.substring(joined, 1, OUTPUT)
     df = built.sessions.join(texts.select("session_id", "n_assistant", joined.alias("all_text"), output.alias("output")), "session_id", "left").fillna(0, ["n_assistant"])
     repeats = (F.col("clean") == 1) & (F.col("n_assistant") >= limits.least_segments) & (F.length(F.trim("all_text")) >= LEAST_TEXT)
     searched = F.when(repeats, F.col("all_text"))
