@@ -6,6 +6,8 @@ fold over the segments of one text.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,19 +55,29 @@ def _similar(a: str, b: str) -> bool:
 
 
 def repeated(found: list[str]) -> dict[str, float | int]:
-    """Every segment joins the first class whose first member it resembles. An index of exact texts spares the search for copies: a copy joins where its equal did."""
+    """Every segment joins the first class whose first member it resembles. An index of exact texts spares the search for copies: a copy joins where its equal did. Others are compared only with first members that share one of their longest words with
+    them, as two texts so alike must: of m words in a fixed order the first m - SIMILARITY m + 1 of both have one in common."""
     heads: list[tuple[str, int]] = []
     counts: list[int] = []
     home: dict[str, int] = {}
+    by_word: dict[str, list[int]] = {}
+
+    def leading(key: str) -> list[str]:
+        words = sorted(set(key.split()), key=lambda w: (-len(w), w))
+        return words[: len(words) - math.ceil(SIMILARITY * len(words) - 1e-9) + 1]
+
     for s in found:
         key = _plain(s)
         at = home.get(key)
         if at is None:
-            at = next((i for i, (head, _) in enumerate(heads) if _similar(key, head)), None)
+            first = leading(key)
+            at = next((i for i in sorted({i for w in first for i in by_word.get(w, ())}) if _similar(key, heads[i][0])), None)
             if at is None:
                 at = len(heads)
                 heads.append((key, len(s)))
                 counts.append(0)
+                for w in first:
+                    by_word.setdefault(w, []).append(at)
             home[key] = at
         counts[at] += 1
     extra = sum(n - 1 for n in counts)

@@ -12,6 +12,8 @@ def in_session():
     return Window.partitionBy("session_id").orderBy("pos")
 
 OUTPUTS = ("output", "tool_call", "tool_result")
+#: A further call of an event that has several: it counts as a call, not as an event.
+FURTHER_CALL = "further_call"
 
 
 @dataclass(frozen=True)
@@ -90,7 +92,7 @@ def facts(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     To the columns of `sessions` come n_stale (gaps over the limit), longest_beats, n_calls, top_sig, top_count, streak.
     """
     now = in_session().rowsBetween(Window.unboundedPreceding, 0)
-    call, beat = F.col("type") == "tool_call", F.col("type") == "heartbeat"
+    call, beat = F.col("type").isin("tool_call", FURTHER_CALL), F.col("type") == "heartbeat"
     sig = F.when(call, F.coalesce("tool_sig", F.lit("")))
     df = events.withColumns(
         {
@@ -109,6 +111,7 @@ def facts(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.min("ts_ms").alias("first_ms"),
         F.max("ts_ms").alias("last_ms"),
         F.count("*").alias("n"),
+        F.count_if(F.col("type") != FURTHER_CALL).alias("n_events"),
         F.count_if(F.col("type") == "error").alias("n_errors"),
         F.count_if(F.col("type").isin(*OUTPUTS)).alias("n_outputs"),
         F.sum("tokens").alias("tokens"),
@@ -125,7 +128,7 @@ def facts(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.min("model").alias("model"),
         F.min("first_ms").alias("first_ms"),
         F.max("last_ms").alias("last_ms"),
-        F.sum("n").alias("n_events"),
+        F.sum("n_events").alias("n_events"),
         F.sum("n_errors").alias("n_errors"),
         F.sum("n_outputs").alias("n_outputs"),
         F.sum("tokens").alias("tokens"),

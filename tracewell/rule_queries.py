@@ -55,7 +55,7 @@ def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("o_orderstatus") == "O", "pass").when(F.col("o_orderstatus") == "F", "fail").otherwise("partial")
     runs = o.select(F.col("o_orderkey").cast("string").alias("run_id"), F.concat(F.lit("w"), (F.col("o_custkey") % 10).cast("string")).alias("worker"), said.alias("outcome"), F.floor("o_totalprice").cast("long").alias("reported_ms"))
     late = F.count_if(F.col("l_returnflag") == "R")
-    by_run = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").groupBy("l_orderkey").agg(late.alias("late"), F.floor(F.sum("l_extendedprice")).cast("long").alias("ms"))
+    by_run = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(late.alias("late"), F.floor(F.sum("l_extendedprice")).cast("long").alias("ms"))
     none = F.lit(None)
     by_run = by_run.select(F.col("l_orderkey").cast("string").alias("run_id"), none.cast("string").alias("worker"), F.when(F.col("late") > 1, "error").when(F.col("late") == 1, "running").otherwise("ok").alias("exit_status"), none.cast("int").alias("exit_code"), F.col("ms").alias("measured_ms"))
     by_worker = spark.range(5).select(none.cast("string").alias("run_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("worker"), none.cast("string").alias("exit_status"), (F.col("id") % 2).cast("int").alias("exit_code"), none.cast("long").alias("measured_ms"))
@@ -92,7 +92,7 @@ h AS (SELECT *, list_transform(regexp_extract_all(x, {q(markdown.HEADING)}, 1),
 SELECT doc_id, blocks, len(lv) AS headings, coalesce(list_max(lv), 0) AS deepest, len(list_filter(generate_series(2, len(lv)), lambda i: lv[i] > lv[i - 1] + 1)) AS skips, len(list_filter(['introduction', 'license'], lambda s: NOT list_contains(names, s))) AS missing FROM h"""
 _URLS = rf"SELECT DISTINCT page_id, regexp_replace(unnest(regexp_extract_all(concat_ws(' ', 'see', '(' || url || ').', html), {q(references.URL)})), '[.)>,;:!?]+\z', '') AS value FROM pages"
 _VERIFIED = """WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_custkey % 10 AS wk, CASE o_orderstatus WHEN 'O' THEN 'pass' WHEN 'F' THEN 'fail' ELSE 'partial' END AS said, CAST(floor(o_totalprice) AS BIGINT) AS ms FROM orders),
-md AS (SELECT CAST(l_orderkey AS VARCHAR) AS run_id, count(*) FILTER (l_returnflag = 'R') AS late, CAST(floor(sum(l_extendedprice)) AS BIGINT) AS real FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey),
+md AS (SELECT CAST(l_orderkey AS VARCHAR) AS run_id, count(*) FILTER (l_returnflag = 'R') AS late, CAST(floor(sum(l_extendedprice)) AS BIGINT) AS real FROM lineitem GROUP BY l_orderkey),
 j AS (SELECT r.*, late IS NULL AND wk > 4 AS none, CASE WHEN late > 1 THEN 'fail' WHEN late = 1 THEN 'running' WHEN late = 0 THEN 'pass' WHEN wk < 5 THEN CASE WHEN wk % 2 = 0 THEN 'pass' ELSE 'fail' END END AS truth, real FROM r LEFT JOIN md USING (run_id)),
 k AS (SELECT *, CAST(said = 'pass' AND coalesce(truth, '') = 'fail' AS INT) AS e, CAST(coalesce(truth, '') = 'running' AS INT) + CAST(said = 'fail' AND coalesce(truth, '') = 'pass' AS INT) + CAST(coalesce(ms > 0 AND abs(ms - real) > 60000 AND (real = 0 OR ms / CAST(real AS DOUBLE) NOT BETWEEN 0.66 AND 1.5), false) AS INT) AS w FROM j)
 SELECT run_id, 'w' || wk AS worker, CASE WHEN none THEN 0.0 ELSE round(greatest(0.0, 1 - 0.6 * e - 0.2 * w), 6) END AS score, CASE WHEN none THEN 'skip' WHEN e > 0 THEN 'fail' WHEN w > 0 THEN 'warn' ELSE 'pass' END AS status, CASE WHEN none THEN 0 ELSE e END AS n_errors, CASE WHEN none THEN 0 ELSE w END AS n_warnings FROM k"""

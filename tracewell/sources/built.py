@@ -102,7 +102,7 @@ def export(records: DataFrame) -> Built:
 
 
 def logs(lines: DataFrame, trajectories: DataFrame) -> Built:
-    """Messages of session logs: what the user and the assistant say is output, a message with calls a call (with the first one's signature), a result a result; custom records of errors are errors. A session that timed out counts the timeout as an issue."""
+    """Messages of session logs: what the user and the assistant say is output, a message with calls a call (its other calls count as calls only), a result a result; custom records of errors are errors. A session that timed out counts the timeout as an issue."""
     built = session_logs.log_sessions(lines, trajectories)
     m, told = F.col("message"), F.coalesce("data", F.lit(""))
     error = (F.col("type") == "custom") & (F.coalesce("customType", F.lit("")).rlike(session_logs.ERROR) | told.rlike(session_logs.TIMEOUT))
@@ -111,10 +111,11 @@ def logs(lines: DataFrame, trajectories: DataFrame) -> Built:
     says = F.when(F.size(blocks) > 0, F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")).otherwise(F.when(~F.startswith(F.ltrim(m["content"]), F.lit("[")), m["content"]))
     assistant = m["role"] == "assistant"
     kind = F.when(error, "error").when(m["role"] == "toolResult", "tool_result").when(assistant & (F.size(calls) > 0), "tool_call").otherwise("output")
-    one = calls[0]
-    own = lines.where((F.col("type") == "message") | error).select(
-        "session_id", session_logs._millis(F.col("timestamp")).alias("ts_ms"), kind.alias("type"), F.when(assistant & (F.size(calls) > 0), signature(one["name"], one["arguments"])).alias("tool_sig"), F.when(assistant, F.nullif(F.trim(says), F.lit(""))).alias("text"), F.lit(0).cast("long").alias("at")
-    )
+    none = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments")))
+    each = F.when(assistant & (F.size(calls) > 0), F.transform(calls, lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")))).otherwise(none)
+    rows = lines.where((F.col("type") == "message") | error).select("session_id", session_logs._millis(F.col("timestamp")).alias("ts_ms"), kind.alias("kind"), F.when(assistant, F.nullif(F.trim(says), F.lit(""))).alias("said"), F.posexplode(each).alias("i", "c"))
+    first = F.col("i") == 0
+    own = rows.select("session_id", "ts_ms", F.when(first, F.col("kind")).otherwise(sessions.FURTHER_CALL).alias("type"), F.when(F.col("kind") == "tool_call", signature(F.col("c.name"), F.col("c.arguments"))).alias("tool_sig"), F.when(first, F.col("said")).alias("text"), F.col("i").cast("long").alias("at"))
     built = built.withColumn("runtime_ms", F.col("last_ms") - F.col("first_ms"))
     built = built.withColumn("told_timeout", ((F.col("timed_out") == 1) & (F.col("clean") == 0) & (F.col("runtime_ms") > 1)).cast("int"))
     edges = _edges(built, F.lit(None).cast("long"), F.col("last_ms"), F.col("clean") == 1)
