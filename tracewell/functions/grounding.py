@@ -77,31 +77,48 @@ def verified(df: DataFrame, item: str, answer: str = "answer", reference: str =
     """(item, claim, likeness, status): each claim of an answer against the best window of words of its reference.
 
     Windows are twice as long as the claim, or window / 5 words if that is more, and start a third of their length apart.
-    A claim meets the windows inside its own row, one after the other, so nothing is shuffled and no pairs are emitted.
+    An item stays one row until its claims are judged: its reference is cut into words once, and nothing is shuffled or copied for each claim.
     """
-    c = df.select(item, F.coalesce(F.col(reference), F.lit("")).alias("_ref"), F.explode(claims(F.col(answer))).alias("claim"))
-    c = c.withColumn("_w", F.split("_ref", "\\s+")).withColumn("_n", F.greatest(F.size(F.split("claim", "\\s+")) * 2, F.lit(-(-window // 5))))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_w") - F.col("_n")), F.greatest(F.lit(1), F.floor(F.col("_n") / 3).cast("int")))
-    c = c.withColumn("_c", content_words(F.col("claim")))
-
-    def better(best: Column, i: Column) -> Column:
-        passage = F.concat_ws(" ", F.slice(F.col("_w"), i + 1, F.col("_n")))
-        found = F.struct(overlap(F.col("_c"), content_words(passage)).alias("likeness"), passage.alias("passage"))
-        return F.element_at(F.transform(F.array(found), lambda x: F.when(x["likeness"] > best["likeness"], x).otherwise(best)), 1)
-
-    best = F.aggregate(starts, F.struct(F.lit(0.0).alias("likeness"), F.lit("").alias("passage")), better)
-    exact = F.struct(F.lit(1.0).alias("likeness"), F.col("claim").alias("passage"))
-    c = c.withColumn("_b", F.when(F.lower("_ref").contains(F.lower("claim")), exact).otherwise(best))
-    likeness, passage = F.col("_b.likeness"), F.col("_b.passage")
-    wrong = contradicts(F.col("claim"), passage, likeness)
-    status = (
-        F.when(F.col("claim").rlike(P.SELF_REFERENCE), "unverifiable")
-        .when(F.col("_ref") == "", "unverifiable")
-        .when(likeness >= 0.8, "grounded")
-        .when(likeness >= 0.4, F.when(wrong, "contradicted").when(likeness >= 0.7, "grounded").otherwise("partial"))
-        .otherwise("ungrounded")
-    )
-    return c.select(item, "claim", F.round(likeness, 6).alias("likeness"), status.alias("status"))
+    words = F.split("_ref", "\\s+")
+    c = df.select(item, F.coalesce(F.col(reference), F.lit("")).alias("_ref"), claims(F.col(answer)).alias("_claims")).where(F.size("_claims") > 0)
+    c = c.withColumns({"_words": words, "_low": F.lower("_ref")})
+    # the content words of each word of the reference: none spans a space
+    c = c.withColumn("_content", F.transform("_words", lambda w: F.regexp_extract_all(F.lower(w), F.lit("[a-z0-9_]{3,}"), F.lit(0))))
+
+    def judged(claim: Column) -> Column:
+        n = F.greatest(F.size(F.split(claim, "\\s+")) * 2, F.lit(-(-window // 5)))
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_words") - n), F.greatest(F.lit(1), F.floor(n / 3).cast("int")))
+        own = content_words(claim)
+
+        def better(best: Column, i: Column) -> Column:
+            likeness = overlap(own, F.array_distinct(F.flatten(F.slice("_content", i + 1, n))))
+            found = F.struct(likeness.alias("likeness"), i.alias("at"))
+            return bound(found, lambda x: F.when(x["likeness"] > best["likeness"], x).otherwise(best))
+
+        best = F.aggregate(starts, F.struct(F.lit(0.0).alias("likeness"), F.lit(-1).alias("at")), better)
+        passage = lambda x: F.when(x["at"] >= 0, F.concat_ws(" ", F.slice("_words", F.greatest(x["at"], F.lit(0)) + 1, n))).otherwise("")
+        exact = F.struct(F.lit(1.0).alias("likeness"), claim.alias("passage"))
+        near = bound(best, lambda x: F.struct(x["likeness"].alias("likeness"), passage(x).alias("passage")))
+        return bound(F.when(F.col("_low").contains(F.lower(claim)), exact).otherwise(near), lambda x: status(claim, x))
+
+    def status(claim: Column, found: Column) -> Column:
+        likeness = found["likeness"]
+        wrong = contradicts(claim, found["passage"], likeness)
+        kind = (
+            F.when(claim.rlike(P.SELF_REFERENCE), "unverifiable")
+            .when(F.col("_ref") == "", "unverifiable")
+            .when(likeness >= 0.8, "grounded")
+            .when(likeness >= 0.4, F.when(wrong, "contradicted").when(likeness >= 0.7, "grounded").otherwise("partial"))
+            .otherwise("ungrounded")
+        )
+        return F.struct(claim.alias("claim"), F.round(likeness, 6).alias("likeness"), kind.alias("status"))
+
+    return c.select(item, F.explode(F.transform("_claims", judged)).alias("c")).select(item, "c.*")
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def hallucination(claims_checked: DataFrame, item: str) -> DataFrame:
