@@ -111,8 +111,8 @@ def completeness(df: DataFrame, item: str, text: str = "text") -> DataFrame:
 
 def code_of(text: Column) -> Column:
     """What fenced blocks hold; without any, the text itself if it looks like code; else null."""
-    blocks = F.regexp_extract_all(text, F.lit("```[\\w]*\\n([\\s\\S]*?)(?:```|\\z)"), F.lit(1))
-    looks = text.rlike("[{}\\[\\]()]") & text.rlike("(?:function|class|const|let|var|if|for|while|import|export|def|fn)\\b")
+    blocks = F.regexp_extract_all(text, F.lit(P.CODE_BLOCK), F.lit(1))
+    looks = text.rlike(P.CODE_BRACKETS) & text.rlike(P.CODE_WORDS)
     return F.when(F.size(blocks) > 0, F.array_join(blocks, "\n")).when(looks, text)
 
 

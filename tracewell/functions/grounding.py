@@ -62,8 +62,8 @@ def overlap(a: Column, b: Column) -> Column:
 
 def claims(text: Column) -> Column:
     """Sentences of over ten characters outside code that state something."""
-    plain = F.regexp_replace(F.regexp_replace(text, "```[\\s\\S]*?```", " "), "`[^`\\n]+`", " ")
-    parts = F.filter(F.transform(F.split(plain, "(?<=[.!?])\\s+(?=[A-Z])|(?<=\\n)\\s*(?=[A-Z])"), trimmed), lambda s: F.length(s) > 10)
+    plain = F.regexp_replace(F.regexp_replace(text, P.FENCED_CODE, " "), P.INLINE_CODE, " ")
+    parts = F.filter(F.transform(F.split(plain, P.CLAIM_END), trimmed), lambda s: F.length(s) > 10)
     return F.filter(parts, lambda s: ~any_of(s, P.NON_CLAIM))
 
 
