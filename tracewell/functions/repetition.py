@@ -124,12 +124,14 @@ def tripled(s: str, least: int = 50) -> bool:
     """
     if len(s) < 3 * least:
         return False
-    codes = np.array([ord(c) for c in s], dtype=np.int32)
-    anchors: dict[str, list[int]] = {}
-    for a in range(0, len(s) - least + 1, least):
-        anchors.setdefault(s[a : a + least], []).append(a)
-    for at in range(len(s) - least + 1):
-        for a in anchors.get(s[at : at + least], ()):
+    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    grams = _gram_hashes(codes, least)
+    anchors = np.arange(0, len(grams), least)
+    order = np.argsort(grams[anchors], kind="stable")
+    keys = grams[anchors][order]
+    low, high = np.searchsorted(keys, grams), np.searchsorted(keys, grams, "right")
+    for at in np.flatnonzero(high > low).tolist():
+        for a in anchors[order[low[at] : high[at]]].tolist():
             p = at - a
             if p < least or a + 2 * p > len(s) + least:
                 continue
@@ -143,6 +145,15 @@ def tripled(s: str, least: int = 50) -> bool:
     return False
 
 
+def _gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every run of `size` characters, from sums of powers; what follows compares the characters themselves."""
+    step = 0x9E3779B97F4A7C15
+    powers, back = np.full(len(codes), step, np.uint64), np.full(len(codes) - size + 1, pow(step, -1, 1 << 64), np.uint64)
+    powers[0] = back[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers))])
+    return (sums[size:] - sums[:-size]) * np.cumprod(back)
+
+
 @F.pandas_udf(StructType().add("score", DoubleType()).add("ratio", DoubleType()).add("unique", LongType()).add("total", LongType()))
 def _repetition(found: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([repeated(list(x)) for x in found], columns=["score", "ratio", "unique", "total"])
