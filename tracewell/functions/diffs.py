@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+
+from tracewell.functions import patterns as P
 
 #: Likeness from which an answer is a copy of its source, and the shortest source that containment makes one.
 COPY, MIN_SOURCE = 0.8, 20
@@ -29,6 +31,50 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common(list(x), list(y)) for x, y in zip(a, b, strict=True)])
 
 
+def script(a: list[str], b: list[str]) -> list[dict]:
+    """Lines kept, removed and added that turn a into b, in order, along a longest common subsequence: op, old and new line numbers (from 1) and the line. The rows of `common` are kept and read backwards."""
+    places: dict[str, int] = {}
+    for i, line in enumerate(a):
+        places[line] = places.get(line, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows = [full]
+    for line in b:
+        hits = rows[-1] & places.get(line, 0)
+        rows.append((rows[-1] + hits | rows[-1] - hits) & full)
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        if i and (not j or rows[j] >> (i - 1) & 1):
+            i -= 1
+            out.append({"op": "remove", "old": i + 1, "new": None, "line": a[i]})
+        elif not i or not rows[j - 1] >> (i - 1) & 1:
+            j -= 1
+            out.append({"op": "add", "old": None, "new": j + 1, "line": b[j]})
+        else:
+            i, j = i - 1, j - 1
+            out.append({"op": "keep", "old": i + 1, "new": j + 1, "line": a[i]})
+    return out[::-1]
+
+
+@F.pandas_udf(ArrayType(StructType().add("op", StringType()).add("old", LongType()).add("new", LongType()).add("line", StringType())))
+def _script(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([script(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+
+
+def hunks(df: DataFrame, item: str, before: str, after: str, context: int = 3) -> DataFrame:
+    """(item, hunk, kind, added, removed, first_line, last_line): changes with at most `context` kept lines between them. A hunk is cosmetic if its removed and added lines differ in white space only, reorder if only their order does, structural if one
+    declares or imports something, else content."""
+    every = df.select(item, F.posexplode(_script(all_lines(F.col(before)), all_lines(F.col(after)))).alias("at", "e")).select(item, "at", "e.*").where("op <> 'keep'")
+    order = Window.partitionBy(item).orderBy("at")
+    opens = F.coalesce((F.col("at") - F.lag("at").over(order) - 1 > context).cast("int"), F.lit(1))
+    marked = every.withColumn("opens", opens).withColumn("hunk", F.sum("opens").over(order))
+    of = lambda op: F.transform(F.filter(F.sort_array(F.collect_list(F.struct("at", "op", "line"))), lambda x: x["op"] == op), lambda x: F.regexp_replace(F.btrim(x["line"], F.lit(" \t\r")), "\\s+", " "))
+    line = F.coalesce("new", "old")
+    grouped = marked.groupBy(item, "hunk").agg(of("add").alias("adds"), of("remove").alias("removes"), F.min_by(line, "at").alias("first_line"), F.max_by(line, "at").alias("last_line"))
+    declares = F.exists(F.concat("adds", "removes"), lambda x: x.rlike(P.DECLARATION))
+    kind = F.when(F.col("adds") == F.col("removes"), "cosmetic").when((F.size("adds") > 0) & (F.sort_array("adds") == F.sort_array("removes")), "reorder").when(declares, "structural").otherwise("content")
+    return grouped.select(item, "hunk", kind.alias("kind"), F.size("adds").alias("added"), F.size("removes").alias("removed"), "first_line", "last_line")
+
+
 def all_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 

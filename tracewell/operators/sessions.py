@@ -81,6 +81,13 @@ def sessions(events: DataFrame) -> DataFrame:
     return _ended(agg)
 
 
+def stuck_outputs(events: DataFrame) -> DataFrame:
+    """(session_id, n, growing) of sessions with two outputs or more that have text: whether any is longer than the one before it."""
+    said = events.where(F.col("type").isin(*OUTPUTS) & F.col("text").isNotNull()).select("session_id", "pos", F.length("text").alias("size"))
+    grown = F.coalesce(F.col("size") > F.lag("size").over(in_session()), F.lit(False))
+    return said.withColumn("grown", grown).groupBy("session_id").agg(F.count("*").alias("n"), F.max("grown").alias("growing")).where("n >= 2")
+
+
 def _ended(agg: DataFrame) -> DataFrame:
     clean = (F.col("last_type") == "end") & (F.col("n_errors") == 0)
     return agg.withColumn("runtime_ms", F.col("last_ms") - F.col("first_ms")).withColumn("clean", clean.cast("int"))
