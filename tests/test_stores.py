@@ -46,6 +46,17 @@ def test_answers_of_judges(spark):
     assert (v.score, v.confidence, v.verdict) == (0.5625, 0.75, "fail")
 
 
+def test_rubrics(spark):
+    levels = spark.createDataFrame([("a", 3.0, 1), ("a", 3.0, 5), ("b", None, 0), ("b", None, 1), ("c", -1.0, 2), ("", 1.0, 1), ("", 1.0, 1)], "criterion string, weight double, level int")
+    good = judge.rubric_of(levels.where("criterion in ('a', 'b')"))
+    assert {r.criterion: (r.weight, r.low, r.high) for r in good.collect()} == {"a": (0.75, 1.0, 5.0), "b": (0.25, 0.0, 1.0)}
+    assert {(r.criterion, r.problem) for r in judge.rubric_problems(levels).collect()} == {("c", "has fewer than two levels"), ("c", "has no positive weight"), ("", "has no name"), ("", "has a level twice")}
+    parsed = spark.createDataFrame([(1, "a", 5.0, 0.9), (1, "b", 1.0, 0.9), (2, "a", 5.0, 0.9)], "id int, criterion string, score double, confidence double")
+    scores = judge.rubric_scores(parsed, good, "id")
+    got = {r.id: tuple(r)[1:] for r in judge.verdict_assertions(judge.weighted_verdicts(scores, "id"), scores, "id").collect()}
+    assert got == {1: (True, True, True, "a"), 2: (False, False, False, "b")}
+
+
 def test_score_store(spark, tmp_path):
     root = f"file://{tmp_path}/scores"
     assert score_store.read_scores(spark, root).count() == 0

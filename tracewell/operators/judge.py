@@ -132,3 +132,23 @@ def calibration_drift(baseline: DataFrame, current: DataFrame, threshold: float
     bias = F.col("now_bias") - F.col("was_bias")
     other = F.when(F.col("c").isNull(), F.col("now_near") - F.col("was_near")).otherwise(F.col("now_mae") - F.col("was_mae"))
     return both.select(F.col("c").alias("criterion"), F.round(bias, 6).alias("bias_delta"), F.round(other, 6).alias("mae_delta"), ((F.abs(bias) > threshold) | (F.abs(other) > threshold)).cast("int").alias("drifted"))
+
+
+def rubric_of(levels: DataFrame) -> DataFrame:
+    """(criterion, weight, low, high) from the levels of a rubric's criteria (criterion, weight, level): weights made to sum to 1, those not given counting as 1."""
+    own = levels.groupBy("criterion").agg(F.coalesce(F.max("weight"), F.lit(1.0)).alias("weight"), F.min("level").cast("double").alias("low"), F.max("level").cast("double").alias("high"))
+    return own.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
+
+
+def rubric_problems(levels: DataFrame) -> DataFrame:
+    """(criterion, problem) of criteria that cannot be judged by: without a name, with fewer than two levels, with a level twice, or with a weight that is not positive."""
+    per = levels.groupBy("criterion").agg(F.count("level").alias("n"), F.count_distinct("level").alias("distinct"), F.min("weight").alias("weight"))
+    rules = {"has no name": F.coalesce(F.trim("criterion"), F.lit("")) == "", "has fewer than two levels": F.col("n") < 2, "has a level twice": F.col("distinct") < F.col("n"), "has no positive weight": F.col("weight") <= 0}
+    found = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
+    return per.select("criterion", F.explode(found).alias("problem"))
+
+
+def verdict_assertions(verdicts: DataFrame, scores: DataFrame, item: str, least: float = PASS, sure: float = SURE) -> DataFrame:
+    """(item, passes, confident, meets_all, worst) of `weighted_verdicts` and `rubric_scores`: the verdict is pass, the confidence is enough, every criterion scores `least` or more, and the criterion that scores worst."""
+    per = scores.groupBy(item).agg(F.min("score").alias("low"), F.min(F.struct("score", "criterion")).alias("w"))
+    return verdicts.join(per, item).select(item, (F.col("verdict") == "pass").alias("passes"), (F.col("confidence") >= sure).alias("confident"), (F.col("low") >= least).alias("meets_all"), F.col("w.criterion").alias("worst"))
