@@ -1,11 +1,12 @@
 """JSON schemas, judges' answers, the score store, transcript facts and unified diffs on small cases."""
 
+import datetime
 import json
 
 import pytest
 
 from tracewell.functions import diffs, schemas
-from tracewell.operators import judge
+from tracewell.operators import fleet, judge
 from tracewell.sources import score_store, transcripts
 
 SCHEMA = {
@@ -93,6 +94,23 @@ def test_transcript_facts(spark):
     assert items == ["one goes on", "two", "three"]
 
 
+def test_transcripts_to_scores(spark):
+    good = "# Nightly\n## Task\nx\n## Actions Taken\n- a\n- b\n- c\n## Outcome\nPassed\n## Duration\n40 min\n"
+    bad = "## Actions Taken\n## Outcome\nFailed\n## Errors & Retries\nTwo timeouts happened\n## Duration\n2 min"
+    df = spark.createDataFrame([("w", "2026-03-07-0100", good), ("w", "2026-03-08-0500", bad), ("v", "2026-07-01-1200", "nothing")], "worker string, run_id string, text string").selectExpr("*", "DATE'2026-01-01' AS date")
+    events = transcripts.timeline(df, "America/Los_Angeles").cache()
+    got = {}
+    for r in events.orderBy("session_id", "pos").collect():
+        got.setdefault(r.session_id, []).append((r.type, r.ts_ms, r.text))
+    utc = lambda *x: int(datetime.datetime(*x, tzinfo=datetime.UTC).timestamp() * 1000)
+    t, u = utc(2026, 3, 7, 9, 0), utc(2026, 3, 8, 12, 0)  # before and after the clocks change
+    assert got["w/2026-03-07-0100"] == [("start", t, "Nightly"), ("output", t + 600_000, "a"), ("output", t + 1_200_000, "b"), ("output", t + 1_800_000, "c"), ("end", t + 2_400_000, "pass")]
+    assert got["w/2026-03-08-0500"] == [("start", u, "w run"), ("error", u + 119_999, "Two timeouts happened"), ("end", u + 120_000, "fail")] and len(got["v/2026-07-01-1200"]) == 1
+    scores = {(r.run_id[2:12], r.check): (r.score, r.status) for r in fleet.check_scores(events).collect()}
+    assert scores["2026-03-07", "staleness"] == (0.4, "fail") and scores["2026-03-07", "verification"] == (1.0, "pass")  # four gaps of ten minutes
+    assert scores["2026-03-08", "verification"] == (0.4, "fail") and scores["2026-03-08", "staleness"] == (0.5, "fail") and scores["2026-07-01", "staleness"][1] == "fail"
+
+
 def test_unified_diffs(spark):
     diff = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n line\n-old\n+new\n+more\n--- text that was removed\n@@ -9 +9 @@\n-a\n+b\n--- a/gone.txt\n+++ /dev/null\n@@ -1 +0,0 @@\n-bye"
     df = spark.createDataFrame([(1, diff), (2, ""), (3, None), (4, "+only\n-lines")], "id int, diff string")

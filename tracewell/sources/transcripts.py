@@ -111,3 +111,32 @@ def facts(transcripts: DataFrame) -> DataFrame:
     df = transcripts.select("worker", "run_id", "date", title(F.col("text")).alias("title")).join(by_run, ["worker", "run_id"], "left")
     df = df.fillna({"actions": 0, "outcome": "unknown", "had_errors": False, "n_have": 0})
     return df.withColumn("n_missing", F.lit(len(wanted)) - F.col("n_have")).drop("n_have")
+
+
+def started_ms(run_id: Column, zone: str = "-07:00") -> Column:
+    """The time in a run's name (YYYY-MM-DD-HHmm), read in a zone; one with summer time, such as America/Los_Angeles, has the offset of its date."""
+    local = F.to_timestamp_ntz(run_id, F.lit("yyyy-MM-dd-HHmm"))
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    return F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), utc) / 1000).cast("long")
+
+
+#: Fixed: characters of an event's text.
+EVENT_TEXT = 280
+
+
+def timeline(transcripts: DataFrame, zone: str = "-07:00") -> DataFrame:
+    """Run events (session_id, worker, model, pos, ts_ms, type, tokens, tool, tool_sig, text) of transcripts, for sessions, issues and check scores: a start, the actions taken spread evenly over the run, an error if there were some and the run did not pass, and an end with a known outcome."""
+    body = lambda slug: F.max(F.when(F.col("slug") == slug, F.col("body")))
+    parts = sections(transcripts).groupBy("worker", "run_id").agg(list_items(body("actions taken")).alias("items"), body("errors & retries").alias("errors"))
+    df = facts(transcripts).join(parts, ["worker", "run_id"], "left").withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "start": started_ms(F.col("run_id"), zone)})
+    end = F.col("start") + F.coalesce(F.col("duration_ms").cast("long"), F.lit(0).cast("long"))
+    span, n = F.coalesce(F.col("duration_ms"), F.lit(0.0)), F.size("items")
+    cut = lambda x: F.when(F.length(x) > EVENT_TEXT, F.concat(F.substring(x, 1, EVENT_TEXT - 1), F.lit("…"))).otherwise(x)
+    event = lambda ts, kind, text: F.struct(ts.cast("long").alias("ts_ms"), F.lit(kind).alias("type"), text.alias("text"))
+    actions = F.transform("items", lambda x, i: event(F.col("start") + F.round(span * (i + 1) / (n + 1)), "output", cut(x)))
+    first = F.array(event(F.col("start"), "start", F.coalesce(F.nullif("title", F.lit("")), F.concat("worker", F.lit(" run")))))
+    failed = F.when(F.col("had_errors") & (F.col("outcome") != "pass"), event(end - 1, "error", cut(F.col("errors"))))
+    last = F.when(F.col("outcome") != "unknown", event(end, "end", F.col("outcome")))
+    rows = df.where("start is not null").select(F.concat_ws("/", "worker", "run_id").alias("session_id"), "worker", F.posexplode(F.concat(first, actions, F.array_compact(F.array(failed, last)))).alias("i", "e"))
+    none = F.lit(None).cast("string")
+    return rows.select("session_id", "worker", none.alias("model"), (F.col("i") + 1).cast("long").alias("pos"), "e.ts_ms", "e.type", F.lit(0).cast("long").alias("tokens"), none.alias("tool"), none.alias("tool_sig"), "e.text")
