@@ -14,6 +14,7 @@ from tracewell.operators import claims, fleet, judge, sessions, traces
 from tracewell.operators.sessions import WEEKLY
 from tracewell.plans.views import run_events, table
 from tracewell.rule_queries import REGISTRY as RULE_QUERIES
+from tracewell.sources import built, exports
 from tracewell.text_queries import REGISTRY as TEXT_QUERIES
 from tracewell.text_queries import pairs as _pairs
 
@@ -120,6 +121,22 @@ def _upserted(o: DataFrame) -> DataFrame:
     return fleet.upsert_latest(o.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"), ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"])
 
 
+def _as_spans(e: DataFrame) -> DataFrame:
+    """Run events as OTLP exports, a span each: errors failed, calls with a tool's name and arguments, all with tokens."""
+    value = lambda text=None, number=None: F.struct((F.lit(None) if text is None else text).cast("string").alias("stringValue"), (F.lit(None) if number is None else number).cast("string").alias("intValue"), *(F.lit(None).cast(t).alias(n) for n, t in (("doubleValue", "double"), ("boolValue", "boolean"), ("arrayValue", "struct<values:array<struct<stringValue:string>>>"))))
+    pair = lambda key, v: F.struct(F.lit(key).alias("key"), v.alias("value"))
+    called = F.col("type") == "tool_call"
+    own = [pair("gen_ai.conversation.id", value(F.col("session_id"))), pair("gen_ai.usage.output_tokens", value(number=F.col("tokens")))]
+    more = [pair("gen_ai.operation.name", value(F.lit("execute_tool"))), pair("gen_ai.tool.name", value(F.lit("click"))), pair("gen_ai.tool.call.arguments", value(F.regexp_extract("tool_sig", "\\((.*)\\)$", 1)))]
+    attributes = F.when(called, F.array(*own, *more)).otherwise(F.array(*own))
+    nanos = F.concat(F.col("ts_ms").cast("string"), F.lit("000000"))
+    span = F.struct(
+        F.col("session_id").alias("traceId"), F.concat_ws("/", "session_id", "pos").alias("spanId"), F.col("type").alias("name"), nanos.alias("startTimeUnixNano"), nanos.alias("endTimeUnixNano"), attributes.alias("attributes"),
+        F.struct(F.when(F.col("type") == "error", "STATUS_CODE_ERROR").otherwise("STATUS_CODE_OK").alias("code"), F.lit(None).cast("string").alias("message")).alias("status"),
+    )
+    return e.select(F.from_json(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))), exports.OTLP)["resourceSpans"].alias("resourceSpans"))
+
+
 def _cost_ceiling(e: DataFrame, cap: float = 5.0) -> DataFrame:
     """Sessions of each worker, oldest first, as long as their running cost stays within the cap. Sums run inside a worker's day; the days before it add theirs, so that no task holds a worker."""
     df = sessions.sessions(e).select("worker", "session_id", "first_ms", "tokens", F.floor(F.col("first_ms") / fleet.DAY_MS).alias("day"))
@@ -156,6 +173,14 @@ _SEL = ["session_id", "worker", "model", "first_ms", "last_ms", "n_events", "n_e
 #: Name -> (query, SQL for DuckDB).
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "triage_rows": (_events(lambda e: sessions.triage(e, WEEKLY)), _RE + "SELECT * FROM triage"),
+    "triage_otlp": (
+        _events(lambda e: built.triage(built.otlp(_as_spans(e)), WEEKLY)),
+        _RE + """, o AS (SELECT s.session_id, tokens, runtime_ms, n_errors, n_events + 2 AS steps, CASE WHEN n_calls >= 4 THEN greatest(share, round(streak / CAST(n_calls AS DOUBLE), 6)) ELSE 0 END AS loop, s.n_events - n_errors AS good, runtime_ms > 518400000 AS late, (SELECT count(*) FROM g WHERE g.session_id = s.session_id AND gap > 172800000) AS gaps FROM s LEFT JOIN loops USING (session_id)),
+k AS (SELECT *, CASE WHEN n_errors = 0 THEN [CASE WHEN tokens >= 1000000 THEN 'over-cost' END, CASE WHEN runtime_ms >= 518400000 THEN 'over-latency' END, CASE WHEN steps >= 400 THEN 'excessive-steps' END, CASE WHEN loop >= 0.5 THEN 'loop-without-progress' END]
+  ELSE [CASE WHEN late THEN 'timeout' END, CASE WHEN gaps > 0 THEN 'stale_gap' END, CASE WHEN good = 0 THEN 'no_progress' END] END AS kinds FROM o)
+SELECT session_id, CASE WHEN n_errors = 0 THEN list_filter(kinds, lambda x: x IS NOT NULL)[1] WHEN late THEN 'timeout' ELSE 'abandoned' END AS kind, tokens, runtime_ms, CASE WHEN tokens >= 200000 OR runtime_ms >= 432000000 THEN 1 ELSE 0 END AS costly, round(tokens / 1000000.0 * 9, 6) AS projected_usd, array_to_string(list_filter(kinds, lambda x: x IS NOT NULL), ',') AS issue_kinds
+FROM k WHERE CASE WHEN n_errors = 0 THEN len(list_filter(kinds, lambda x: x IS NOT NULL)) > 0 ELSE late OR good = 0 OR gaps >= 3 END""",
+    ),
     "triage_by_kind": (_events(lambda e: sessions.triage_by_kind(sessions.triage(e, WEEKLY))), _RE + "SELECT kind, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM triage GROUP BY kind"),
     "triage_totals": (_events(lambda e: sessions.triage_totals(sessions.triage(e, WEEKLY))), _RE + "SELECT count(*) AS flagged, count(*) FILTER (costly = 1) AS costly, coalesce(round(sum(projected_usd) FILTER (costly = 1), 4), 0.0) AS projected_usd FROM triage"),
     "triage_topk": (_events(lambda e: sessions.triage_top(sessions.triage(e, WEEKLY))), _RE + "SELECT * FROM triage ORDER BY costly DESC, tokens DESC, runtime_ms DESC, session_id LIMIT 15"),

@@ -34,7 +34,8 @@ def otlp_spans(exports: DataFrame) -> DataFrame:
     number = lambda *k: F.coalesce(_attribute("attributes", k[0]).try_cast("long"), _attribute("attributes", k[1]).try_cast("long"), F.lit(0).cast("long"))
     reasons = F.get(F.reverse(F.filter("attributes", lambda a: a["key"] == "gen_ai.response.finish_reasons")), F.lit(0))["value"]
     listed = F.coalesce(F.transform(reasons["arrayValue"]["values"], lambda v: v["stringValue"]), F.when(reasons["stringValue"].isNotNull(), F.array(reasons["stringValue"])), F.array().cast("array<string>"))
-    millis = lambda c: F.floor(F.col(c).cast("double") / 1_000_000).cast("long")
+    # nanoseconds have more digits than a double
+    millis = lambda c: F.floor(F.col(c).try_cast("decimal(24,0)") / 1_000_000).cast("long")
     failed = F.coalesce(F.col("status.code").isin("STATUS_CODE_ERROR", "2"), F.lit(False)) | F.exists("events", lambda e: e["name"] == "exception")
     return span.select(
         F.coalesce(_attribute("attributes", "gen_ai.conversation.id", "session.id"), F.col("traceId")).alias("session_id"),
