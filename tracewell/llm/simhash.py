@@ -166,7 +166,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that with the least (doc_id, text digest), null doc_ids last; rows equal in both are interchangeable."""
     prints = materialise(simhash(docs), "op3-prints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
-    keep = _classes(prints, least).groupBy("component").agg(F.min("least").alias("least")).select(F.struct("least.doc_id", "least.text_key").alias("key"))
-    # equal rows are combined before the shuffle; the key is one struct, so that the join needs no shuffle of its own (null ids are equal inside a struct)
-    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key")).alias("key"), F.struct("*").alias("row"))
+    keep = _classes(prints, least).groupBy("component").agg(F.min("least").alias("least")).select(F.array("least.doc_id", "least.text_key").alias("key"))
+    # equal rows are combined before the shuffle; the key is one array, so that the join needs no shuffle of its own (null ids are equal inside an array)
+    rows = docs.select(F.array(F.col("doc_id").cast("long"), _text_key()).alias("key"), F.struct("*").alias("row"))
     return rows.dropDuplicates(["key"]).join(keep, "key", "left_semi").select(*unpacked("row", docs))
