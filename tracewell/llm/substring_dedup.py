@@ -100,12 +100,21 @@ def _chunk_kernel(min_words: int):
     return kernel
 
 
-def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, seed, digest, start_word, windows): every chunk of every text, with the digests of its windows; text_key tells texts of one doc_id apart."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
+def chunks(docs: DataFrame, min_words: int = MIN_WORDS, repeated_ids: bool = True) -> DataFrame:
+    """(doc_id, text_key, seed, digest, start_word, windows): every chunk of every text, with the digests of its windows; text_key tells texts of one doc_id apart (0, if no doc_id is said to repeat)."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("text_key", _text_key() if repeated_ids else F.lit(0).cast("long"))
     return map_text(slim, _chunk_kernel(min_words), "doc_id long, text_key long, seed long, digest long, start_word long, windows array<long>")
 
 
+def _text_key() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _has_repeated_ids(docs: DataFrame) -> bool:
+    """Some doc_id stands in several rows. Texts need keys of their own only then; without them all shuffles are smaller."""
+    return docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+
+
 def _shared_places(every: DataFrame) -> DataFrame:
     """Runs of windows that other documents have: (doc_id, text_key, start_word, n, first_doc_id, kept)."""
     seeds = every.groupBy("seed").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.min("digest").alias("low"), F.max("digest").alias("high"))
@@ -135,8 +144,8 @@ def _each(found: DataFrame) -> DataFrame:
     return each.select("doc_id", "text_key", "seed", "digest", (F.col("start_word") + F.col("i")).alias("start_word"))
 
 
-def _spans(docs: DataFrame, min_words: int, within: bool) -> DataFrame:
-    every = chunks(docs, min_words)
+def _spans(docs: DataFrame, min_words: int, within: bool, repeated_ids: bool) -> DataFrame:
+    every = chunks(docs, min_words, repeated_ids)
     places = _repeated_places(every) if within else _shared_places(every)
     in_text = Window.partitionBy("doc_id", "text_key").orderBy("start_word")
     end = F.col("start_word") + F.col("n")
@@ -153,13 +162,14 @@ def _spans(docs: DataFrame, min_words: int, within: bool) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, kept): spans that other documents have too (within: or that stand in the same one again); kept: no earlier document (within: no earlier place) has any window of it."""
-    return _spans(docs, min_words, within).drop("text_key")
+    return _spans(docs, min_words, within, _has_repeated_ids(docs)).drop("text_key")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
     """docs with the words cut out that lie in spans of earlier documents (within: of earlier places) and in none that is kept, so that every shared window stays whole in its owner; the rest of each text stays as it is, words rejoined by one space where cut."""
-    spans = _spans(docs, min_words, within).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "n_words", "kept")).alias("spans")).where(F.exists("spans", lambda s: ~s.kept))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    repeated_ids = _has_repeated_ids(docs)
+    spans = _spans(docs, min_words, within, repeated_ids).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "n_words", "kept")).alias("spans")).where(F.exists("spans", lambda s: ~s.kept))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), (_text_key() if repeated_ids else F.lit(0).cast("long")).alias("key"))
     words = F.regexp_extract_all(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
     holds = lambda i, kept: F.exists("spans", lambda s: (s.kept == F.lit(kept)) & (i >= s.start_word) & (i < s.start_word + s.n_words))
     left = F.filter(F.transform(words, lambda w, i: F.when(~holds(i, False) | holds(i, True), w)), lambda w: w.isNotNull())
