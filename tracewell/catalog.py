@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell import store_queries
 from tracewell.functions import assertions as A
 from tracewell.functions import repetition
 from tracewell.functions import text as T
@@ -251,7 +252,7 @@ FROM k WHERE CASE WHEN n_errors = 0 THEN len(list_filter(kinds, lambda x: x IS N
     "conversation_tokens": (_docs(lambda c: c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(T.tokens_estimate(F.col("text"))).alias("tokens")), "conversations"), "SELECT conv_id, count(*) AS turns, CAST(sum(CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id"),
     "url_well_formed": (_docs(lambda p: p.select("page_id", T.url_well_formed(F.col("url")).alias("well_formed"), T.slug(F.col("url")).alias("slug")), "pages"), r"SELECT page_id, CAST(coalesce(regexp_matches(url, '^https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(:[0-9]+)?([/?#][^ ]*)?$'), false) AS INT) AS well_formed, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages"),
 }
-REGISTRY |= TEXT_QUERIES | RULE_QUERIES
+REGISTRY |= TEXT_QUERIES | RULE_QUERIES | store_queries.registry(_RE)
 
 
 def queries() -> dict[str, Query]:

@@ -1,15 +1,11 @@
-"""The store of check scores: JSON lines by worker, read, upserted and written.
-
-Each write is a generation of its own below the root, partitioned by worker; the latest is the store, so that a write never changes what it reads, and one that fails leaves the store as it was. Files <worker>/scores.jsonl that others wrote count as generation 0.
-"""
+"""The store of check scores: JSON lines, apart for each worker, read, upserted and written by commits (sources/commits.py). Files <worker>/scores.jsonl that others wrote count for workers that no commit has touched yet."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.fleet import upsert_latest
+from tracewell.sources.commits import Files, Store
 
 KEY = ["worker", "runId", "check"]
 #: What a row must have to be a score.
@@ -24,47 +20,24 @@ def parse_scores(lines: DataFrame, column: str = "value") -> DataFrame:
     return df.where(F.col("status").isin(*STATUSES)).dropna(subset=[*KEY, "score"])
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.text(path)
-    except AnalysisException:
-        return None
-
-
-def generations(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the finished generations, ascending."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(path):
-        return []
-    names = [f.getPath() for f in fs.listStatus(path) if f.isDirectory() and f.getPath().getName().startswith("generation=")]
-    return sorted(int(p.getName().split("=")[1]) for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+def _files_of_others(spark: SparkSession, root: str) -> DataFrame:
+    files = Files(spark, root)
+    paths = [f"{root}/{name}/scores.jsonl" for name in files.names("") if name not in ("data", "log") and files.fs.exists(files.path(f"{name}/scores.jsonl"))]
+    return parse_scores(spark.read.text(paths)) if paths else spark.createDataFrame([], SCORE)
 
 
-def read_scores(spark: SparkSession, root: str) -> DataFrame:
-    """All scores of the store; none if there is no store."""
-    done = generations(spark, root)
-    lines = _lines(spark, f"{root}/generation={done[-1]}/*/*.txt*" if done else f"{root}/*/scores.jsonl")
-    return parse_scores(lines) if lines is not None else spark.createDataFrame([], SCORE)
+def store(spark: SparkSession, root: str) -> Store:
+    return Store(spark, root, SCORE, lambda: F.col("worker"), KEY, ["startedAtMs"], parse_scores, _files_of_others)
 
 
-def merged(existing: DataFrame, incoming: DataFrame, mode: str = "upsert") -> DataFrame:
-    """upsert: incoming rows replace those of their key (of several the last by startedAtMs); append: all rows stay; replace: incoming rows alone."""
-    if mode == "replace":
-        return incoming
-    both = existing.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    return (both if mode == "append" else upsert_latest(both, KEY, ["__new", "startedAtMs"])).drop("__new")
+def read_scores(spark: SparkSession, root: str, workers: list[str] | None = None) -> DataFrame:
+    """All scores of the store, or those of some workers; none if there is no store."""
+    df = store(spark, root).read()
+    return df if workers is None else df.where(F.col("worker").isin(*workers))
 
 
 def write_scores(incoming: DataFrame, root: str, mode: str = "upsert") -> dict[str, int]:
-    """Write the store with these rows in it; how many were added, how many replaced, and the total."""
-    spark = incoming.sparkSession
-    done = generations(spark, root)
-    existing = read_scores(spark, root)
-    keys = incoming.select(*KEY).distinct()
-    replaced = keys.join(existing.select(*KEY).distinct(), KEY, "left_semi").count() if mode == "upsert" else 0
-    out = merged(existing, incoming.select(*existing.columns), mode)
-    target = f"{root}/generation={(done[-1] if done else 0) + 1}"
-    out.select(F.to_json(F.struct(*out.columns)).alias("value"), F.col("worker").alias("of")).write.partitionBy("of").text(target)
-    total = read_scores(spark, root).count()
-    return {"added": (keys.count() if mode == "upsert" else incoming.count()) - replaced, "replaced": replaced, "total": total}
+    """Write the store with these rows in it; how many were added, how many replaced, and the total. Only the workers of the rows are written."""
+    at = store(incoming.sparkSession, root)
+    done = at.write(incoming, mode)
+    return {"added": done["added"], "replaced": done["replaced"], "total": at.read().count()}
