@@ -11,7 +11,7 @@ from tracewell.operators import fleet, sessions
 from tracewell.operators.sessions import WEEKLY
 from tracewell.plans.scratch import scratch_dir
 from tracewell.plans.views import run_events, table
-from tracewell.sources import annotations, score_store
+from tracewell.sources import annotations, fleet_database, score_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,20 @@ def unjudged_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations.unjudged(df.withColumn("started_at", F.col("first_ms")), done, events, 25).select("session_id", "first_ms")
 
 
+def fleet_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions, events and a judge's annotations in databases of their own, read by key ranges: the newest 40 sessions with errors that no judge has seen, with the numbers and tokens of their events."""
+    events, path = _events(spark, sf_dir), scratch_dir(spark, "fleet")
+    df = sessions.sessions(events).select("session_id", "worker", "first_ms", "n_errors")
+    fleet_database.write_table(df, f"{path}/sessions", "sessions")
+    fleet_database.write_table(events.select("session_id", "ts_ms", "type", "tokens"), f"{path}/events", "events")
+    fleet_database.write_table(df.where("n_errors % 2 = 0").select("session_id", F.lit("judge/rules").alias("author"), F.lit("insight").alias("annotation_type")), f"{path}/annotations", "annotations")
+    read = lambda name, columns, *where: fleet_database.read_table(spark, f"{path}/{name}", name, columns, where, 20_000)
+    failed = read("sessions", "session_id string, first_ms long", ("n_errors", ">", 0)).withColumn("started_at", F.col("first_ms"))
+    newest = annotations.unjudged(failed, read("annotations", "session_id string, author string, annotation_type string"), read("events", "session_id string"), 40)
+    own = read("events", "session_id string, type string, tokens long").join(newest, "session_id", "left_semi")
+    return own.groupBy("session_id", "type").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
 def registry(run_events_sql: str) -> dict[str, tuple[Query, str | None]]:
     return {
         "score_store_upsert": (score_store_upsert, run_events_sql + "SELECT worker, run_id, \"check\", CASE WHEN status <> 'pass' THEN score ELSE 0.0 END AS score, status FROM sc"),
@@ -59,5 +73,9 @@ def registry(run_events_sql: str) -> dict[str, tuple[Query, str | None]]:
             annotations_written,
             run_events_sql + "SELECT session_id, '[Tier-3 judge - opinion, not evidence] verdict=' || CASE WHEN has_end = 1 THEN 'pass confidence=medium (0.50)' ELSE 'fail confidence=high (0.82)' END || chr(10) || n_errors || ' errors' || CASE WHEN has_end = 1 THEN chr(10) || 'suggestions: retry; rest' ELSE '' END AS text, 'judge/rules' AS author, 'insight' AS annotation_type FROM s WHERE n_errors > 0",
         ),
+        "fleet_backlog": (
+            fleet_backlog,
+            run_events_sql + ", newest AS (SELECT session_id FROM s WHERE n_errors > 0 AND n_errors % 2 = 1 ORDER BY first_ms DESC, session_id LIMIT 40) SELECT session_id, type, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM re WHERE session_id IN (SELECT session_id FROM newest) GROUP BY session_id, type",
+        ),
         "unjudged_newest": (unjudged_newest, run_events_sql + "SELECT session_id, first_ms FROM s WHERE n_errors = 0 ORDER BY first_ms DESC, session_id LIMIT 25"),
     }
