@@ -68,7 +68,7 @@ def test_op10_sql(spark):
 
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         rel = con.execute(sql)

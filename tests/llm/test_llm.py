@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -112,6 +113,38 @@ def test_repeats_inside_a_document(spark):
     assert left[1] == texts[1][: 9 + 70 + 30] + texts[1][-5:] and left[2] == z + ["the"] * 51 and left[3] == texts[3]
 
 
+def test_all_else_of_a_text_stays(spark):
+    rng = np.random.default_rng(15)
+    prose = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**9, n))
+    repeat, other, tail = prose(80).replace(" ", "\n", 3), prose(55), prose(3)
+    texts = {
+        1: f"\ufeffIntro\r\n\r\n{repeat}\n{other}",
+        2: f"Title\n\n- item one\n- item two\n\n{repeat}\n\nEnd of\ttext  \n",
+        3: f"  é\t{other} \n",
+        4: f"{repeat}\n{other}\n\n* {tail}\n",
+        5: f"a\n{repeat}\nb\x0b{repeat}\tc\n",
+        6: None, 7: "", 8: "no\n\nrepeat here",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    assert left == texts | {2: "Title\n\n- item one\n- item two\n\nEnd of\ttext  \n", 3: "  é\t \n", 4: f"* {tail}\n", 5: "a\nb\x0bc\n"}
+    # twice the same row is one document
+    assert substring_dedup.repeated_spans(df.where("doc_id = 4").union(df.where("doc_id = 4")), within=True).count() == 0
+    with pytest.raises(TypeError, match="whole number"):
+        substring_dedup.repeated_spans(df.selectExpr("'x' AS doc_id", "text"))
+
+
+def test_many_spans_in_linear_time():
+    took = {}
+    for n in (2000, 8000, 32_000):
+        text = " ".join(f"w{i}" for i in range(60 * n))
+        start = time.time()
+        out = substring_dedup._without.func(*(pd.Series([x]) for x in (text, np.arange(n) * 60, np.full(n, 55), np.arange(n) % 2 == 0)))[0]
+        took[n] = time.time() - start
+        assert len(out.split()) == 60 * n - 55 * (n // 2)
+    assert took[32_000] < 16 * max(took[8000], 0.05) and took[32_000] < 6
+
+
 def test_runs_of_unrelated_pieces_are_no_spans(spark):
     rng = np.random.default_rng(12)
     pool = [[f"p{i}x{j}" for j in range(5)] for i in range(60)]

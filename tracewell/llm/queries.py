@@ -11,7 +11,7 @@ from tracewell.llm.common import table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), within=True)
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
