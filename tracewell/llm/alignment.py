@@ -32,8 +32,8 @@ from pyspark.sql.types import StructType
 from tracewell.llm.common import blocks, materialise, quoted, text_buffer
 
 #: Bytes of text in a block, and pieces encoded by one call.
-BLOCK = 6 << 20
-CALL = 20_000
+BLOCK = 4 << 20
+CALL = 5_000
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -239,10 +239,22 @@ def _sums(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 #: A block gives one row with its pairs and pieces, and one for each document.
-_ROWS = "block string, pairs array<long>, links array<long>, piece_links array<int>, piece_ends array<int>, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pieces array<int>"
+_ROWS = "block string, pairs array<long>, links array<long>, piece_links binary, piece_ends binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pieces binary"
 _NAMES = ["id", *(field.split()[0] for field in _ROWS.split(", "))]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 as bytes: all low bytes first, then all next ones, and so on, so that the compressor finds the zeros together."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def _block(aligner: Aligner, name: str, ids: pa.Array, texts: pa.Array) -> tuple[pa.RecordBatch, pa.RecordBatch]:
     words, firsts = cut(texts, aligner.in_pieces)
     coded = pc.dictionary_encode(words)
@@ -261,11 +273,12 @@ def _block(aligner: Aligner, name: str, ids: pa.Array, texts: pa.Array) -> tuple
     n, whole = len(texts), lambda values, kind: pa.array([values], pa.list_(kind))
     none = lambda k, kinds: [pa.nulls(k, t) for t in kinds]
     counts = [pa.int64()] * 4
-    head = [pa.array([name]), whole(pairs, pa.int64()), whole(links, pa.int64()), whole(where.astype(np.int32), pa.int32()), whole(np.cumsum(done.n_links).astype(np.int32), pa.int32())]
-    dictionary = pa.RecordBatch.from_arrays([*none(1, [ids.type]), *head, *none(1, [*counts, pa.string(), pa.list_(pa.int32())])], names=_NAMES)
+    head = [pa.array([name]), whole(pairs, pa.int64()), whole(links, pa.int64()), pa.array([packed(where)], pa.binary()), pa.array([packed(np.cumsum(done.n_links))], pa.binary())]
+    dictionary = pa.RecordBatch.from_arrays([*none(1, [ids.type]), *head, *none(1, [*counts, pa.string(), pa.binary()])], names=_NAMES)
     sums = [pa.array(_sums(x[place], firsts)) for x in (done.n_a, done.n_b, done.n_groups, done.n_links)]
-    listed = pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(place.astype(np.int32)))
-    documents = pa.RecordBatch.from_arrays([ids, pa.array([name] * n, pa.string()), *none(n, [pa.list_(pa.int64())] * 2 + [pa.list_(pa.int32())] * 2), *sums, pa.array(digests, pa.string()), listed], names=_NAMES)
+    bounds = firsts.tolist()
+    listed = pa.array([packed(place[s:e]) for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())
+    documents = pa.RecordBatch.from_arrays([ids, pa.array([name] * n, pa.string()), *none(n, [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]), *sums, pa.array(digests, pa.string()), listed], names=_NAMES)
     return dictionary, documents
 
 
@@ -310,17 +323,17 @@ def _scored(key: tuple, documents: pa.Table, scores: pa.Table) -> pa.Table:
     names = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     if not documents.num_rows:
         return pa.table([*out, pa.array([], pa.int64()), pa.array([], pa.int64()), documents.column("groups_sha256")], names=names)
-    flat = lambda c: pc.list_flatten(documents.column(c)).to_numpy()
-    links, ends, pieces = flat("piece_links"), flat("piece_ends"), flat("pieces")
+    flat = lambda c: np.concatenate([np.zeros(0, np.int64), *(unpacked(x) for x in documents.column(c).drop_null().to_pylist())])
+    links, ends = flat("piece_links"), flat("piece_ends")
     # pairs of pieces that no text uses have no count, nor a document that asks for it
     count, best = np.zeros(int(links.max(initial=-1)) + 1, np.int64), np.zeros(int(links.max(initial=-1)) + 1, np.int64)
     place = scores.column("place").to_numpy()
     count[place], best[place] = scores.column("count").to_numpy(), scores.column("best").to_numpy()
-    of_piece = np.concatenate([[0], ends]).astype(np.int64)
-    lengths = pc.fill_null(pc.list_value_length(documents.column("pieces")), 0).to_numpy()
-    firsts = _firsts(lengths)
-    sums = [pa.array(_sums(_sums(x[links], of_piece)[pieces], firsts)) for x in (best, count)]
-    whole = pa.table([*out, *sums, documents.column("groups_sha256")], names=names)
+    of_piece = np.concatenate([[0], ends])
+    best, count = _sums(best[links], of_piece), _sums(count[links], of_piece)
+    # one document at a time: its list of pieces is all that is unpacked at once
+    sums = [(int(best[p].sum()), int(count[p].sum())) for p in (unpacked(x) if x else np.zeros(0, np.int64) for x in documents.column("pieces").to_pylist())]
+    whole = pa.table([*out, *(pa.array([x[i] for x in sums], pa.int64()) for i in (0, 1)), documents.column("groups_sha256")], names=names)
     return whole.filter(pc.is_valid(documents.column("n_a")))  # without the row of the block itself
 
 
