@@ -11,7 +11,7 @@ from tracewell import store_queries
 from tracewell.functions import assertions as A
 from tracewell.functions import repetition
 from tracewell.functions import text as T
-from tracewell.operators import claims, fleet, judge, sessions, traces
+from tracewell.operators import claims, fleet, judge, sessions, similar, traces
 from tracewell.operators.sessions import WEEKLY
 from tracewell.plans.views import run_events, table
 from tracewell.rule_queries import REGISTRY as RULE_QUERIES
@@ -231,6 +231,13 @@ FROM k WHERE CASE WHEN n_errors = 0 THEN len(list_filter(kinds, lambda x: x IS N
     "full_repetition": (_docs(lambda d: repetition.full_repetition(d, _ngram_saturation(d), "doc_id")), None),
     "keyword_coverage": (_docs(lambda d: d.select("doc_id", A.keyword_coverage(F.col("text"), _KEYWORDS).alias("coverage"))), "SELECT doc_id, round((" + " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in _KEYWORDS) + f") / {len(_KEYWORDS)}.0, 6) AS coverage FROM documents"),
     "score_upsert": (_docs(_upserted, "lineitem"), "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1"),
+    "similar_documents": (
+        _docs(lambda d: similar.similar_items(d, "doc_id", similar.word_set("text"))),
+        f"""WITH w AS (SELECT doc_id, list_sort(list_distinct({_words("lower(text)")})) AS s FROM documents), c AS (SELECT min(doc_id) AS class_id, s, len(s) AS n FROM w GROUP BY s),
+p AS (SELECT a.class_id AS x, b.class_id AS y, len(list_intersect(a.s, b.s)) AS i, a.n + b.n AS m FROM c a JOIN c b ON a.class_id < b.class_id AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85 AND a.n > 0),
+l AS (SELECT class_id, count(*) AS k FROM (SELECT unnest([x, y]) AS class_id FROM p WHERE i * 100 >= (m - i) * 85) GROUP BY class_id)
+SELECT doc_id, c.class_id, coalesce(k, 0) AS n_links FROM w JOIN c USING (s) LEFT JOIN l USING (class_id)""",
+    ),
     "unjudged_anti_join": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "source"), "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
     "judged_semi_join": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_semi").select("doc_id", "source"), "SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
     "content_metrics": (
