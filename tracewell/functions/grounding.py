@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from tracewell.functions import patterns as P
 from tracewell.functions.completeness import any_of, trimmed
@@ -73,47 +81,137 @@ def contradicts(claim: Column, reference: Column, likeness: Column) -> Column:
     return (likeness >= 0.4) & F.exists(numbers[0], lambda a: F.exists(numbers[1], lambda b: (a != b) & (F.abs(a - b) / F.greatest(a, b, F.lit(1.0)) > 0.3)))
 
 
-def verified(df: DataFrame, item: str, answer: str = "answer", reference: str = "reference", window: int = 500) -> DataFrame:
-    """(item, claim, likeness, status): each claim of an answer against the best window of words of its reference.
+#: What a claim has besides its text: places in characters from 0, kind, and how sure its pattern is.
+_CLAIMS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("kind", StringType()).add("confidence", DoubleType()).add("claim", StringType()))
+
+
+@F.arrow_udf(_CLAIMS)
+def _chosen(spans: pa.Array, most: pa.Array) -> pa.Array:
+    """Of each list the spans that overlap none taken before, `most` of them at most, by place. Taken spans are disjoint and kept sorted, so a span meets its two neighbours only."""
+    flat = spans.flatten()
+    bounds = zip(flat.field("start").to_pylist(), flat.field("end").to_pylist())
+    out, ends, first = [], [0], 0
+    for n, limit in zip(pc.fill_null(spans.value_lengths(), 0).to_pylist(), most.to_pylist()):
+        taken: list[tuple[int, int, int]] = []
+        for i, (start, end) in zip(range(n), bounds):
+            at = bisect.bisect(taken, (start, end))
+            if len(taken) < limit and (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                taken.insert(at, (start, end, first + i))
+        first += n
+        out += [i for *_, i in taken]
+        ends.append(len(out))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.take(pa.array(out, pa.int64())))
+
+
+def typed_claims(text: Column, kinds: list[str] | None = None, least: float = 0.5, code: bool = False, most: int | None = None) -> Column:
+    """_CLAIMS: the claims of a text by their kinds. The patterns are tried in turn and a span that overlaps one found before goes; a span runs from the end of the sentence before (or of the match before) to the next one's beginning. At the end come sentences that look factual.
+    kinds, least: patterns that count, by name and by confidence; code: code blocks count too; most: only so many claims, the first found."""
+    plain = F.coalesce(text, F.lit(""))
+    source = plain if code else F.regexp_replace(F.regexp_replace(plain, P.FENCED_CODE, " "), P.INLINE_CODE, " ")
+    found = []
+    for kind, sign, confidence in P.CLAIM_KINDS:
+        if confidence >= least and (kinds is None or kind in kinds):
+            # a match begins at a sentence's beginning or where the last one ended, so a sentence without the sign is passed over once
+            pattern = r"((?:\G|^|(?<=[.!?\n]))[^.!?\n]*?" + sign.replace(r"\b", P.WORD_EDGE) + r"[^.!?\n]*)"
+            some = F.filter(F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), trimmed), lambda s: (F.length(s) >= 15) & ~any_of(s, P.NON_CLAIM))
+            found.append(_placed(plain, some, kind, confidence))
+    edge = P.FACTUAL.replace(r"\b", P.WORD_EDGE)
+    sentences = F.filter(F.transform(F.split(source, P.CLAIM_END), trimmed), lambda s: F.length(s).between(20, 500) & s.rlike(edge) & ~s.rlike(P.POINTING) & ~any_of(s, P.NON_CLAIM))
+    found.append(_placed(plain, sentences, "factual", 0.5))
+
+    return _chosen(F.concat(*found), F.lit(2**31 - 1 if most is None else most))
+
+
+def _placed(text: Column, claims_of: Column, kind: str, confidence: float) -> Column:
+    """_CLAIMS of some strings, each at its first place in the text; those that are not in it (cut out of code) go."""
+    at = lambda s: (F.instr(text, s) - 1).cast("int")
+    placed = F.transform(claims_of, lambda s: F.struct(at(s).alias("start"), (at(s) + F.length(s)).cast("int").alias("end"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), s.alias("claim")))
+    return F.filter(placed, lambda c: c["start"] >= 0).cast(_CLAIMS)
+
+
+_CONTENT = re.compile("[a-z0-9_]{3,}")
+_WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+class _Swept:
+    """A reference as an inverted list of the places of its content words. A claim's words mark the windows they stand in by running counts, so a claim costs its words' places and one number a window, not each window's words."""
+
+    def __init__(self, reference: str):
+        self.words = _WHITE.split(reference)
+        self.places: dict[str, np.ndarray] = {}
+        listed: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words):
+            for c in _CONTENT.findall(w.lower()):
+                own = listed.setdefault(c, [])
+                if not own or own[-1] != i:
+                    own.append(i)
+        self.places = {c: np.array(own) for c, own in listed.items()}
+        self.sizes: dict[int, np.ndarray] = {}
+
+    def _marks(self, places: np.ndarray, n: int, step: int, count: np.ndarray) -> None:
+        """Adds one to the running count of each window that holds one of the places, for its first place in it."""
+        before = np.concatenate([[-1], places[:-1]])
+        first = np.maximum(-(-(places - n + 1) // step), before // step + 1)
+        last = np.minimum(places // step, len(count) - 2)
+        some = (first := np.maximum(first, 0)) <= last
+        np.add.at(count, first[some], 1)
+        np.add.at(count, last[some] + 1, -1)
+
+    def best(self, claim: str, window: int) -> tuple[float, str]:
+        """Likeness and words of the window most like a claim; of equals the first."""
+        n = max(len(_WHITE.split(claim)) * 2, -(-window // 5))
+        step = max(1, n // 3)
+        windows = max(0, len(self.words) - n) // step + 1
+        if n not in self.sizes:
+            size = np.zeros(windows + 1, np.int64)
+            for places in self.places.values():
+                self._marks(places, n, step, size)
+            self.sizes[n] = np.cumsum(size)[:-1]
+        own = set(_CONTENT.findall(claim.lower()))
+        both = np.zeros(windows + 1, np.int64)
+        for places in (self.places[c] for c in own if c in self.places):
+            self._marks(places, n, step, both)
+        both = np.cumsum(both)[:-1]
+        likeness = np.where(both > 0, both / np.maximum(len(own) + self.sizes[n] - both, 1), 0.0)
+        at = int(likeness.argmax())
+        return (float(likeness[at]), " ".join(self.words[at * step : at * step + n])) if likeness[at] > 0 else (0.0, "")
+
+
+@F.pandas_udf(ArrayType(StructType().add("likeness", DoubleType()).add("passage", StringType())))
+def _swept(claims_of: pd.Series, references: pd.Series, windows: pd.Series) -> pd.Series:
+    out = []
+    for listed, reference, window in zip(claims_of, references, windows):
+        swept = _Swept(reference) if len(listed) else None
+        out.append([dict(zip(("likeness", "passage"), swept.best(c, window))) for c in listed])
+    return pd.Series(out, dtype=object)
+
+
+def verified(df: DataFrame, item: str, answer: str = "answer", reference: str = "reference", window: int = 500, typed: bool = False) -> DataFrame:
+    """(item, claim, likeness, status): each claim of an answer against the best window of words of its reference; typed: claims by their kinds (typed_claims) and a column kind, else whole sentences.
 
     Windows are twice as long as the claim, or window / 5 words if that is more, and start a third of their length apart.
-    An item stays one row until its claims are judged: its reference is cut into words once, and nothing is shuffled or copied for each claim.
+    An item stays one row until its claims are judged: its reference is indexed once, and nothing is shuffled or copied for each claim.
     """
-    words = F.split("_ref", "\\s+")
-    c = df.select(item, F.coalesce(F.col(reference), F.lit("")).alias("_ref"), claims(F.col(answer)).alias("_claims")).where(F.size("_claims") > 0)
-    c = c.withColumns({"_words": words, "_low": F.lower("_ref")})
-    # the content words of each word of the reference: none spans a space
-    c = c.withColumn("_content", F.transform("_words", lambda w: F.regexp_extract_all(F.lower(w), F.lit("[a-z0-9_]{3,}"), F.lit(0))))
-
-    def judged(claim: Column) -> Column:
-        n = F.greatest(F.size(F.split(claim, "\\s+")) * 2, F.lit(-(-window // 5)))
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_words") - n), F.greatest(F.lit(1), F.floor(n / 3).cast("int")))
-        own = content_words(claim)
-
-        def better(best: Column, i: Column) -> Column:
-            likeness = overlap(own, F.array_distinct(F.flatten(F.slice("_content", i + 1, n))))
-            found = F.struct(likeness.alias("likeness"), i.alias("at"))
-            return bound(found, lambda x: F.when(x["likeness"] > best["likeness"], x).otherwise(best))
-
-        best = F.aggregate(starts, F.struct(F.lit(0.0).alias("likeness"), F.lit(-1).alias("at")), better)
-        passage = lambda x: F.when(x["at"] >= 0, F.concat_ws(" ", F.slice("_words", F.greatest(x["at"], F.lit(0)) + 1, n))).otherwise("")
-        exact = F.struct(F.lit(1.0).alias("likeness"), claim.alias("passage"))
-        near = bound(best, lambda x: F.struct(x["likeness"].alias("likeness"), passage(x).alias("passage")))
-        return bound(F.when(F.col("_low").contains(F.lower(claim)), exact).otherwise(near), lambda x: status(claim, x))
-
-    def status(claim: Column, found: Column) -> Column:
-        likeness = found["likeness"]
-        wrong = contradicts(claim, found["passage"], likeness)
-        kind = (
+    listed = typed_claims(F.col(answer)) if typed else F.transform(claims(F.col(answer)), lambda c: F.struct(F.lit(None).cast("string").alias("kind"), c.alias("claim")))
+    c = df.select(item, F.coalesce(F.col(reference), F.lit("")).alias("_ref"), listed.alias("_claims")).where(F.size("_claims") > 0)
+    c = c.withColumn("_near", _swept(F.transform("_claims", lambda x: x["claim"]), "_ref", F.lit(window)))
+
+    def status(claim: Column, kind: Column, near: Column) -> Column:
+        exact = F.lower("_ref").contains(F.lower(claim))
+        likeness = F.when(exact, 1.0).otherwise(near["likeness"])
+        wrong = contradicts(claim, near["passage"], near["likeness"])
+        verdict = (
             F.when(claim.rlike(P.SELF_REFERENCE), "unverifiable")
             .when(F.col("_ref") == "", "unverifiable")
             .when(likeness >= 0.8, "grounded")
             .when(likeness >= 0.4, F.when(wrong, "contradicted").when(likeness >= 0.7, "grounded").otherwise("partial"))
             .otherwise("ungrounded")
         )
-        return F.struct(claim.alias("claim"), F.round(likeness, 6).alias("likeness"), kind.alias("status"))
+        return F.struct(claim.alias("claim"), kind.alias("kind"), F.round(likeness, 6).alias("likeness"), verdict.alias("status"))
 
-    return c.select(item, F.explode(F.transform("_claims", judged)).alias("c")).select(item, "c.*")
+    judged = F.zip_with("_claims", "_near", lambda x, near: status(x["claim"], x["kind"], near))
+    out = c.select(item, F.explode(judged).alias("c")).select(item, "c.*")
+    return out if typed else out.drop("kind")
 
 
 def bound(value: Column, use) -> Column:

@@ -35,6 +35,25 @@ def _formats(d: DataFrame) -> DataFrame:
     return d.select("doc_id", *(F.coalesce(rule, F.lit(False)).cast("int").alias(f"is_{name}") for name, rule in C.formats(F.col("text")).items()))
 
 
+def _sql(pattern: str) -> str:
+    """A pattern as a SQL string in RE2's dialect."""
+    return "'" + pattern.replace(r"\z", "$").replace("(?i:", "(?i:").replace("'", "''") + "'"
+
+
+def _claims_sql(source: str, item: str, text: str) -> str:
+    """chosen (item, cs): claims by kind, the spans of each pattern in turn, those that overlap earlier ones left out; by regular expressions that find whole spans, and a fold over the list."""
+    trim = lambda x: f"regexp_replace(regexp_replace({x}, '^[ \\t\\n\\x0B\\f\\r]+', ''), '[ \\t\\n\\x0B\\f\\r]+$', '')"
+    no_claim = " OR ".join(f"regexp_matches(x, {_sql(p)})" for p in P.NON_CLAIM)
+    placed = lambda found, kind, sure, rule: f"list_filter(list_transform(list_filter(list_transform({found}, lambda x: {trim('x')}), lambda x: {rule} AND NOT ({no_claim})), lambda x: {{'s': CAST(instr(t, x) - 1 AS INT), 'e': CAST(instr(t, x) - 1 + length(x) AS INT), 'kind': '{kind}', 'confidence': CAST({sure} AS DOUBLE), 'claim': x}}), lambda x: x.s >= 0)"
+    spans = [placed(f"regexp_extract_all(p, {_sql('([^.!?' + chr(92) + 'n]*?' + sign + '[^.!?' + chr(92) + 'n]*)')}, 1)", kind, sure, "length(x) >= 15") for kind, sign, sure in P.CLAIM_KINDS]
+    parts = "string_split(regexp_replace(regexp_replace(p, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '\\n\\s*([A-Z])', chr(1) || '\\1', 'g'), chr(1))"
+    spans.append(placed(parts, "factual", 0.5, f"length(x) BETWEEN 20 AND 500 AND regexp_matches(x, {_sql(P.FACTUAL)}) AND NOT regexp_matches(x, {_sql(P.POINTING)})"))
+    listed = " || ".join(f"({x})" for x in spans)
+    return f"""texts AS (SELECT {item}, coalesce({text}, '') AS t, regexp_replace(regexp_replace(coalesce({text}, ''), {_sql("```(?s:.*?)```")}, ' ', 'g'), {_sql(P.INLINE_CODE)}, ' ', 'g') AS p FROM {source}),
+spans AS (SELECT {item}, {listed} AS cs FROM texts),
+chosen AS (SELECT {item}, list_sort(list_reduce(list_transform(cs, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS cs FROM spans WHERE len(cs) > 0)"""
+
+
 def _referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, answer, reference): the last assistant turn against all turns before it, in order."""
     c = table(spark, sf_dir, "conversations")
@@ -171,6 +190,23 @@ SELECT conv_id, CAST(req AS INT) AS req, description, CASE WHEN verb > 0 THEN re
 
 
 #: Name -> (query, SQL for DuckDB).
+_CONTENT = "regexp_extract_all(lower({x}), '[a-z0-9_]{{3,}}')"
+_SPLIT = "regexp_split_to_array({x}, '[ \\t\\n\\x0B\\f\\r]+')"
+_NUMBERS = "list_transform(regexp_extract_all({x}, '[0-9]+(?:\\.[0-9]+)?'), lambda n: CAST(n AS DOUBLE))"
+_GROUNDING = f"""WITH last AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS last FROM conversations GROUP BY conv_id),
+qa AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn, role, text) FILTER (turn = last AND role = 'assistant'), '') AS answer, coalesce(string_agg(text, ' ' ORDER BY turn, role, text) FILTER (turn < last), '') AS ref FROM conversations JOIN last USING (conv_id) GROUP BY conv_id),
+{_claims_sql('qa', 'conv_id', 'answer')},
+c AS (SELECT conv_id, ref, row_number() OVER () AS k, x.kind AS kind, x.claim AS claim FROM (SELECT conv_id, unnest(cs) AS x FROM chosen) JOIN qa USING (conv_id)),
+w AS (SELECT *, {_SPLIT.format(x='ref')} AS words, greatest(len({_SPLIT.format(x='claim')}) * 2, 100) AS n, list_distinct({_CONTENT.format(x='claim')}) AS own FROM c),
+i AS (SELECT k, own, unnest(generate_series(0, greatest(0, len(words) - n), greatest(1, n // 3))) AS i, words, n FROM w),
+v AS (SELECT k, i, array_to_string(words[i + 1:i + n], ' ') AS passage, own FROM i),
+u AS (SELECT *, list_distinct({_CONTENT.format(x='passage')}) AS got FROM v),
+l AS (SELECT k, i, passage, CASE WHEN len(own) > 0 AND len(got) > 0 THEN len(list_intersect(own, got)) / CAST(len(list_distinct(own || got)) AS DOUBLE) ELSE 0 END AS likeness FROM u),
+best AS (SELECT k, likeness, CASE WHEN likeness > 0 THEN passage ELSE '' END AS passage FROM l QUALIFY row_number() OVER (PARTITION BY k ORDER BY likeness DESC, i) = 1),
+m AS (SELECT *, CASE WHEN contains(lower(ref), lower(claim)) THEN 1.0 ELSE best.likeness END AS near, best.likeness >= 0.4 AND len(list_filter({_NUMBERS.format(x='claim')}, lambda a: len(list_filter({_NUMBERS.format(x='passage')}, lambda b: a <> b AND abs(a - b) / greatest(a, b, 1) > 0.3)) > 0)) > 0 AS wrong FROM w JOIN best USING (k)),
+judged AS (SELECT conv_id, claim, kind, round(near, 6) AS likeness, CASE WHEN regexp_matches(claim, {_sql(P.SELF_REFERENCE)}) OR ref = '' THEN 'unverifiable' WHEN near >= 0.8 THEN 'grounded' WHEN near >= 0.4 THEN CASE WHEN wrong THEN 'contradicted' WHEN near >= 0.7 THEN 'grounded' ELSE 'partial' END ELSE 'ungrounded' END AS status FROM m)
+"""
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "sentence_counts": (_docs(lambda d: d.select("doc_id", C.count_sentences(F.col("text")).alias("sentences"))), _DOCS + "SELECT doc_id, sentences FROM c"),
     "stub_truncation": (
@@ -189,6 +225,14 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "task_relevance": (_pairs(lambda p: G.relevance(p, "conv_id")), _relevance_sql()),
     "task_requirements": (_pairs(lambda p: D.requirements(p, "conv_id")), _requirements_sql()),
     "task_drift": (_pairs(lambda p: D.drift(p, "conv_id")), None),
-    "claim_grounding": (lambda s, d: G.verified(_referenced(s, d), "conv_id"), None),
-    "hallucination": (lambda s, d: G.hallucination(G.verified(_referenced(s, d), "conv_id"), "conv_id"), None),
+    "typed_claims": (
+        lambda s, d: table(s, d, "documents").select("doc_id", F.explode(G.typed_claims(F.col("text"))).alias("c")).select("doc_id", F.col("c.start").alias("start"), F.col("c.end").alias("end"), "c.kind", "c.confidence"),
+        f"WITH {_claims_sql('documents', 'doc_id', 'text')} SELECT doc_id, c.s AS start, c.e AS \"end\", c.kind AS kind, c.confidence AS confidence FROM (SELECT doc_id, unnest(cs) AS c FROM chosen)",
+    ),
+    "claim_grounding": (lambda s, d: G.verified(_referenced(s, d), "conv_id", typed=True), _GROUNDING + "SELECT * FROM judged"),
+    "hallucination": (
+        lambda s, d: G.hallucination(G.verified(_referenced(s, d), "conv_id", typed=True), "conv_id"),
+        _GROUNDING + """SELECT conv_id, count(*) AS claims, count(*) FILTER (status = 'grounded') AS grounded, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'ungrounded') AS ungrounded, count(*) FILTER (status = 'contradicted') AS contradicted,
+  round(coalesce(avg(CASE status WHEN 'contradicted' THEN 1.0 WHEN 'ungrounded' THEN 0.8 WHEN 'partial' THEN 0.3 WHEN 'grounded' THEN 0.0 END), 0.0), 6) AS score, round(avg(CASE WHEN status IN ('grounded', 'partial') THEN 1.0 WHEN status <> 'unverifiable' THEN 0.0 END), 6) AS grounded_share FROM judged GROUP BY conv_id""",
+    ),
 }
