@@ -7,6 +7,7 @@ fold over the segments of one text.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -55,19 +56,20 @@ def _similar(a: str, b: str) -> bool:
 
 
 def repeated(found: list[str]) -> dict[str, float | int]:
-    """Every segment joins the first class whose first member it resembles. An index of exact texts spares the search for copies: a copy joins where its equal did. Others are compared only with first members that share one of their longest words with
-    them, as two texts so alike must: of m words in a fixed order the first m - SIMILARITY m + 1 of both have one in common."""
+    """Every segment joins the first class whose first member it resembles. An index of exact texts spares the search for copies: a copy joins where its equal did. Others are compared only with first members that share one of their rarest words with
+    them, as two texts so alike must: of m words in a fixed order the first m - SIMILARITY m + 1 of both have one in common. Words go by the number of different segments that hold them, so a word of most segments is hardly ever looked up."""
     heads: list[tuple[str, int]] = []
     counts: list[int] = []
     home: dict[str, int] = {}
     by_word: dict[str, list[int]] = {}
+    keys = [_plain(s) for s in found]
+    often = Counter(w for key in set(keys) for w in set(key.split()))
 
     def leading(key: str) -> list[str]:
-        words = sorted(set(key.split()), key=lambda w: (-len(w), w))
+        words = sorted(set(key.split()), key=lambda w: (often[w], w))
         return words[: len(words) - math.ceil(SIMILARITY * len(words) - 1e-9) + 1]
 
-    for s in found:
-        key = _plain(s)
+    for s, key in zip(found, keys):
         at = home.get(key)
         if at is None:
             first = leading(key)
@@ -119,39 +121,72 @@ def cycles(found: list[str]) -> dict[str, float | int]:
 def tripled(s: str, least: int = 50) -> bool:
     """A block of at least `least` characters on one line or more that is written three times in a row.
 
-    Such a block makes the text equal to itself moved by the block's length, over twice that length. Grams at every `least`-th
-    position, with their later occurrences, give all lengths worth a look.
+    Such a block of length p makes the text equal to itself moved by p, over 2p characters at least, which hold a multiple of p; so for each p only its multiples are looked at, where the next `least` characters must be
+    the same one multiple on. That is n / p looks for a length, n log n in all. What passes is measured to both sides by bisection on hashes, many places at once, and compared character by character at the end.
     """
-    if len(s) < 3 * least:
+    n = len(s)
+    if n < 3 * least:
         return False
     codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-    grams = _gram_hashes(codes, least)
-    anchors = np.arange(0, len(grams), least)
-    order = np.argsort(grams[anchors], kind="stable")
-    keys = grams[anchors][order]
-    low, high = np.searchsorted(keys, grams), np.searchsorted(keys, grams, "right")
-    for at in np.flatnonzero(high > low).tolist():
-        for a in anchors[order[low[at] : high[at]]].tolist():
-            p = at - a
-            if p < least or a + 2 * p > len(s) + least:
-                continue
-            right = codes[a : a + 2 * p][: len(s) - at] != codes[at : at + 2 * p]
-            r = int(right.argmax()) if right.any() else len(right)
-            k = min(a, 2 * p)
-            left = (codes[a - k : a] != codes[at - k : at])[::-1]
-            l = int(left.argmax()) if left.any() else k
-            if l + r >= 2 * p:
+    hashes = _Hashes(codes)
+    grams = hashes.of(np.arange(n - least + 1), least)
+    root = max(least, math.isqrt(n))
+    # short lengths one by one, their multiples together; long ones together, one multiple after another
+    looks = [(np.full(1, p), None) for p in range(least, min(root, n // 3) + 1)]
+    looks += [(np.arange(root + 1, min(n // 3, (len(grams) - 1) // (k + 1)) + 1), k) for k in range(n // (root + 1) + 1)]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for lengths, k in looks:
+        if k is None:
+            own = grams[:: int(lengths[0])]
+            at = np.flatnonzero(own[1:] == own[:-1]) * lengths[0]
+            lengths = np.repeat(lengths, len(at))
+        else:
+            lengths = lengths[grams[lengths * k] == grams[lengths * (k + 1)]]
+            at = lengths * k
+        if len(at):
+            held.append((at, lengths))
+        if sum(len(a) for a, _ in held) > 50_000:
+            if _thrice(codes, hashes, held):
                 return True
+            held = []
+    return _thrice(codes, hashes, held)
+
+
+def _thrice(codes: np.ndarray, hashes: _Hashes, held: list[tuple[np.ndarray, np.ndarray]]) -> bool:
+    """At some of these places the text equals itself moved by the length there, over twice that length."""
+    if not held:
+        return False
+    at, p = (np.concatenate(x) for x in zip(*held))
+    right = hashes.same(at, at + p, np.minimum(2 * p, len(codes) - at - p), 1)
+    left = hashes.same(at, at + p, np.minimum(2 * p, at), -1)
+    for a, length in zip(*(x[left + right >= 2 * p].tolist() for x in (at - left, p))):
+        if np.array_equal(codes[a : a + 2 * length], codes[a + length : a + 3 * length]):
+            return True
     return False
 
 
-def _gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of every run of `size` characters, from sums of powers; what follows compares the characters themselves."""
-    step = 0x9E3779B97F4A7C15
-    powers, back = np.full(len(codes), step, np.uint64), np.full(len(codes) - size + 1, pow(step, -1, 1 << 64), np.uint64)
-    powers[0] = back[0] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers))])
-    return (sums[size:] - sums[:-size]) * np.cumprod(back)
+class _Hashes:
+    """64-bit hashes of any runs of characters, from sums of powers."""
+
+    def __init__(self, codes: np.ndarray):
+        step = 0x9E3779B97F4A7C15
+        powers, self.back = np.full(len(codes), step, np.uint64), np.full(len(codes) + 1, pow(step, -1, 1 << 64), np.uint64)
+        powers[0] = self.back[0] = 1
+        self.back = np.cumprod(self.back)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers))])
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return (self.sums[start + length] - self.sums[start]) * self.back[start]
+
+    def same(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
+        """How many characters from a and b on (way 1) or before them (-1) are equal, `most` at most."""
+        low, high = np.zeros_like(most), most.copy()
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            back = middle if way < 0 else 0
+            equal = self.of(a - back, middle) == self.of(b - back, middle)
+            low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
+        return low
 
 
 @F.pandas_udf(StructType().add("score", DoubleType()).add("ratio", DoubleType()).add("unique", LongType()).add("total", LongType()))
