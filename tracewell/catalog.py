@@ -148,6 +148,31 @@ def _cost_ceiling(e: DataFrame, cap: float = 5.0) -> DataFrame:
     return df.where(F.col("running_tokens") * 0.59 / 1_000_000 <= cap).select("worker", "session_id", "running_tokens")
 
 
+_SAID, _RAN = ["tests pass", "build passed", "pushed it", "score was 9", "looked around"], ["run_test", "build", "git_push", "score_run", "other"]
+
+
+def _selection(e: DataFrame) -> DataFrame:
+    """Models of each worker ranked, with what outputs claim (a phrase for each, by their tokens) checked against calls (tools with names)."""
+    named = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
+    said = e.where("type = 'output'").select("session_id", "pos", named(_SAID, F.col("tokens") % 5).alias("text"))
+    ran = traces.tool_outcomes(e).select("session_id", named(_RAN, F.col("tool")).alias("tool"), "is_error")
+    runs = traces.runs_with_claims(traces.footprint(e), claims.claim_integrity(claims.cross_check(said, ran)))
+    workers = e.groupBy("session_id").agg(F.min("worker").alias("worker"))
+    return traces.rank_selection(runs.join(workers, "session_id"), "model", ["worker"])
+
+
+_CLAIMED = """, said AS (SELECT DISTINCT session_id, pos, CASE tokens % 5 WHEN 0 THEN 'tests:pass' WHEN 1 THEN 'build:pass' WHEN 2 THEN 'push' ELSE 'score:green' END AS predicate FROM re WHERE type = 'output' AND tokens % 5 < 4),
+proved AS (SELECT session_id, CASE tool WHEN 0 THEN 'tests:pass' WHEN 1 THEN 'build:pass' WHEN 2 THEN 'push' ELSE 'score:green' END AS predicate, max(1 - is_error) AS good FROM oc WHERE tool < 4 GROUP BY ALL),
+int0 AS (SELECT session_id, count(*) FILTER (good = 1) AS v, count(*) FILTER (good = 0) AS c FROM said LEFT JOIN proved USING (session_id, predicate) GROUP BY session_id),
+cr AS (SELECT w.worker, foot.*, coalesce(c, 0) AS c, CASE WHEN v + c > 0 THEN round(v / CAST(v + c AS DOUBLE), 6) END AS integ FROM foot JOIN (SELECT session_id, min(worker) AS worker FROM re GROUP BY session_id) w USING (session_id) LEFT JOIN int0 USING (session_id)),
+ca AS (SELECT worker, model, count(*) AS runs, avg(tool_calls) AS steps, avg(error_rate) AS er, avg(recovery_rate) AS rr, avg(longest_streak) AS th, avg(tokens) AS cost, avg(integ) AS integ, CAST(sum(c) AS BIGINT) AS contradictions, min(CASE WHEN error_rate <= 0.5 AND longest_streak <= 2 AND c = 0 THEN 1 ELSE 0 END) AS clean_run FROM cr GROUP BY worker, model),
+cs0 AS (SELECT *, round(greatest(0, least(1, (coalesce(2.0 * integ, 0) + CASE WHEN contradictions = 0 THEN 2.0 ELSE 0 END + greatest(0, least(1, 1 - er)) + greatest(0, least(1, rr)) + greatest(0, least(1, 1 - th / 5)) + CASE WHEN max(steps) OVER w <= 0 THEN 1 ELSE 1 - steps / max(steps) OVER w END
+  + 0.5 * CASE WHEN max(cost) OVER w <= 0 THEN 1 ELSE 1 - cost / max(cost) OVER w END) / (6.5 + CASE WHEN integ IS NULL THEN 0 ELSE 2 END))), 12) AS whole FROM ca WINDOW w AS (PARTITION BY worker)),
+cs AS (SELECT *, floor(whole * 1000 + 0.5) / 1000 AS score FROM cs0),
+crank AS (SELECT worker, model, runs, score, contradictions, round(integ, 6) AS integrity, clean_run, rank() OVER (PARTITION BY worker ORDER BY whole DESC, contradictions, coalesce(integ, -1) DESC, er, steps, cost) AS rank FROM cs)
+"""
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(criterion, expected, actual): labels against a rule-based judge of five levels."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality is not null"), "doc_id")
@@ -196,6 +221,11 @@ FROM k WHERE CASE WHEN n_errors = 0 THEN len(list_filter(kinds, lambda x: x IS N
     "recovery_suffix": (_events(lambda e: traces.recovery(traces.tool_outcomes(e))), _RE + "SELECT * FROM rec"),
     "selection_rank": (_events(lambda e: traces.select_candidates(traces.footprint(e))), _RE + "SELECT * FROM ranked"),
     "selection_winner": (_events(lambda e: traces.winner(traces.select_candidates(traces.footprint(e)))), _RE + "SELECT model, score FROM ranked WHERE rank = 1 AND (SELECT count(*) FROM ranked WHERE rank = 1) = 1"),
+    "selection_claims": (_events(_selection), _RE + _CLAIMED + "SELECT * FROM crank"),
+    "selection_summary": (
+        _events(lambda e: traces.ranking_summary(_selection(e), "model", ["worker"])),
+        _RE + _CLAIMED + "SELECT worker, CASE WHEN count(*) FILTER (rank = 1) = 1 THEN min(model) FILTER (rank = 1) END AS winner, string_agg(CASE WHEN i = 1 THEN '' WHEN rank = before THEN ' = ' ELSE ' > ' END || model, '' ORDER BY i) AS chain FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY rank, model) AS i, lag(rank) OVER (PARTITION BY worker ORDER BY rank, model) AS before FROM crank) GROUP BY worker",
+    ),
     "cost_ceiling_cumsum": (_events(_cost_ceiling), _RE + "SELECT worker, session_id, running_tokens FROM (SELECT worker, session_id, CAST(sum(tokens) OVER (PARTITION BY worker ORDER BY first_ms, session_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_tokens FROM s) WHERE running_tokens * 0.59 / 1000000 <= 5"),
     "check_scores": (_scores(lambda c: c), _RE + "SELECT * FROM sc"),
     "run_scores": (_scores(fleet.run_scores), _RE + "SELECT * REPLACE (round(overall, 6) AS overall) FROM rs"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,69 @@ def select_candidates(footprints: DataFrame, max_error_rate: float = 0.5) -> Dat
     return df.select("model", "runs", "score", "clean_run", ranked.cast("long").alias("rank"))
 
 
+#: Fixed weights of all sub-scores, claims included.
+CLAIM_WEIGHTS = {"integrity": 2.0} | WEIGHTS
+
+
+def sane_weights(weights: dict[str, float] | None) -> dict[str, float]:
+    """The fixed weights, with those given that are finite and not negative in their place."""
+    return CLAIM_WEIGHTS | {k: float(v) for k, v in (weights or {}).items() if k in CLAIM_WEIGHTS and isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v) and v >= 0}
+
+
+def runs_with_claims(footprints: DataFrame, integrity: DataFrame) -> DataFrame:
+    """footprints with what was checked of each session's claims (claims.claim_integrity); sessions that claim nothing have no contradictions, and no integrity."""
+    found = integrity.select("session_id", "contradicted", "unverifiable", "integrity")
+    return footprints.join(found, "session_id", "left").fillna(0, ["contradicted", "unverifiable"])
+
+
+def rank_selection(runs: DataFrame, name: str = "model", fixed: list[str] | None = None, weights: dict[str, float] | None = None, max_error_rate: float = 0.5) -> DataFrame:
+    """Candidates (values of `name`) of each combination of `fixed`, ranked: (fixed..., name, runs, score, contradictions, integrity, clean_run, rank).
+
+    A score is the weighted mean of the sub-scores that there are: integrity is none where no claim of a candidate could be decided, and its weight is left out then. Steps and cost count against the most of the
+    candidates compared. Equal scores go by fewer contradictions, more integrity, fewer errors, fewer steps, fewer tokens; candidates equal in all of these share a rank. Candidates are few beside runs: their windows hold one row each.
+    """
+    fixed, w = fixed or [], sane_weights(weights)
+    per = runs.groupBy(*fixed, name).agg(
+        F.count("*").alias("runs"),
+        F.avg("tool_calls").alias("steps"),
+        F.avg("error_rate").alias("error_rate"),
+        F.avg("recovery_rate").alias("recovery"),
+        F.avg("longest_streak").alias("thrash"),
+        F.avg("tokens").alias("cost"),
+        F.avg("integrity").alias("integrity"),
+        F.sum("contradicted").alias("contradictions"),
+        F.min(((F.col("error_rate") <= max_error_rate) & (F.col("longest_streak") <= 2) & (F.col("contradicted") == 0)).cast("int")).alias("clean_run"),
+    )
+    beside = Window.partitionBy(*fixed)
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    subs = {
+        "integrity": F.when(F.col("integrity").isNotNull(), clamp(F.col("integrity"))),
+        "contradictions": F.when(F.col("contradictions") == 0, 1.0).otherwise(0.0),
+        "error_rate": clamp(1 - F.col("error_rate")),
+        "recovery": clamp(F.col("recovery")),
+        "thrash": clamp(1 - F.col("thrash") / 5),
+        "steps": _lower_better(F.col("steps"), F.max("steps").over(beside)),
+        "cost": _lower_better(F.col("cost"), F.max("cost").over(beside)),
+    }
+    total = sum((F.when(v.isNotNull(), w[k]).otherwise(0.0) for k, v in subs.items()), F.lit(0.0))
+    weighted = sum((F.coalesce(v, F.lit(0.0)) * w[k] for k, v in subs.items()), F.lit(0.0))
+    scored = per.withColumns({"total": total, "weighted": weighted})
+    # ranked by whole scores, up to what sums in another order may change; shown in thousandths
+    whole = F.when(F.col("total") > 0, F.round(clamp(F.col("weighted") / F.col("total")), 12)).otherwise(0.0)
+    order = [F.desc("whole"), F.asc("contradictions"), F.coalesce("integrity", F.lit(-1.0)).desc(), *(F.asc(c) for c in ("error_rate", "steps", "cost"))]
+    ranked = scored.withColumn("whole", whole).withColumn("score", F.floor(F.col("whole") * 1000 + 0.5) / 1000).withColumn("rank", F.rank().over(Window.partitionBy(*fixed).orderBy(*order)).cast("long"))
+    return ranked.select(*fixed, name, "runs", "score", "contradictions", F.round("integrity", 6).alias("integrity"), "clean_run", "rank")
+
+
+def ranking_summary(ranking: DataFrame, name: str = "model", fixed: list[str] | None = None) -> DataFrame:
+    """(fixed..., winner, chain) of each ranking: the candidate that alone has rank 1 (null if none does), and all candidates, best first, joined by > or, where they share a rank, by =."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", name)))
+    out = ranking.groupBy(*(fixed or [])).agg(rows.alias("rows"))
+    joined = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.struct(F.get("rows", F.lit(0))["rank"].alias("rank"), F.get("rows", F.lit(0))[name].cast("string").alias("chain")), lambda a, x: F.struct(x["rank"].alias("rank"), F.concat(a["chain"], F.when(x["rank"] == a["rank"], " = ").otherwise(" > "), x[name].cast("string")).alias("chain")))
+    alone = F.size(F.filter("rows", lambda x: x["rank"] == 1)) == 1
+    return out.select(*(fixed or []), F.when(alone, F.get("rows", F.lit(0))[name]).alias("winner"), joined["chain"].alias("chain"))
+
+
 def winner(ranking: DataFrame) -> DataFrame:
     """The candidate of rank 1, if it alone has it."""
     return ranking.where("rank = 1").withColumn("n", F.count("*").over(Window.partitionBy("rank"))).where("n = 1").select("model", "score")
