@@ -138,6 +138,31 @@ def _as_spans(e: DataFrame) -> DataFrame:
     return e.select(F.from_json(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))), exports.OTLP)["resourceSpans"].alias("resourceSpans"))
 
 
+def _as_runs(e: DataFrame) -> DataFrame:
+    """Run events as run exports, a text a session in one of four forms: an array, an object with runs, an object of runs by keys, and a run a line."""
+    when = F.to_json(F.struct(F.timestamp_millis("ts_ms").alias("t")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "timeZone": "UTC"})
+    at = F.get_json_object(when, "$.t")
+    called = F.col("type") == "tool_call"
+    run = F.struct(
+        F.concat_ws("/", "session_id", "pos").alias("id"), F.col("session_id").alias("trace_id"), F.when(F.col("pos") > 1, F.concat_ws("/", "session_id", F.lit("1"))).alias("parent_run_id"), F.when(called, "click").otherwise(F.col("type")).alias("name"),
+        F.when(called, "tool").when(F.col("type") == "output", "llm").otherwise("chain").alias("run_type"), at.alias("start_time"), at.alias("end_time"), F.when(F.col("type") == "error", "it broke").alias("error"),
+        F.when(~called, F.col("tokens")).alias("total_tokens"), F.when(called, F.parse_json(F.regexp_extract("tool_sig", "\\((.*)\\)$", 1))).alias("inputs"),
+    )
+    runs = e.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.to_json(run).alias("run")))).alias("runs"), F.max("pos").alias("n")).withColumn("runs", F.transform("runs", lambda r: r["run"]))
+    array, form = F.concat(F.lit("["), F.array_join("runs", ","), F.lit("]")), F.pmod(F.crc32(F.col("session_id").cast("binary")), F.lit(4))
+    named = F.concat(F.lit("{"), F.array_join(F.transform("runs", lambda r, i: F.concat(F.lit('"r'), i.cast("string"), F.lit('": '), r)), ","), F.lit("}"))
+    return runs.select(F.when(form == 0, array).when(form == 1, F.concat(F.lit('{"runs": '), array, F.lit("}"))).when(form == 2, named).otherwise(F.array_join("runs", "\n")).alias("value"))
+
+
+def _triage_built_sql(tokens: str) -> str:
+    """Triage of built sessions: what their events tell by themselves, with a start and an end more."""
+    return f""", o AS (SELECT s.session_id, {tokens} AS tokens, runtime_ms, n_errors, n_events + 2 AS steps, CASE WHEN n_calls >= 4 THEN greatest(share, round(streak / CAST(n_calls AS DOUBLE), 6)) ELSE 0 END AS loop, s.n_events - n_errors AS good, runtime_ms > 518400000 AS late, (SELECT count(*) FROM g WHERE g.session_id = s.session_id AND gap > 172800000) AS gaps FROM s LEFT JOIN loops USING (session_id) JOIN mt USING (session_id)),
+k AS (SELECT *, CASE WHEN n_errors = 0 THEN [CASE WHEN tokens >= 1000000 THEN 'over-cost' END, CASE WHEN runtime_ms >= 518400000 THEN 'over-latency' END, CASE WHEN steps >= 400 THEN 'excessive-steps' END, CASE WHEN loop >= 0.5 THEN 'loop-without-progress' END]
+  ELSE [CASE WHEN late THEN 'timeout' END, CASE WHEN gaps > 0 THEN 'stale_gap' END, CASE WHEN good = 0 THEN 'no_progress' END] END AS kinds FROM o)
+SELECT session_id, CASE WHEN n_errors = 0 THEN list_filter(kinds, lambda x: x IS NOT NULL)[1] WHEN late THEN 'timeout' ELSE 'abandoned' END AS kind, tokens, runtime_ms, CASE WHEN tokens >= 200000 OR runtime_ms >= 432000000 THEN 1 ELSE 0 END AS costly, round(tokens / 1000000.0 * 9, 6) AS projected_usd, array_to_string(list_filter(kinds, lambda x: x IS NOT NULL), ',') AS issue_kinds
+FROM k WHERE CASE WHEN n_errors = 0 THEN len(list_filter(kinds, lambda x: x IS NOT NULL)) > 0 ELSE late OR good = 0 OR gaps >= 3 END"""
+
+
 def _cost_ceiling(e: DataFrame, cap: float = 5.0) -> DataFrame:
     """Sessions of each worker, oldest first, as long as their running cost stays within the cap. Sums run inside a worker's day; the days before it add theirs, so that no task holds a worker."""
     df = sessions.sessions(e).select("worker", "session_id", "first_ms", "tokens", F.floor(F.col("first_ms") / fleet.DAY_MS).alias("day"))
@@ -207,6 +232,10 @@ k AS (SELECT *, CASE WHEN n_errors = 0 THEN [CASE WHEN tokens >= 1000000 THEN 'o
 SELECT session_id, CASE WHEN n_errors = 0 THEN list_filter(kinds, lambda x: x IS NOT NULL)[1] WHEN late THEN 'timeout' ELSE 'abandoned' END AS kind, tokens, runtime_ms, CASE WHEN tokens >= 200000 OR runtime_ms >= 432000000 THEN 1 ELSE 0 END AS costly, round(tokens / 1000000.0 * 9, 6) AS projected_usd, array_to_string(list_filter(kinds, lambda x: x IS NOT NULL), ',') AS issue_kinds
 FROM k WHERE CASE WHEN n_errors = 0 THEN len(list_filter(kinds, lambda x: x IS NOT NULL)) > 0 ELSE late OR good = 0 OR gaps >= 3 END""",
     ),
+    "triage_langsmith": (
+        _events(lambda e: built.triage(built.langsmith(exports.langsmith_runs(_as_runs(e))), WEEKLY)),
+        _RE + ", mt AS (SELECT session_id, CASE WHEN coalesce(sum(tokens) FILTER (type = 'output'), 0) > 0 THEN CAST(sum(tokens) FILTER (type = 'output') AS BIGINT) ELSE coalesce(max(tokens) FILTER (pos = 1 AND type <> 'tool_call'), 0) END AS own FROM re GROUP BY session_id)" + _triage_built_sql("own"),
+    ),
     "triage_by_kind": (_events(lambda e: sessions.triage_by_kind(sessions.triage(e, WEEKLY))), _RE + "SELECT kind, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM triage GROUP BY kind"),
     "triage_totals": (_events(lambda e: sessions.triage_totals(sessions.triage(e, WEEKLY))), _RE + "SELECT count(*) AS flagged, count(*) FILTER (costly = 1) AS costly, coalesce(round(sum(projected_usd) FILTER (costly = 1), 4), 0.0) AS projected_usd FROM triage"),
     "triage_topk": (_events(lambda e: sessions.triage_top(sessions.triage(e, WEEKLY))), _RE + "SELECT * FROM triage ORDER BY costly DESC, tokens DESC, runtime_ms DESC, session_id LIMIT 15"),

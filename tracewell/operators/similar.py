@@ -1,8 +1,8 @@
 """Set-similarity self-join over a whole table: which rows' sets of words are alike, by prefix filtering.
 
-Rows with equal sets are one class, and only classes are compared. A class lists its words from the rarest in the whole table to the most common. Of two sets as alike as asked, the first words of both lists (size - least overlap + 1 of them) have one in
+Rows with equal sets are one class, and only classes are compared; words are 64-bit hashes from the start. A class lists its words by their hashes, the most common ones last. Of two sets as alike as asked, the first words of both lists (size - least overlap + 1 of them) have one in
 common, so only those are joined, on word and size: sizes are cut into steps of the threshold, and two alike sizes lie in one step or in neighbours, so a common word is spread over sizes and adaptive execution splits what is
-still large. Places in the lists bound what two sets can share; what is left is verified once a pair on the words themselves. Pairs of rows are never made: the result is the class of each row and the pairs of classes.
+still large. Places in the lists bound what two sets can share; what is left is verified once a pair on all words. Pairs of rows are never made: the result is the class of each row and the pairs of classes.
 """
 
 from __future__ import annotations
@@ -12,31 +12,37 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.plans.scratch import materialise
+
 #: Two sets are alike from this Jaccard likeness on, in percent.
 ALIKE = 85
+#: Words that go last in the lists, and the classes by which they are found. Any order gives the same pairs; this one spares work, so a sample serves.
+COMMON, SAMPLE = 512, 20_000
 
 
 def word_set(text: str) -> Column:
-    """Lower-case words of a text, each once, in order of their code points."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[^ \\t\\n\\r\\f\\x0B]+"), F.lit(0))))
+    """Lower-case words of a text, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[^ \\t\\n\\r\\f\\x0B]+"), F.lit(0)))
 
 
 def set_classes(df: DataFrame, item: str, words: Column) -> tuple[DataFrame, DataFrame]:
     """(item, class_id) of every row, and (class_id, words) of every class: rows with equal sets, named by the least item."""
-    rows = df.select(F.col(item).alias("item"), words.alias("words"))
-    rows = rows.withColumn("key", F.sha2(F.array_join("words", " "), 256))
-    classes = rows.groupBy("key").agg(F.min("item").alias("class_id"), F.first("words").alias("words"))
-    return rows.join(classes.select("key", "class_id"), "key").select(F.col("item").alias(item), "class_id"), classes.select("class_id", "words")
+    rows = df.select(F.col(item).alias("item"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("words"))
+    rows = materialise(rows.select("item", "words", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2")), "similar-rows")
+    classes = materialise(rows.groupBy("k1", "k2").agg(F.min("item").alias("class_id"), F.first("words").alias("words")), "similar-classes")
+    return rows.select("item", "k1", "k2").join(classes.select("k1", "k2", "class_id"), ["k1", "k2"]).select(F.col("item").alias(item), "class_id"), classes.select("class_id", "words")
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     """(word, step, class_id, size, at): the words that a class is looked up by."""
-    each = classes.select("class_id", F.explode("words").alias("word"))
-    listed = each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("words"))
-    size = F.size("words")
+    counted = classes.limit(SAMPLE).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    common = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+    rare = F.filter("words", lambda w: ~w.isin(*common)) if common else F.col("words")
+    listed = classes.select("class_id", F.size("words").alias("size"), F.concat(rare, F.array_except("words", rare)).alias("words"))
+    size = F.col("size")
     first = size - F.ceil(size * percent / 100) + 1
     step = F.floor(F.log(size.cast("double")) / -math.log(percent / 100) + 1e-9).cast("int") if percent < 100 else size
-    return listed.select("class_id", size.alias("size"), step.alias("step"), F.posexplode(F.slice("words", F.lit(1), first.cast("int"))).alias("at", "x")).select("class_id", "size", "step", "at", F.col("x.word").alias("word"))
+    return listed.where("size > 0").select("class_id", "size", step.alias("step"), F.posexplode(F.slice("words", F.lit(1), first.cast("int"))).alias("at", "word"))
 
 
 def similar_classes(classes: DataFrame, percent: int = ALIKE) -> DataFrame:
@@ -48,9 +54,12 @@ def similar_classes(classes: DataFrame, percent: int = ALIKE) -> DataFrame:
     ordered = (F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b"))
     fits = F.col("size_a") * 100 >= F.col("size_b") * percent
     # at the first word they share, no more than what is left of both can be shared
-    can = (1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) - 1) * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
-    pairs = a.join(b, ["word", "step"]).where(ordered & fits & can).select("a", "b").distinct()
-    words = lambda side: classes.select(F.col("class_id").alias(side), F.col("words").alias(f"words_{side}"))
+    can = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
+    pairs = materialise(a.join(b, ["word", "step"]).where(ordered & fits & can).select("a", "b").distinct(), "similar-pairs")
+    # only classes in some pair are dealt out with all their words
+    met = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    met = materialise(classes.join(met, "class_id", "left_semi"), "similar-met")
+    words = lambda side: met.select(F.col("class_id").alias(side), F.col("words").alias(f"words_{side}"))
     both = pairs.join(words("a"), "a").join(words("b"), "b").withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))
     union = F.size("words_a") + F.size("words_b") - F.col("shared")
     return both.where(F.col("shared") * 100 >= union * percent).select("a", "b", "shared", F.round(F.col("shared") / union, 6).alias("jaccard"))

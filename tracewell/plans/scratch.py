@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
         spark.conf.set(key, base)
     return f"{base}/tracewell/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is made once, however often it is used, and survives lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -76,3 +76,34 @@ def langsmith_sessions(runs: DataFrame) -> DataFrame:
     )
     tokens = F.when(F.col("model_tokens") > 0, F.col("model_tokens")).otherwise(F.coalesce("root_tokens", F.lit(0)))
     return agg.withColumn("tokens", tokens).withColumn("clean", ((F.col("n_errors") == 0) & (F.col("unfinished") == 0)).cast("int")).drop("model_tokens", "root_tokens")
+
+
+#: Types of a run's fields other than text.
+_LONGS = ["total_tokens", "prompt_tokens", "completion_tokens"]
+
+
+def langsmith_runs(texts: DataFrame, column: str = "value", lines: bool = False) -> DataFrame:
+    """Runs (LANGSMITH) out of exports of any form, each a text: an array of runs, {"runs": [...]}, one run, an object of runs by any keys, or a run or an array of runs a line; lines: each row is such a line.
+
+    All forms are told apart in one plan by VARIANT: what does not parse as a whole is taken line by line, and lines that do not parse go. A broken array is no lines and raises. Values that are no objects go; fields of other types become null, inputs and outputs JSON text.
+    """
+    text = F.trim(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "^[\\s\\x{feff}]+|\\s+$", ""))
+    # the parser reads one value and leaves what follows it, so a text whose first line is a value of its own is taken by lines
+    single = F.lit(lines) | ~text.contains("\n") | F.try_parse_json(F.substring_index(text, "\n", 1)).isNull()
+    rows = texts.select(text.alias("text"), F.when(single, F.try_parse_json(text)).alias("whole")).where("text <> ''")
+    listed = lambda v, path="$": F.try_variant_get(v, path, "array<variant>")
+    keyed = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    alone = F.array("whole")
+    of_line = F.when(F.col("whole").isNull(), F.array().cast("array<variant>")).otherwise(F.coalesce(listed(F.col("whole")), alone))
+    if lines:
+        each = rows.select(F.explode(of_line).alias("run"))
+    else:
+        broken = F.col("whole").isNull() & F.col("text").startswith("[")
+        one = F.coalesce(listed(F.col("whole")), listed(F.col("whole"), "$.runs"), F.when(F.coalesce(F.try_variant_get(F.col("whole"), "$.id", "string"), F.lit("")) != "", alone), F.map_values(keyed(F.col("whole"))), F.array().cast("array<variant>"))
+        parts = F.when(broken, F.raise_error(F.lit("an export that begins as an array is no JSON")).cast("array<string>")).when(F.col("whole").isNull(), F.split("text", "\\r?\\n")).otherwise(F.array().cast("array<string>"))
+        whole = rows.where("whole is not null").select(F.explode(one).alias("run"))
+        by_line = rows.where("whole is null").select(F.explode(parts).alias("text")).select(F.try_parse_json("text").alias("whole")).where("whole is not null").select(F.explode(of_line).alias("run"))
+        each = whole.unionAll(by_line)
+    fields = [c.split()[0] for c in LANGSMITH.split(", ")]
+    runs = each.where(keyed(F.col("run")).isNotNull())
+    return runs.select(*(F.try_variant_get("run", f"$.{c}", "long" if c in _LONGS else "string").alias(c) for c in fields))
