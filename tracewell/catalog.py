@@ -11,7 +11,7 @@ from tracewell import store_queries
 from tracewell.functions import assertions as A
 from tracewell.functions import repetition
 from tracewell.functions import text as T
-from tracewell.operators import claims, fleet, judge, sessions, similar, traces
+from tracewell.operators import claims, fleet, judge, projection, sessions, similar, traces
 from tracewell.operators.sessions import WEEKLY
 from tracewell.plans.views import run_events, table
 from tracewell.rule_queries import REGISTRY as RULE_QUERIES
@@ -173,6 +173,28 @@ def _cost_ceiling(e: DataFrame, cap: float = 5.0) -> DataFrame:
     return df.where(F.col("running_tokens") * 0.59 / 1_000_000 <= cap).select("worker", "session_id", "running_tokens")
 
 
+def _judge_inputs(c: DataFrame) -> DataFrame:
+    """What a judge of 600 tokens gets to see of conversations: the last answer, the first question, and all that each side said."""
+    said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda t: t["text"]), "\n")
+    ends = [F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("output"), F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("task")]
+    df = c.where("text is not null").groupBy("conv_id").agg(*ends, said("assistant").alias("x"), said("user").alias("y"))
+    named = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("text")) for n in "xy"))
+    shown = projection.token_capped(df.select("conv_id", "output", "task", named.alias("artifacts")), 600)
+    return shown.select("conv_id", "input_tokens", F.col("truncated").cast("int").alias("truncated"), *(F.length(c).alias(f"n_{c}") for c in ("output", "task")), *(F.length(F.get("artifacts", F.lit(i))["text"]).alias(f"n_{n}") for i, n in enumerate("xy")))
+
+
+_TOK = "CAST(ceil(length({x}) / 4.0) AS BIGINT)"
+_CUT = "CASE WHEN " + _TOK + " <= {m} THEN {x} ELSE left({x}, CAST(floor({m} * 4 * 0.6) AS BIGINT)) || chr(10) || '...[truncated ' || (" + _TOK + " - {m}) || ' tokens]...' || chr(10) || right({x}, CAST({m} * 4 - floor({m} * 4 * 0.6) AS BIGINT)) END"
+_TOTAL = f"{_TOK.format(x='output')} + {_TOK.format(x='task')} + {_TOK.format(x='x')} + {_TOK.format(x='y')} - 600"
+_TRIM = f"SELECT * REPLACE (CASE WHEN over > 0 AND tx >= ty THEN left(x, greatest(0, length(x) - over * 4 - 8)) ELSE x END AS x, CASE WHEN over > 0 AND tx < ty THEN left(y, greatest(0, length(y) - over * 4 - 8)) ELSE y END AS y) FROM (SELECT * EXCLUDE (over, tx, ty), {_TOTAL} AS over, {_TOK.format(x='x')} AS tx, {_TOK.format(x='y')} AS ty FROM %s)"
+_JUDGE_INPUTS = f"""WITH c AS (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'assistant'), '') AS o, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS t, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'assistant'), '') AS a, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'user'), '') AS b FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+d AS (SELECT *, {_CUT.format(x='o', m='240')} AS output, {_CUT.format(x='t', m='60')} AS task FROM c),
+e AS (SELECT *, greatest(200, CAST(floor((600 - {_TOK.format(x='output')} - {_TOK.format(x='task')}) / 2) AS BIGINT)) AS share FROM d),
+f AS (SELECT conv_id, o, t, a, b, output, task, {_CUT.format(x='a', m='share')} AS x, {_CUT.format(x='b', m='share')} AS y, 0 AS over, 0 AS tx, 0 AS ty FROM e),
+g AS ({_TRIM % 'f'}), h AS ({_TRIM % 'g'})
+SELECT conv_id, {_TOTAL} + 600 AS input_tokens, CAST(output <> o OR task <> t OR x <> a OR y <> b AS INT) AS truncated, length(output) AS n_output, length(task) AS n_task, length(x) AS n_x, length(y) AS n_y FROM h"""
+
+
 _SAID, _RAN = ["tests pass", "build passed", "pushed it", "score was 9", "looked around"], ["run_test", "build", "git_push", "score_run", "other"]
 
 
@@ -316,6 +338,11 @@ SELECT doc_id, c.class_id, coalesce(k, 0) AS n_links FROM w JOIN c USING (s) LEF
         f"WITH p AS ({_FIRST}), q AS (SELECT conv_id, list_distinct({_words('lower(task)')}) AS x, list_distinct({_words('lower(answer)')}) AS y FROM p WHERE task IS NOT NULL AND answer IS NOT NULL) SELECT conv_id, CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 1.0 ELSE round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) END AS jaccard FROM q",
     ),
     "conversation_tokens": (_docs(lambda c: c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(T.tokens_estimate(F.col("text"))).alias("tokens")), "conversations"), "SELECT conv_id, count(*) AS turns, CAST(sum(CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id"),
+    "judge_inputs": (_docs(_judge_inputs, "conversations"), _JUDGE_INPUTS),
+    "judged_within_ceiling": (
+        _events(lambda e: projection.within_ceiling(sessions.sessions(e), "session_id", "first_ms", F.least("tokens", F.lit(8000)) / 1_000_000 * 0.59 + projection.ANSWER / 1_000_000 * 0.79, 1.0)),
+        _RE + "SELECT session_id, cost, round(running, 6) AS running FROM (SELECT session_id, cost, sum(cost) OVER (ORDER BY first_ms DESC, session_id ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT *, least(tokens, 8000) / 1000000.0 * 0.59 + 4096 / 1000000.0 * 0.79 AS cost FROM s)) WHERE running <= 1.0",
+    ),
     "url_well_formed": (_docs(lambda p: p.select("page_id", T.url_well_formed(F.col("url")).alias("well_formed"), T.slug(F.col("url")).alias("slug")), "pages"), r"SELECT page_id, CAST(coalesce(regexp_matches(url, '^https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(:[0-9]+)?([/?#][^ ]*)?$'), false) AS INT) AS well_formed, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages"),
 }
 REGISTRY |= TEXT_QUERIES | RULE_QUERIES | store_queries.registry(_RE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 import re
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from tracewell.functions import patterns as P
-from tracewell.functions.completeness import any_of, trimmed
+from tracewell.functions.completeness import SPACE, any_of, trimmed
 
 #: ln(3/2) + 1: the weight of a term that only one of two texts has; a term of both weighs 1.
 UNSHARED = 1.4054651081081644
@@ -85,48 +86,86 @@ def contradicts(claim: Column, reference: Column, likeness: Column) -> Column:
 _CLAIMS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("kind", StringType()).add("confidence", DoubleType()).add("claim", StringType()))
 
 
-@F.arrow_udf(_CLAIMS)
-def _chosen(spans: pa.Array, most: pa.Array) -> pa.Array:
-    """Of each list the spans that overlap none taken before, `most` of them at most, by place. Taken spans are disjoint and kept sorted, so a span meets its two neighbours only."""
-    flat = spans.flatten()
-    bounds = zip(flat.field("start").to_pylist(), flat.field("end").to_pylist())
-    out, ends, first = [], [0], 0
-    for n, limit in zip(pc.fill_null(spans.value_lengths(), 0).to_pylist(), most.to_pylist()):
-        taken: list[tuple[int, int, int]] = []
-        for i, (start, end) in zip(range(n), bounds):
-            at = bisect.bisect(taken, (start, end))
-            if len(taken) < limit and (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
-                taken.insert(at, (start, end, first + i))
-        first += n
-        out += [i for *_, i in taken]
-        ends.append(len(out))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.take(pa.array(out, pa.int64())))
+_ENDS = re.compile(r"[.!?\n]")
+_CLAIM_END = re.compile(P.CLAIM_END, re.ASCII)
+
+
+def _any_match(values: pa.Array, patterns: list[str]) -> np.ndarray:
+    found = np.zeros(len(values), bool)
+    for pattern in patterns:
+        found |= pc.match_substring_regex(values, pattern).to_numpy(zero_copy_only=False)
+    return found
+
+
+def _across(text: str, sign: re.Pattern) -> list[str]:
+    """Stretches around a sign that may hold ends of sentences: from the end before it, or the last stretch's end, to the end after it."""
+    out, at = [], 0
+    while found := sign.search(text, at):
+        start = max(at, 1 + max(text.rfind(end, at, found.start()) for end in ".!?\n"))
+        end = _ENDS.search(text, found.end())
+        at = end.start() if end else len(text)
+        out.append(text[start:at])
+    return out
+
+
+def _extracted(texts: pa.Array, kinds: frozenset[str] | None, least: float, code: bool, most: float) -> pa.Array:
+    """_CLAIMS of a batch of texts. Patterns run over all stretches between ends of sentences of the batch at once; only texts in which a sign may hold such an end are searched one by one."""
+    texts = pc.fill_null(texts, "")
+    source = texts if code else pc.replace_substring_regex(pc.replace_substring_regex(texts, P.FENCED_CODE, " "), P.INLINE_CODE, " ")
+    plain = texts.to_pylist()
+    listed = pc.split_pattern_regex(source, r"[.!?\n]")
+    own = np.repeat(np.arange(len(texts)), listed.value_lengths().to_numpy(zero_copy_only=False))
+    cells = pc.utf8_trim(listed.flatten(), characters=SPACE)
+    long = pc.greater_equal(pc.utf8_length(cells), 15).to_numpy(zero_copy_only=False)
+    own, cells = own[long], cells.filter(pa.array(long))
+    stated = ~_any_match(cells, P.NON_CLAIM)
+    own, cells = own[stated], cells.filter(pa.array(stated))
+    taken: list[list[tuple]] = [[] for _ in plain]
+
+    def place(doc: int, claim: str, kind: str, sure: float) -> None:
+        """Takes a claim at its first place in the text, if it is there and overlaps none taken before. Taken spans are disjoint and kept sorted, so a span meets its two neighbours only."""
+        start = plain[doc].find(claim)
+        spans, end = taken[doc], start + len(claim)
+        if start < 0 or len(spans) >= most:
+            return
+        at = bisect.bisect(spans, (start, end))
+        if (at == 0 or spans[at - 1][1] <= start) and (at == len(spans) or end <= spans[at][0]):
+            spans.insert(at, (start, end, kind, sure, claim))
+
+    for kind, sign, sure in P.CLAIM_KINDS:
+        if sure < least or kinds is not None and kind not in kinds:
+            continue
+        holds = P.SIGN_ACROSS.get(kind)
+        across = pc.match_substring_regex(source, holds).to_numpy(zero_copy_only=False) if holds else np.zeros(len(texts), bool)
+        hits = pc.match_substring_regex(cells, sign).to_numpy(zero_copy_only=False) & ~across[own]
+        for doc, claim in zip(own[hits].tolist(), cells.filter(pa.array(hits)).to_pylist()):
+            place(doc, claim, kind, sure)
+        found = [(doc, claim.strip(SPACE)) for doc in np.flatnonzero(across).tolist() for claim in _across(source[doc].as_py(), re.compile(sign, re.ASCII))]
+        found = [x for x in found if len(x[1]) >= 15]
+        fine = ~_any_match(pa.array([c for _, c in found], pa.string()), P.NON_CLAIM)
+        for (doc, claim), ok in zip(found, fine.tolist()):
+            if ok:
+                place(doc, claim, kind, sure)
+    parts = [(doc, s) for doc, text in enumerate(source.to_pylist()) for x in _CLAIM_END.split(text) if 20 <= len(s := x.strip(SPACE)) <= 500]
+    sentences = pa.array([s for _, s in parts], pa.string())
+    fine = _any_match(sentences, [P.FACTUAL]) & ~_any_match(sentences, [P.POINTING, *P.NON_CLAIM])
+    for (doc, claim), ok in zip(parts, fine.tolist()):
+        if ok:
+            place(doc, claim, "factual", 0.5)
+    flat = [x for spans in taken for x in spans]
+    columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string()))]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, taken)]).astype(np.int32)), pa.StructArray.from_arrays(columns, names=_CLAIMS.elementType.names))
 
 
 def typed_claims(text: Column, kinds: list[str] | None = None, least: float = 0.5, code: bool = False, most: int | None = None) -> Column:
     """_CLAIMS: the claims of a text by their kinds. The patterns are tried in turn and a span that overlaps one found before goes; a span runs from the end of the sentence before (or of the match before) to the next one's beginning. At the end come sentences that look factual.
     kinds, least: patterns that count, by name and by confidence; code: code blocks count too; most: only so many claims, the first found."""
-    plain = F.coalesce(text, F.lit(""))
-    source = plain if code else F.regexp_replace(F.regexp_replace(plain, P.FENCED_CODE, " "), P.INLINE_CODE, " ")
-    found = []
-    for kind, sign, confidence in P.CLAIM_KINDS:
-        if confidence >= least and (kinds is None or kind in kinds):
-            # a match begins at a sentence's beginning or where the last one ended, so a sentence without the sign is passed over once
-            pattern = r"((?:\G|^|(?<=[.!?\n]))[^.!?\n]*?" + sign.replace(r"\b", P.WORD_EDGE) + r"[^.!?\n]*)"
-            some = F.filter(F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), trimmed), lambda s: (F.length(s) >= 15) & ~any_of(s, P.NON_CLAIM))
-            found.append(_placed(plain, some, kind, confidence))
-    edge = P.FACTUAL.replace(r"\b", P.WORD_EDGE)
-    sentences = F.filter(F.transform(F.split(source, P.CLAIM_END), trimmed), lambda s: F.length(s).between(20, 500) & s.rlike(edge) & ~s.rlike(P.POINTING) & ~any_of(s, P.NON_CLAIM))
-    found.append(_placed(plain, sentences, "factual", 0.5))
-
-    return _chosen(F.concat(*found), F.lit(2**31 - 1 if most is None else most))
-
-
-def _placed(text: Column, claims_of: Column, kind: str, confidence: float) -> Column:
-    """_CLAIMS of some strings, each at its first place in the text; those that are not in it (cut out of code) go."""
-    at = lambda s: (F.instr(text, s) - 1).cast("int")
-    placed = F.transform(claims_of, lambda s: F.struct(at(s).alias("start"), (at(s) + F.length(s)).cast("int").alias("end"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), s.alias("claim")))
-    return F.filter(placed, lambda c: c["start"] >= 0).cast(_CLAIMS)
+    chosen, limit = None if kinds is None else frozenset(kinds), math.inf if most is None else most
+
+    def run(texts: pa.Array) -> pa.Array:
+        return _extracted(texts, chosen, least, code, limit)
+
+    return F.arrow_udf(run, _CLAIMS)(text)
 
 
 _CONTENT = re.compile("[a-z0-9_]{3,}")

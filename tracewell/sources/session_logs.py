@@ -72,12 +72,33 @@ def signature(tool: Column, given: Column) -> Column:
     return F.concat(name, F.lit("("), F.substring(F.regexp_replace(canonical, "\\s+", " "), 1, 200), F.lit(")"))
 
 
-def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Records of line-wise JSON files with `session_id`, from the file's name up to its first dot; lines that do not parse are dropped."""
     df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return df.select("*", F.regexp_extract(F.col("_metadata.file_path"), "([^/.]+)[^/]*$", 1).alias("session_id"))
 
 
+def list_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """(session_id, snapshot): the sessions of a folder of logs, from the files' names and sizes alone. Snapshots (<id>.checkpoint.<any>.jsonl) are partial copies of their session: one with a file of its own has no snapshot here, of the others the largest
+    snapshot (of equals the first by name) stands for its session."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder).select("path", F.col("length").alias("size"))
+    files = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    partial = F.col("name").contains(".checkpoint.")
+    own = files.where(~partial).select(F.regexp_replace("name", "(\\.trajectory)?\\.jsonl$", "").alias("session_id")).distinct()
+    saved = files.where(partial).withColumn("session_id", F.substring_index("name", ".checkpoint.", 1)).join(own, "session_id", "left_anti")
+    best = saved.groupBy("session_id").agg(F.min(F.struct((-F.col("size")).alias("less"), "name", "path")).alias("best"))
+    return own.select("session_id", F.lit(None).cast("string").alias("snapshot")).unionAll(best.select("session_id", "best.path"))
+
+
+def read_logs(spark: SparkSession, folder: str, schema: str = LOG) -> DataFrame:
+    """Records of a folder's logs with their session_id: each session's own file, or the snapshot that stands for it; no other file is opened. The paths pass through the driver, as those of any scan do."""
+    sessions = list_sessions(spark, folder).select(F.coalesce("snapshot", F.concat(F.lit(f"{folder.rstrip('/')}/"), "session_id", F.lit(".jsonl"))).alias("path"), "snapshot")
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder).select(F.col("path").alias("file"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    chosen = sessions.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(there, "name")
+    paths = [r.file for r in chosen.select("file").collect()]
+    return read_lines(spark, paths, schema) if paths else spark.createDataFrame([], f"{schema}, session_id STRING")
+
+
 def _bool(c: str) -> Column:
     return F.max(F.coalesce(F.col(c), F.lit(False)).cast("int"))
 
