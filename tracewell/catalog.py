@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewell import store_queries
 from tracewell.functions import assertions as A
 from tracewell.functions import repetition
+from tracewell.functions import sql as S
 from tracewell.functions import text as T
 from tracewell.operators import claims, fleet, judge, projection, sessions, similar, traces
 from tracewell.operators.sessions import WEEKLY
@@ -17,6 +18,7 @@ from tracewell.plans.views import run_events, table
 from tracewell.rule_queries import REGISTRY as RULE_QUERIES
 from tracewell.sources import built, exports
 from tracewell.text_queries import REGISTRY as TEXT_QUERIES
+from tracewell.text_queries import _claims_sql
 from tracewell.text_queries import pairs as _pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +175,17 @@ def _cost_ceiling(e: DataFrame, cap: float = 5.0) -> DataFrame:
     return df.where(F.col("running_tokens") * 0.59 / 1_000_000 <= cap).select("worker", "session_id", "running_tokens")
 
 
+def _sql_metrics(d: DataFrame) -> DataFrame:
+    """Text metrics by name out of SQL, generators in lateral views."""
+    S.register(d.sparkSession)
+    counted = "(SELECT doc_id, count(*) AS n FROM {d} LATERAL VIEW explode(%s(text)) v AS c GROUP BY doc_id)"
+    return d.sparkSession.sql(
+        "SELECT d.doc_id, tw_tokens(text) AS tokens, tw_word_count(text) AS n_words, tw_slug(source) AS slug, tw_jaccard(text, 'the version of the text is licensed') AS jaccard, tw_keyword_coverage(text, array('licensed', 'reserved', 'version', 'the')) AS coverage, tw_duration(n_chars * 37.0D) AS duration, "
+        f"coalesce(c.n, 0) AS claims FROM {{d}} d LEFT JOIN {counted % 'tw_claims'} c ON d.doc_id = c.doc_id",
+        d=d,
+    )
+
+
 def _judge_inputs(c: DataFrame) -> DataFrame:
     """What a judge of 600 tokens gets to see of conversations: the last answer, the first question, and all that each side said."""
     said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda t: t["text"]), "\n")
@@ -338,6 +351,15 @@ SELECT doc_id, c.class_id, coalesce(k, 0) AS n_links FROM w JOIN c USING (s) LEF
         f"WITH p AS ({_FIRST}), q AS (SELECT conv_id, list_distinct({_words('lower(task)')}) AS x, list_distinct({_words('lower(answer)')}) AS y FROM p WHERE task IS NOT NULL AND answer IS NOT NULL) SELECT conv_id, CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 1.0 ELSE round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) END AS jaccard FROM q",
     ),
     "conversation_tokens": (_docs(lambda c: c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(T.tokens_estimate(F.col("text"))).alias("tokens")), "conversations"), "SELECT conv_id, count(*) AS turns, CAST(sum(CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id"),
+    "sql_retry_runs": (
+        _events(lambda e: S.retry_runs(traces.tool_outcomes(e))),
+        _RE + "SELECT session_id, CAST(tool AS VARCHAR) AS tool, min(pos) AS first_pos, count(*) AS length, arg_min(is_error, pos) = 1 AS failed_first, CAST(sum(is_error) AS BIGINT) AS failures FROM (SELECT *, pos - row_number() OVER (PARTITION BY session_id, tool ORDER BY pos) AS grp FROM oc) GROUP BY session_id, tool, grp",
+    ),
+    "sql_metrics": (
+        _docs(_sql_metrics),
+        f"WITH {_claims_sql('documents', 'doc_id', 'text')}, n AS (SELECT doc_id, len(cs) AS k FROM chosen), w AS (SELECT *, {_words("lower(text)")} AS x, {_words("'the version of the text is licensed'")} AS y FROM documents) SELECT w.doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CAST(len(x) AS BIGINT) AS n_words, regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, round(len(list_intersect(list_distinct(x), list_distinct(y))) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) AS jaccard, "
+        + "round((" + " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in _KEYWORDS) + ") / 4.0, 6) AS coverage, CASE WHEN n_chars * 37 < 1000 THEN n_chars * 37 || 'ms' WHEN n_chars * 37 < 60000 THEN format('{:.1f}s', n_chars * 37.0 / 1000) WHEN n_chars * 37 < 3600000 THEN format('{:.1f}m', n_chars * 37.0 / 60000) ELSE format('{:.1f}h', n_chars * 37.0 / 3600000) END AS duration, coalesce(k, 0) AS claims FROM w LEFT JOIN n USING (doc_id)",
+    ),
     "judge_inputs": (_docs(_judge_inputs, "conversations"), _JUDGE_INPUTS),
     "judged_within_ceiling": (
         _events(lambda e: projection.within_ceiling(sessions.sessions(e), "session_id", "first_ms", F.least("tokens", F.lit(8000)) / 1_000_000 * 0.59 + projection.ANSWER / 1_000_000 * 0.79, 1.0)),
