@@ -17,6 +17,7 @@ from tracewell.operators.sessions import WEEKLY
 from tracewell.plans.views import run_events, table
 from tracewell.rule_queries import REGISTRY as RULE_QUERIES
 from tracewell.sources import built, exports
+from tracewell.streaming import guard as guards
 from tracewell.text_queries import REGISTRY as TEXT_QUERIES
 from tracewell.text_queries import _claims_sql
 from tracewell.text_queries import pairs as _pairs
@@ -175,6 +176,16 @@ def _cost_ceiling(e: DataFrame, cap: float = 5.0) -> DataFrame:
     return df.where(F.col("running_tokens") * 0.59 / 1_000_000 <= cap).select("worker", "session_id", "running_tokens")
 
 
+#: The guard's budgets for sessions of a week. The loop test has no SQL and is off.
+_WATCH = guards.GuardLimits(max_tokens=300_000, max_ms=518_400_000, max_gap_ms=172_800_000, loop_window=0)
+
+
+def _guarded(e: DataFrame) -> DataFrame:
+    """What the live guard would have said of the sessions, with tokens summed up as they come."""
+    running = F.sum("tokens").over(Window.partitionBy("session_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return guards.replay(e.select("session_id", "pos", "ts_ms", "type", F.col("tool_sig").alias("content"), running.alias("tokens")), _WATCH, ("pos",))
+
+
 def _sql_metrics(d: DataFrame) -> DataFrame:
     """Text metrics by name out of SQL, generators in lateral views."""
     S.register(d.sparkSession)
@@ -351,6 +362,13 @@ SELECT doc_id, c.class_id, coalesce(k, 0) AS n_links FROM w JOIN c USING (s) LEF
         f"WITH p AS ({_FIRST}), q AS (SELECT conv_id, list_distinct({_words('lower(task)')}) AS x, list_distinct({_words('lower(answer)')}) AS y FROM p WHERE task IS NOT NULL AND answer IS NOT NULL) SELECT conv_id, CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 1.0 ELSE round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) END AS jaccard FROM q",
     ),
     "conversation_tokens": (_docs(lambda c: c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(T.tokens_estimate(F.col("text"))).alias("tokens")), "conversations"), "SELECT conv_id, count(*) AS turns, CAST(sum(CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id"),
+    "guard_replay": (
+        _events(_guarded),
+        _RE + """, r0 AS (SELECT *, sum(tokens) OVER w AS total, ts_ms - min(ts_ms) OVER (PARTITION BY session_id) AS age, ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY pos) AS silence, sum(CASE WHEN type = 'end' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM re WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+r1 AS (SELECT *, CASE WHEN total >= 300000 THEN 'tokens' WHEN age > 518400000 THEN 'timeout' WHEN silence > 172800000 THEN 'stall' END AS reason FROM r0 WHERE coalesce(ended, 0) = 0),
+stops AS (SELECT session_id, reason, ts_ms, CAST(total AS BIGINT) AS tokens FROM r1 WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos) = 1)
+SELECT * FROM stops UNION ALL SELECT session_id, 'abandoned', last_ms, tokens FROM s WHERE has_end = 0 AND session_id NOT IN (SELECT session_id FROM stops)""",
+    ),
     "sql_retry_runs": (
         _events(lambda e: S.retry_runs(traces.tool_outcomes(e))),
         _RE + "SELECT session_id, CAST(tool AS VARCHAR) AS tool, min(pos) AS first_pos, count(*) AS length, arg_min(is_error, pos) = 1 AS failed_first, CAST(sum(is_error) AS BIGINT) AS failures FROM (SELECT *, pos - row_number() OVER (PARTITION BY session_id, tool ORDER BY pos) AS grp FROM oc) GROUP BY session_id, tool, grp",

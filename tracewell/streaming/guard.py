@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewell.functions.repetition import MIN_LINE, cycles
 
@@ -57,6 +58,21 @@ def observe(x: dict, ts: int, kind: str, content: str | None, tokens: float | No
     return "stall" if silent else None
 
 
+def fresh() -> dict:
+    return {"start_ms": None, "last_ms": None, "tokens": 0, "texts": [], "gap": False, "done": False}
+
+
+def advance(x: dict, ts: int, kind: str, content: str | None, tokens: float | None, limits: GuardLimits) -> tuple | None:
+    """Take an event into the state x; (reason, ts_ms, tokens) if it stops the session. After a stop or an end only the time goes on."""
+    if x["done"]:
+        x["last_ms"] = max(x["last_ms"], ts)
+        return None
+    reason = observe(x, ts, kind, content, tokens, limits)
+    x["done"] = reason is not None or kind == "end"
+    x["texts"] = [] if x["done"] else x["texts"]
+    return None if reason is None else (reason, ts, x["tokens"])
+
+
 def guard(events: DataFrame, limits: GuardLimits = GuardLimits()) -> DataFrame:
     """Stream of (session_id, ts_ms, type, content, tokens), tokens cumulative, to one row for each session that should stop (tokens, timeout, loop, stall) or that went silent without an end (abandoned).
 
@@ -75,17 +91,88 @@ def guard(events: DataFrame, limits: GuardLimits = GuardLimits()) -> DataFrame:
         else:
             batch = pd.concat(list(frames)).sort_values("ts_ms", kind="stable")
             for ts, kind, content, tokens in zip(batch["ts_ms"], batch["type"], batch["content"], batch["tokens"]):
-                if x["done"]:
-                    x["last_ms"] = max(x["last_ms"], int(ts))
-                    continue
-                reason = observe(x, int(ts), kind, content, tokens, limits)
-                if reason is not None:
-                    out.append((key[0], reason, int(ts), x["tokens"]))
-                x["done"] = reason is not None or kind == "end"
-                x["texts"] = [] if x["done"] else x["texts"]
+                row = advance(x, int(ts), kind, content, tokens, limits)
+                if row:
+                    out.append((key[0], *row))
             state.update(tuple(x[n] for n in _NAMES))
             state.setTimeoutTimestamp(max(x["last_ms"] + limits.idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_id", "reason", "ts_ms", "tokens"])
 
     timed = events.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", f"{limits.late_ms} milliseconds")
     return timed.groupBy("session_id").applyInPandasWithState(step, OUT, _STATE, "append", "EventTimeTimeout")
+
+
+class GuardProcessor(StatefulProcessor):
+    """The guard's rules as state with timers: numbers of a session in a value, its last texts in a list that is only rewritten when one comes, how often each tool was called in a map, and an event-time timer that says when silence ends a session."""
+
+    def __init__(self, limits: GuardLimits):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.facts = handle.getValueState("facts", "start_ms long, last_ms long, tokens long, gap boolean, done boolean")
+        self.texts = handle.getListState("texts", "text string")
+        self.calls = handle.getMapState("calls", "type string", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        old = self.facts.get() if self.facts.exists() else (None, None, 0, False, False)
+        x = dict(zip(("start_ms", "last_ms", "tokens", "gap", "done"), old)) | {"texts": [r[0] for r in self.texts.get()] if self.texts.exists() else []}
+        kept, out, seen = list(x["texts"]), [], {}
+        batch = pd.concat(list(rows)).sort_values("ts_ms", kind="stable")
+        for ts, kind, content, tokens in zip(batch["ts_ms"], batch["type"], batch["content"], batch["tokens"]):
+            seen[kind] = seen.get(kind, 0) + 1
+            row = advance(x, int(ts), kind, content, tokens, self.limits)
+            if row:
+                out.append((key[0], *row))
+        for kind, n in seen.items():
+            before = self.calls.getValue((kind,))[0] if self.calls.containsKey((kind,)) else 0
+            self.calls.updateValue((kind,), (before + n,))
+        if x["texts"] != kept:
+            self.texts.put([(t,) for t in x["texts"]]) if x["texts"] else self.texts.clear()
+        self.facts.update(tuple(x[n] for n in ("start_ms", "last_ms", "tokens", "gap", "done")))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(x["last_ms"] + self.limits.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(out, columns=["session_id", "reason", "ts_ms", "tokens"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        _, last, tokens, _, done = self.facts.get()
+        for state in (self.facts, self.texts, self.calls):
+            state.clear()
+        yield pd.DataFrame([] if done else [(key[0], "abandoned", last, tokens)], columns=["session_id", "reason", "ts_ms", "tokens"])
+
+    def close(self) -> None:
+        pass
+
+
+def guard_with_timers(events: DataFrame, limits: GuardLimits = GuardLimits()) -> DataFrame:
+    """As `guard`, by a processor with timers; needs the RocksDB state store, which it sets for the session."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = events.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", f"{limits.late_ms} milliseconds")
+    return timed.groupBy("session_id").transformWithStateInPandas(GuardProcessor(limits), OUT, "Append", "EventTime")
+
+
+def replay(events: DataFrame, limits: GuardLimits = GuardLimits(), order: tuple[str, ...] = ("ts_ms",)) -> DataFrame:
+    """What the guard says of events that are all there: the same rows, and `abandoned` for sessions without an end at their last event. Sessions are dealt out and read in order, one session's state in memory at a time, however long it is."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, x = None, fresh()
+        for frame in frames:
+            out = []
+            for session, ts, kind, content, tokens in zip(frame["session_id"], frame["ts_ms"], frame["type"], frame["content"], frame["tokens"]):
+                if session != now:
+                    out += left(now, x)
+                    now, x = session, fresh()
+                row = advance(x, int(ts), kind, content, tokens, limits)
+                if row:
+                    out.append((session, *row))
+            yield pd.DataFrame(out, columns=["session_id", "reason", "ts_ms", "tokens"])
+        yield pd.DataFrame(left(now, x), columns=["session_id", "reason", "ts_ms", "tokens"])
+
+    dealt = events.repartition("session_id").sortWithinPartitions("session_id", *order)
+    return dealt.select("session_id", "ts_ms", "type", "content", "tokens").mapInPandas(run, OUT)
+
+
+def left(session: str | None, x: dict) -> list[tuple]:
+    """The row of a session whose events are over."""
+    return [] if x["done"] or x["last_ms"] is None else [(session, "abandoned", x["last_ms"], x["tokens"])]
