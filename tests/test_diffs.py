@@ -47,3 +47,15 @@ def test_stuck_outputs(spark):
     rows = [("up", 1, "output", "a"), ("up", 2, "error", "zzz"), ("up", 3, "output", "ab"), ("flat", 1, "output", "aaa"), ("flat", 2, "tool_result", "aa"), ("flat", 3, "output", "aa"), ("one", 1, "output", "x")]
     df = spark.createDataFrame(rows, "session_id string, pos long, type string, text string")
     assert {r.session_id: r.growing for r in sessions.stuck_outputs(df).collect()} == {"up": True, "flat": False}
+
+
+def test_unified_hunks(spark):
+    diff = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -3,6 +3,7 @@ def f():\n keep\n-old line\n+new line\n+import os\n keep\n-  same   text\n+same text\n@@ -20,3 +21,2 @@\n-one\n-two\n+two\n+one\n\\ No newline at end of file"
+    df = spark.createDataFrame([(1, diff), (2, "--- a\n+++ b\n-not in a hunk"), (3, None), (4, "@@ -1,2 +1,2 @@\n- a b\n+a  b")], "id int, diff string")
+    got = [tuple(r) for r in diffs.unified_hunks(df, "id").orderBy("id", "change").drop("change").collect()]
+    assert got == [
+        (1, "structural", ["new line", "import os"], ["old line"], 4, 5), (1, "cosmetic", ["same text"], ["  same   text"], 6, 7), (1, "reorder", ["two", "one"], ["one", "two"], 20, 22), (4, "cosmetic", ["a  b"], [" a b"], 1, 2),
+    ]
+    verdicts = lambda **o: {r.id: r.meaningful for r in diffs.meaningful_unified(df, "id", **o).collect()}
+    assert verdicts() == {1: True, 2: False, 3: False, 4: False}
+    assert verdicts(substantive=False, least=2) == {1: True, 2: False, 3: False, 4: False} and verdicts(least=2)[1] is False

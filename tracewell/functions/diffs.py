@@ -67,12 +67,20 @@ def hunks(df: DataFrame, item: str, before: str, after: str, context: int = 3) -
     order = Window.partitionBy(item).orderBy("at")
     opens = F.coalesce((F.col("at") - F.lag("at").over(order) - 1 > context).cast("int"), F.lit(1))
     marked = every.withColumn("opens", opens).withColumn("hunk", F.sum("opens").over(order))
-    of = lambda op: F.transform(F.filter(F.sort_array(F.collect_list(F.struct("at", "op", "line"))), lambda x: x["op"] == op), lambda x: F.regexp_replace(F.btrim(x["line"], F.lit(" \t\r")), "\\s+", " "))
     line = F.coalesce("new", "old")
-    grouped = marked.groupBy(item, "hunk").agg(of("add").alias("adds"), of("remove").alias("removes"), F.min_by(line, "at").alias("first_line"), F.max_by(line, "at").alias("last_line"))
+    grouped = marked.groupBy(item, "hunk").agg(_lines_of("add").alias("adds"), _lines_of("remove").alias("removes"), F.min_by(line, "at").alias("first_line"), F.max_by(line, "at").alias("last_line"))
+    return grouped.select(item, "hunk", _kind().alias("kind"), F.size("adds").alias("added"), F.size("removes").alias("removed"), "first_line", "last_line")
+
+
+def _lines_of(op: str) -> Column:
+    """The lines of one op of a group (at, op, line), in order, with white space evened out."""
+    return F.transform(F.filter(F.sort_array(F.collect_list(F.struct("at", "op", "line"))), lambda x: x["op"] == op), lambda x: F.regexp_replace(F.btrim(x["line"], F.lit(" \t\r")), "\\s+", " "))
+
+
+def _kind() -> Column:
+    """The kind of a change by its lines, adds and removes."""
     declares = F.exists(F.concat("adds", "removes"), lambda x: x.rlike(P.DECLARATION))
-    kind = F.when(F.col("adds") == F.col("removes"), "cosmetic").when((F.size("adds") > 0) & (F.sort_array("adds") == F.sort_array("removes")), "reorder").when(declares, "structural").otherwise("content")
-    return grouped.select(item, "hunk", kind.alias("kind"), F.size("adds").alias("added"), F.size("removes").alias("removed"), "first_line", "last_line")
+    return F.when(F.col("adds") == F.col("removes"), "cosmetic").when((F.size("adds") > 0) & (F.sort_array("adds") == F.sort_array("removes")), "reorder").when(declares, "structural").otherwise("content")
 
 
 def all_lines(text: Column) -> Column:
@@ -108,7 +116,7 @@ def unified_changes(df: DataFrame, item: str, diff: str = "diff") -> DataFrame:
     # a header is a pair of lines, so that a removed line that begins with two hyphens is none
     old = F.col("line").startswith("--- ") & F.lead("line").over(order).startswith("+++ ")
     head = F.coalesce(old, F.lit(False))
-    name = lambda c: F.regexp_replace(F.split(F.substring(c, 5, 10_000), "\t")[0], "^[ab]/", "")
+    name = lambda c: F.regexp_replace(F.split(F.substring(c, F.lit(5), F.length(c)), "\t")[0], "^[ab]/", "")
     new = name(F.lead("line").over(order))
     named = F.when(head, F.when(new == "/dev/null", name(F.col("line"))).otherwise(new))
     marked = lines.withColumns({"head": head, "second": F.coalesce(F.lag(head).over(order), F.lit(False)), "named": named})
@@ -116,3 +124,34 @@ def unified_changes(df: DataFrame, item: str, diff: str = "diff") -> DataFrame:
     body = marked.where("not head and not second")
     out = body.groupBy(item, "part", "file").agg(F.count_if(F.col("line").startswith("@@")).alias("hunks"), F.count_if(F.col("line").startswith("+")).alias("added"), F.count_if(F.col("line").startswith("-")).alias("removed"))
     return out.where("hunks + added + removed > 0").drop("part")
+
+
+#: Fixed: the header of a hunk.
+HUNK = r"^@@\s+-(\d+)(?:,\d+)?\s+\+(\d+)(?:,\d+)?\s+@@"
+
+
+def unified_hunks(df: DataFrame, item: str, diff: str = "diff") -> DataFrame:
+    """(item, change, kind, additions, deletions, start_line, end_line): the runs of changed lines of a unified diff, between context lines and headers, with the lines themselves and their place in the old text; kinds as of `hunks`. What stands before the first header of a hunk is none."""
+    lines = df.select(item, F.posexplode(F.split(F.coalesce(F.col(diff), F.lit("")), "\n")).alias("at", "line"))
+    before = Window.partitionBy(item).orderBy("at")
+    head, context = F.col("line").rlike(HUNK), F.col("line").startswith(" ")
+    changed = F.when(F.col("line").startswith("+") & ~F.col("line").startswith("+++"), "add").when(F.col("line").startswith("-") & ~F.col("line").startswith("---"), "remove")
+    upto = before.rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumns({"op": F.when(~head, changed), "hunk": F.sum(head.cast("int")).over(upto), "change": F.sum((head | context).cast("int")).over(upto), "first": F.last(F.when(head, F.regexp_extract("line", HUNK, 1).cast("long")), ignorenulls=True).over(upto)})
+    # old lines of the hunk up to here
+    inside = Window.partitionBy(item, "hunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    old = F.sum((context | (F.col("op") == "remove")).cast("int")).over(inside)
+    marked = marked.withColumn("until", F.col("first") + F.coalesce(old, F.lit(0))).where("hunk > 0 and op is not null")
+    exact = lambda op: F.transform(F.filter(F.sort_array(F.collect_list(F.struct("at", "op", "line"))), lambda x: x["op"] == op), lambda x: F.substring(x["line"], F.lit(2), F.length(x["line"])))
+    plain = marked.withColumn("line", F.substring("line", F.lit(2), F.length("line")))
+    kinds = plain.groupBy(item, "change").agg(_lines_of("add").alias("adds"), _lines_of("remove").alias("removes")).select(item, "change", _kind().alias("kind"))
+    starts = F.min_by(F.col("until") - (F.col("op") == "remove").cast("int"), "at")
+    whole = marked.groupBy(item, "change").agg(exact("add").alias("additions"), exact("remove").alias("deletions"), starts.alias("start_line"), F.max("until").alias("end_line"))
+    return whole.join(kinds, [item, "change"]).select(item, "change", "kind", "additions", "deletions", "start_line", "end_line")
+
+
+def meaningful_unified(df: DataFrame, item: str, diff: str = "diff", least: int = 1, substantive: bool = True) -> DataFrame:
+    """(item, changes, n_substantive, meaningful): whether a unified diff has `least` changes at least, of which (substantive) those that are cosmetic or only reorder lines do not count."""
+    counts = unified_hunks(df, item, diff).groupBy(item).agg(F.count("*").alias("changes"), F.count_if(~F.col("kind").isin("cosmetic", "reorder")).alias("n_substantive"))
+    counted = df.select(item).join(counts, item, "left").fillna(0, ["changes", "n_substantive"])
+    return counted.select(item, "changes", "n_substantive", ((F.col("changes") > 0) & (F.col("n_substantive" if substantive else "changes") >= least)).alias("meaningful"))

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tracewell.functions import patterns as P
+
+#: The most criteria of a rubric.
+MOST_CRITERIA = 1000
 #: Fixed thresholds.
 RELIABLE, CALIBRATED, EXACT, BIAS, PASS, SURE = 0.8, 0.85, 0.5, 0.5, 0.6, 0.7
 
@@ -84,7 +88,7 @@ def balanced(text: str) -> str | None:
 
 #: Strings (which may hold brackets), or brackets.
 _TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
-_FENCE = re.compile(r"```(?:json)?\s*\n?([\s\S]*?)\n?\s*```")
+_FENCE = re.compile(P.JSON_FENCE)
 
 
 def json_of(text: str) -> str | None:
@@ -106,7 +110,12 @@ def rubric_scores(parsed: DataFrame, rubric: DataFrame, item: str) -> DataFrame:
     """(item, criterion, score 0 to 1, weight, confidence) of every criterion of a rubric (criterion, weight, low, high) for each item: scores are held inside their levels; one that the judge left out counts as 0 without confidence. Of several the first by score counts.
     Others are ignored."""
     own = parsed.groupBy(item, "criterion").agg(F.min(F.struct("score", "confidence")).alias("s"))
-    every = parsed.select(item).distinct().crossJoin(F.broadcast(rubric))  # a rubric has a handful of criteria
+    criteria = rubric.select("criterion", "weight", "low", "high").limit(MOST_CRITERIA + 1).collect()
+    if len(criteria) > MOST_CRITERIA:
+        raise ValueError(f"a rubric of more than {MOST_CRITERIA} criteria")
+    kind = "array<struct<criterion:string,weight:double,low:double,high:double>>"
+    listed = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in c.asDict().items())) for c in criteria)).cast(kind) if criteria else F.array().cast(kind)
+    every = parsed.select(item).distinct().select(item, F.explode(listed).alias("c")).select(item, "c.*")
     held = F.greatest("low", F.least("high", "s.score"))
     share = F.when(F.col("s").isNull() | (F.col("high") <= F.col("low")), 0.0).otherwise((held - F.col("low")) / (F.col("high") - F.col("low")))
     return every.join(own, [item, "criterion"], "left").select(item, "criterion", share.alias("score"), "weight", F.coalesce("s.confidence", F.lit(0.0)).alias("confidence"))
