@@ -14,6 +14,7 @@ from tracewell.functions import sql as S
 from tracewell.functions import text as T
 from tracewell.operators import claims, fleet, judge, projection, sessions, similar, traces
 from tracewell.operators.sessions import WEEKLY
+from tracewell.plans.scratch import materialise
 from tracewell.plans.views import run_events, table
 from tracewell.rule_queries import REGISTRY as RULE_QUERIES
 from tracewell.sources import built, exports
@@ -33,6 +34,11 @@ def _scores(f: Callable[[DataFrame], DataFrame]) -> Query:
     return _events(lambda e: f(fleet.check_scores(e, WEEKLY)))
 
 
+def _stored_scores(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """For queries that use the scores several times: events are scored once, and the small table of scores is written and read back."""
+    return _scores(lambda c: f(materialise(c, "scores")))
+
+
 def _docs(f: Callable[[DataFrame], DataFrame], name: str = "documents") -> Query:
     return lambda spark, sf_dir: f(table(spark, sf_dir, name))
 
@@ -304,20 +310,20 @@ FROM k WHERE CASE WHEN n_errors = 0 THEN len(list_filter(kinds, lambda x: x IS N
     "cost_ceiling_cumsum": (_events(_cost_ceiling), _RE + "SELECT worker, session_id, running_tokens FROM (SELECT worker, session_id, CAST(sum(tokens) OVER (PARTITION BY worker ORDER BY first_ms, session_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_tokens FROM s) WHERE running_tokens * 0.59 / 1000000 <= 5"),
     "check_scores": (_scores(lambda c: c), _RE + "SELECT * FROM sc"),
     "run_scores": (_scores(fleet.run_scores), _RE + "SELECT * REPLACE (round(overall, 6) AS overall) FROM rs"),
-    "trend_classify": (_scores(fleet.trends), _RE + "SELECT * REPLACE (round(mean_base, 6) AS mean_base, round(mean_recent, 6) AS mean_recent, round(sd_base, 6) AS sd_base, round(delta, 6) AS delta, round(z, 4) AS z) FROM tr"),
+    "trend_classify": (_stored_scores(fleet.trends), _RE + "SELECT * REPLACE (round(mean_base, 6) AS mean_base, round(mean_recent, 6) AS mean_recent, round(sd_base, 6) AS sd_base, round(delta, 6) AS delta, round(z, 4) AS z) FROM tr"),
     "trend_fail_rates": (
-        _scores(lambda c: fleet.trends(c, "failRate", 0.25).select("worker", "check", "n_base", "n_recent", "mean_base", "mean_recent", "delta")),
+        _stored_scores(lambda c: fleet.trends(c, "failRate", 0.25).select("worker", "check", "n_base", "n_recent", "mean_base", "mean_recent", "delta")),
         _RE + ", f AS (SELECT worker, \"check\", CASE WHEN status = 'fail' THEN 1.0 ELSE 0.0 END AS v, row_number() OVER (PARTITION BY worker, \"check\" ORDER BY started_ms, run_id) AS rn, count(*) OVER (PARTITION BY worker, \"check\") AS n FROM sc), fr AS (SELECT *, rn > n - greatest(1, least(n - 1, CAST(floor(n * 0.25 + 0.5) AS BIGINT))) AS late FROM f) SELECT worker, \"check\", count(*) FILTER (NOT late) AS n_base, count(*) FILTER (late) AS n_recent, round(avg(v) FILTER (NOT late), 6) AS mean_base, round(avg(v) FILTER (late), 6) AS mean_recent, round(avg(v) FILTER (late) - avg(v) FILTER (NOT late), 6) AS delta FROM fr GROUP BY worker, \"check\"",
     ),
-    "trend_worst": (_scores(lambda c: fleet.worst_first(fleet.trends(c), 5).select("worker", "check", "severity", "z")), _RE + "SELECT worker, \"check\", severity, round(z, 4) AS z FROM tr ORDER BY list_position(['none', 'info', 'warning', 'critical'], severity) DESC, abs(round(z, 4)) DESC NULLS LAST, worker, \"check\" LIMIT 5"),
+    "trend_worst": (_stored_scores(lambda c: fleet.worst_first(fleet.trends(c), 5).select("worker", "check", "severity", "z")), _RE + "SELECT worker, \"check\", severity, round(z, 4) AS z FROM tr ORDER BY list_position(['none', 'info', 'warning', 'critical'], severity) DESC, abs(round(z, 4)) DESC NULLS LAST, worker, \"check\" LIMIT 5"),
     "rolling_scores": (_scores(fleet.rolling_days), _RE + ", dd AS (SELECT worker, \"check\", started_ms // 86400000 AS day, count(*) AS c, sum(score) AS s FROM sc GROUP BY ALL) SELECT worker, \"check\", day, CAST(sum(c) OVER w AS BIGINT) AS n, round(sum(s) OVER w / sum(c) OVER w, 6) AS mean_score FROM dd WINDOW w AS (PARTITION BY worker, \"check\" ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)"),
     "scores_in_dates": (_scores(lambda c: fleet.in_dates(c, "2024-01-10", "2024-01-20").select("worker", "run_id", "check", "score")), _RE + "SELECT worker, run_id, \"check\", score FROM sc WHERE make_timestamp(started_ms * 1000)::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'"),
-    "trend_worker_rollup": (_scores(lambda c: fleet.worker_trends(fleet.trends(c))), _RE + "SELECT * FROM wt"),
-    "scorecard_workers": (_scores(fleet.scorecard), _RE + "SELECT * FROM card"),
+    "trend_worker_rollup": (_stored_scores(lambda c: fleet.worker_trends(fleet.trends(c))), _RE + "SELECT * FROM wt"),
+    "scorecard_workers": (_stored_scores(fleet.scorecard), _RE + "SELECT * FROM card"),
     "scorecard_checks": (_scores(fleet.check_breakdown), _RE + "SELECT worker, \"check\", round(avg(score), 6) AS mean_score, count(*) AS runs, count(*) FILTER (status = 'fail') AS fails, count(*) FILTER (status = 'warn') AS warns, count(*) FILTER (status = 'pass') AS passes FROM sc GROUP BY worker, \"check\""),
     "failure_categories": (_scores(fleet.failure_categories), _RE + "SELECT \"check\", count(*) AS fails FROM sc WHERE status = 'fail' GROUP BY \"check\""),
     "fleet_rollup": (_scores(fleet.fleet_rollup), _RE + "SELECT worker, count(*) AS runs, round(avg(overall), 6) AS mean_score FROM rs GROUP BY ROLLUP (worker)"),
-    "grade_histogram": (_scores(lambda c: fleet.grade_histogram(fleet.scorecard(c))), _RE + "SELECT grade, count(*) AS workers FROM card GROUP BY grade"),
+    "grade_histogram": (_stored_scores(lambda c: fleet.grade_histogram(fleet.scorecard(c))), _RE + "SELECT grade, count(*) AS workers FROM card GROUP BY grade"),
     "provenance_unpivot": (_events(claims.run_event_fields), _RE + "SELECT session_id, pos, type, path, value, CASE WHEN path IN ('event_type', 'timestamp', 'tokens_in') THEN 'proof' WHEN path LIKE 'tool_call.%' THEN 'claim' WHEN path = 'output_data' THEN CASE WHEN type = 'tool_call' THEN 'proof' ELSE 'claim' END ELSE 'neutral' END AS provenance FROM (SELECT session_id, pos, type, unnest(['event_type', 'timestamp', 'tokens_in', 'session_id', 'model', 'tool_call.tool_name', 'tool_call.tool_input', 'output_data']) AS path, unnest([type, CAST(ts_ms AS VARCHAR), CAST(tokens AS VARCHAR), session_id, model, CASE WHEN type = 'tool_call' THEN CAST(tool AS VARCHAR) END, CASE WHEN type = 'tool_call' THEN tool_sig END, tool_sig]) AS value FROM re) WHERE value IS NOT NULL"),
     "provenance_counts": (_events(lambda e: claims.provenance_counts(claims.run_event_fields(e))), _RE + "SELECT session_id, CAST(sum(CASE WHEN type = 'tool_call' THEN 4 ELSE 3 END) AS BIGINT) AS proof, CAST(sum(CASE WHEN type = 'tool_call' THEN CASE WHEN tool IS NULL THEN 1 ELSE 2 END ELSE 1 END) AS BIGINT) AS claim, CAST(sum(2) AS BIGINT) AS neutral FROM re GROUP BY session_id"),
     "calibration_rollup": (lambda s, d: judge.calibration(_judged(s, d)), _JUDGED + f"SELECT criterion, {_RATES}, CASE WHEN avg(CAST(abs(actual - expected) <= 1 AS INT)) >= 0.8 THEN 1 ELSE 0 END AS reliable FROM j GROUP BY criterion"),
