@@ -382,7 +382,7 @@ SELECT * FROM stops UNION ALL SELECT session_id, 'abandoned', last_ms, tokens FR
     "sql_metrics": (
         _docs(_sql_metrics),
         f"WITH {_claims_sql('documents', 'doc_id', 'text')}, n AS (SELECT doc_id, len(cs) AS k FROM chosen), w AS (SELECT *, {_words("lower(text)")} AS x, {_words("'the version of the text is licensed'")} AS y FROM documents) SELECT w.doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CAST(len(x) AS BIGINT) AS n_words, regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, round(len(list_intersect(list_distinct(x), list_distinct(y))) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) AS jaccard, "
-        + "round((" + " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in _KEYWORDS) + ") / 4.0, 6) AS coverage, CASE WHEN n_chars * 37 < 1000 THEN n_chars * 37 || 'ms' WHEN n_chars * 37 < 60000 THEN format('{:.1f}s', n_chars * 37.0 / 1000) WHEN n_chars * 37 < 3600000 THEN format('{:.1f}m', n_chars * 37.0 / 60000) ELSE format('{:.1f}h', n_chars * 37.0 / 3600000) END AS duration, coalesce(k, 0) AS claims FROM w LEFT JOIN n USING (doc_id)",
+        + "round((" + " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in _KEYWORDS) + ") / 4.0, 6) AS coverage, CASE WHEN n_chars * 37 < 1000 THEN n_chars * 37 || 'ms' WHEN n_chars * 37 < 60000 THEN format('{:.1f}s', floor(n_chars * 370.0 / 1000 + 0.5) / 10) WHEN n_chars * 37 < 3600000 THEN format('{:.1f}m', floor(n_chars * 370.0 / 60000 + 0.5) / 10) ELSE format('{:.1f}h', floor(n_chars * 370.0 / 3600000 + 0.5) / 10) END AS duration, coalesce(k, 0) AS claims FROM w LEFT JOIN n USING (doc_id)",
     ),
     "judge_inputs": (_docs(_judge_inputs, "conversations"), _JUDGE_INPUTS),
     "judged_within_ceiling": (
