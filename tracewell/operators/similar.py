@@ -1,14 +1,11 @@
 """Set-similarity self-join over a whole table: which rows' sets of words are alike, by prefix filtering.
 
 Rows with equal sets are one class, and only classes are compared; words are 64-bit hashes from the start. A class lists its words by their hashes, the most common ones last. Of two sets as alike as asked, the first words of both lists (size - least overlap + 1 of them) have one in
-common, so only those are joined, on word and size: sizes are cut into steps of the threshold, and two alike sizes lie in one step or in neighbours, so a common word is spread over sizes and adaptive execution splits what is
-still large. Places in the lists bound what two sets can share; what is left is verified once a pair on all words. Pairs of rows are never made: the result is the class of each row and the pairs of classes.
+common, so only those are joined, on the word; a common word is looked up by short sets only, and adaptive execution splits what is still large. Places in the lists bound what two sets can share; what is left is verified once a pair on all words. Pairs of rows are never made: the result is the class of each row and the pairs of classes.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,34 +25,32 @@ def word_set(text: str) -> Column:
 def set_classes(df: DataFrame, item: str, words: Column) -> tuple[DataFrame, DataFrame]:
     """(item, class_id) of every row, and (class_id, words) of every class: rows with equal sets, named by the least item."""
     rows = df.select(F.col(item).alias("item"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("words"))
-    rows = materialise(rows.select("item", "words", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2")), "similar-rows")
+    rows = rows.select("item", "words", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"))
     classes = materialise(rows.groupBy("k1", "k2").agg(F.min("item").alias("class_id"), F.first("words").alias("words")), "similar-classes")
+    # texts are hashed once more for their rows' classes: cheaper than to write all words of all rows
     return rows.select("item", "k1", "k2").join(classes.select("k1", "k2", "class_id"), ["k1", "k2"]).select(F.col("item").alias(item), "class_id"), classes.select("class_id", "words")
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """(word, step, class_id, size, at): the words that a class is looked up by."""
+    """(word, class_id, size, at): the words that a class is looked up by."""
     counted = classes.limit(SAMPLE).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     common = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
     rare = F.filter("words", lambda w: ~w.isin(*common)) if common else F.col("words")
     listed = classes.select("class_id", F.size("words").alias("size"), F.concat(rare, F.array_except("words", rare)).alias("words"))
     size = F.col("size")
     first = size - F.ceil(size * percent / 100) + 1
-    step = F.floor(F.log(size.cast("double")) / -math.log(percent / 100) + 1e-9).cast("int") if percent < 100 else size
-    return listed.where("size > 0").select("class_id", "size", step.alias("step"), F.posexplode(F.slice("words", F.lit(1), first.cast("int"))).alias("at", "word"))
+    return listed.where("size > 0").select("class_id", "size", F.posexplode(F.slice("words", F.lit(1), first.cast("int"))).alias("at", "word"))
 
 
 def similar_classes(classes: DataFrame, percent: int = ALIKE) -> DataFrame:
     """(a, b, shared, jaccard): pairs of classes whose sets are alike, the smaller set first (of equal sizes the smaller class_id). Empty sets are like no other."""
     p = _prefixes(classes, percent)
-    b = p.select(F.col("class_id").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), "step", "word")
-    # the larger set may lie one step higher
-    a = p.select(F.col("class_id").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"), "word", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
+    a, b = (p.select(F.col("class_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("at").alias(f"at_{x}"), "word") for x in "ab")
     ordered = (F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b"))
     fits = F.col("size_a") * 100 >= F.col("size_b") * percent
     # at the first word they share, no more than what is left of both can be shared
     can = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
-    pairs = materialise(a.join(b, ["word", "step"]).where(ordered & fits & can).select("a", "b").distinct(), "similar-pairs")
+    pairs = materialise(a.join(b, "word").where(ordered & fits & can).select("a", "b").distinct(), "similar-pairs")
     # only classes in some pair are dealt out with all their words
     met = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
     met = materialise(classes.join(met, "class_id", "left_semi"), "similar-met")
