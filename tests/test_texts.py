@@ -95,3 +95,20 @@ def test_actionability(spark):
     assert rows[1].response_type == "how-to" and rows[1].passed == 1 and rows[1].actionable_ratio == 1.0
     assert rows[2].passed == 0 and rows[2].filler_ratio == 1.0
     assert rows[3].sentences == 0 and rows[3].score == 0.0
+
+
+def test_actionability_as_its_sql(spark, tmp_path):
+    """Word boundaries and white space as RE2 has them, and halves rounded as SQL does it."""
+    import duckdb
+
+    from tracewell import text_queries
+
+    answers = ["Setü the thing today.", "Set it. réadd it now.", "Run\x0bit. Check\u2028 the port = 8ä and 9ms.", "\x0bInstall it.\rOpen it.", "Füllt add. Addé it. Read\u0085 on.", *("Run it. " * k + "Say no more of it. " * (16 - k) for k in range(1, 16)), None]
+    rows = [(i, turn, role, text) for i, a in enumerate(answers) for turn, role, text in ((0, "user", "how tö fix it"), (1, "assistant", a))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    query, sql = text_queries.REGISTRY["actionability"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    theirs = con.execute(sql).df().sort_values("conv_id")
+    ours = query(spark, str(tmp_path)).toPandas().sort_values("conv_id")[list(theirs.columns)]
+    assert ours.values.tolist() == theirs.values.tolist()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import patterns as P
-from tracewell.functions.completeness import any_of, trimmed
+from tracewell.functions.completeness import any_of, says, trimmed
 
 BLOCK = "```[\\s\\S]*?```"
 SENTENCE = "[^.!?\\n]+(?:[.!?](?:\\s|\\z)|\\n|\\z)"
@@ -19,19 +19,24 @@ WORD = "[A-Za-z0-9_]{4,}"
 def response_type(task: Column) -> Column:
     low, out = F.lower(task), F.lit("general")
     for name, needed in reversed(P.RESPONSE_TYPE):
-        out = F.when(reduce(and_, (low.rlike(p) for p in needed)), name).otherwise(out)
+        out = F.when(reduce(and_, (says(low, p) for p in needed)), name).otherwise(out)
     return out
 
 
 def answer_sentences(text: Column) -> Column:
     """Fenced blocks, each as one, and the sentences of what lies between them."""
-    between = F.flatten(F.transform(F.split(text, BLOCK), lambda s: F.regexp_extract_all(s, F.lit(SENTENCE), F.lit(0))))
+    between = F.flatten(F.transform(F.split(text, BLOCK), lambda s: F.regexp_extract_all(s, F.lit(P.java(SENTENCE)), F.lit(0))))
     blocks = F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0))
     return F.filter(F.transform(F.concat(between, blocks), trimmed), lambda s: s != "")
 
 
 def _count(s: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)))
+    return F.size(F.regexp_extract_all(s, F.lit(P.java(pattern)), F.lit(0)))
+
+
+def _rounded(x: Column) -> Column:
+    """To six places as SQL does it: the millionfold, halves up. F.round looks at the decimal digits that are shown, which differ at halves."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
 
 
 def _is(rule: Column) -> Column:
@@ -41,15 +46,15 @@ def _is(rule: Column) -> Column:
 def elements(s: Column) -> dict[str, Column]:
     """Concrete content of a sentence: how often each kind occurs."""
     return {
-        "imperative": _is(s.rlike(P.IMPERATIVE)),
+        "imperative": _is(says(s, P.IMPERATIVE)),
         "code-snippet": _count(s, P.CODE),
         "file-reference": _count(s, P.FILE),
         "command": _count(s, P.COMMAND),
         "url-reference": _count(s, P.URL),
-        "step": _is(s.rlike(P.STEP)),
+        "step": _is(says(s, P.STEP)),
         "specific-value": _count(s, P.VALUE),
-        "decision-point": _is(s.rlike(P.DECISION)),
-        "example": _is(s.rlike(P.EXAMPLE) & (F.length(s) > 30)),
+        "decision-point": _is(says(s, P.DECISION)),
+        "example": _is(says(s, P.EXAMPLE) & (F.length(s) > 30)),
     }
 
 
@@ -60,13 +65,13 @@ def filler(s: Column, task: Column) -> dict[str, Column]:
     shared = F.size(F.filter(words, lambda w: F.array_contains(asked, w)))
     plain = ~any_of(s, [P.CODE, P.FILE, P.URL, P.VALUE])
     return {
-        "hedge": sum((_is(s.rlike(p)) for p in P.HEDGE), F.lit(0)),
-        "platitude": sum((_is(s.rlike(p)) for p in P.PLATITUDE), F.lit(0)),
-        "weasel-word": sum((_is(s.rlike(p)) for p in P.WEASEL), F.lit(0)),
+        "hedge": sum((_is(says(s, p)) for p in P.HEDGE), F.lit(0)),
+        "platitude": sum((_is(says(s, p)) for p in P.PLATITUDE), F.lit(0)),
+        "weasel-word": sum((_is(says(s, p)) for p in P.WEASEL), F.lit(0)),
         "restatement": _is((F.length(task) > 10) & (F.size(words) > 4) & (shared > 0.6 * F.size(words))),
-        "generic-advice": _is((F.length(s) < 80) & plain & s.rlike(P.GENERIC)),
-        "circular": _is(s.rlike(P.CIRCULAR)),
-        "non-answer": _is(s.rlike(P.NON_ANSWER) & ~any_of(s, P.COMMITTED)),
+        "generic-advice": _is((F.length(s) < 80) & plain & says(s, P.GENERIC)),
+        "circular": _is(says(s, P.CIRCULAR)),
+        "non-answer": _is(says(s, P.NON_ANSWER) & ~any_of(s, P.COMMITTED)),
     }
 
 
@@ -88,7 +93,7 @@ def actionability(df: DataFrame, item: str, task: str = "task", answer: str = "a
     gain = F.when(n > 0, 0.4 * (best + F.least(F.lit(0.2), (n - 1) * 0.05)) + 0.6 * by_type).otherwise(0.0)
     penalty = F.least(F.lit(0.8), sum((c * P.PENALTY[k] for k, c in f.items()), F.lit(0.0)))
     # rounded before the comparison with 0.3, so that sums in another order agree
-    s = s.select(item, "_type", "_s", n.alias("n"), sum((c * P.SPECIFICITY[k] for k, c in e.items()), F.lit(0.0)).alias("spec"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), gain - penalty)), 6).alias("score"), sum(f.values(), F.lit(0)).alias("n_filler"))
+    s = s.select(item, "_type", "_s", n.alias("n"), sum((c * round(100 * P.SPECIFICITY[k]) for k, c in e.items()), F.lit(0)).alias("spec"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), gain - penalty)), 6).alias("score"), sum(f.values(), F.lit(0)).alias("n_filler"))
     acts = F.col("score") >= 0.3
     out = s.groupBy(item).agg(
         F.first("_type").alias("response_type"),
@@ -96,11 +101,11 @@ def actionability(df: DataFrame, item: str, task: str = "task", answer: str = "a
         F.coalesce(F.avg(F.when(F.col("_s").isNotNull(), F.col("score"))), F.lit(0.0)).alias("mean"),
         F.coalesce(F.avg(F.when(F.col("_s").isNotNull(), _is(acts))), F.lit(0.0)).alias("acts"),
         F.coalesce(F.avg(F.when(F.col("_s").isNotNull(), _is(~acts & (F.col("n_filler") > 0)))), F.lit(0.0)).alias("fills"),
-        F.coalesce(F.sum("spec") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("spec"),
+        F.coalesce(F.sum("spec") / 100 / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("spec"),
     )
     score = F.when(F.col("sentences") > 0, 0.4 * F.col("mean") + 0.3 * F.col("acts") + 0.2 * F.col("spec") + 0.1 * (1 - F.col("fills"))).otherwise(0.0)
-    out = out.withColumn("score", F.round(score, 6))
-    return out.select(item, "response_type", "sentences", "score", F.round("acts", 6).alias("actionable_ratio"), F.round("fills", 6).alias("filler_ratio"), F.round("spec", 6).alias("specificity"), _is((F.col("score") >= 0.4) & (F.round("acts", 6) >= 0.3)).alias("passed"))
+    out = out.withColumn("score", _rounded(score))
+    return out.select(item, "response_type", "sentences", "score", _rounded(F.col("acts")).alias("actionable_ratio"), _rounded(F.col("fills")).alias("filler_ratio"), _rounded(F.col("spec")).alias("specificity"), _is((F.col("score") >= 0.4) & (_rounded(F.col("acts")) >= 0.3)).alias("passed"))
 
 
 def _by_type(i: int) -> Column:

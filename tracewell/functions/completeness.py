@@ -11,25 +11,30 @@ from pyspark.sql import functions as F
 from tracewell.functions import patterns as P
 from tracewell.functions import text as T
 
-SPACE = " \t\n\x0b\f\r"
+#: ASCII's white space, and what RE2 has as such: a vertical tab is none.
+SPACE, BLANK = " \t\n\x0b\f\r", " \t\n\f\r"
 
 
 def trimmed(text: Column) -> Column:
-    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK))
 
 
 def right_trimmed(text: Column) -> Column:
-    return F.rtrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
+    return F.rtrim(F.coalesce(text, F.lit("")), F.lit(BLANK))
+
+
+def says(text: Column, pattern: str) -> Column:
+    return text.rlike(P.java(pattern))
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    return reduce(or_, (text.rlike(p) for p in patterns))
+    return reduce(or_, (says(text, p) for p in patterns))
 
 
 def count_sentences(text: Column) -> Column:
     """Ends of sentences, not counting those of abbreviations, decimals and ellipses; one for other texts with something in them."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), P.ABBREVIATION, "ABBR"), "\\d+\\.\\d+", "NUM"), "\\.{2,}", "ELLIPSIS")
-    ends = F.size(F.regexp_extract_all(plain, F.lit("[.!?]+(?:\\s|\\z)"), F.lit(0)))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), P.java(P.ABBREVIATION), "ABBR"), "\\d+\\.\\d+", "NUM"), "\\.{2,}", "ELLIPSIS")
+    ends = F.size(F.regexp_extract_all(plain, F.lit(P.java("[.!?]+(?:\\s|\\z)")), F.lit(0)))
     return F.when(ends > 0, ends).when(trimmed(text) != "", 1).otherwise(0).cast("long")
 
 
@@ -39,7 +44,7 @@ def is_truncated(text: Column) -> Column:
 
 def is_stub(text: Column) -> Column:
     t = trimmed(text)
-    return ((F.length(t) < 20) & ~t.rlike(P.SHORT_ANSWER)) | any_of(t, P.STUB)
+    return ((F.length(t) < 20) & ~says(t, P.SHORT_ANSWER)) | any_of(t, P.STUB)
 
 
 def last_line(text: Column) -> Column:
@@ -69,7 +74,7 @@ def brackets_balanced(text: Column) -> Column:
 def incomplete_ending(text: Column, words: Column | None = None) -> Column:
     """More than 50 words, and the last line is neither a finished sentence nor a list item, heading or fence."""
     last = last_line(text)
-    return ((T.count_words(text) if words is None else words) > 50) & ~last.rlike("[.!?:;)\\]}`\"']\\z") & ~last.rlike("^(?:[-*•]\\s|\\d+[.)]\\s|#{1,6}\\s|```)")
+    return ((T.count_words(text) if words is None else words) > 50) & ~last.rlike("[.!?:;)\\]}`\"']\\z") & ~says(last, "^(?:[-*•]\\s|\\d+[.)]\\s|#{1,6}\\s|```)")
 
 
 def violations(text: Column, words: Column | None = None, sentences: Column | None = None) -> Column:
@@ -112,7 +117,7 @@ def completeness(df: DataFrame, item: str, text: str = "text") -> DataFrame:
 def code_of(text: Column) -> Column:
     """What fenced blocks hold; without any, the text itself if it looks like code; else null."""
     blocks = F.regexp_extract_all(text, F.lit(P.CODE_BLOCK), F.lit(1))
-    looks = text.rlike(P.CODE_BRACKETS) & text.rlike(P.CODE_WORDS)
+    looks = text.rlike(P.CODE_BRACKETS) & says(text, P.CODE_WORDS)
     return F.when(F.size(blocks) > 0, F.array_join(blocks, "\n")).when(looks, text)
 
 
@@ -131,10 +136,10 @@ def abandonment(df: DataFrame, item: str, text: str = "text") -> DataFrame:
     """(item, kind, signal, severity): one row for each sign of an abandoned or stalled text. Texts of fewer than ten characters show none. Blocks written three times in a row are in repetition.tripled_block."""
     df = df.where(F.length(text) >= 10).select(item, right_trimmed(F.col(text)).alias("_text"))
     t = F.col("_text")
-    rules = [("abandoned", label, "warning", t.rlike(p)) for label, p in P.ABANDONED.items()]
+    rules = [("abandoned", label, "warning", says(t, p)) for label, p in P.ABANDONED.items()]
     rules += [
         ("abandoned", "mid sentence", "warning", mid_sentence(t)),
-        ("abandoned", "unfinished marker", "warning", t.rlike(P.UNFINISHED)),
+        ("abandoned", "unfinished marker", "warning", says(t, P.UNFINISHED)),
         ("abandoned", "unbalanced code", "error", code_unbalanced(t)),
         ("no_progress", "repeated errors", "warning", F.size(F.regexp_extract_all(t, F.lit(P.FAILURE), F.lit(0))) >= 3),
     ]
