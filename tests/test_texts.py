@@ -112,3 +112,20 @@ def test_actionability_as_its_sql(spark, tmp_path):
     theirs = con.execute(sql).df().sort_values("conv_id")
     ours = query(spark, str(tmp_path)).toPandas().sort_values("conv_id")[list(theirs.columns)]
     assert ours.values.tolist() == theirs.values.tolist()
+
+
+def test_formats_as_their_sql(spark, tmp_path):
+    """A text that only begins with a JSON value is none; what json_valid allows beyond the standard is allowed."""
+    import duckdb
+
+    from tracewell import text_queries
+
+    texts = ['4703443633947811 Achverber', "12", "[1] [2]", "1, 2", '{"a": 1} x', "[1,]", '{"a": 1,}', "[,]", "{,}", '{"a": 1, "a": 2}', "NaN", "-inf", "[nan]", "01", "1.", "-0", "1e999", '"\\ud800"', '"\\ud83d\\ude00"', '"\\udc00"', '"a\tb"', "'a'", "nullx", "true", "tru",
+             "[" * 1500 + "]" * 1500, "[1}", "{1: 2}", '{"a" 1}', '{"a": }', '{"a":', "[1 2]", "]", '"', '""', "1 ,", "\x0b1", "[1\x0c]", "/* */ 1", "é: 1", "a:\x0b1", "#\x0bhead", "x\r# head", "x\u2028- item", "a,b\n\x0b\n1,2", "a\tb\n1\t2", "", None, "  [1, {}] \n", "[" + "7" * 3000 + "]"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    query, sql = text_queries.REGISTRY["format_sniff"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = con.execute(sql).df().sort_values("doc_id")
+    ours = query(spark, str(tmp_path)).toPandas().sort_values("doc_id")[list(theirs.columns)]
+    assert ours.values.tolist() == theirs.values.tolist()

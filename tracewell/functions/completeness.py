@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import patterns as P
 from tracewell.functions import text as T
+from tracewell.functions.schemas import json_valid
 
 #: ASCII's white space, and what RE2 has as such: a vertical tab is none.
 SPACE, BLANK = " \t\n\x0b\f\r", " \t\n\f\r"
@@ -154,9 +155,9 @@ def formats(text: Column) -> dict[str, Column]:
     sep = F.when(rows[0].contains("\t"), "\t").otherwise(",")
     width = F.size(F.split(rows[0], sep))
     return {
-        "json": F.try_parse_json(t).isNotNull() & (t != ""),
-        "markdown": t.rlike("(?m)^#{1,6}\\s+") | t.rlike("(?m)^[-*+]\\s|^\\d+\\.\\s|^```|^>"),
-        "yaml": t.startswith("---") | t.rlike("(?m)^[\\w-]+:\\s"),
+        "json": json_valid(t),
+        "markdown": says(t, "(?m)^#{1,6}\\s+") | says(t, "(?m)^[-*+]\\s|^\\d+\\.\\s|^```|^>"),
+        "yaml": t.startswith("---") | says(t, "(?m)^[\\w-]+:\\s"),
         "xml": t.startswith("<?xml") | (t.startswith("<") & t.endswith(">")),
         "csv": (F.size(rows) >= 2) & F.forall(F.slice(rows, F.lit(2), F.size(rows)), lambda r: (trimmed(r) == "") | (F.size(F.split(r, sep)) == width)),
     }
