@@ -44,3 +44,14 @@ def test_segments_that_share_their_longest_word():
     start = time.time()
     assert R.repeated(made + made[:10])["unique"] == 20_000
     assert time.time() - start < 6
+
+
+def test_trigrams_are_not_shuffled(spark):
+    """Rows dealt out are texts, one for each document; texts of one doc_id count together."""
+    from tracewell import catalog
+
+    rows = [(1, "a b c a b c a b c"), (1, "A, b; c"), (2, "x y"), (3, None), (4, "one two three")]
+    df = catalog._ngram_saturation(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.score, r.unique_grams, r.total_grams) for r in df.collect()} == {1: (1.0, 3, 8), 4: (1.0, 1, 1)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1

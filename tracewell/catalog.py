@@ -120,11 +120,10 @@ _FIRST = "SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS task, ar
 
 
 def _ngram_saturation(d: DataFrame) -> DataFrame:
-    """Share of the five most frequent word trigrams. Texts are spread by document once, before they become trigrams of three times their size; both counts then stay in place."""
-    grams = d.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(T.word_ngrams(F.col("text"))).alias("gram"))
-    counts = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    most = F.aggregate(F.slice(F.sort_array(F.collect_list("n"), False), 1, 5), F.lit(0).cast("long"), lambda acc, n: acc + n)
-    return counts.groupBy("doc_id").agg(F.round(most / F.sum("n"), 6).alias("score"), F.count("*").alias("unique_grams"), F.sum("n").alias("total_grams"))
+    """Share of the five most frequent word trigrams. Only texts are shuffled, to bring those of one document together; trigrams are counted text by text where they are."""
+    texts = d.select("doc_id", T.ngram_text(F.col("text")).alias("text")).repartition("doc_id").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    counts = texts.select("doc_id", repetition.gram_counts("texts").alias("n")).where("n.total > 0")
+    return counts.select("doc_id", F.round(F.col("n.most") / F.col("n.total"), 6).alias("score"), F.col("n.unique").alias("unique_grams"), F.col("n.total").alias("total_grams"))
 
 
 def _upserted(o: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ fold over the segments of one text.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
@@ -204,6 +205,23 @@ def _tripled(text: pd.Series) -> pd.Series:
     return text.map(tripled)
 
 
+#: Fixed: the most frequent trigrams that count.
+MOST_GRAMS = 5
+
+
+@F.pandas_udf(StructType().add("most", LongType()).add("unique", LongType()).add("total", LongType()))
+def gram_counts(texts: pd.Series) -> pd.DataFrame:
+    """How often the most frequent word trigrams of some texts (ngram_text) together occur, how many different ones and how many in all there are."""
+    rows = []
+    for some in texts:
+        counts: Counter = Counter()
+        for text in some:
+            words = text.split()
+            counts.update(zip(words, words[1:], words[2:]))
+        rows.append((sum(heapq.nlargest(MOST_GRAMS, counts.values())), len(counts), counts.total()))
+    return pd.DataFrame(rows, columns=["most", "unique", "total"])
+
+
 def repetition(text: Column) -> Column:
     """(score, ratio, unique, total) of a text's segments."""
     return _repetition(segments(text))

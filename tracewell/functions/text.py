@@ -53,9 +53,14 @@ def longest_duplicate_run(text: Column) -> Column:
     return F.aggregate(lines(text), start, step, lambda acc: acc["best"])
 
 
+def ngram_text(text: Column) -> Column:
+    """A text in lower case with nothing but ASCII alphanumeric characters and white space."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9 \\t\\n\\r]", "")
+
+
 def word_ngrams(text: Column, n: int = 3) -> Column:
     """n-grams of the lower-cased ASCII alphanumeric words, joined by a space."""
-    found = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9 \\t\\n\\r]", ""), "[ \\t\\n\\r]+"), lambda x: x != "")
+    found = F.filter(F.split(ngram_text(text), "[ \\t\\n\\r]+"), lambda x: x != "")
 
     def grams(w: Column) -> Column:
         return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
