@@ -86,6 +86,8 @@ def contradicts(claim: Column, reference: Column, likeness: Column) -> Column:
 _CLAIMS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("kind", StringType()).add("confidence", DoubleType()).add("claim", StringType()))
 
 
+#: Texts that are looked through at once.
+PIECE = 256
 _ENDS = re.compile(r"[.!?\n]")
 _CLAIM_END = re.compile(P.CLAIM_END, re.ASCII)
 
@@ -163,7 +165,8 @@ def typed_claims(text: Column, kinds: list[str] | None = None, least: float = 0.
     chosen, limit = None if kinds is None else frozenset(kinds), math.inf if most is None else most
 
     def run(texts: pa.Array) -> pa.Array:
-        return _extracted(texts, chosen, least, code, limit)
+        # piece by piece: a batch's stretches, matches and spans need many times the memory of its texts
+        return pa.concat_arrays([_extracted(texts.slice(i, PIECE), chosen, least, code, limit) for i in range(0, max(1, len(texts)), PIECE)])
 
     return F.arrow_udf(run, _CLAIMS)(text)
 
