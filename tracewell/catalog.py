@@ -148,15 +148,14 @@ def _as_spans(e: DataFrame) -> DataFrame:
 
 def _as_runs(e: DataFrame) -> DataFrame:
     """Run events as run exports, a text a session in one of four forms: an array, an object with runs, an object of runs by keys, and a run a line."""
-    when = F.to_json(F.struct(F.timestamp_millis("ts_ms").alias("t")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "timeZone": "UTC"})
-    at = F.get_json_object(when, "$.t")
+    at, utc = F.timestamp_millis("ts_ms"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "timeZone": "UTC"}
     called = F.col("type") == "tool_call"
     run = F.struct(
         F.concat_ws("/", "session_id", "pos").alias("id"), F.col("session_id").alias("trace_id"), F.when(F.col("pos") > 1, F.concat_ws("/", "session_id", F.lit("1"))).alias("parent_run_id"), F.when(called, "click").otherwise(F.col("type")).alias("name"),
         F.when(called, "tool").when(F.col("type") == "output", "llm").otherwise("chain").alias("run_type"), at.alias("start_time"), at.alias("end_time"), F.when(F.col("type") == "error", "it broke").alias("error"),
         F.when(~called, F.col("tokens")).alias("total_tokens"), F.when(called, F.parse_json(F.regexp_extract("tool_sig", "\\((.*)\\)$", 1))).alias("inputs"),
     )
-    runs = e.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.to_json(run).alias("run")))).alias("runs"), F.max("pos").alias("n")).withColumn("runs", F.transform("runs", lambda r: r["run"]))
+    runs = e.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.to_json(run, utc).alias("run")))).alias("runs"), F.max("pos").alias("n")).withColumn("runs", F.transform("runs", lambda r: r["run"]))
     array, form = F.concat(F.lit("["), F.array_join("runs", ","), F.lit("]")), F.pmod(F.crc32(F.col("session_id").cast("binary")), F.lit(4))
     named = F.concat(F.lit("{"), F.array_join(F.transform("runs", lambda r, i: F.concat(F.lit('"r'), i.cast("string"), F.lit('": '), r)), ","), F.lit("}"))
     return runs.select(F.when(form == 0, array).when(form == 1, F.concat(F.lit('{"runs": '), array, F.lit("}"))).when(form == 2, named).otherwise(F.array_join("runs", "\n")).alias("value"))

@@ -54,8 +54,12 @@ def otlp_spans(exports: DataFrame) -> DataFrame:
 
 
 def otlp_sessions(exports: DataFrame) -> DataFrame:
+    return span_sessions(otlp_spans(exports))
+
+
+def span_sessions(spans: DataFrame) -> DataFrame:
     """One row a conversation: clean if no span failed and all ended; timed out if a finish reason is a cap."""
-    agg = otlp_spans(exports).groupBy("session_id").agg(
+    agg = spans.groupBy("session_id").agg(
         F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"), F.count("*").alias("n_events"), F.count_if("failed").alias("n_errors"), F.sum("tokens").alias("tokens"),
         F.count_if(F.coalesce("is_tool", F.lit(False)) & ~F.col("failed")).alias("n_tool_calls"), F.max(F.coalesce("capped", F.lit(False)).cast("int")).alias("timed_out"), F.max(F.col("end_ms").isNull().cast("int")).alias("unfinished"),
     )
@@ -87,23 +91,24 @@ def langsmith_runs(texts: DataFrame, column: str = "value", lines: bool = False)
 
     All forms are told apart in one plan by VARIANT: what does not parse as a whole is taken line by line, and lines that do not parse go. A broken array is no lines and raises. Values that are no objects go; fields of other types become null, inputs and outputs JSON text.
     """
-    text = F.trim(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "^[\\s\\x{feff}]+|\\s+$", ""))
+    blank = " \t\n\x0b\f\r"
+    trimmed = F.rtrim(F.ltrim(F.coalesce(F.col(column), F.lit("")), F.lit(blank + "\ufeff")), F.lit(blank))
+    text = F.col("text")
     # the parser reads one value and leaves what follows it, so a text whose first line is a value of its own is taken by lines
     single = F.lit(lines) | ~text.contains("\n") | F.try_parse_json(F.substring_index(text, "\n", 1)).isNull()
-    rows = texts.select(text.alias("text"), F.when(single, F.try_parse_json(text)).alias("whole")).where("text <> ''")
-    listed = lambda v, path="$": F.try_variant_get(v, path, "array<variant>")
-    keyed = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
-    alone = F.array("whole")
-    of_line = F.when(F.col("whole").isNull(), F.array().cast("array<variant>")).otherwise(F.coalesce(listed(F.col("whole")), alone))
+    rows = texts.select(trimmed.alias("text")).select("text", F.when(single, F.try_parse_json(text)).alias("whole"))
+    # a run's fields are read together and straight from the text's value; what is no object becomes null
+    run = f"struct<{', '.join(f'{c.split()[0]}: {"long" if c.split()[0] in _LONGS else "string"}' for c in LANGSMITH.split(', '))}>"
+    listed = lambda v, path="$": F.try_variant_get(v, path, f"array<{run}>")
+    alone = lambda v: F.array(F.try_variant_get(v, "$", run))
+    of_line = lambda v: F.coalesce(listed(v), alone(v))
+    whole, none = F.col("whole"), F.array().cast(f"array<{run}>")
     if lines:
-        each = rows.select(F.explode(of_line).alias("run"))
+        found = F.when(whole.isNull(), none).otherwise(of_line(whole))
     else:
-        broken = F.col("whole").isNull() & F.col("text").startswith("[")
-        one = F.coalesce(listed(F.col("whole")), listed(F.col("whole"), "$.runs"), F.when(F.coalesce(F.try_variant_get(F.col("whole"), "$.id", "string"), F.lit("")) != "", alone), F.map_values(keyed(F.col("whole"))), F.array().cast("array<variant>"))
-        parts = F.when(broken, F.raise_error(F.lit("an export that begins as an array is no JSON")).cast("array<string>")).when(F.col("whole").isNull(), F.split("text", "\\r?\\n")).otherwise(F.array().cast("array<string>"))
-        whole = rows.where("whole is not null").select(F.explode(one).alias("run"))
-        by_line = rows.where("whole is null").select(F.explode(parts).alias("text")).select(F.try_parse_json("text").alias("whole")).where("whole is not null").select(F.explode(of_line).alias("run"))
-        each = whole.unionAll(by_line)
-    fields = [c.split()[0] for c in LANGSMITH.split(", ")]
-    runs = each.where(keyed(F.col("run")).isNotNull())
-    return runs.select(*(F.try_variant_get("run", f"$.{c}", "long" if c in _LONGS else "string").alias(c) for c in fields))
+        one = F.coalesce(listed(whole), listed(whole, "$.runs"), F.when(F.coalesce(F.try_variant_get(whole, "$.id", "string"), F.lit("")) != "", alone(whole)), F.map_values(F.try_variant_get(whole, "$", f"map<string, {run}>")), none)
+        parts = F.filter(F.transform(F.split("text", "\\r?\\n"), F.try_parse_json), lambda v: v.isNotNull())
+        broken = F.raise_error(F.lit("an export that begins as an array is no JSON")).cast(f"array<{run}>")
+        # one column and one explode for all forms, so that a text is read and parsed once
+        found = F.when(whole.isNotNull(), one).when(text.startswith("["), broken).otherwise(F.flatten(F.transform(parts, of_line)))
+    return rows.select(F.explode(found).alias("run")).where("run is not null").select("run.*")
