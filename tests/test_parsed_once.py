@@ -3,6 +3,7 @@
 import json
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tracewell.sources import built, exports
 
@@ -28,3 +29,16 @@ def test_run_exports(spark):
     assert seen.value == len(texts)
     # texts keep the order of time
     assert [r.text for r in sessions.texts.where("session_id = 'c'").orderBy("place").collect()] == ["part 9 of it", "part 8 of it"]
+
+
+def test_span_exports(spark):
+    """The source is read once, and JSON in a column is parsed once a row: no filter repeats it."""
+    span = lambda t, i, *attributes: {"traceId": t, "spanId": f"{t}{i}", "name": "chat", "startTimeUnixNano": f"{i}000000000", "endTimeUnixNano": f"{i + 1}000000000", "attributes": [{"key": k, "value": v} for k, v in attributes], "status": {"code": "STATUS_CODE_OK"}}
+    used = ("gen_ai.usage.output_tokens", {"intValue": "700000"})
+    spans = [span("a", 0, used), span("a", 1, ("gen_ai.usage.output_tokens", {"intValue": "5"}), used), span("b", 0), span("b", 1, ("session.id", {"stringValue": "a"}), (None, {"intValue": "1"}))]
+    texts = [json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [s]}]}]}) for s in spans] + ['{"resourceSpans": []}', "{}"]
+    df, seen = counted(spark, spark.createDataFrame([(t,) for t in texts], "value string"))
+    parsed = df.select(F.from_json("value", exports.OTLP)["resourceSpans"].alias("resourceSpans"))
+    assert exports.otlp_spans(parsed)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert {(r.session_id, r.kind, r.tokens) for r in built.triage(built.otlp(parsed)).collect()} == {("a", "over-cost", 1_400_000)}
+    assert seen.value == len(texts)

@@ -20,36 +20,44 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path) if not path.endswith((".jsonl", ".ndjson")) else spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def _attribute(attributes: str, *keys: str) -> Column:
+def _last(key: str) -> Column:
+    """The place of a key's last value among `keys` and `values`, from 0; -1 if it is not there."""
+    return (F.array_position("keys", F.lit(key)) - 1).cast("int")
+
+
+def _attribute(*keys: str) -> Column:
     """The last value of the first key that is there, as text."""
-    value = lambda k: F.get(F.reverse(F.filter(attributes, lambda a: a["key"] == k)), F.lit(0))["value"]
-    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
-    return F.coalesce(*(text(value(k)) for k in keys))
+    return F.coalesce(*(F.get("texts", _last(k)) for k in keys))
 
 
 def otlp_spans(exports: DataFrame) -> DataFrame:
     """Spans of OTLP exports, three levels down, with the attributes that sessions need."""
-    span = exports.select(F.explode("resourceSpans").alias("r")).select(F.explode("r.scopeSpans").alias("s")).select(F.explode("s.spans").alias("span")).select("span.*")
+    # a plain explode infers a filter on its array, pushed down to where the array is made: a parsed column would be parsed for it again
+    resource = exports.select(F.posexplode_outer("resourceSpans").alias("i", "r")).where("i is not null")
+    span = resource.select(F.explode("r.scopeSpans").alias("s")).select(F.explode("s.spans").alias("span")).select("span.*")
     span = span.withColumn("attributes", F.coalesce("attributes", F.array().cast(_ATTRIBUTES))).withColumn("events", F.coalesce("events", F.array().cast(f"ARRAY<STRUCT<name: STRING, attributes: {_ATTRIBUTES}>>")))
-    number = lambda *k: F.coalesce(_attribute("attributes", k[0]).try_cast("long"), _attribute("attributes", k[1]).try_cast("long"), F.lit(0).cast("long"))
-    reasons = F.get(F.reverse(F.filter("attributes", lambda a: a["key"] == "gen_ai.response.finish_reasons")), F.lit(0))["value"]
+    # attributes are gone through once: keys, values and their texts, the last first; what is looked up is found by its place
+    span = span.withColumns({"keys": F.reverse(F.col("attributes.key")), "values": F.reverse(F.col("attributes.value"))})
+    span = span.withColumn("texts", F.transform("values", lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))))
+    number = lambda *k: F.coalesce(_attribute(k[0]).try_cast("long"), _attribute(k[1]).try_cast("long"), F.lit(0).cast("long"))
+    reasons = F.get("values", _last("gen_ai.response.finish_reasons"))
     listed = F.coalesce(F.transform(reasons["arrayValue"]["values"], lambda v: v["stringValue"]), F.when(reasons["stringValue"].isNotNull(), F.array(reasons["stringValue"])), F.array().cast("array<string>"))
     # nanoseconds have more digits than a double
     millis = lambda c: F.floor(F.col(c).try_cast("decimal(24,0)") / 1_000_000).cast("long")
     failed = F.coalesce(F.col("status.code").isin("STATUS_CODE_ERROR", "2"), F.lit(False)) | F.exists("events", lambda e: e["name"] == "exception")
     return span.select(
-        F.coalesce(_attribute("attributes", "gen_ai.conversation.id", "session.id"), F.col("traceId")).alias("session_id"),
+        F.coalesce(_attribute("gen_ai.conversation.id", "session.id"), F.col("traceId")).alias("session_id"),
         "name",
         "spanId",
-        _attribute("attributes", "gen_ai.response.model", "gen_ai.request.model").alias("model"),
-        F.coalesce(_attribute("attributes", "gen_ai.tool.name", "code.function.name"), F.col("name")).alias("tool"),
-        _attribute("attributes", "gen_ai.tool.call.arguments", "gen_ai.tool.arguments", "gen_ai.tool.input").alias("arguments"),
+        _attribute("gen_ai.response.model", "gen_ai.request.model").alias("model"),
+        F.coalesce(_attribute("gen_ai.tool.name", "code.function.name"), F.col("name")).alias("tool"),
+        _attribute("gen_ai.tool.call.arguments", "gen_ai.tool.arguments", "gen_ai.tool.input").alias("arguments"),
         millis("startTimeUnixNano").alias("start_ms"),
         millis("endTimeUnixNano").alias("end_ms"),
         (number("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens") + number("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens")).alias("tokens"),
         F.arrays_overlap(listed, F.array(*map(F.lit, CAPPED))).alias("capped"),
         failed.alias("failed"),
-        (_attribute("attributes", "gen_ai.operation.name") == "execute_tool").alias("is_tool"),
+        (_attribute("gen_ai.operation.name") == "execute_tool").alias("is_tool"),
     )
 
 
