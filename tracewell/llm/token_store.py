@@ -58,10 +58,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     kind = _KIND[data]
     barred = np.unique(np.searchsorted(starts, np.flatnonzero(data == 124), "right") - 1)
     if len(barred):
-        step = np.zeros(len(data) + 1, np.int8)
-        step[starts[barred]] += 1
-        step[ends[barred]] -= 1
-        data = np.where(np.cumsum(step[:-1]) > 0, raw, data)
+        length = ends[barred] - starts[barred]
+        at = np.arange(length.sum()) + np.repeat(starts[barred] - np.cumsum(length) + length, length)
+        data[at] = raw[at]
     inner = np.zeros(len(data), bool)
     inner[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
     inner[ends[ends < len(data)]] = False
@@ -82,12 +81,15 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # every byte can end a word, so no end is lost to a token that the vocabulary lacks
+        self.closed = all(f"{c}</w>" in vocabulary for c in ByteLevel.alphabet())
         # pieces met before, with the places and numbers of their ids in `flat`; the first is the end of a document
         self.known = pa.array([b""], pa.large_binary())
         self.flat, self.size = np.array([END_ID], self.dtype), np.ones(1, np.int32)
@@ -96,11 +98,12 @@ class Encoder:
         self.in_pieces = ids[:-1].tolist() == self.tokenizer.encode(PROBE, add_special_tokens=False).ids
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        """Pieces of ASCII letters are encoded many at a time and told apart by their last tokens; others one by one."""
+        """Pieces of letters are encoded many at a time and told apart by their last tokens; others one by one. Letters make one end a piece at least, so as many ends as pieces are one each."""
         out: list[bytes | None] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [i for i, (w, t) in enumerate(zip(words, texts)) if w.isalpha() or self.closed and t.isalpha()]
         groups = [plain[s : s + 500] for s in range(0, len(plain), 500)]
-        coded = self.tokenizer.encode_batch_fast([b" ".join([words[i] for i in g]).decode() for g in groups], add_special_tokens=False)
+        coded = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
         for group, e in zip(groups, coded):
             ids = np.array(e.ids, self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
@@ -108,7 +111,7 @@ class Encoder:
                 for i, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist()):
                     out[i] = ids[a:b].tobytes()
         rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)):
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
             out[i] = np.array(e.ids, self.dtype).tobytes()
         return out
 
@@ -120,15 +123,16 @@ class Encoder:
             ids = np.array([i for e in coded for i in (*e.ids, END_ID)], self.dtype)
             return ids, np.cumsum([0, *(len(e.ids) + 1 for e in coded)])
         words, firsts = pieces(data, offsets)
-        place = pc.index_in(words, value_set=self.known)
-        missing = place.is_null()
-        place = place.fill_null(0).to_numpy(zero_copy_only=False).copy()
-        others = words.filter(missing)
-        new = others.unique()
+        listed = words.dictionary_encode()
+        found = pc.index_in(listed.dictionary, value_set=self.known)
+        missing = found.is_null()
+        new = listed.dictionary.filter(missing)
         coded = self._encode(new.to_pylist())
         flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), self.dtype)])
         size = np.concatenate([self.size, np.fromiter(map(len, coded), np.int32, len(coded)) // self.dtype.itemsize])
-        place[missing.to_numpy(zero_copy_only=False)] = len(self.known) + pc.index_in(others, value_set=new).to_numpy(zero_copy_only=False)
+        place = found.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        place[missing.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        place = place[listed.indices.to_numpy()]
         if len(self.known) < REMEMBERED:
             self.known, self.flat, self.size = pa.concat_arrays([self.known, new]), flat, size
         at = np.cumsum(size, dtype=np.int32) - size
@@ -165,7 +169,7 @@ def cut(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at
 
 
-def _digest(chunk: bytes) -> bytes:
+def _digest(chunk: bytes | memoryview) -> bytes:
     return hashlib.blake2b(chunk, digest_size=20).digest()
 
 
@@ -284,13 +288,15 @@ def combined_crc(crc: np.ndarray, after: np.ndarray, firsts: np.ndarray) -> np.n
 def _checked_chunks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs, counts = [], []
-            for digest, ids in zip(batch.column("digest").to_pylist(), batch.column("ids").to_pylist()):
-                if _digest(ids) != digest:
+            data, offsets = text_buffer(batch.column("ids"))
+            raw, at = memoryview(data), offsets.tolist()
+            for digest, a, b in zip(batch.column("digest").to_pylist(), at[:-1], at[1:]):
+                if _digest(raw[a:b]) != digest:
                     raise ValueError(f"chunk {digest.hex()} does not match its digest")
-                crcs.append(zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()))
-                counts.append(len(ids) // width)
-            yield pa.record_batch([batch.column("digest"), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64())], ["digest", "crc", "n"])
+            # ids are widened a batch at a time
+            wide, places = memoryview(data.view(f"<u{width}").astype("<u4").tobytes()), (offsets * 4 // width).tolist()
+            crcs = [zlib.crc32(wide[a:b]) for a, b in zip(places[:-1], places[1:])]
+            yield pa.record_batch([batch.column("digest"), pa.array(crcs, pa.int64()), pa.array(np.diff(offsets) // width)], ["digest", "crc", "n"])
 
     return run
 
