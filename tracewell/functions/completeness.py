@@ -49,7 +49,7 @@ def is_stub(text: Column) -> Column:
 
 
 def last_line(text: Column) -> Column:
-    return F.coalesce(F.element_at(T.lines(text), -1), F.lit(""))
+    return F.coalesce(F.try_element_at(T.lines(text), F.lit(-1)), F.lit(""))
 
 
 def brackets_balanced(text: Column) -> Column:
